@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, decontaminate, jaccard, langid, lines, mixing, quality, secrets, sharding
+from vectorloom.llm import chat, decontaminate, jaccard, langid, lines, mixing, quality, secrets, sharding, substrings
 from vectorloom.llm.common import bucket_of
 from vectorloom.llm.oracles import ORACLES
 
@@ -32,6 +32,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of(k) for k in secrets.BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op4_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.clean_lines(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_language_id, op2_secret_scan, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks]
+    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
