@@ -31,6 +31,14 @@ def test_three_methods_run_and_report(spark):
         assert run.snapshots[2].count() > 0
 
 
+def test_bases_are_refreshed_and_centres_pull(spark):
+    samples, _ = workload(spark, 3)
+    s = rounds.Settings(rounds=2, batch=8, common_rank=3, global_rank=2, personal_rank=6, refresh_every=2, centre_every=1, beta=0.2)
+    h = rounds.subspace(samples, s).history.collect()
+    drift = [r.value for r in h if r.metric == "basis_drift_degrees"]
+    assert len(drift) == 1 and 0 <= drift[0] <= 90 and {r["round"] for r in h} == {1, 2}
+
+
 def test_bootstrap_rebuilds_memories_in_full_rank(spark):
     samples, _ = workload(spark, 2)
     noisy = samples.withColumn("h", F.transform("h", lambda v, i: v + F.sin(F.col("sample") * 3.0 + i + F.col("client")) / 5))

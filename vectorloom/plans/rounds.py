@@ -18,6 +18,7 @@ from vectorloom.functions.vectors import add, normalise
 from vectorloom.operators import bases, encoders
 from vectorloom.operators import prototypes as pr
 from vectorloom.operators import training as tr
+from vectorloom.operators.checks import due
 from vectorloom.operators.prep import participants
 from vectorloom.plans.storage import settle
 
@@ -41,6 +42,9 @@ class Settings:
     gate: tuple[float, float] = (0.1, 0.9)
     metric: str = "cos"
     refresh_every: int = 0
+    centre_every: int = 0
+    centres: int = 2
+    beta: float = 0.0
     snapshot_rounds: tuple[int, ...] = ()
 
 
@@ -189,11 +193,35 @@ def merge(state: DataFrame, common: DataFrame, s: Settings) -> DataFrame:
     return joined.select("client", "y", "n", move("c", "cc").alias("c"), move("g", "gg").alias("g"), "d", "p", "wrong")
 
 
+def rebuild(boot: Bootstrap, state: DataFrame) -> DataFrame:
+    """Full memories (client, y, w) of a coefficient state, rows of unit norm."""
+    packed = boot.personal.groupBy("client").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("basis"))
+    shared = encoders.multiply(encoders.multiply(state.withColumn("cd", add("c", "d")), boot.common.T, "cd", "_a"), boot.extra.T, "g", "_b").join(packed, "client")
+    parts = F.zip_with("p", "basis", lambda a, b: F.transform(b, lambda x: a * x))
+    own = F.aggregate(parts, F.transform("_a", lambda x: x * 0.0), lambda total, part: F.zip_with(total, part, lambda x, y: x + y))
+    return shared.select("client", "y", normalise(add(add("_a", "_b"), own), "clamp").alias("w"))
+
+
+def pull_to_centres(state: DataFrame, uploads: DataFrame, s: Settings) -> DataFrame:
+    """Moves the clients' shared coefficients towards the nearest of their class's centres.
+
+    Centres are k-means centres of the uploaded rows, taken at unit length.
+    """
+    x = F.concat("c", "g")
+    centres = settle(pr.kmeans(uploads.select("client", "y", normalise(x, "clamp").alias("x")), ["y"], "client", s.centres, 10), "subspace-centres")
+    moved = pr.pull(state.withColumn("x", x), centres, ["y"], s.beta)
+    nc = F.size("c")
+    return moved.withColumns({"c": F.slice("x", F.lit(1), nc), "g": F.slice("x", nc + 1, F.size("g"))}).select(*state.columns)
+
+
 def subspace(samples: DataFrame, s: Settings) -> Run:
     """Rounds of coefficient training in shared and personal bases.
 
     The server's means are merged by a client when it next takes part, if it took
-    part in the round that made them; evaluation sees the merged state.
+    part in the round that made them; evaluation sees the merged state.  Every
+    ``centre_every`` rounds shared coefficients are pulled to class centres, every
+    ``refresh_every`` rounds bases are fitted anew to the clients' memories, and
+    the mean angle between old and new shared bases is reported.
     """
     boot = bootstrap(samples, s)
     chosen = _chosen(samples, s)
@@ -222,7 +250,15 @@ def subspace(samples: DataFrame, s: Settings) -> Run:
         means = pr.consensus(local, "y", "c").withColumnRenamed("c", "cc").join(pr.consensus(local, "y", "g").withColumnRenamed("g", "gg"), "y")
         pending = settle(means, "subspace-pending")
         state = settle(state.join(now, "client", "left_anti").unionByName(local), "subspace-state")
-        current = merge(state.join(now, "client", "left_semi"), pending, s).unionByName(state.join(now, "client", "left_anti"))
+        if due(r, s.centre_every, s.beta):
+            state = settle(pull_to_centres(state, local, s), "subspace-state")
+        if due(r, s.refresh_every):
+            old, boot = np.hstack([boot.common, boot.extra]), bootstrap(samples, s, settle(rebuild(boot, state), "subspace-memory"))
+            state, cache, pending = boot.state, boot.cache, None
+            train, test = cache.where("split = 'train'"), cache.where("split = 'test'")
+            drift = bases.principal_angle(old, np.hstack([boot.common, boot.extra]))
+            parts.append(samples.sparkSession.createDataFrame([(r, "basis_drift_degrees", drift)], "round int, metric string, value double"))
+        current = state if pending is None else merge(state.join(now, "client", "left_semi"), pending, s).unionByName(state.join(now, "client", "left_anti"))
         for name, seen in branch_predictions(test, current, s.metric).items():
             parts.append(_metric(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"}))
         if r in s.snapshot_rounds:
