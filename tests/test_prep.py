@@ -103,3 +103,10 @@ def test_settings_are_checked():
             check_settings(*bad)
     assert shared_rank(32, ratio=0.75) == (24, 8) and shared_rank(8, fixed=12) == (8, 0)
     assert due(4, 2) and not due(3, 2) and not due(4, 0) and not due(4, 2, 0.0)
+
+
+def test_cap_total_shares_the_budget(spark):
+    df = spark.createDataFrame([(c, i % 3, 1000 * c + i) for c, n in ((0, 50), (1, 20), (2, 5)) for i in range(n)], "client int, y int, sample int")
+    assert prep.cap_total(df, "client", "y", "sample", 75, 30, 1).count() == 75
+    cut = {r.client: r["count"] for r in prep.cap_total(df, "client", "y", "sample", 74, 30, 1).groupBy("client").count().collect()}
+    assert cut == {0: 20, 1: 8, 2: 2}

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vectorloom import sinks
-from vectorloom.sources import Spec, binary, load, load_specs, nested, text
+from vectorloom.sources import Spec, binary, cached, load, load_specs, nested, text
 from vectorloom.streaming import running_means
 
 
@@ -101,3 +101,10 @@ def test_running_means_over_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {r.client: (r.n, list(r.w)) for r in spark.table("means").collect()}
     assert got == {0: (2, [2.0, 3.0]), 1: (1, [5.0, 6.0])}
+
+
+def test_cached_tables_are_made_once(spark, tmp_path):
+    made = []
+    for _ in range(2):
+        assert cached(spark, str(tmp_path / "c"), lambda: made.append(1) or spark.range(3)).count() == 3
+    assert made == [1]

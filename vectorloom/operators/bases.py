@@ -133,3 +133,18 @@ def per_client(df: DataFrame, client: str, x: str, rank: int, reference: np.ndar
 def principal_angle(a: np.ndarray, b: np.ndarray) -> float:
     """Mean principal angle between two bases, in degrees."""
     return float(np.degrees(np.arccos(np.clip(np.linalg.svd(a.T @ b, compute_uv=False), -1, 1))).mean())
+
+
+def client_angles(personal: DataFrame, client: str = "client") -> DataFrame:
+    """Mean principal angle of every pair of clients' bases: i, j, degrees.
+
+    A row per pair of clients is the result; a basis is model-sized.
+    """
+    packed = personal.groupBy(client).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("basis"))
+
+    @F.pandas_udf("double")
+    def angle(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([principal_angle(np.stack(p).T, np.stack(q).T) for p, q in zip(a, b, strict=True)], dtype=float)
+
+    pairs = packed.select(F.col(client).alias("i"), F.col("basis").alias("p")).join(packed.select(F.col(client).alias("j"), F.col("basis").alias("q")), F.col("i") < F.col("j"))
+    return pairs.select("i", "j", angle("p", "q").alias("degrees"))

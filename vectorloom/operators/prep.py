@@ -70,20 +70,24 @@ def chronological_split(df: DataFrame, groups: list[str], order: list[str], trai
     return df.withColumn("split", place)
 
 
-def stratified_cap(df: DataFrame, client: str, label: str, key: str, most: int, seed: int) -> DataFrame:
+def stratified_cap(df: DataFrame, client: str, label: str, key: str, most: int | str, seed: int) -> DataFrame:
     """At most ``most`` rows of a client, shared over classes in proportion.
 
-    Every class starts with the floor of its share, at least one and at most all.
+    ``most`` is a number, or the name of a column with each client's own number.
+
+    Every class starts with the floor of its share, at least one and at most all;
+    only more classes than rows leave some class without one.
     Where that is too many, the largest quotas give back one each in turn; where
     it is too few, classes with the most rows left take one each in turn.  The
     turns follow from ranks of the (class, step) pairs, one row per unit to move,
     so no loop runs on the driver.
     """
-    counts = df.groupBy(client, label).agg(F.count("*").alias("n"))
+    counts = df.groupBy(client, label).agg(F.count("*").alias("n"), (F.max(most) if isinstance(most, str) else F.lit(most)).alias("most"))
+    most = F.col("most")
     w = Window.partitionBy(client)
     quota = counts.withColumn("total", F.sum("n").over(w)).withColumn("q", F.when(F.col("total") <= most, F.col("n")).otherwise(F.least(F.greatest(F.floor(F.col("n") * most / F.col("total")), F.lit(1)), F.col("n"))))
-    gap = quota.withColumn("gap", F.least(F.lit(most), F.col("total")) - F.sum("q").over(w))
-    units = F.when(F.col("gap") < 0, F.col("q") - 1).when(F.col("gap") > 0, F.col("n") - F.col("q")).otherwise(0)
+    gap = quota.withColumn("gap", F.least(most, F.col("total")) - F.sum("q").over(w))
+    units = F.when(F.col("gap") < 0, F.col("q")).when(F.col("gap") > 0, F.col("n") - F.col("q")).otherwise(0)
     steps = gap.withColumn("u", F.explode(F.sequence(F.lit(0), F.greatest(F.least(units, F.abs("gap")), F.lit(0)))))
     level = F.when(F.col("gap") < 0, F.col("q") - F.col("u") + 1).otherwise(F.col("n") - F.col("q") - F.col("u") + 1)
     turn = F.row_number().over(w.orderBy(F.desc(F.when(F.col("u") > 0, level).otherwise(-1)), label))
@@ -106,6 +110,18 @@ def allocate_budget(sizes: DataFrame, size: str, budget: int, key: str) -> DataF
     return parts.withColumn("quota", (F.col("_floor") + (turn <= left).cast("int")).cast("bigint")).drop("_raw", "_floor")
 
 
+def cap_total(df: DataFrame, client: str, label: str, key: str, threshold: int, total: int, seed: int) -> DataFrame:
+    """Nothing for tables up to ``threshold`` rows; larger ones are cut to ``total`` rows.
+
+    The budget is shared over clients by size and inside a client over classes.
+    """
+    sizes = df.groupBy(client).agg(F.count("*").alias("_size"))
+    if (sizes.agg(F.sum("_size")).first()[0] or 0) <= threshold:
+        return df
+    quotas = allocate_budget(sizes, "_size", total, client).select(client, F.col("quota").alias("_most"))
+    return stratified_cap(df.join(quotas, client), client, label, key, "_most", seed).drop("_most")
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n random rows, the same in every run; the rows keep their order by key."""
     return df.orderBy(rng.digest(seed, F.col(key)), key).limit(n)

@@ -266,4 +266,10 @@ def subspace(samples: DataFrame, s: Settings) -> Run:
     return Run(settle(_history(parts), "subspace-history"), state, snapshots)
 
 
+def replay(snapshots: dict[int, DataFrame], cache: DataFrame, metric: str = "cos") -> DataFrame:
+    """Macro accuracy of every branch on stored states, without training: round, metric, value."""
+    test = cache.where("split = 'test'")
+    return _history([_metric(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"}) for r, state in snapshots.items() for name, seen in branch_predictions(test, state, metric).items()])
+
+
 METHODS = {"averaging": averaging, "feedback": feedback, "subspace": subspace}

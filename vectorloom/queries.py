@@ -885,6 +885,18 @@ def effective_rank(spark, sf):
     return own.groupBy("client").agg(r6(F.max("effective_rank")).alias("effective_rank"))
 
 
+@query()
+def principal_angles(spark, sf):
+    own = bases.per_client(pr.class_means(vectors(spark, sf), ["client", "y"]), "client", "w", 3)
+    return bases.client_angles(own).select("i", "j", F.round("degrees", 4).alias("degrees"))
+
+
+@query(f"SELECT client, quota AS kept FROM ({ORACLE['budget_allocation']})")
+def capped_total(spark, sf):
+    rows = prep.cap_total(items(spark, sf), "client", "y", "sample", 5000, 20000, SEED)
+    return rows.groupBy("client").agg(F.count("*").alias("kept"))
+
+
 @query(f"WITH {M}, q AS (SELECT sample, client, y, d, v FROM l) SELECT sample, CAST(d // 8 AS INT) AS part, round(sum(v * v), 6) + 0.0 AS energy, round(sum(sum(v * v)) OVER (PARTITION BY sample), 6) + 0.0 AS total FROM q GROUP BY sample, d // 8")
 def query_cache(spark, sf):
     eye = np.eye(64)

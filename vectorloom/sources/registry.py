@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def seeded(spec: Spec, seed: int) -> Spec:
     return replace(spec, seed=seed)
 
 
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table read from ``path``, made and written there first if it isn't there yet.
+
+    Callers put all that the table depends on into the path.
+    """
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def load(spark: SparkSession, spec: Spec) -> DataFrame:
     """Samples of a dataset, split, filtered, capped and normalised: client, split, sample, y, x."""
     if spec.source not in SOURCES:
