@@ -14,7 +14,7 @@ OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows of 8-byte ids up to which a set of them is broadcast; beyond, a shuffle join is used.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text that a task turns into numpy arrays at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Regular expressions of white space and of words, alike in Java, RE2 and Python.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"

@@ -4,11 +4,15 @@ All n-grams have one global order: the ones that a sample of documents shows to
 be frequent come last, the others by hash.  That order is cut into fragments.
 
 Two documents of similarity t or more share an n-gram among the first
-(1 - t) n + 1 of either.  Those prefixes are cut into fragments too; each
-fragment finds the documents that share an n-gram and files them under one of
-them, the hub.  Documents under a hub are compared block by block: a fragment of
-the order at a time gives the partial overlaps of all pairs of two blocks, and
-the partial overlaps are summed per pair.  Only links leave a task.
+(1 - t) n + 1 of either, and in general so many that their sizes say how many.
+Those prefixes are cut into fragments.  A fragment counts, for every pair that
+shares an n-gram of few documents, the partial overlap; the partial overlaps are
+summed per pair, and pairs that can't be similar go.  Documents that share an
+n-gram of many documents are filed under one of them, the hub, instead.
+
+Documents that pairs connect, and documents under a hub, are then compared on their whole sets, block by
+block: a fragment of the order at a time gives the partial overlaps of all pairs
+of two blocks, and these are summed per pair.  Only links leave a task.
 """
 
 from __future__ import annotations
@@ -26,9 +30,11 @@ from vectorloom.llm.common import chunks, materialise, semi
 from vectorloom.llm.components import connect
 
 #: Bytes of text whose prefix n-grams make up one fragment.
-FRAGMENT_BYTES = 32 << 20
+FRAGMENT_BYTES = 8 << 20
 #: Documents of a block; more documents under a hub are compared block by block.
 BLOCK = 256
+#: Documents of an n-gram up to which its pairs are looked at one by one for size and place.
+PAIRED = 64
 #: n-grams of the order in one fragment of an overlap count.
 STRIP = 4096
 #: Documents sampled to see which n-grams are frequent, and sightings that make one so.
@@ -57,8 +63,12 @@ def node_of(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(one * np.uint64(3) + n).view(np.int64), mix(two ^ n).view(np.int64)
 
 
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
 def prefix(sets: np.ndarray, first: np.ndarray, frequent: Frequent, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the n-grams in each set's prefix under the global order, and their rows."""
+    """Indices of the n-grams in each set's prefix under the global order, and their rows."""
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     rank = np.zeros(len(sets), dtype=np.int64)
@@ -66,11 +76,44 @@ def prefix(sets: np.ndarray, first: np.ndarray, frequent: Frequent, similarity:
         at = np.minimum(np.searchsorted(frequent.gram, sets), len(frequent.gram) - 1)
         rank = np.where(frequent.gram[at] == sets, frequent.rank[at], 0)
     order = np.lexsort((sets, rank, row)) if rank.any() else np.arange(len(sets))
-    take = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-    picked = order[(np.arange(len(sets)) - first[row]) < take[row]]
+    picked = order[(np.arange(len(sets)) - first[row]) < prefix_size(n, similarity)[row]]
     return picked, row[picked]
 
 
+def near_pairs(gram: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of nodes that share n-grams here and are near enough in size.
+
+    Rows come sorted by n-gram and node.  Returns columns of node, node, shared
+    n-grams, and both sizes (one in the upper half of a number).
+    """
+    found = [np.zeros((3, 0), np.int64)]
+    for step in range(1, len(gram)):
+        i = np.flatnonzero(gram[step:] == gram[:-step])
+        if not len(i):
+            break
+        j = i + step
+        ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        found.append(np.stack([node[i[ok]], node[j[ok]], n[i[ok]] << 32 | n[j[ok]]]))
+    a, b, sizes = np.hstack(found)
+    order = np.lexsort((b, a))
+    a, b, sizes = a[order], b[order], sizes[order]
+    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return np.stack([a[start], b[start], np.diff(np.append(start, len(a))), sizes[start]])
+
+
+def enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose partial overlaps in the prefixes, summed over fragments, may belong to similar sets.
+
+    Two similar sets share ``common`` n-grams or more; all but size - common of a
+    prefix are among them, and the first of these stand in both prefixes.
+    """
+    summed = pairs.groupBy("a", "b").agg(F.sum("c").alias("shared"), F.first("d").alias("d"))
+    m, n = F.shiftright("d", 32), F.col("d").bitwiseAND(F.lit(0xFFFFFFFF))
+    common = F.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
+    spare = lambda k: F.lit(1) - F.ceil(similarity * k - 1e-9) + common  # noqa: E731  prefix size - (k - common)
+    return summed.where(F.col("shared") >= F.least(spare(m), spare(n))).select("a", "b")
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every left set with every right set.
 
@@ -174,7 +217,7 @@ _ROWS = "kind int, a bigint, b bigint, c bigint, d bigint"
 
 
 def _prefixes(texts: DataFrame, frequent: Frequent, fragments: int, size: int, similarity: float) -> DataFrame:
-    """Documents (kind 0: id, node, check, size) and their filing under hubs (kind 1: hub, node)."""
+    """Documents (kind 0: id, node, check, size), filings (1: hub, node, size) and pairs (3: node, node, shared, sizes)."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)  # at most SAMPLE_GRAMS n-grams
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +227,7 @@ def _prefixes(texts: DataFrame, frequent: Frequent, fragments: int, size: int, s
                 sets, first = _sets(part, size)
                 node, check = node_of(sets, first)
                 at, row = prefix(sets, first, freq, similarity)
-                gram, owner = sets[at], node[row]
+                gram, owner, count = sets[at], node[row], np.diff(first)[row]
                 frag = (gram >> np.uint64(32)).astype(np.int64) * fragments >> 32
                 kind = np.ones(len(gram), dtype=np.int8)
                 if len(freq.gram):
@@ -193,18 +236,20 @@ def _prefixes(texts: DataFrame, frequent: Frequent, fragments: int, size: int, s
                     kind[known] = 2  # filed at once, under the hub that the sample gave
                     gram = np.where(known, freq.hub[i].view(np.uint64), gram)
                     frag = np.where(known, (owner.view(np.uint64) >> np.uint64(32)).astype(np.int64) * fragments >> 32, frag)
-                keep = np.unique(np.stack([frag, kind, gram.view(np.int64), owner]), axis=1) if (kind == 2).any() else None
-                if keep is not None:
-                    frag, kind, gram, owner = keep[0], keep[1].astype(np.int8), keep[2].view(np.uint64), keep[3]
+                    order = np.lexsort((owner, gram))
+                    again = np.zeros(len(gram), dtype=bool)
+                    again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+                    keep = ~(again & (kind == 2))
+                    frag, kind, gram, owner, count = frag[keep], kind[keep], gram[keep], owner[keep], count[keep]
                 order = np.lexsort((kind, frag))
-                frag, kind, gram, owner = frag[order], kind[order], gram[order], owner[order]
+                frag, kind, gram, owner, count = frag[order], kind[order], gram[order], owner[order], count[order]
                 code = frag * 4 + kind
                 cuts = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]]) if len(code) else np.zeros(1, np.int64)
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
                 info = np.stack([part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), node, check, np.diff(first)])
                 home = int(info[1, 0] & 0x7FFFFFFF) % fragments
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([home, *(int(frag[a]) for a, _ in spans)], pa.int32()), pa.array([0, *(int(kind[a]) for a, _ in spans)], pa.int32()), pa.array([info.tobytes(), *(np.stack([gram[a:b].view(np.int64), owner[a:b]]).tobytes() for a, b in spans)], pa.binary())],
+                    [pa.array([home, *(int(frag[a]) for a, _ in spans)], pa.int32()), pa.array([0, *(int(kind[a]) for a, _ in spans)], pa.int32()), pa.array([info.tobytes(), *(np.stack([gram[a:b].view(np.int64), owner[a:b], count[a:b]]).tobytes() for a, b in spans)], pa.binary())],
                     ["frag", "kind", "data"],
                 )
 
@@ -214,27 +259,34 @@ def _prefixes(texts: DataFrame, frequent: Frequent, fragments: int, size: int, s
         out = []
         if info := read(0, 4):
             out.append(np.vstack([np.zeros((1, sum(x.shape[1] for x in info)), np.int64), np.hstack(info)]))
-        filed = read(2, 2)
-        if posts := read(1, 2):
-            gram, node = np.hstack(posts)
+        filed = read(2, 3)
+        if posts := read(1, 3):
+            gram, node, n = np.hstack(posts)
             order = np.lexsort((node, gram))
-            gram, node = gram[order], node[order]
+            gram, node, n = gram[order], node[order], n[order]
             new = np.ones(len(gram), dtype=bool)
             new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])  # copies are one
-            gram, node = gram[new], node[new]
+            gram, node, n = gram[new], node[new], n[new]
             start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
             count = np.diff(np.append(start, len(gram)))
-            hub = np.repeat(node[start], count)  # the smallest node of the n-gram
-            many = np.repeat(count > 1, count)
-            filed.append(np.stack([hub[many], node[many]]))
+            hub, count = np.repeat(node[start], count), np.repeat(count, count)  # the smallest node of the n-gram
+            filed.append(np.stack([hub, node, n])[:, count > PAIRED])
+            few = (count > 1) & (count <= PAIRED)
+            pairs = near_pairs(gram[few], node[few], n[few], similarity)
+            out.append(np.vstack([np.full((1, pairs.shape[1]), 3), pairs]))
         if filed:
-            pairs = np.unique(np.hstack(filed), axis=1)
-            blank = np.zeros((1, pairs.shape[1]), np.int64)
-            out.append(np.vstack([blank + 1, pairs, blank, blank]))
+            places = np.hstack(filed)
+            order = np.lexsort((places[1], places[0]))
+            places = places[:, order]
+            new = np.ones(places.shape[1], dtype=bool)
+            new[1:] = (places[:2, 1:] != places[:2, :-1]).any(axis=0)
+            places = places[:, new]
+            blank = np.zeros((1, places.shape[1]), np.int64)
+            out.append(np.vstack([blank + 1, places, blank]))
         whole = np.hstack(out) if out else np.zeros((5, 0), np.int64)
         return pa.table([pa.array(whole[0].astype(np.int32)), *(pa.array(whole[i]) for i in range(1, 5))], names=["kind", "a", "b", "c", "d"])
 
-    return texts.mapInArrow(cut, "frag int, kind int, data binary").groupBy("frag").applyInArrow(gather, _ROWS)
+    return texts.mapInArrow(cut, "frag int, kind int, data binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(gather, _ROWS)
 
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -258,8 +310,12 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.75) -> DataFra
     frequent = frequent_grams(texts.where(F.col("text").isNotNull()).select("text"), total, size, similarity)
     rows = materialise(_prefixes(texts, frequent, fragments, size, similarity), "jaccard-rows")
     info = rows.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("d").alias("n"))
-    filed = rows.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
-    filed = filed.unionByName(filed.select("hub", F.col("hub").alias("node")).distinct()).distinct()
+    pairs = enough(rows.where("kind = 3").select("a", "b", "c", "d"), similarity)
+    linked = connect(pairs)  # one filing per node for all its pairs
+    grouped = linked.select(F.col("root").alias("hub"), "node").unionByName(linked.select(F.col("root").alias("hub"), F.col("root").alias("node")))
+    band = F.floor(F.ln(F.col("c").cast("double")) / float(-np.log(similarity)))  # similar sets lie in one band of sizes or in neighbours
+    banded = rows.where("kind = 1").select("a", F.col("b").alias("node"), F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("a", "band").alias("hub"), "node")
+    filed = banded.unionByName(grouped).distinct()
     edges = materialise(_links(texts, info, filed, size, similarity), "jaccard-links")
     roots = connect(edges)
     rooted = info.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -272,7 +328,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.75) -> DataFra
 def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links that connect all that similar nodes under common hubs connect: a, b."""
     filed = materialise(filed, "jaccard-filed")
-    nodes = filed.select("node").distinct()
+    sizes = filed.groupBy("hub").agg(F.count("*").alias("g"), F.min("node").alias("centre")).where("g > 1")
+    sized = materialise(filed.join(sizes, "hub"), "jaccard-sized")
+    nodes = sized.select("node").distinct()
     keepers = materialise(nodes.join(info.groupBy("node").agg(F.min("id").alias("id")), "node"), "jaccard-nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +342,9 @@ def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, simil
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cells, pa.binary())], ["node", "grams"])
 
     found = semi(texts, keepers.select("id").distinct(), "id").mapInArrow(sets, "node bigint, grams binary")
-    held = materialise(found.join(keepers.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-    sizes = filed.groupBy("hub").agg(F.count("*").alias("g"))
-    bucket = filed.join(sizes, "hub").join(held, "node")
-    n_small = max(1, filed.count() // 4000)
-    small = bucket.where(F.col("g") <= BLOCK).withColumns({"task": F.pmod(F.xxhash64("hub"), F.lit(n_small)), "side": F.lit(2)})
+    held = materialise(semi(found, keepers.select("node"), "node"), "jaccard-sets")
+    n_small = max(1, sized.count() // 4000)
+    small = sized.where(F.col("g") <= BLOCK).join(held, "node").withColumns({"task": F.pmod(F.xxhash64("hub"), F.lit(n_small)), "side": F.lit(2)})
 
     def read(cell: bytes) -> np.ndarray:
         return np.frombuffer(cell, np.uint64)
@@ -311,9 +367,10 @@ def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, simil
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     linked = small.select("task", "hub", "node", "grams", "side").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
-    large = bucket.where(F.col("g") > BLOCK)
-    if large.limit(1).count() == 0:
+    crowded = sized.where(F.col("g") > BLOCK)
+    if crowded.limit(1).count() == 0:
         return linked
+    large = crowded.join(held, "node")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,15 +379,15 @@ def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, simil
                 x, y = read(h), read(g)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hub", "node", "g", "grams")), pa.array(near, pa.bool_())], ["hub", "node", "g", "grams", "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hub", "node", "g", "centre", "grams")), pa.array(near, pa.bool_())], ["hub", "node", "g", "centre", "grams", "near"])
 
-    centres = held.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams"))
-    stars = materialise(large.join(centres, "hub").select("hub", "node", "g", "grams", "hub_grams").mapInArrow(star, "hub bigint, node bigint, g bigint, grams binary, near boolean"), "jaccard-stars")
+    centres = held.select(F.col("node").alias("centre"), F.col("grams").alias("hub_grams"))
+    stars = materialise(large.join(centres, "centre").select("hub", "node", "g", "centre", "grams", "hub_grams").mapInArrow(star, "hub bigint, node bigint, g bigint, centre bigint, grams binary, near boolean"), "jaccard-stars")
     far = stars.where(~F.col("near")).groupBy("hub").agg(F.count("*").alias("f"))
-    # those near the hub are one class; the others meet everyone under the hub, block by block
+    # those near the centre are one class; the others meet everyone under the hub, block by block
     rest = stars.join(far, "hub").withColumns({"nf": F.ceil(F.col("f") / BLOCK).cast("int"), "na": F.ceil(F.col("g") / BLOCK).cast("int")})
     turn = F.xxhash64("node")
     left = rest.where(~F.col("near")).select("hub", "node", "grams", F.pmod(turn, F.col("nf")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(0).alias("side"))
     right = rest.select("hub", "node", "grams", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("i"), F.pmod(turn, F.col("na")).cast("int").alias("j"), F.lit(1).alias("side"))
     blocks = left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-    return linked.unionByName(blocks).unionByName(stars.where("near and hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    return linked.unionByName(blocks).unionByName(stars.where("near and centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
