@@ -9,7 +9,8 @@ side by side share one and a digit is sent once for all of them.  A digit that
 occurs once ends the matter for its suffixes.
 
 Second digit.  The whole stretch of text under all windows of that digit.  Equal
-stretches repeat as a whole, and one of them goes on for the others.
+stretches repeat as a whole, and one of them goes on for the others.  Stretches
+that are equal inside one batch are combined before anything is sent.
 
 Last digit.  Only where stretches differ, the windows themselves.
 """
@@ -31,12 +32,13 @@ from vectorloom.llm.common import chunks, materialise, semi
 #: Bytes of a gram of the first digit.
 GRAM = 64
 #: Bytes of text whose digits make up one fragment.
-FRAGMENT_BYTES = 24 << 20
+FRAGMENT_BYTES = 12 << 20
 #: Places that a text may have before its digits are taken piece by piece.
 PIECE = 1 << 20
 
 _PLACE_BITS = np.uint64(21)
-_FIRST = np.dtype([("digit", "<u8"), ("stretch", "<u8"), ("row", "<i8"), ("start", "<i4"), ("span", "u1"), ("back", "u1")])
+_FIRST = np.dtype([("digit", "<u8"), ("stretch", "<u8"), ("row", "<i8"), ("start", "<i4"), ("span", "u1"), ("back", "u1"), ("many", "u1")])
+_DONE = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _STRETCH = np.dtype([("start", "<i4"), ("span", "u1"), ("back", "u1"), ("open", "u1")])
 _RUN = np.dtype([("start", "<i4"), ("end", "<i4")])
 
@@ -74,23 +76,78 @@ def first_digits(data: np.ndarray, row: int, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _FIRST)
 
 
-def _fragments(records: np.ndarray, fragments: int) -> pa.RecordBatch:
-    """Cuts records by the top bits of their first digit, one row per fragment."""
-    frag = (records["digit"] >> np.uint64(32)).astype(np.int64) * fragments >> 32
-    order = np.argsort(frag, kind="stable")
-    records, frag = records[order], frag[order]
-    cuts = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1, [len(frag)]]) if len(frag) else np.zeros(1, np.int64)
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([int(frag[a]) for a, _ in spans], pa.int32()), pa.array([records[a:b].tobytes() for a, b in spans], pa.binary())], ["frag", "data"])
+def combine(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Combines equal stretches before they are sent: what to send, and runs known to repeat.
+
+    Stretches that occur twice or more among the records repeat whatever others
+    hold; one of them is sent, marked, for the others.  Their windows become runs
+    of records _DONE, joined where they touch, so repetitive text stays small and
+    no digit of it crowds a fragment.
+    """
+    r = r[np.lexsort((r["start"], r["row"], r["stretch"], r["digit"]))]
+    new = np.ones(len(r), dtype=bool)
+    new[1:] = (r["stretch"][1:] != r["stretch"][:-1]) | (r["digit"][1:] != r["digit"][:-1])
+    size = np.bincount(np.cumsum(new) - 1, minlength=0)
+    many = np.repeat(size > 1, size) if len(r) else np.zeros(0, bool)
+    send = r[new]
+    send["many"] = many[new]
+    return send, _runs(r[many]["row"], r[many]["start"].astype(np.int64), r[many]["start"].astype(np.int64) + r[many]["span"])
+
+
+def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs of windows of each row, joined where they touch."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1] + 1)
+    at = np.flatnonzero(new)
+    out = np.zeros(len(at), _DONE)
+    out["row"], out["start"] = row[at], start[at]
+    if len(at):
+        out["end"] = np.maximum.reduceat(end, at)
+    return out
+
+
+def fragment_of(digit: np.ndarray, fragments: int) -> np.ndarray:
+    """Fragments of digits; they are least hashes, so they are mixed again to spread evenly."""
+    return (mix(digit) >> np.uint64(32)).astype(np.int64) * fragments >> 32
 
 
-def _by_row(rows: np.ndarray, cells: np.ndarray) -> pa.Table:
+def _fragments(records: np.ndarray, done: np.ndarray, fragments: int) -> pa.RecordBatch:
+    """Cuts records by their first digit, one row per fragment; runs go by their text."""
+    frags, kinds, data = [], [], []
+    for kind, part, frag in ((0, records, fragment_of(records["digit"], fragments)), (1, done, done["row"] % fragments)):
+        order = np.argsort(frag, kind="stable")
+        part, frag = part[order], frag[order]
+        cuts = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1, [len(frag)]]) if len(frag) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            frags.append(int(frag[a]))
+            kinds.append(kind)
+            data.append(part[a:b].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(frags, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["frag", "kind", "data"])
+
+
+def _by_row(rows: np.ndarray, cells: np.ndarray) -> list[tuple[int, bytes]]:
     """Cells of records grouped by the text they belong to."""
     order = np.argsort(rows, kind="stable")
     rows, cells = rows[order], cells[order]
     cuts = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1, [len(rows)]]) if len(rows) else np.zeros(1, np.int64)
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return pa.table({"row": pa.array([int(rows[a]) for a, _ in spans], pa.int64()), "cells": pa.array([cells[a:b].tobytes() for a, b in spans], pa.binary())})
+    return [(int(rows[a]), cells[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _table(cells: list[tuple[int, bytes]], runs: list[tuple[int, bytes]]) -> pa.Table:
+    n, m = len(cells), len(runs)
+    return pa.table({
+        "row": pa.array([r for r, _ in cells] + [r for r, _ in runs], pa.int64()),
+        "cells": pa.array([c for _, c in cells] + [None] * m, pa.binary()),
+        "runs": pa.array([None] * n + [c for _, c in runs], pa.binary()),
+    })
+
+
+def _run_cells(done: np.ndarray) -> list[tuple[int, bytes]]:
+    runs = np.zeros(len(done), _RUN)
+    runs["start"], runs["end"] = done["start"], done["end"]
+    return _by_row(done["row"], runs)
 
 
 def split_digits(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +161,12 @@ def split_digits(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(r), dtype=bool)
     new[1:] = r["digit"][1:] != r["digit"][:-1]
     group = np.cumsum(new) - 1
-    size = np.bincount(group, minlength=0)
+    size = np.bincount(group, weights=1.0 + r["many"])
     r, group = r[size[group] > 1], group[size[group] > 1]
     fresh = np.ones(len(r), dtype=bool)
     fresh[1:] = (r["stretch"][1:] != r["stretch"][:-1]) | (group[1:] != group[:-1])
     kind = np.cumsum(fresh) - 1
-    copies = np.bincount(kind, minlength=0)[kind] if len(r) else np.zeros(0, np.int64)
+    copies = np.bincount(kind, weights=1.0 + r["many"])[kind] if len(r) else np.zeros(0)
     lone = copies == 1
     looked = np.zeros(int(group.max(initial=-1)) + 1, dtype=bool)
     looked[group[lone]] = True
@@ -153,32 +210,38 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[np.ndarray] = []
             for part in chunks(batch, "text"):
                 data, at = buffers(part.column("text"))
                 own = part.column("row").to_pylist()
-                yield _fragments(np.concatenate([first_digits(data[a:b], r, width) for r, a, b in zip(own, at[:-1], at[1:], strict=True)]), fragments)
+                found += [first_digits(data[a:b], r, width) for r, a, b in zip(own, at[:-1], at[1:], strict=True)]
+            if found:
+                yield _fragments(*combine(np.concatenate(found)), fragments)
 
     def split(table: pa.Table) -> pa.Table:
-        r, state = split_digits(np.concatenate([np.frombuffer(c, _FIRST) for c in table.column("data").to_pylist()]))
+        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+        read = lambda kind, dtype: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(c, dtype) for k, c in zip(kinds, data, strict=True) if k == kind)])
+        r, state = split_digits(read(0, _FIRST))
         cells = np.zeros(len(r), _STRETCH)
         cells["start"], cells["span"], cells["back"], cells["open"] = r["start"], r["span"], r["back"], state
-        return _by_row(r["row"], cells)
+        whole = r[(state != 1) & (r["many"] == 0)]
+        runs = _runs(whole["row"], whole["start"].astype(np.int64), whole["start"].astype(np.int64) + whole["span"])
+        return _table(_by_row(r["row"][state > 0], cells[state > 0]), _run_cells(np.concatenate([read(1, _DONE), runs])))
 
-    cut = long.mapInArrow(digits, "frag int, data binary").groupBy("frag").applyInArrow(split, "row bigint, cells binary")
-    stretches = materialise(cut.groupBy("row").agg(F.collect_list("cells").alias("cells")), "repeats-stretches")
+    cut = long.mapInArrow(digits, "frag int, kind int, data binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(split, "row bigint, cells binary, runs binary")
+    stretches = materialise(cut.groupBy("row").agg(F.collect_list("cells").alias("cells"), F.collect_list("runs").alias("runs")), "repeats-stretches")
 
     # the last digit: only texts with open stretches
     def open_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, cells = [], []
             for r, parts in zip(batch.column("row").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                c = np.frombuffer(b"".join(parts), _STRETCH)
-                if (c := c[c["open"] > 0]).size:
+                if parts:
                     own.append(r)
-                    cells.append(c.tobytes())
+                    cells.append(b"".join(parts))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(cells, pa.binary())], ["row", "cells"])
 
-    opened = materialise(stretches.mapInArrow(open_only, "row bigint, cells binary"), "repeats-open")
+    opened = materialise(stretches.select("row", "cells").mapInArrow(open_only, "row bigint, cells binary"), "repeats-open")
     within = semi(long, opened.select("row"), "row").dropDuplicates(["row"]).join(opened, "row")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +257,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
                     start = np.repeat(c["start"].astype(np.int64) - lead, n) + np.arange(n.sum())
                     h = whole.slices(start, start + width)
                     gram = c["start"].astype(np.int64) + c["back"]
-                    frag = (whole.slices(gram, gram + GRAM) >> np.uint64(32)).astype(np.int64) * fragments >> 32
+                    frag = fragment_of(whole.slices(gram, gram + GRAM), fragments)
                     head = np.zeros(len(c), _HEAD)
                     head["row"], head["start"], head["n"], head["open"] = r, c["start"], n, c["open"]
                     for i, (f, z, k) in enumerate(zip(frag.tolist(), lead.tolist(), n.tolist(), strict=True)):
@@ -212,7 +275,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
                 hashes.append(np.frombuffer(cell, np.uint64, int(head["n"]), at))
                 at += 8 * int(head["n"])
         if not heads:
-            return _by_row(np.zeros(0, np.int64), np.zeros(0, _RUN))
+            return pa.table({"row": pa.array([], pa.int64()), "more": pa.array([], pa.binary())})
         head, h = np.array(heads, _HEAD), np.concatenate(hashes)
         n = head["n"].astype(np.int64)
         owner = np.repeat(np.arange(len(head)), n)
@@ -223,31 +286,23 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
         same[order[1:]] |= s[1:] == s[:-1]
         same[order[:-1]] |= s[1:] == s[:-1]
         hit = np.flatnonzero(same & (head["open"] == 1)[owner])
-        if not len(hit):
-            return _by_row(np.zeros(0, np.int64), np.zeros(0, _RUN))
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner[hit]) != 0)) + 1, [len(hit)]])
-        runs = np.zeros(len(cuts) - 1, _RUN)
-        runs["start"], runs["end"] = start[hit[cuts[:-1]]], start[hit[cuts[1:] - 1]]
-        return _by_row(head["row"][owner[hit[cuts[:-1]]]], runs)
+        pieces = _run_cells(_runs(head["row"][owner[hit]], start[hit], start[hit]))
+        return pa.table({"row": pa.array([r for r, _ in pieces], pa.int64()), "more": pa.array([c for _, c in pieces], pa.binary())})
 
-    last = within.mapInArrow(windows, "frag int, data binary").groupBy("frag").applyInArrow(settle, "row bigint, cells binary")
-    runs = last.groupBy("row").agg(F.collect_list("cells").alias("runs"))
+    last = within.mapInArrow(windows, "frag int, data binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(settle, "row bigint, more binary")
+    later = last.groupBy("row").agg(F.collect_list("more").alias("more"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, out = [], []
-            for r, cells, more in zip(*(batch.column(c).to_pylist() for c in ("row", "cells", "runs")), strict=True):
-                c = np.frombuffer(b"".join(cells), _STRETCH)
-                c = c[c["open"] != 1]
-                whole = np.zeros(len(c), _RUN)
-                whole["start"], whole["end"] = c["start"], c["start"] + c["span"]
-                spans = cover(np.concatenate([whole, np.frombuffer(b"".join(more or []), _RUN)]), width)
+            for r, runs, more in zip(*(batch.column(c).to_pylist() for c in ("row", "runs", "more")), strict=True):
+                spans = cover(np.frombuffer(b"".join([*runs, *(more or [])]), _RUN), width)
                 if len(spans):
                     own.append(r)
                     out.append(spans.astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(out, pa.binary())], ["row", "removed"])
 
-    removed = materialise(stretches.join(runs, "row", "left").mapInArrow(merge, "row bigint, removed binary"), "repeats-removed")
+    removed = materialise(stretches.select("row", "runs").join(later, "row", "left").mapInArrow(merge, "row bigint, removed binary"), "repeats-removed")
     touched = semi(rows, removed.select("row"), "row").join(removed, "row")
     clean = semi(rows, removed.select("row"), "row", "left_anti")
 
