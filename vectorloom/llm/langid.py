@@ -185,8 +185,9 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best label of each word given scores words x labels and a cost per change.
 
     Staying with the best single label is optimal if no other label gains more
-    than the penalty over it in any run of words, which prefix sums show; only
-    else is the path traced word by word.
+    than half the penalty over it in any run of words (a path of k runs in other
+    labels pays for k - 1 changes at least), which prefix sums show; only else is
+    the path traced word by word.
     """
     n, k = s.shape
     sums = s.sum(axis=0, dtype=np.float64)
@@ -194,7 +195,7 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
     floor = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
     lowest = np.vstack([np.zeros((1, k)), floor[:-1]])
-    if (gain - lowest).max(initial=0.0) <= penalty:
+    if (gain - lowest).max(initial=0.0) <= penalty / 2:
         return np.full(n, best, dtype=np.int64)
     rows = s.tolist()
     score, came = rows[0], []
