@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bytehash import buffers, mix, shingles, words
-from vectorloom.llm.common import chunks, materialise, semi
+from vectorloom.llm.common import BROADCAST_IDS, chunks, materialise, semi
 from vectorloom.llm.components import connect
 
 #: Bytes of text whose prefix n-grams make up one fragment.
@@ -228,7 +228,7 @@ def _prefixes(texts: DataFrame, frequent: Frequent, fragments: int, size: int, s
                 node, check = node_of(sets, first)
                 at, row = prefix(sets, first, freq, similarity)
                 gram, owner, count = sets[at], node[row], np.diff(first)[row]
-                frag = (gram >> np.uint64(32)).astype(np.int64) * fragments >> 32
+                frag = (mix(gram) >> np.uint64(32)).astype(np.int64) * fragments >> 32  # prefixes hold low hashes, which are spread again
                 kind = np.ones(len(gram), dtype=np.int8)
                 if len(freq.gram):
                     i = np.minimum(np.searchsorted(freq.gram, gram), len(freq.gram) - 1)
@@ -343,8 +343,10 @@ def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, simil
 
     found = semi(texts, keepers.select("id").distinct(), "id").mapInArrow(sets, "node bigint, grams binary")
     held = materialise(semi(found, keepers.select("node"), "node"), "jaccard-sets")
-    n_small = max(1, sized.count() // 4000)
-    small = sized.where(F.col("g") <= BLOCK).join(held, "node").withColumns({"task": F.pmod(F.xxhash64("hub"), F.lit(n_small)), "side": F.lit(2)})
+    filings = sized.count()
+    n_small = max(1, filings // 4000)
+    sent = F.broadcast if filings <= BROADCAST_IDS // 4 else (lambda df: df)  # filings are four numbers each
+    small = held.join(sent(sized.where(F.col("g") <= BLOCK)), "node").withColumns({"task": F.pmod(F.xxhash64("hub"), F.lit(n_small)), "side": F.lit(2)})
 
     def read(cell: bytes) -> np.ndarray:
         return np.frombuffer(cell, np.uint64)
@@ -370,7 +372,7 @@ def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, simil
     crowded = sized.where(F.col("g") > BLOCK)
     if crowded.limit(1).count() == 0:
         return linked
-    large = crowded.join(held, "node")
+    large = held.join(sent(crowded), "node")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
