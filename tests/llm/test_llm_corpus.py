@@ -337,3 +337,20 @@ def test_pipeline_keeps_odd_rows_from_failing(spark):
         held = stage(spark, held, DATA)
         held = spark.createDataFrame(held.collect(), held.schema)
     assert held.count() > 0
+
+
+def test_rows_are_told_apart_by_more_than_their_id(spark):
+    draw = np.random.default_rng(21)
+    a, b, c, d = (sentences(draw, 80, 5000) for _ in range(4))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    kept = lambda stage, rows: Counter((r.doc_id, r.text) for r in stage(spark, frame(rows), DATA).collect())
+    # a null id in a group of copies; an id on the root of one group and on a copy in another; an id on two texts
+    rows = [(None, a), (4, a), (9, a), (7, b), (8, b), (3, c), (7, c), (5, d), (5, sentences(draw, 60, 5000)), (None, "alone it stands"), (None, "twice here"), (None, "twice here")]
+    assert kept(corpus_pipeline.near_duplicates, rows) == Counter([(4, a), (7, b), (3, c), (5, d), rows[8], rows[9], rows[10]])
+    leak = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, f"{a} {leak} {b}"), (None, c), (2, f"{c} {leak} {d}"), (2, b)]
+    assert kept(corpus_pipeline.decontamination, rows) == Counter([(None, c), (2, b)])
+    rows = [(i % 2 or None, sentences(draw, 3 + i % 9)) for i in range(90)]
+    taken = sum(len(t.split()) * n for (_, t), n in kept(lambda s, x, y: corpus_pipeline.source_mix(s, x.withColumn("source", F.when(F.col("n_chars") % 2 == 0, "e").otherwise("o")), y), rows).items())
+    assert abs(taken - 1.5 * sum(len(t.split()) for _, t in rows)) <= 2

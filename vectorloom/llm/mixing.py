@@ -100,7 +100,7 @@ def _plan(cells: pd.DataFrame) -> pd.DataFrame:
     return cells[["source", "size", "n", "source_size", "target"]].assign(copies=copies, extra=fit(lengths, counts, budget))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: list[str] | None = None) -> DataFrame:
     """Chooses how often every document is taken: doc_id, source, size, source_size, target, copies, taken.
 
     Documents are counted by (source, size); each source's counts are fitted to
@@ -113,8 +113,10 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), s
     Null texts have size 0; a null source is a source of its own, last in order.
     Repeated rows count as often as they stand; which of two equal rows is taken
     makes no difference to the result.  An empty table gives an empty result.
+    ``carry`` names columns, such as a key of the row, to put after the result.
     """
-    fields = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    carried = carry or []
+    fields = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *carried)
     sized = materialise(fields.withColumn("_h", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
     cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -131,8 +133,9 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = (3, 1, 2), s
     before = Window.partitionBy("source", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     salts = salts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_salt").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = some.join(salts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_salt") == F.col("_t"))).drop("_s", "_z", "_t")
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h", "doc_id")) + F.col("_before")
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_h", "doc_id", *carried)) + F.col("_before")
     chosen = ranked.withColumn("copies", F.col("copies") + (rank <= F.col("extra")).cast("int"))
     whole = joined.where((F.col("extra") == 0) | (F.col("extra") == F.col("n"))).withColumn("copies", F.col("copies") + (F.col("extra") > 0).cast("int"))
     columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
-    return whole.select(*columns).unionByName(chosen.select(*columns)).withColumn("taken", F.col("copies") * F.col("size"))
+    both = whole.select(*columns, *carried).unionByName(chosen.select(*columns, *carried))
+    return both.select(*columns, (F.col("copies") * F.col("size")).alias("taken"), *carried)
