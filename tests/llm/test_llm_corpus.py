@@ -354,3 +354,20 @@ def test_rows_are_told_apart_by_more_than_their_id(spark):
     rows = [(i % 2 or None, sentences(draw, 3 + i % 9)) for i in range(90)]
     taken = sum(len(t.split()) * n for (_, t), n in kept(lambda s, x, y: corpus_pipeline.source_mix(s, x.withColumn("source", F.when(F.col("n_chars") % 2 == 0, "e").otherwise("o")), y), rows).items())
     assert abs(taken - 1.5 * sum(len(t.split()) for _, t in rows)) <= 2
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    foreign = [
+        "第二天早上孩子们和母亲一起去市场买新鲜的面包 还有红苹果",
+        "เช้าวันรุ่งขึ้น เด็กๆ ไปตลาดกับแม่",
+        "На следующее утро дети пошли с матерью на рынок",
+        "ＴＨＥ ｎｅｘｔ ｍｏｒｎｉｎｇ",
+        "Asubuhi iliyofuata watoto walienda sokoni na mama yao kununua mkate safi na matofaa mekundu",
+        "Následující ráno šly děti s matkou na trh koupit čerstvý chléb a několik červených jablek",
+        "qzx vbnmq wxkjh zzqpw gfdsx jklqz mnbvc xqzwj kkqxz pqwzx",
+    ]
+    added = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added), DATA).select("doc_id").collect()}
+    assert not {i for i in left if i < 0}
+    assert len(left) >= 0.97 * docs.where(F.col("text").rlike("[A-Za-z]")).count()

@@ -28,6 +28,8 @@ FLOOR = -9.0
 #: Log score that a change of language costs.
 PENALTY = 8.0
 UNDETERMINED = "und"
+#: A language's least likelihood is so many deviations below the mean of held-out texts; a deviation is LEAST_SPREAD or more.
+DEVIATIONS, LEAST_SPREAD = 8.0, 0.25
 
 # First code point of ranges and the script that starts there.
 SCRIPTS = (
@@ -114,6 +116,15 @@ def lexicon(texts: pa.Array) -> Lexicon:
     return Lexicon(w.row, w.first, which, count[w.end] - count[w.start], scripts, grams, gram_first, count[at[1:]] - count[at[:-1]])
 
 
+def _sampled(docs: DataFrame, docs_per_language: int) -> DataFrame:
+    """lang and text of about so many labelled documents of each language, picked by a hash of the text."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    picked = labelled.join(F.broadcast(sizes), "lang")  # one row per language
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.ceil(F.lit(float(docs_per_language << 20)) / F.col("n"))
+    return picked.where(share).select("lang", "text")
+
+
 def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
     """Learns a model from text and non-null lang of ``docs``.
 
@@ -121,11 +132,6 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
     picked by a hash of their text.  Tasks count n-grams; what reaches the driver
     is languages x BUCKETS counts, however many documents there are.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = labelled.join(F.broadcast(sizes), "lang")  # one row per language
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.ceil(F.lit(float(docs_per_language << 20)) / F.col("n"))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         used: dict[str, dict[int, int]] = {}
@@ -146,7 +152,7 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
             keys = np.concatenate([at, -1 - np.array(scripts, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64()), pa.array(np.concatenate([counts[at], [used[lang][s] for s in scripts]]), pa.float64())], ["lang", "key", "n"])
 
-    rows = picked.where(share).select("lang", "text").mapInArrow(count, "lang string, key bigint, n double").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    rows = _sampled(docs, docs_per_language).mapInArrow(count, "lang string, key bigint, n double").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.full((len(languages), BUCKETS), 0.05)
     scripts = np.zeros(len(languages), dtype=np.int64)
@@ -161,24 +167,25 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
     return Model(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), scripts)
 
 
-def word_scores(model: Model, lex: Lexicon) -> np.ndarray:
-    """Log posteriors of the languages for every distinct word, at least FLOOR.
+def word_scores(model: Model, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every distinct word: log posteriors of the languages, at least FLOOR; log likelihoods per n-gram; whether it has a candidate.
 
     A language that is not written in the word's script is no candidate; a word
     without letters, or in a script that no language has, tells nothing (0).
     """
     n = len(lex.gram_first)
     if n == 0:
-        return np.zeros((0, len(model.languages)), dtype=np.float32)
-    raw = np.stack([np.add.reduceat(s[lex.grams], lex.gram_first) for s in model.scores], axis=1) / 2  # grams overlap
+        return np.zeros((0, len(model.languages)), np.float32), np.zeros((0, len(model.languages)), np.float32), np.zeros(0, bool)
+    raw = np.stack([np.add.reduceat(s[lex.grams], lex.gram_first) for s in model.scores], axis=1)
+    each = raw / np.diff(np.append(lex.gram_first, len(lex.grams)))[:, None]
     fits = (lex.scripts[:, None] & model.scripts[None, :]) != 0
-    raw = np.where(fits, raw, -np.inf)
+    raw = np.where(fits, raw / 2, -np.inf)  # grams overlap
     some = fits.any(axis=1)
     top = np.where(some, raw.max(axis=1), 0.0)
     odds = np.exp(raw - top[:, None])
     total = odds.sum(axis=1, keepdims=True)
     post = np.log(np.maximum(odds / np.where(total > 0, total, 1), np.exp(FLOOR)))
-    return np.where(some[:, None], post, 0.0).astype(np.float32)
+    return np.where(some[:, None], post, 0.0).astype(np.float32), each, some
 
 
 def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -214,11 +221,14 @@ def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """Labels documents: doc_id, lang_pred, score, spans (first word, end word, lang).
+    """Labels documents: doc_id, lang_pred, score, spans (first word, end word, lang), likelihood.
 
     ``lang_pred`` is the language of most letters over the labelled spans, with
     the first language by name on a tie; ``score`` is the mean posterior of that
-    language over the letters of the document, from 0 to 1.  A text that is null,
+    language over the letters of the document, from 0 to 1, where letters of words
+    in a script that no language has count 0.  ``likelihood`` is the log likelihood
+    per n-gram in that language, as a mean over the words that have a candidate; it
+    is null without such a word.  A text that is null,
     empty or without a letter is ``und`` with score 0 and no spans; so is every
     text if nothing was learned.  Whole texts are read.  Repeated rows give
     repeated results, a null doc_id stays null, other columns are ignored and an
@@ -238,28 +248,44 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     def label(part: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         lex = lexicon(part.column("text").fill_null(""))
-        scores = word_scores(m, lex)[lex.which] if m.languages else None
-        names, values, spans = [], [], []
+        scores = None
+        if m.languages:
+            scores, each, known = (x[lex.which] for x in word_scores(m, lex))
+        names, values, spans, likely = [], [], [], []
         for r in range(part.num_rows):
             a, b = lex.first[r], lex.first[r + 1]
             if scores is None or lex.row_letters[r] == 0:
                 names.append(UNDETERMINED)
                 values.append(0.0)
                 spans.append([])
+                likely.append(None)
                 continue
-            s, letters = scores[a:b], lex.letters[a:b]
+            s, letters, some = scores[a:b], lex.letters[a:b], known[a:b]
             path = viterbi(s)
             weight = np.bincount(path, weights=letters, minlength=len(m.languages))
             best = int(weight.argmax())
             names.append(m.languages[best])
-            values.append(float(min(1.0, (np.exp(s[:, best], dtype=np.float64) * letters).sum() / letters.sum())))
+            values.append(float(min(1.0, (np.exp(s[:, best], dtype=np.float64) * letters * some).sum() / letters.sum())))
+            likely.append(float(each[a:b, best][some].mean(dtype=np.float64)) if some.any() else None)
             cuts = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [b - a]])
             spans.append([{"start": int(i), "end": int(j), "lang": m.languages[path[i]]} for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in carried_names), pa.array(names, pa.string()), pa.array(values, pa.float64()), pa.array(spans, _SPANS)], [*carried_names, "lang_pred", "score", "spans"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in carried_names), pa.array(names, pa.string()), pa.array(values, pa.float64()), pa.array(spans, _SPANS), pa.array(likely, pa.float64())], [*carried_names, "lang_pred", "score", "spans", "likelihood"])
 
-    schema = T.StructType([*carried.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>").fields])
+    schema = T.StructType([*carried.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>, likelihood double").fields])
     wanted = carried.columns if "text" in carried.columns else [*carried.columns, "text"]
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
+def least_likelihoods(docs: DataFrame, model: Model, docs_per_language: int = 4000) -> DataFrame:
+    """Likelihood that texts of a language have at least: lang, least.
+
+    ``docs`` are labelled documents that the model has not seen.  About
+    ``docs_per_language`` of each are read; a language of which none is named
+    rightly has no row.
+    """
+    named = identify(_sampled(docs, docs_per_language), model, carry=["lang"]).where((F.col("lang") == F.col("lang_pred")) & F.col("likelihood").isNotNull())
+    spread = F.greatest(F.stddev_pop("likelihood"), F.lit(LEAST_SPREAD))
+    return named.groupBy("lang").agg((F.avg("likelihood") - DEVIATIONS * spread).alias("least"))
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
