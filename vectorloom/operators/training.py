@@ -1,8 +1,8 @@
 """Local training of clients: what depends on the order of batches runs per client.
 
 A client's samples and its state meet in one cogrouped call, the only place
-where rows of a client are held together; a client's rows are capped in
-preparation (stratified_cap), which bounds the call.
+where rows of a client are held together.  Nothing caps them here: a call holds
+all rows of its client.
 """
 
 from __future__ import annotations
