@@ -91,13 +91,14 @@ def classes(spark, rows, schema=SCHEMA):
     return sorted((low(r.doc_id), r.n_shingles, low(r.component_id)) for r in jaccard.similar(spark.createDataFrame(rows, schema)).collect())
 
 
-@pytest.mark.parametrize("block, paired, seen", [(256, 64, 4), (8, 3, 4), (8, 3, 10_000)])
-def test_classes_match_all_pairs(spark, monkeypatch, block, paired, seen):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "PAIRED", paired)
-    monkeypatch.setattr(jaccard, "SAMPLE_SEEN", seen)
-    monkeypatch.setattr(jaccard, "STRIP", 16)
-    draw = np.random.default_rng(block + paired)
+@pytest.mark.parametrize("rounds, cut, most", [(3, 8 << 20, 1 << 20), (1, 2000, 7), (0, 900, 40)])
+def test_classes_match_all_pairs(spark, monkeypatch, rounds, cut, most):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "COMPARE_BYTES", cut)
+    monkeypatch.setattr(jaccard, "TASK_PAIRS", most)
+    monkeypatch.setattr(jaccard, "HELD", most * 16)
+    monkeypatch.setattr(jaccard, "FRAGMENT_BYTES", cut)
+    draw = np.random.default_rng(rounds + most)
     texts = near_copies(draw, sentences(draw, 120), 60, 9) + near_copies(draw, sentences(draw, 40), 20, 3) + [sentences(draw, int(n)) for n in draw.integers(0, 60, 40)]
     line = sentences(draw, 30)
     texts += [f"{line} {sentences(draw, 15)}" for _ in range(30)] + ["A b", "a B", "one two three four", "a b c d e", "A B C D E", texts[0].upper(), texts[0]]
@@ -109,6 +110,24 @@ def test_no_documents(spark):
     assert classes(spark, []) == []
 
 
+def test_text_ids_and_texts_over_a_chunk(spark):
+    draw = np.random.default_rng(6)
+    long = sentences(draw, 250_000, 10**6)  # over 1 MiB
+    assert len(long) > 1 << 20
+    rows = [("b", long), ("a", long + " and more"), ("d", "x y z u v w"), ("c", "X y z u v w"), (None, "x y z u v w q"), ("e", None)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b", "a"), ("a", "a"), ("d", "c"), ("c", "c"), (None, None), ("e", "e")}
+
+
+def test_overlaps_of_a_fragment():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 90, n)).astype(np.uint64) for n in (40, 3, 70, 1, 25)]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    i, j = np.array([0, 1, 2, 4, 3]), np.array([2, 0, 4, 4, 1])
+    got = jaccard.overlaps(i, j, first, np.concatenate(sets))
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+
+
 # --- repeated substrings ---
 
 

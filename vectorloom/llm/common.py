@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Used only where the session names no spark.checkpoint.dir.
 OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows of 8-byte ids up to which a set of them is broadcast; beyond, a shuffle join is used.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 #: Bytes of text that a task turns into numpy arrays at a time.
 CHUNK_BYTES = 1 << 20
 #: Regular expressions of white space and of words, alike in Java, RE2 and Python.

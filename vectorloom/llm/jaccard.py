@@ -1,292 +1,417 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
-All n-grams have one global order: the ones that a sample of documents shows to
-be frequent come last, the others by hash.  That order is cut into fragments.
-
-Two documents of similarity t or more share an n-gram among the first
-(1 - t) n + 1 of either, and in general so many that their sizes say how many.
-Those prefixes are cut into fragments.  A fragment counts, for every pair that
-shares an n-gram of few documents, the partial overlap; the partial overlaps are
-summed per pair, and pairs that can't be similar go.  Documents that share an
-n-gram of many documents are filed under one of them, the hub, instead.
-
-Documents that pairs connect, and documents under a hub, are then compared on their whole sets, block by
-block: a fragment of the order at a time gives the partial overlaps of all pairs
-of two blocks, and these are summed per pair.  Only links leave a task.
+The global order of n-grams is cut into fragments, wherever n-grams are counted:
+
+1. Suspects.  Fragments of half the order (n-grams whose hash has no top bit)
+   count in how many distinct sets each n-gram stands, over all documents.  A set
+   of n n-grams that is similar to another shares ceil(t n) of them, so at most
+   the rest of its half may stand in no other set.  The others are suspects.
+2. Order.  Fragments of the whole order count the same among the suspects.  The
+   order that filters pairs is by that number, rare n-grams first.
+3. Partners.  Similar sets share an n-gram of the rarest (1 - t) n + 1 of either.
+   In a few rounds every set is compared with one partner only, a centre of the
+   n-grams they share, and linked sets become one class.  This gathers large
+   groups of copies without looking at their pairs.
+4. Pairs.  Then all pairs of sets of different classes that share rare n-grams
+   are counted, and those that share enough for their sizes are compared.
+
+To compare pairs, their sets are cut into fragments of the order too.  Each set is
+sent to the fragments of its block once; a fragment counts the partial overlaps of
+the block's pairs, and their sums over the fragments decide which pairs link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom.llm.bytehash import buffers, mix, shingles, words
-from vectorloom.llm.common import BROADCAST_IDS, chunks, materialise, semi
+from vectorloom.llm.common import chunks, materialise, semi
 from vectorloom.llm.components import connect
 
-#: Bytes of text whose prefix n-grams make up one fragment.
-FRAGMENT_BYTES = 8 << 20
-#: Documents of a block; more documents under a hub are compared block by block.
-BLOCK = 256
-#: Documents of an n-gram up to which its pairs are looked at one by one for size and place.
-PAIRED = 64
-#: n-grams of the order in one fragment of an overlap count.
-STRIP = 4096
-#: Documents sampled to see which n-grams are frequent, and sightings that make one so.
-SAMPLE_DOCS, SAMPLE_SEEN, SAMPLE_GRAMS = 16_000, 4, 200_000
+#: Bytes of text whose n-grams make up one fragment, and bytes of n-grams of one fragment of a comparison.
+FRAGMENT_BYTES, COMPARE_BYTES = 12 << 20, 8 << 20
+#: Fragments that the sets of a block are cut into at least, and pairs of a block that one task takes.
+FRAGMENTS, TASK_PAIRS = 4, 1 << 20
+#: Rounds in which every set meets one partner before all pairs are looked at.
+ROUNDS = 3
+#: n-grams that a task collects before it sends them.
+HELD = 1 << 20
 #: Stands for a null doc_id, which counts as smaller than any other.
 NO_ID = -(1 << 63)
 
+_SUM = np.uint64(0x5851F42D4C957F2D)
+_NODE = np.dtype([("node", "<i8"), ("id", "<i8"), ("n", "<i4"), ("half", "<i4")])
+_SEEN = np.dtype([("node", "<i8"), ("c", "<i4")])
+_OWNER = np.dtype([("node", "<i8"), ("n", "<i4"), ("c", "<i4")])
+_COUNTED = np.dtype([("node", "<i8"), ("n", "<i4"), ("df", "<i4"), ("gram", "<u8")])
 
-class Frequent(NamedTuple):
-    """Frequent n-grams by hash, their places at the end of the order, and their hubs."""
 
-    gram: np.ndarray
-    rank: np.ndarray
-    hub: np.ndarray
-
-
-NONE = Frequent(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)))
-
-
-def node_of(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each set; equal sets, and only they, share both."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sets)])
-    twice = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ np.uint64(0x5851F42D4C957F2D)))])
+def node_of(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set; equal sets, and only they, share it."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _SUM))])
     n = np.diff(first).astype(np.uint64)
-    one, two = sums[first[1:]] - sums[first[:-1]], twice[first[1:]] - twice[first[:-1]]
-    return mix(one * np.uint64(3) + n).view(np.int64), mix(two ^ n).view(np.int64)
+    return mix((sums[first[1:]] - sums[first[:-1]]) * np.uint64(3) + n).view(np.int64)
 
 
-def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
-    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+def needed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """n-grams that a set of n shares with any similar set, at least."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def prefix(sets: np.ndarray, first: np.ndarray, frequent: Frequent, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the n-grams in each set's prefix under the global order, and their rows."""
-    n = np.diff(first)
-    row = np.repeat(np.arange(len(n)), n)
-    rank = np.zeros(len(sets), dtype=np.int64)
-    if len(frequent.gram):
-        at = np.minimum(np.searchsorted(frequent.gram, sets), len(frequent.gram) - 1)
-        rank = np.where(frequent.gram[at] == sets, frequent.rank[at], 0)
-    order = np.lexsort((sets, rank, row)) if rank.any() else np.arange(len(sets))
-    picked = order[(np.arange(len(sets)) - first[row]) < prefix_size(n, similarity)[row]]
-    return picked, row[picked]
+def place(value: np.ndarray, parts: int) -> np.ndarray:
+    """Part of 0 to parts - 1 that a 64-bit hash belongs to, by its bits 31 to 62."""
+    return ((value.view(np.uint64) >> np.uint64(31)) & np.uint64(0xFFFFFFFF)).astype(np.int64) * parts >> 32
 
 
-def near_pairs(gram: np.ndarray, node: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs of nodes that share n-grams here and are near enough in size.
+def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingles(words(*buffers(part.column("text"))), part.num_rows, size)
 
-    Rows come sorted by n-gram and node.  Returns columns of node, node, shared
-    n-grams, and both sizes (one in the upper half of a number).
-    """
-    found = [np.zeros((3, 0), np.int64)]
-    for step in range(1, len(gram)):
-        i = np.flatnonzero(gram[step:] == gram[:-step])
-        if not len(i):
-            break
-        j = i + step
-        ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-        found.append(np.stack([node[i[ok]], node[j[ok]], n[i[ok]] << 32 | n[j[ok]]]))
-    a, b, sizes = np.hstack(found)
-    order = np.lexsort((b, a))
-    a, b, sizes = a[order], b[order], sizes[order]
-    start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return np.stack([a[start], b[start], np.diff(np.append(start, len(a))), sizes[start]])
 
+def _read(cells: list[bytes], dtype: np.dtype | type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(c, dtype) for c in cells)])
 
-def enough(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose partial overlaps in the prefixes, summed over fragments, may belong to similar sets.
 
-    Two similar sets share ``common`` n-grams or more; all but size - common of a
-    prefix are among them, and the first of these stand in both prefixes.
-    """
-    summed = pairs.groupBy("a", "b").agg(F.sum("c").alias("shared"), F.first("d").alias("d"))
-    m, n = F.shiftright("d", 32), F.col("d").bitwiseAND(F.lit(0xFFFFFFFF))
-    common = F.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
-    spare = lambda k: F.lit(1) - F.ceil(similarity * k - 1e-9) + common  # noqa: E731  prefix size - (k - common)
-    return summed.where(F.col("shared") >= F.least(spare(m), spare(n))).select("a", "b")
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys starts."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every left set with every right set.
+def _cut(frag: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Rows of columns by fragment."""
+    if not len(frag):
+        return
+    order = np.argsort(frag.astype(np.uint16) if int(frag.max()) < 1 << 16 else frag, kind="stable")
+    frag, columns = frag[order], tuple(c[order] for c in columns)
+    start = _starts(frag)
+    for a, b in zip(start.tolist(), [*start[1:].tolist(), len(frag)], strict=True):
+        yield int(frag[a]), tuple(c[a:b] for c in columns)
 
-    n-grams that both sides hold are ranked in order and cut into strips; each
-    strip gives partial counts of all pairs at once, which are added up.
-    """
-    a, b = np.concatenate(left), np.concatenate(right)
-    shared = np.intersect1d(a, b)
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    if not len(shared):
-        return out
-
-    def places(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
-        hit = shared[at] == flat
-        order = np.argsort(at[hit], kind="stable")
-        return at[hit][order], row[hit][order]
-
-    (at_a, row_a), (at_b, row_b) = places(left, a), places(right, b)
-    for low in range(0, len(shared), STRIP):
-        parts = []
-        for at, row, n in ((at_a, row_a, len(left)), (at_b, row_b, len(right))):
-            i, j = np.searchsorted(at, [low, low + STRIP])
-            strip = np.zeros((n, min(STRIP, len(shared) - low)), dtype=np.float32)
-            strip[row[i:j], at[i:j] - low] = 1
-            parts.append(strip)
-        out += parts[0] @ parts[1].T
+
+def _owned(frag: np.ndarray, node: np.ndarray, n: np.ndarray, gram: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """Cells of n-grams by fragment: the owners, each with how many follow, and the n-grams."""
+    out = []
+    for f, (o, m, g) in _cut(frag, node, n, gram):
+        start = _starts(o)
+        owner = np.zeros(len(start), _OWNER)
+        owner["node"], owner["n"], owner["c"] = o[start], m[start], np.diff(np.append(start, len(o)))
+        out.append((f, owner.tobytes(), g.tobytes()))
     return out
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets that are similar enough."""
-    both = overlaps(left, right).astype(np.float64)
-    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
-    return np.nonzero((both > 0) & (both >= similarity * (sizes - both) - 1e-9))
+def _shared(node: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of n-grams that stand in two distinct sets or more, one per set, and that number."""
+    ordered = np.sort(gram)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return (np.zeros(0, np.int64),) * 2
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, gram), len(twice) - 1)] == gram)
+    at = at[np.lexsort((node[at], gram[at]))]
+    at = at[_starts(gram[at], node[at])]  # copies are one
+    start = _starts(gram[at])
+    df = np.diff(np.append(start, len(at)))
+    df = np.repeat(df, df)
+    return at[df > 1], df[df > 1]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a block that connect what all its links connect."""
-    up: dict[int, int] = {}
+def _cells(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["frag", "kind", "owner", "gram"])
 
-    def root(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
 
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            kept.append((x, y))
-    return kept
+_CELLS = "frag int, kind int, owner binary, gram binary"
 
 
-def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return shingles(words(*buffers(part.column("text"))), part.num_rows, size)
+def _count(texts: DataFrame, fragments: int, size: int) -> DataFrame:
+    """Step 1 by fragments: rows (kind 0: id, node, n) and cells by node (1: _NODE; 2: _SEEN)."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            known: set[int] = set()  # sets that this batch has sent
+            weight = 0
+
+            def send() -> pa.RecordBatch:
+                info, node, gram = (np.concatenate(x) for x in zip(*held, strict=True))
+                frag = place(gram, fragments)
+                rows = [(f, 3, o, g) for f, o, g in _owned(frag, node, np.zeros(len(node), np.int32), gram.astype(np.uint32))]
+                rows.append((int(info["node"][0] & 0x7FFFFFFF) % fragments, 0, info.tobytes(), b""))
+                order = np.lexsort((info["id"], info["node"]))
+                alone = info[order][_starts(info["node"][order])]
+                rows += [(f, 1, x.tobytes(), b"") for f, (x,) in _cut(place(alone["node"], fragments), alone)]
+                held.clear()
+                return _cells(rows)
 
-def frequent_grams(texts: DataFrame, total: int, size: int, similarity: float) -> Frequent:
-    """n-grams that stand out in a bounded sample of documents.
+            for part in chunks(batch, "text"):
+                sets, first = _sets(part, size)
+                node, n = node_of(sets, first), np.diff(first)
+                fresh = np.zeros(len(n), dtype=bool)
+                for i, x in enumerate(node.tolist()):
+                    if x not in known:
+                        known.add(x)
+                        fresh[i] = True
+                row = np.repeat(np.arange(len(n)), n)
+                half = sets < np.uint64(1 << 63)
+                info = np.zeros(len(n), _NODE)
+                info["node"], info["id"], info["n"] = node, part.column("id").to_numpy(zero_copy_only=False), n
+                info["half"] = np.bincount(row[half], minlength=len(n))
+                half &= fresh[row]
+                held.append((info, node[row[half]], sets[half]))
+                weight += int(half.sum())
+                if weight >= HELD:
+                    yield send()
+                    weight = 0
+            if held:
+                yield send()
 
-    They only shape the order, and so the cost; the result doesn't depend on them.
-    About SAMPLE_DOCS documents are read, picked by a hash of the text, and at
-    most SAMPLE_GRAMS n-grams reach the driver.
+    def gather(table: pa.Table) -> pa.Table:
+        kinds, owners, grams = (table.column(c).to_pylist() for c in ("kind", "owner", "gram"))
+        of = lambda k, cells: [c for c, x in zip(cells, kinds, strict=True) if x == k]
+        info = _read(of(0, owners), _NODE)
+        cells = [(int(table.column("frag")[0].as_py()), 1, c) for c in of(1, owners)]
+        owner = _read(of(3, owners), _OWNER)
+        node = np.repeat(owner["node"], owner["c"])
+        at, _ = _shared(node, _read(of(3, grams), np.uint32))
+        names, c = np.unique(node[at], return_counts=True)
+        seen = np.zeros(len(names), _SEEN)
+        seen["node"], seen["c"] = names, c
+        cells += [(f, 2, x.tobytes()) for f, (x,) in _cut(place(names, fragments), seen)]
+        k, m = len(info), len(cells)
+        whole = [pa.array(np.concatenate([info[c].astype(np.int64), np.zeros(m, np.int64)])) for c in ("id", "node", "n")]
+        return pa.table([pa.array([0] * k + [x for _, x, _ in cells], pa.int32()), *whole, pa.array([None] * k + [f for f, _, _ in cells], pa.int32()), pa.array([None] * k + [x for _, _, x in cells], pa.binary())], names=["kind", "id", "node", "n", "frag", "data"])
+
+    return texts.mapInArrow(cut, _CELLS).repartition(fragments, "frag").groupBy("frag").applyInArrow(gather, "kind int, id bigint, node bigint, n bigint, frag int, data binary")
+
+
+def _suspects(counted: DataFrame, fragments: int, similarity: float) -> DataFrame:
+    """Sets that may be similar to another: node, id of one document, n."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+        info, seen = (_read([c for c, x in zip(data, kinds, strict=True) if x == k], t) for k, t in ((1, _NODE), (2, _SEEN)))
+        info = info[np.lexsort((info["id"], info["node"]))]
+        info = info[_starts(info["node"])]
+        shared = np.bincount(np.searchsorted(info["node"], seen["node"]), weights=seen["c"], minlength=len(info))
+        n = info["n"].astype(np.int64)
+        maybe = info[(n > 0) & (shared >= info["half"] - (n - needed(n, similarity)))]
+        return pa.table({c: pa.array(maybe[c].astype(np.int64)) for c in ("node", "id", "n")})
+
+    cells = counted.where("kind > 0").select("frag", "kind", "data")
+    return cells.repartition(fragments, "frag").groupBy("frag").applyInArrow(judge, "node bigint, id bigint, n bigint")
+
+
+def _ordered(texts: DataFrame, suspects: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Sets that may be similar to another, by all their n-grams: node, n, grams, prefix.
+
+    ``grams`` has those that another suspect holds too, in the global order, and
+    ``prefix`` is how many of them are among the set's first (1 - t) n + 1.
     """
-    share = min(1 / 16, SAMPLE_DOCS / max(total, 1))
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    weight = suspects.agg(F.sum("n")).first()[0] or 0
+    fragments = max(4, -(-weight * 16 // FRAGMENT_BYTES))
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                sets, _ = _sets(part, size)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], ["gram"])
-
-    counts = sample.mapInArrow(grams, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_SEEN)
-    rows = counts.orderBy(F.desc("n"), "gram").limit(SAMPLE_GRAMS).toPandas()
-    if rows.empty:
-        return NONE
-    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(gram)
-    seen = Frequent(gram[order], rows["n"].to_numpy(np.int64)[order], np.zeros(len(gram), np.int64))
-
-    def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                value, first = _sets(part, size)
+                cells = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(value, first)), pa.array(cells, pa.binary())], ["node", "grams"])
+
+    found = semi(semi(texts, suspects.select("id").distinct(), "id").mapInArrow(sets, "node bigint, grams binary"), suspects.select("node"), "node")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
-                sets, first = _sets(part, size)
-                at, row = prefix(sets, first, seen, similarity)
-                node = node_of(sets, first)[0]
-                hot = np.isin(sets[at], seen.gram)
-                yield pa.RecordBatch.from_arrays([pa.array(sets[at][hot].view(np.int64)), pa.array(node[row][hot])], ["gram", "node"])
+            node, cells = batch.column("node").to_numpy(zero_copy_only=False), batch.column("grams").to_pylist()
+            n = np.array([len(c) // 8 for c in cells], dtype=np.int64)
+            edge = np.cumsum(n) // HELD
+            for a, b in zip(*((s := _starts(edge)).tolist(), [*s[1:].tolist(), len(n)]), strict=True):
+                gram = _read(cells[a:b], np.uint64)
+                yield _cells([(f, 0, o, g) for f, o, g in _owned(place(gram, fragments), np.repeat(node[a:b], n[a:b]), np.repeat(n[a:b], n[a:b]), gram)])
+
+    def count(table: pa.Table) -> pa.Table:
+        owner, gram = _read(table.column("owner").to_pylist(), _OWNER), _read(table.column("gram").to_pylist(), np.uint64)
+        at, df = _shared(np.repeat(owner["node"], owner["c"]), gram)
+        out = np.zeros(len(at), _COUNTED)
+        out["node"], out["n"], out["df"], out["gram"] = np.repeat(owner["node"], owner["c"])[at], np.repeat(owner["n"], owner["c"])[at], df, gram[at]
+        rows = [(f, x.tobytes()) for f, (x,) in _cut(place(out["node"], fragments), out)]
+        return pa.table({"part": pa.array([f for f, _ in rows], pa.int32()), "data": pa.array([x for _, x in rows], pa.binary())})
+
+    def sift(table: pa.Table) -> pa.Table:
+        r = _read(table.column("data").to_pylist(), _COUNTED)
+        r = r[np.lexsort((r["gram"], r["df"], r["node"]))]
+        start = _starts(r["node"])
+        c, n = np.diff(np.append(start, len(r))), r["n"][start].astype(np.int64)
+        need = needed(n, similarity)
+        keep = np.flatnonzero(c >= need)
+        prefix = np.maximum(0, n - need + 1 - (n - c))  # n-grams that no one shares come first
+        gram = np.ascontiguousarray(r["gram"])
+        cells = [gram[a : a + k].tobytes() for a, k in zip(start[keep].tolist(), c[keep].tolist(), strict=True)]
+        return pa.table({"node": pa.array(r["node"][start[keep]]), "n": pa.array(n[keep]), "grams": pa.array(cells, pa.binary()), "prefix": pa.array(prefix[keep])})
+
+    counted = found.mapInArrow(cut, _CELLS).repartition(fragments, "frag").groupBy("frag").applyInArrow(count, "part int, data binary")
+    return counted.repartition(fragments, "part").groupBy("part").applyInArrow(sift, "node bigint, n bigint, grams binary, prefix bigint")
+
+
+def _filings(sets: DataFrame) -> DataFrame:
+    """One row for each n-gram of each prefix: gram, node, n."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("prefix").to_numpy().astype(np.int64)
+            cells = [np.frombuffer(c, np.int64, p) for c, p in zip(batch.column("grams").to_pylist(), k.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cells])), *(pa.array(np.repeat(batch.column(c).to_numpy(), k)) for c in ("node", "n"))], ["gram", "node", "n"])
+
+    return sets.mapInArrow(file, "gram bigint, node bigint, n bigint")
+
+
+def _near(a: Column, b: Column, similarity: float) -> Column:
+    """Whether sizes are near enough for similar sets."""
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def overlaps(i: np.ndarray, j: np.ndarray, first: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Partial overlap of each pair of sets i and j: n-grams here that both hold."""
+    k = np.diff(first)
+    swap = k[i] > k[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)  # the smaller side is looked up in the larger
+    _, rank = np.unique(gram, return_inverse=True)
+    span = int(rank.max(initial=0)) + 1
+    held = np.sort(np.repeat(np.arange(len(k)), k) * span + rank)
+    out = np.zeros(len(i), dtype=np.int64)
+    edge = np.cumsum(k[i]) // HELD
+    cuts = _starts(edge) if len(edge) else np.zeros(0, np.int64)
+    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(i)], strict=True):
+        many = k[i[x:y]]
+        pair = np.repeat(np.arange(y - x), many)
+        at = np.repeat(first[i[x:y]], many) + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+        want = j[x:y][pair] * span + rank[at]
+        hit = held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want if len(held) else np.zeros(0, bool)
+        out[x:y] = np.bincount(pair[hit], minlength=y - x)
+    return out
 
-    best = sample.mapInArrow(hubs, "gram bigint, node bigint").groupBy("gram").agg(F.min("node").alias("hub")).toPandas()
-    hub = dict(zip(best["gram"].to_numpy(np.int64).view(np.uint64).tolist(), best["hub"].tolist(), strict=True))
-    return seen._replace(hub=np.array([hub.get(g, 0) for g in seen.gram.tolist()], np.int64))
 
+def compare(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b, block) that link, by partial overlaps in fragments, summed per pair: a, b."""
+    members = pairs.select("block", F.col("a").alias("node")).unionByName(pairs.select("block", F.col("b").alias("node"))).distinct()
+    sized = members.join(sets.select("node", F.octet_length("grams").cast("bigint").alias("bytes")), "node")
+    blocks = sized.groupBy("block").agg(F.sum("bytes").alias("bytes")).join(pairs.groupBy("block").agg(F.count("*").alias("m")), "block")
+    cuts = blocks.select("block", F.greatest(F.lit(FRAGMENTS), F.ceil(F.col("bytes") / COMPARE_BYTES)).cast("int").alias("cuts"), F.ceil(F.col("m") / TASK_PAIRS).cast("int").alias("parts"), F.col("bytes").alias("whole"))
+    cuts = materialise(cuts, "jaccard-blocks")
+    tasks = max(4, -(-(cuts.agg(F.sum(F.col("whole") * F.col("parts"))).first()[0] or 0) // COMPARE_BYTES))
+    share = F.xxhash64("block", "k", "part").alias("share")  # of a block: one fragment for some of its pairs
+    frag = F.pmod("share", F.lit(tasks)).cast("int").alias("frag")
+    each = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    dealt = pairs.join(cuts, "block").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).withColumn("k", each)
+    dealt = dealt.select(share, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("data"))
+    sent = members.join(cuts, "block").join(sets.select("node", "n", "grams"), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "cuts", "node", "n", "grams")
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.frombuffer(c, np.uint64) for c in batch.column("grams").to_pylist()]
+            rows: list[tuple] = []
+            for i, (g, m) in enumerate(zip(cells, batch.column("cuts").to_pylist(), strict=True)):
+                rows += [(i, k, x.tobytes()) for k, (x,) in _cut(place(g, m), g)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("block", "part", "node", "n")] + [pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["block", "part", "node", "n", "k", "data"])
+
+    cut = sent.mapInArrow(segments, "block bigint, part int, node bigint, n bigint, k int, data binary")
+    cut = cut.select(share, F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("n").alias("b"), "data")
+
+    def count(table: pa.Table) -> pa.Table:
+        kind, share, a, b = (table.column(c).to_numpy() for c in ("kind", "share", "a", "b"))
+        own = lambda x: mix(share.view(np.uint64) ^ mix(x.view(np.uint64)))  # noqa: E731  a set within its share
+        name, at, pair = own(a), kind == 0, kind == 1
+        cells = table.filter(pa.array(at)).column("data").to_pylist()
+        row = np.repeat(np.arange(len(cells)), np.array([len(c) // 8 for c in cells], dtype=np.int64))
+        gram = _read(cells, np.uint64)
+        names, which = np.unique(name[at], return_inverse=True)
+        size = np.zeros(len(names), np.int64)
+        size[which] = b[at]
+        order = np.lexsort((gram, which[row]))
+        first = np.searchsorted(which[row][order], np.arange(len(names) + 1))
+        left, right = name[pair], own(b)[pair]
+        both = np.isin(left, names) & np.isin(right, names)  # a set may have nothing in this fragment
+        left, right = np.searchsorted(names, left[both]), np.searchsorted(names, right[both])
+        got = overlaps(left, right, first, gram[order])
+        some = got > 0
+        return pa.table({"a": a[pair][both][some], "b": b[pair][both][some], "c": got[some], "na": size[left[some]], "nb": size[right[some]]})
+
+    partial = dealt.unionByName(cut).withColumn("frag", frag).repartition(tasks, "frag").groupBy("frag").applyInArrow(count, "a bigint, b bigint, c bigint, na bigint, nb bigint")
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    return summed.where(F.col("c") >= similarity * (F.col("na") + F.col("nb") - F.col("c")) - 1e-9).select("a", "b")
+
+
+def _open(filings: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Filings with the class of their set, under n-grams that stand in two classes or more."""
+    named = filings.withColumn("class", F.col("node")) if classes is None else filings.join(classes.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    wide = named.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("gram")
+    return named.join(wide, "gram")
+
+
+def _partners(filings: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """One pair per set: the centre of another class with which it shares most n-grams of the prefixes."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "class")
+    centres = filings.groupBy("gram").agg(F.min(order).alias("centre"))
+    met = filings.join(centres, "gram").where((F.col("class") != F.col("centre.class")) & _near(F.col("n"), F.col("centre.n"), similarity))
+    shared = met.groupBy("node", F.col("centre.node").alias("b")).agg(F.count("*").alias("c"))
+    best = shared.groupBy("node").agg(F.max(F.struct("c", "b")).alias("best"))
+    return best.select(F.col("node").alias("a"), F.col("best.b").alias("b"), F.col("best.b").alias("block"))
 
-_ROWS = "kind int, a bigint, b bigint, c bigint, d bigint"
 
+def enough(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose overlap in the prefixes may belong to similar sets.
 
-def _prefixes(texts: DataFrame, frequent: Frequent, fragments: int, size: int, similarity: float) -> DataFrame:
-    """Documents (kind 0: id, node, check, size), filings (1: hub, node, size) and pairs (3: node, node, shared, sizes)."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # at most SAMPLE_GRAMS n-grams
+    Two similar sets share ``common`` n-grams or more; all but size - common of a
+    prefix are among them, and the first of these stand in both prefixes.
+    """
+    m, n = F.col("na"), F.col("nb")
+    common = F.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
+    spare = lambda k: F.lit(1) - F.ceil(similarity * k - 1e-9) + common  # noqa: E731  prefix size - (k - common)
+    return pairs.where(F.col("c") >= F.least(spare(m), spare(n))).select("a", "b")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        freq = shared.value
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                sets, first = _sets(part, size)
-                node, check = node_of(sets, first)
-                at, row = prefix(sets, first, freq, similarity)
-                gram, owner, count = sets[at], node[row], np.diff(first)[row]
-                frag = (mix(gram) >> np.uint64(32)).astype(np.int64) * fragments >> 32  # prefixes hold low hashes, which are spread again
-                kind = np.ones(len(gram), dtype=np.int8)
-                if len(freq.gram):
-                    i = np.minimum(np.searchsorted(freq.gram, gram), len(freq.gram) - 1)
-                    known = (freq.gram[i] == gram) & (freq.hub[i] != 0)
-                    kind[known] = 2  # filed at once, under the hub that the sample gave
-                    gram = np.where(known, freq.hub[i].view(np.uint64), gram)
-                    frag = np.where(known, (owner.view(np.uint64) >> np.uint64(32)).astype(np.int64) * fragments >> 32, frag)
-                    order = np.lexsort((owner, gram))
-                    again = np.zeros(len(gram), dtype=bool)
-                    again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
-                    keep = ~(again & (kind == 2))
-                    frag, kind, gram, owner, count = frag[keep], kind[keep], gram[keep], owner[keep], count[keep]
-                order = np.lexsort((kind, frag))
-                frag, kind, gram, owner, count = frag[order], kind[order], gram[order], owner[order], count[order]
-                code = frag * 4 + kind
-                cuts = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]]) if len(code) else np.zeros(1, np.int64)
-                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-                info = np.stack([part.column("id").to_numpy(zero_copy_only=False).astype(np.int64), node, check, np.diff(first)])
-                home = int(info[1, 0] & 0x7FFFFFFF) % fragments
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([home, *(int(frag[a]) for a, _ in spans)], pa.int32()), pa.array([0, *(int(kind[a]) for a, _ in spans)], pa.int32()), pa.array([info.tobytes(), *(np.stack([gram[a:b].view(np.int64), owner[a:b], count[a:b]]).tobytes() for a, b in spans)], pa.binary())],
-                    ["frag", "kind", "data"],
-                )
 
-    def gather(table: pa.Table) -> pa.Table:
-        kinds, cells = table.column("kind").to_numpy(), table.column("data").to_pylist()
-        read = lambda k, n: [np.frombuffer(c, np.int64).reshape(n, -1) for c, x in zip(cells, kinds, strict=True) if x == k]
-        out = []
-        if info := read(0, 4):
-            out.append(np.vstack([np.zeros((1, sum(x.shape[1] for x in info)), np.int64), np.hstack(info)]))
-        filed = read(2, 3)
-        if posts := read(1, 3):
-            gram, node, n = np.hstack(posts)
-            order = np.lexsort((node, gram))
-            gram, node, n = gram[order], node[order], n[order]
-            new = np.ones(len(gram), dtype=bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])  # copies are one
-            gram, node, n = gram[new], node[new], n[new]
-            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-            count = np.diff(np.append(start, len(gram)))
-            hub, count = np.repeat(node[start], count), np.repeat(count, count)  # the smallest node of the n-gram
-            filed.append(np.stack([hub, node, n])[:, count > PAIRED])
-            few = (count > 1) & (count <= PAIRED)
-            pairs = near_pairs(gram[few], node[few], n[few], similarity)
-            out.append(np.vstack([np.full((1, pairs.shape[1]), 3), pairs]))
-        if filed:
-            places = np.hstack(filed)
-            order = np.lexsort((places[1], places[0]))
-            places = places[:, order]
-            new = np.ones(places.shape[1], dtype=bool)
-            new[1:] = (places[:2, 1:] != places[:2, :-1]).any(axis=0)
-            places = places[:, new]
-            blank = np.zeros((1, places.shape[1]), np.int64)
-            out.append(np.vstack([blank + 1, places, blank]))
-        whole = np.hstack(out) if out else np.zeros((5, 0), np.int64)
-        return pa.table([pa.array(whole[0].astype(np.int32)), *(pa.array(whole[i]) for i in range(1, 5))], names=["kind", "a", "b", "c", "d"])
-
-    return texts.mapInArrow(cut, "frag int, kind int, data binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(gather, _ROWS)
+def _pairs(filings: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of sets of different classes that share enough n-grams of their prefixes: a, b.
+
+    Under each n-gram, the sets of its largest class are not paired with each other.
+    """
+    main = filings.groupBy("gram", "class").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "class")).getField("class").alias("main"))
+    full = filings.join(main, "gram")
+    few = full.where(F.col("class") != F.col("main")).select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("class").alias("cx"))
+    met = few.join(full, "gram").where((F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("node"))) & _near(F.col("n"), F.col("nx"), similarity))
+    low = F.col("x") < F.col("node")
+    pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
+    ordered = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), pick("nx", "n").alias("na"), pick("n", "nx").alias("nb"))
+    return enough(ordered.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")), similarity)
+
+
+def links(sets: DataFrame, similarity: float) -> DataFrame | None:
+    """Class of every set that links with another: node, root; None if no n-gram stands in two prefixes."""
+    filings = materialise(_filings(sets), "jaccard-filings")
+    found: DataFrame | None = None
+    classes: DataFrame | None = None
+    for turn in range(ROUNDS):
+        open_ = materialise(_open(filings, classes), "jaccard-open")
+        if open_.isEmpty():
+            return classes
+        pairs = materialise(_partners(open_, turn, similarity), "jaccard-partners")
+        more = materialise(compare(pairs, sets, similarity), "jaccard-links")
+        found = more if found is None else found.unionByName(more)
+        classes = connect(found)
+    open_ = materialise(_open(filings, classes), "jaccard-open")
+    pairs = materialise(_pairs(open_, similarity), "jaccard-pairs")
+    if pairs.isEmpty():
+        return classes
+    blocks = connect(pairs).unionByName(pairs.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("block"))
+    placed = materialise(pairs.join(blocks.withColumnRenamed("node", "a"), "a"), "jaccard-placed")
+    last = compare(placed, sets, similarity)
+    return connect(last if found is None else found.unionByName(last))
 
 
 def similar(docs: DataFrame, size: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -298,98 +423,40 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.75) -> DataFra
     intersection of their sets is ``similarity`` of the union or more.
     ``component_id`` is the smallest doc_id that links reach, with itself.
 
-    Every link is found.  Documents of equal sets count as one while links are
+    No class misses a link: pairs that are not compared are in one class already,
+    or can't be similar.  Documents of equal sets count as one while links are
     searched, so copies cost nothing.  A null text is empty; a null doc_id counts
     as the smallest and stays null; rows repeated in full or in doc_id alone are
-    documents of their own; other columns are ignored; an empty table gives an
-    empty result.  Sets are told apart by 64-bit hashes.
+    documents of their own; doc_id may be of any ordered type; other columns are
+    ignored; an empty table gives an empty result.  n-grams and sets are told
+    apart by 64-bit hashes.  Classes that don't settle in the rounds of
+    components.connect are an error.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
-    total, held = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _similar(docs.select(F.col("doc_id").cast("bigint"), "text"), size, similarity)
+    rows = materialise(docs.select(F.col("doc_id").alias("name"), "text", F.monotonically_increasing_id().alias("doc_id")), "jaccard-named")
+    named = materialise(_similar(rows.select("doc_id", "text"), size, similarity).join(rows.select("doc_id", "name"), "doc_id"), "jaccard-classes")
+    first = F.when(F.count("name") == F.count("*"), F.min("name")).alias("first")  # a null name is the smallest
+    firsts = materialise(named.groupBy("component_id").agg(first), "jaccard-firsts")
+    return named.join(firsts, "component_id").select(F.col("name").alias("doc_id"), "n_shingles", F.col("first").alias("component_id"))
+
+
+def _similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), "text")
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     fragments = max(4, -(-(held or 0) // FRAGMENT_BYTES))
-    frequent = frequent_grams(texts.where(F.col("text").isNotNull()).select("text"), total, size, similarity)
-    rows = materialise(_prefixes(texts, frequent, fragments, size, similarity), "jaccard-rows")
-    info = rows.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("node"), F.col("d").alias("n"))
-    pairs = enough(rows.where("kind = 3").select("a", "b", "c", "d"), similarity)
-    linked = connect(pairs)  # one filing per node for all its pairs
-    grouped = linked.select(F.col("root").alias("hub"), "node").unionByName(linked.select(F.col("root").alias("hub"), F.col("root").alias("node")))
-    band = F.floor(F.ln(F.col("c").cast("double")) / float(-np.log(similarity)))  # similar sets lie in one band of sizes or in neighbours
-    banded = rows.where("kind = 1").select("a", F.col("b").alias("node"), F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("a", "band").alias("hub"), "node")
-    filed = banded.unionByName(grouped).distinct()
-    edges = materialise(_links(texts, info, filed, size, similarity), "jaccard-links")
-    roots = connect(edges)
-    rooted = info.where("n > 0").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    named = rooted.join(classes, "root").select("id", "n", "component").unionByName(info.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    counted = materialise(_count(texts, fragments, size), "jaccard-counted")
+    info = counted.where("kind = 0").select("id", "node", "n")
+    suspects = materialise(_suspects(counted, fragments, similarity), "jaccard-suspects")
+    sets = materialise(_ordered(texts, suspects, size, similarity), "jaccard-sets")
+    classes = links(sets, similarity)
+    nodes = info.where("n > 0").groupBy("node").agg(F.min("id").alias("component"))
+    if classes is not None:
+        # written before they are joined, so that a class or a set of very many documents can be split
+        rooted = materialise(nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+        least = materialise(rooted.groupBy("root").agg(F.min("component").alias("component")), "jaccard-classes")
+        nodes = rooted.select("node", "root").join(least, "root").select("node", "component")
+    nodes = materialise(nodes, "jaccard-nodes")
+    named = info.where("n > 0").join(nodes, "node").select("id", "n", "component").unionByName(info.where("n = 0").select("id", "n", F.col("id").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return named.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
-
-
-def _links(texts: DataFrame, info: DataFrame, filed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links that connect all that similar nodes under common hubs connect: a, b."""
-    filed = materialise(filed, "jaccard-filed")
-    sizes = filed.groupBy("hub").agg(F.count("*").alias("g"), F.min("node").alias("centre")).where("g > 1")
-    sized = materialise(filed.join(sizes, "hub"), "jaccard-sized")
-    nodes = sized.select("node").distinct()
-    keepers = materialise(nodes.join(info.groupBy("node").agg(F.min("id").alias("id")), "node"), "jaccard-nodes")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                value, first = _sets(part, size)
-                node = node_of(value, first)[0]
-                cells = [value[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cells, pa.binary())], ["node", "grams"])
-
-    found = semi(texts, keepers.select("id").distinct(), "id").mapInArrow(sets, "node bigint, grams binary")
-    held = materialise(semi(found, keepers.select("node"), "node"), "jaccard-sets")
-    filings = sized.count()
-    n_small = max(1, filings // 4000)
-    sent = F.broadcast if filings <= BROADCAST_IDS // 4 else (lambda df: df)  # filings are four numbers each
-    small = held.join(sent(sized.where(F.col("g") <= BLOCK)), "node").withColumns({"task": F.pmod(F.xxhash64("hub"), F.lit(n_small)), "side": F.lit(2)})
-
-    def read(cell: bytes) -> np.ndarray:
-        return np.frombuffer(cell, np.uint64)
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("hub", "ascending"), ("node", "ascending")])
-        hub, node, side = (table.column(c).to_numpy() for c in ("hub", "node", "side"))
-        grams = [read(c) for c in table.column("grams").to_pylist()]
-        cuts = np.concatenate([[0], np.flatnonzero(hub[1:] != hub[:-1]) + 1, [len(hub)]])
-        out: list[tuple[int, int]] = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            left = [i for i in range(a, b) if side[i] != 1]
-            right = [i for i in range(a, b) if side[i] != 0]
-            if not left or not right or b - a < 2:
-                continue
-            i, j = links([grams[k] for k in left], [grams[k] for k in right], similarity)
-            i, j = np.array(left)[i], np.array(right)[j]
-            out += _spanning(node[i[i != j]], node[j[i != j]])
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    linked = small.select("task", "hub", "node", "grams", "side").groupBy("task").applyInArrow(compare, "a bigint, b bigint")
-    crowded = sized.where(F.col("g") > BLOCK)
-    if crowded.limit(1).count() == 0:
-        return linked
-    large = held.join(sent(crowded), "node")
-
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for h, g in zip(batch.column("hub_grams").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                x, y = read(h), read(g)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hub", "node", "g", "centre", "grams")), pa.array(near, pa.bool_())], ["hub", "node", "g", "centre", "grams", "near"])
-
-    centres = held.select(F.col("node").alias("centre"), F.col("grams").alias("hub_grams"))
-    stars = materialise(large.join(centres, "centre").select("hub", "node", "g", "centre", "grams", "hub_grams").mapInArrow(star, "hub bigint, node bigint, g bigint, centre bigint, grams binary, near boolean"), "jaccard-stars")
-    far = stars.where(~F.col("near")).groupBy("hub").agg(F.count("*").alias("f"))
-    # those near the centre are one class; the others meet everyone under the hub, block by block
-    rest = stars.join(far, "hub").withColumns({"nf": F.ceil(F.col("f") / BLOCK).cast("int"), "na": F.ceil(F.col("g") / BLOCK).cast("int")})
-    turn = F.xxhash64("node")
-    left = rest.where(~F.col("near")).select("hub", "node", "grams", F.pmod(turn, F.col("nf")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(0).alias("side"))
-    right = rest.select("hub", "node", "grams", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("i"), F.pmod(turn, F.col("na")).cast("int").alias("j"), F.lit(1).alias("side"))
-    blocks = left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-    return linked.unionByName(blocks).unionByName(stars.where("near and centre != node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
