@@ -163,29 +163,41 @@ def test_repeats_match_brute_force(spark, monkeypatch):
 # --- benchmark leaks ---
 
 
-def test_every_passage_above_the_threshold_is_found(spark):
+def exhaustive(index, w, threshold):
+    """Best score of every row and item over its passages."""
+    score = np.zeros((len(index.terms), len(index.items)), np.float32)
+    score[np.repeat(np.repeat(np.arange(len(index.terms)), np.diff(index.first)), np.diff(index.begin)), index.item] = index.weight
+    want = {}
+    for r in range(len(w.first) - 1):
+        h = w.hash[w.first[r] : w.first[r + 1]]
+        for a in range(-index.span, len(h), index.span):
+            at = np.isin(index.terms, h[max(a, 0) : a + 2 * index.span])
+            total = score[at].sum(axis=0)
+            for i in np.flatnonzero(total >= threshold).tolist():
+                want[r, i] = max(float(total[i]), want.get((r, i), 0))
+    return want
+
+
+@pytest.mark.parametrize("items, words_, held", [(30, 60, 1 << 20), (30, 60, 500), (10_000, 3000, 1 << 20)])
+def test_every_passage_above_the_threshold_is_found(spark, monkeypatch, items, words_, held):
+    monkeypatch.setattr(decontaminate, "HELD", held)
     draw = np.random.default_rng(5)
-    items = [f"{sentences(draw, int(n), 60)}. {sentences(draw, 8, 60)}." for n in draw.integers(6, 25, 30)]
-    index = decontaminate.build(spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id bigint, text string"))
+    items = [f"{sentences(draw, int(n), words_)}. {sentences(draw, 8, words_)}." for n in draw.integers(6, 25, items)]
+    (index,) = decontaminate.build(spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id bigint, text string"))
     import pyarrow as pa
 
-    texts = [sentences(draw, 150, 80) for _ in range(20)] + [f"{sentences(draw, 70)} {items[k]} {sentences(draw, 50)}" for k in range(10)]
+    texts = [sentences(draw, 150, words_) for _ in range(20)] + [f"{sentences(draw, 70)} {items[k]} {sentences(draw, 50)}" for k in range(10)] + [None, ""]
     w = decontaminate.tokens(pa.array(texts))
+    assert np.allclose(np.bincount(index.item, weights=index.weight), 1, atol=1e-4)
     for threshold in (0.3, 0.5, 0.9):
         rows, found, scores = decontaminate.candidates(index, w, threshold)
         got = {}
-        for r, i, s in zip(rows, found, scores):
+        for r, i, s in zip(rows.tolist(), found.tolist(), scores.tolist()):
             got[r, i] = max(s, got.get((r, i), 0))
-        want = {}
-        for r in range(len(texts)):
-            h = w.hash[w.first[r] : w.first[r + 1]]
-            for a in range(-index.span, len(h), index.span):
-                at = np.isin(index.terms, h[max(a, 0) : a + 2 * index.span])
-                for i, s in enumerate(index.weights[at].sum(axis=0)):
-                    if s >= threshold:
-                        want[r, i] = max(s, want.get((r, i), 0))
+        want = exhaustive(index, w, threshold)
         near = {k for k, s in want.items() if s >= threshold + 1e-5}
         assert near <= got.keys() and all(np.isclose(got[k], want[k], atol=1e-4) for k in near)
+        assert all(s >= threshold - 1e-4 for s in got.values())
 
 
 def test_leaks_are_found_and_clean_texts_left(spark):
@@ -198,8 +210,11 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, decontaminate.build(bench)).collect()}
     assert got == {(i, i) for i in range(12)}
     assert decontaminate.find_leaks(df, decontaminate.build(bench.where("false"))).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.build(bench, max_items=3)
+    parts = decontaminate.build(bench, part_bytes=400)
+    assert len(parts) > 2 and {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, parts).collect()} == got
+    named = bench.select(F.when(F.col("item_id") > 0, F.concat(F.lit("i"), "item_id")).alias("item_id"), "text")  # text ids, one of them null
+    found = decontaminate.find_leaks(df.withColumn("doc_id", F.col("doc_id").cast("string")), decontaminate.build(named)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(str(i), f"i{i}" if i else None) for i in range(12)}
 
 
 # --- mixing ---

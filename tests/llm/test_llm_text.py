@@ -206,15 +206,26 @@ def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "plain", "", None, "a\nb", "<<||", "\\<|", "<\\\\\\|im_start|>"]
     turns = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(nasty)] + [(2, 0, "user", "q"), (2, 1, None, "odd"), (3, 0, "we\nird\\n<|role", "x"), (None, 0, "assistant", "n"), (4, None, "user", "first"), (4, 0, "assistant", "r"), (4, 0, "assistant", "r")]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.conv_id: r for r in chat.expand(df).select("conv_id", "examples", chat.parse(F.element_at("examples", -1)["text"]).alias("turns")).collect()}
+    got: dict = {}
+    for r in chat.expand(df).withColumn("turns", chat.parse(F.col("text"))).orderBy("conv_id", "example").collect():
+        got.setdefault(r.conv_id, []).append(r)
     for conv in (1, 2, 3, None, 4):
         own = sorted(((t[1] if t[1] is not None else -1, t[2] or "", t[3] or "") for t in turns if t[0] == conv))
-        assert [(t.role, t.text) for t in got[conv].turns] == [(r, t) for _, r, t in own]
-        replies = [t for _, r, t in own if r == "assistant"]
-        trained = [e.text[e.loss_start : e.loss_end] for e in got[conv].examples if e.loss_end < len(e.text)]
-        assert [re.sub(r"<\\(\\*)\|", r"<\1|", t) for t in trained] == replies
+        assert [(t.role, t.text) for t in got[conv][-1].turns] == [(r, t) for _, r, t in own]
+        assert [e.example for e in got[conv]] == list(range(got[conv][0].of))
+        replies = [i for i, (_, r, _) in enumerate(own) if r == "assistant"]
+        trained = [e.text[e.loss_start : e.loss_end] for e in got[conv] if e.loss_end < len(e.text)]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", t) for t in trained] == [own[i][2] for i in replies]
         assert all(chat.OPEN not in t and chat.CLOSE not in t for t in trained)
-    assert len(got[1].examples) == 5 and len(got[2].examples) == 1
+        assert [len(e.turns) for e in got[conv]] == [i + 1 for i in replies if i + 1 < len(own)] + [len(own)]  # all turns before each reply
+    assert len(got[1]) == 5 and len(got[2]) == 1
+
+
+def test_a_long_conversation_is_many_rows(spark):
+    n, text = 1200, "some words " * 30
+    df = spark.range(n).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.lit(text).alias("text"))
+    r = chat.expand(df).agg(F.count("*"), F.max(F.length("text")), F.sum(F.col("loss_end") - F.col("loss_start"))).first()
+    assert r[0] == n // 2 and r[2] == n // 2 * len(text) and r[1] < n * (len(text) + 40)
 
 
 @pytest.mark.parametrize("rows", [ODD, []])

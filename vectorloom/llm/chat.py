@@ -35,35 +35,32 @@ def _unescape_role(role: Column) -> Column:
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id and its examples, in order.
-
-    An example has ``text`` (the formatted turns), ``loss_start`` and
-    ``loss_end`` (code points of text that are trainable, the escaped reply;
-    both equal the length where nothing is) .  Turns sort by turn, then role and
-    text; null turns come first.  A null role or text counts as empty.  Rows
-    with a null conv_id are one conversation.  Repeated rows are repeated turns;
-    other columns are ignored; an empty table gives an empty result.  The
-    examples of a conversation grow with the square of its length: that is what
-    the expansion is, and each conversation is one row.
+    """One row per example: conv_id, example (from 0), of, text, loss_start, loss_end.
+
+    ``of`` is how many examples the conversation has, ``text`` the formatted
+    turns up to the example's own, ``loss_start`` and ``loss_end`` the code points
+    of text that are trainable, which is the escaped reply; both equal the length
+    where nothing is.  The last example holds every turn.
+
+    Turns sort by turn, then role and text; null turns come first.  A null role
+    or text counts as empty.  Rows with a null conv_id are one conversation, as
+    in a GROUP BY.  Repeated rows are repeated turns; other columns are ignored;
+    an empty table gives an empty result.  A row is as long as its conversation
+    up to that turn, so all rows together grow with the square of the turns:
+    that is what the expansion is.
     """
     kept = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     whole = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     piece = F.transform("turns", lambda t: F.concat(F.lit(OPEN), _escape_role(t.role), F.lit("\n"), escape(t.text), F.lit(CLOSE + "\n")))
-    sizes = F.transform("turns", lambda t: F.length(escape(t.text)))
-    staged = whole.select("conv_id", "turns", piece.alias("pieces"), sizes.alias("sizes"))
-    n = F.size("turns")
-    last = F.array_max(F.transform("turns", lambda t, i: F.when(t.role == "assistant", i)))
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get("turns", i).getField("role") == "assistant") | ((i == n - 1) & (F.coalesce(last, F.lit(-1)) < i)))
-    tail = len(CLOSE) + 1
-
-    def example(i: Column) -> Column:
-        text = F.array_join(F.slice("pieces", 1, i + 1), "")
-        trains = F.get("turns", i).getField("role") == "assistant"
-        end = F.length(text) - F.when(trains, tail).otherwise(0)
-        start = end - F.when(trains, F.get("sizes", i)).otherwise(0)
-        return F.struct(text.alias("text"), start.cast("bigint").alias("loss_start"), end.cast("bigint").alias("loss_end"))
-
-    return staged.select("conv_id", F.transform(at, example).alias("examples"))
+    # code points of the reply of an assistant's turn, null of others
+    reply = F.transform("turns", lambda t: F.when(t.role == "assistant", F.length(escape(t.text))))
+    staged = whole.select("conv_id", piece.alias("pieces"), reply.alias("replies"))
+    n = F.size("replies")
+    targets = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("replies", i).isNotNull() | (i == n - 1))
+    each = staged.select("conv_id", "pieces", "replies", F.size(targets).alias("of"), F.posexplode(targets).alias("example", "at"))
+    made = each.select("conv_id", "example", "of", F.array_join(F.slice("pieces", F.lit(1), F.col("at") + 1), "").alias("text"), F.get("replies", F.col("at")).alias("reply"))
+    end = F.length("text") - F.when(F.col("reply").isNotNull(), len(CLOSE) + 1).otherwise(0)
+    return made.select("conv_id", "example", "of", "text", (end - F.coalesce("reply", F.lit(0))).cast("bigint").alias("loss_start"), end.cast("bigint").alias("loss_end"))
 
 
 def parse(text: Column) -> Column:

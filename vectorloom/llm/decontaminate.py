@@ -1,38 +1,58 @@
-"""Benchmark decontamination by BM25 with block-max pruning, then overlap checks.
+"""Benchmark decontamination: a BM25 inverted index, block-max WAND, then overlap checks.
 
 The benchmark's items are the indexed documents and every training passage is a
-query.  Items lie in blocks; each term keeps its largest contribution per block.
-A passage opens a block only if the sum of those bounds reaches the threshold,
-and scores the items of open blocks exactly, so every item above the threshold
-is found.  Question and answer of a found item are then looked for in the text.
+query.  Posting lists keep items in document order, cut into blocks of which each
+list knows its largest contribution.
+
+A passage's blocks are bounded first: the block maxima of its lists are added up
+over all blocks in which they have postings, and blocks whose sum stays below the
+threshold are skipped.  In the others the lists are walked in document order: the
+pivot is the first item at which the maxima of the lists up to it reach the
+threshold, lists skip to it, and only pivots are scored.  So every item above the
+threshold is found.  Question and answer of a found item are then looked for in
+the text.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vectorloom.llm.bytehash import LOWER, Prefix, Words, buffers, mix, words
-from vectorloom.llm.common import chunks
+from vectorloom.llm.common import chunks, lean_workers
 
-BLOCK = 8
+#: Items of a block of a posting list.
+BLOCK = 4
 SHINGLE = 5
+#: Bytes of benchmark text in one part of the index; every part is sent to all tasks.
+PART_BYTES = 4 << 20
+#: Block maxima that are added up at a time.
+HELD = 1 << 20
 _TABLE_BITS = 18
 
 
 class Index(NamedTuple):
-    """Inverted index of a benchmark; weights are shares of an item's own score."""
+    """A part of the inverted index; weights are shares of an item's own score."""
 
-    items: np.ndarray  # item ids
+    items: list  # item ids, in document order
+    kind: T.DataType  # of the ids
     terms: np.ndarray  # sorted hashes of terms
     table: np.ndarray  # slot of a hash -> first term that falls there
-    bounds: np.ndarray  # terms x blocks: largest weight
-    weights: np.ndarray  # terms x items
+    first: np.ndarray  # first block of each term's list, and the total
+    block: np.ndarray  # block numbers, ascending within a list
+    most: np.ndarray  # largest weight of the list in the block
+    begin: np.ndarray  # first posting of each block, and the total
+    item: np.ndarray  # postings: places of items, ascending within a list
+    weight: np.ndarray  # postings: contribution to the item
     parts: list[tuple[np.ndarray, np.ndarray]]  # shingles of question and answer
     span: int  # words of a passage's stride
 
@@ -67,42 +87,65 @@ def _grams(w: Words, a: int, b: int, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def build(benchmark: DataFrame, max_items: int = 200_000, k1: float = 1.2, b: float = 0.75) -> Index | None:
-    """Indexes the benchmark: item_id and text; None if it has no text with a word.
+def build(benchmark: DataFrame, part_bytes: int = PART_BYTES, k1: float = 1.2, b: float = 0.75) -> list[Index]:
+    """Indexes the benchmark (item_id, text) in parts; none if it has no text with a word.
+
+    Frequencies of terms and the mean length are counted over all items by Spark.
+    The driver and every task hold one part at a time, about ``part_bytes`` of
+    items; a larger benchmark has more parts, each searched in full.
 
-    The index is sent to every task, so the benchmark's size is checked first: more
-    than ``max_items`` items are an error, not a silent cut.  Split the benchmark
-    then and unite the results.
+    item_id may be of any type and null; items repeated in full are one, and texts
+    that share an id are items of their own.
     """
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().limit(max_items + 1).toPandas()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} items; index it in parts")
-    texts = rows["text"].tolist()
+    kind = benchmark.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("item_id", kind), *T.StructType.fromDDL("text string, n bigint, terms array<bigint>").fields])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = tokens(batch.column("text"))
+            sets = [np.unique(w.hash[a:z]).view(np.int64) for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(np.diff(w.first), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+
+    whole = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().mapInArrow(split, schema).where("n > 0")
+    count, mean, longest, held = whole.agg(F.count("*"), F.avg("n"), F.max("n"), F.sum(F.octet_length("text"))).first()
+    if not count:
+        return []
+    parts = -(-held // part_bytes)
+    frequency = whole.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    out = []
+    for part in range(parts):
+        own = whole.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(parts)) == part)
+        df = own.select(F.explode("terms").alias("term")).distinct().join(frequency, "term").toPandas()
+        rows = own.select("item_id", "text").collect()
+        if rows:
+            at = np.argsort(df["term"].to_numpy(np.int64).view(np.uint64))
+            out.append(_part([r.item_id for r in rows], [r.text for r in rows], kind, df["df"].to_numpy(np.int64)[at], count, mean, int(max(32, longest)), k1, b))
+    return out
+
+
+def _part(ids: list, texts: list[str], kind: T.DataType, df: np.ndarray, count: int, mean: float, span: int, k1: float, b: float) -> Index:
+    """The index of some items, given the frequencies of their terms in order of hash."""
+    order = sorted(range(len(ids)), key=lambda i: (-len(texts[i]), texts[i], str(ids[i])))  # like lengths share a block, which tightens bounds
+    ids, texts = [ids[i] for i in order], [texts[i] for i in order]
     w = tokens(pa.array(texts, pa.string()))
-    sizes = np.diff(w.first) if len(texts) else np.zeros(0, int)
-    keep = np.flatnonzero(sizes)
-    if not len(keep):
-        return None
-    keep = keep[np.argsort(-sizes[keep], kind="stable")]  # like lengths share a block, which tightens bounds
+    sizes = np.diff(w.first)
     terms, which = np.unique(w.hash, return_inverse=True)
-    tf = np.zeros((len(terms), len(keep)), dtype=np.float32)
-    for j, r in enumerate(keep):
-        np.add.at(tf[:, j], which[w.first[r] : w.first[r + 1]], 1)
-    df = (tf > 0).sum(axis=1)
-    idf = np.log(1 + (len(keep) - df + 0.5) / (df + 0.5))
-    norm = k1 * (1 - b + b * sizes[keep] / sizes[keep].mean())
-    weights = idf[:, None] * tf * (k1 + 1) / (tf + norm[None, :])
-    weights = (weights / weights.sum(axis=0, keepdims=True)).astype(np.float32)
-    pad = -len(keep) % BLOCK
-    bounds = np.pad(weights, ((0, 0), (0, pad))).reshape(len(terms), -1, BLOCK).max(axis=2)
+    key, tf = np.unique(which.astype(np.int64) * len(ids) + w.row, return_counts=True)  # by term, then item
+    term, item = key // len(ids), key % len(ids)
+    idf = np.log(1 + (count - df + 0.5) / (df + 0.5))[term]
+    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[item] / mean))
+    weight = (weight / np.bincount(item, weights=weight)[item]).astype(np.float32)
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)
+    begin = np.flatnonzero(new)
     parts = []
-    for r in keep:
+    for r, text in enumerate(texts):
         a, z = int(w.first[r]), int(w.first[r + 1])
-        cut = _answer_start(texts[r], z - a) + a
+        cut = _answer_start(text, z - a) + a
         parts.append((_grams(w, a, cut), _grams(w, cut, z)))
     table = np.zeros(1 << _TABLE_BITS, dtype=np.int32)
     table[(terms[::-1] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = np.arange(len(terms), 0, -1)
-    return Index(rows["item_id"].to_numpy()[keep], terms, table, bounds, weights, parts, int(max(32, sizes.max())))
+    return Index(ids, kind, terms, table, np.searchsorted(term[begin], np.arange(len(terms) + 1)), item[begin] // BLOCK, np.maximum.reduceat(weight, begin), np.append(begin, len(key)), item, weight, parts, span)
 
 
 def _answer_start(text: str, n: int) -> int:
@@ -129,8 +172,40 @@ def _lookup(index: Index, h: np.ndarray) -> np.ndarray:
     return found
 
 
+def walk(lists: list[tuple[float, list[int], list[float]]], threshold: float) -> list[tuple[int, float]]:
+    """Items of a block that reach the threshold, by pivots, and their scores.
+
+    Each list has its maximum in the block, its items in order and their weights.
+    """
+    at = [0] * len(lists)
+    found = []
+    while True:
+        live = sorted((items[at[i]], i) for i, (_, items, _) in enumerate(lists) if at[i] < len(items))
+        bound, pivot = 0.0, -1
+        for item, i in live:
+            bound += lists[i][0]
+            if bound >= threshold - 1e-4:
+                pivot = item
+                break
+        if pivot < 0:
+            return found
+        if live[0][0] == pivot:
+            on = [i for item, i in live if item == pivot]
+            score = sum(lists[i][2][at[i]] for i in on)
+            if score >= threshold - 1e-6:
+                found.append((pivot, score))
+            for i in on:
+                at[i] += 1
+        else:
+            for item, i in live:
+                if item >= pivot:
+                    break
+                while at[i] < len(lists[i][1]) and lists[i][1][at[i]] < pivot:
+                    at[i] += 1
+
+
 def candidates(index: Index, w: Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, items and best scores over passages that reach the threshold.
+    """Rows, items and scores of passages that reach the threshold.
 
     Passages are windows of twice ``span`` words that start every ``span`` words of a
     text, so a copy of any item lies inside one of them.
@@ -148,25 +223,43 @@ def candidates(index: Index, w: Words, threshold: float) -> tuple[np.ndarray, np
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (term[1:] != term[:-1])
     key, term = key[new], term[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(start, len(key)))
-    rows, items, scores = [], [], []
-    for a in range(0, len(start), 4096):  # some passages at a time: bounds are terms x blocks
-        own = start[a : a + 4096]
-        z = own[-1] + size[a + len(own) - 1]
-        bound = np.add.reduceat(index.bounds[term[own[0] : z]], own - own[0], axis=0)
-        p, block = np.nonzero(bound >= threshold - 1e-4)
-        for i, k in zip(p.tolist(), block.tolist(), strict=True):
-            s = own[i]
-            exact = index.weights[term[s : s + size[a + i]], k * BLOCK : (k + 1) * BLOCK].sum(axis=0)
-            for j in np.flatnonzero(exact >= threshold - 1e-6).tolist():
-                rows.append(key[s] >> 32)
-                items.append(k * BLOCK + j)
-                scores.append(exact[j])
+    fresh = np.ones(len(key), dtype=bool)
+    fresh[1:] = key[1:] != key[:-1]
+    passage = np.cumsum(fresh) - 1
+    key = key[fresh]
+    many = np.diff(index.first)[term]  # blocks of each list
+    upto = np.cumsum(np.bincount(passage, weights=many, minlength=len(key)))
+    wide = int(index.block.max()) + 1
+    group = np.maximum(upto.astype(np.int64) // HELD, np.arange(len(key)) * wide // (4 * HELD))  # passages that are bounded together
+    cuts = np.searchsorted(group, np.arange(int(group[-1]) + 2))
+    rows: list[int] = []
+    items: list[int] = []
+    scores: list[float] = []
+    for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if p == q:
+            continue
+        a, z = np.searchsorted(passage, [p, q])
+        n = many[a:z]
+        entry = np.repeat(index.first[term[a:z]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = np.repeat(passage[a:z] - p, n) * wide + index.block[entry]
+        opened = np.bincount(cell, weights=index.most[entry], minlength=(q - p) * wide) >= threshold - 1e-4
+        keep = opened[cell]
+        entry, cell = entry[keep], cell[keep]
+        order = np.argsort(cell, kind="stable")
+        entry, cell = entry[order], cell[order]
+        first, last = index.begin[entry].tolist(), index.begin[entry + 1].tolist()
+        most = index.most[entry].tolist()
+        start = np.flatnonzero(np.diff(cell, prepend=-1, append=-1)).tolist()
+        for i, j in itertools.pairwise(start):
+            lists = [(most[e], index.item[first[e] : last[e]].tolist(), index.weight[first[e] : last[e]].tolist()) for e in range(i, j)]
+            for item, score in walk(lists, threshold):
+                rows.append(int(key[p + cell[i] // wide]) >> 32)
+                items.append(item)
+                scores.append(score)
     return np.array(rows, np.int64), np.array(items, np.int64), np.array(scores, np.float64)
 
 
-def find_leaks(docs: DataFrame, index: Index | None, threshold: float = 0.5, overlap: float = 0.75) -> DataFrame:
+def find_leaks(docs: DataFrame, index: list[Index], threshold: float = 0.5, overlap: float = 0.75) -> DataFrame:
     """Benchmark items that stand in documents: doc_id, item_id, score, question_overlap, answer_overlap.
 
     One row per document and item whose best passage has ``threshold`` or more of
@@ -176,17 +269,28 @@ def find_leaks(docs: DataFrame, index: Index | None, threshold: float = 0.5, ove
     third.  Case of A-Z is ignored.
 
     Null and empty texts match nothing; neither do items without a word.  Repeated
-    rows give repeated results, a null doc_id stays null, other columns are
-    ignored, and an empty table or benchmark gives an empty result.  Whole texts
-    are queried, passage by passage.
+    rows give repeated results, a null doc_id or item_id stays null, both keep
+    their types, other columns are ignored, and an empty table or benchmark gives
+    an empty result.  Whole texts are queried, passage by passage; documents are
+    read once for every part of the index.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # the size is checked in build()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = index[0].kind if index else T.LongType()
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", kind), *T.StructType.fromDDL("score double, question_overlap double, answer_overlap double").fields])
+    if not index:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [_search(docs, part, schema, threshold, overlap) for part in index])
+
+
+def _search(docs: DataFrame, index: Index, schema: T.StructType, threshold: float, overlap: float) -> DataFrame:
+    """find_leaks for one part of the index."""
+    lean_workers(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # of a part, whose size build() bounds
+    kind = to_arrow_type(index.kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            for part in chunks(batch, "text") if ix else ():
+            for part in chunks(batch, "text"):
                 w = tokens(part.column("text"))
                 best: dict[tuple[int, int], float] = {}
                 for r, i, s in zip(*(x.tolist() for x in candidates(ix, w, threshold)), strict=True):
@@ -201,6 +305,6 @@ def find_leaks(docs: DataFrame, index: Index | None, threshold: float = 0.5, ove
                         out.append((r, ix.items[i], min(s, 1.0), *shares))
                 if out:
                     columns = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(columns[0])), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(columns[0])), pa.array(columns[1], kind), *(pa.array(c, pa.float64()) for c in columns[2:])], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id bigint, score double, question_overlap double, answer_overlap double")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom.llm.bytehash import buffers, mix, shingles, words
-from vectorloom.llm.common import chunks, materialise, semi
+from vectorloom.llm.common import chunks, lean_workers, materialise, semi
 from vectorloom.llm.components import connect
 
 #: Bytes of text whose n-grams make up one fragment, and bytes of n-grams of one fragment of a comparison.
@@ -41,7 +41,7 @@ FRAGMENTS, TASK_PAIRS = 4, 1 << 20
 #: Rounds in which every set meets one partner before all pairs are looked at.
 ROUNDS = 3
 #: n-grams that a task collects before it sends them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Stands for a null doc_id, which counts as smaller than any other.
 NO_ID = -(1 << 63)
 
@@ -442,6 +442,7 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.75) -> DataFra
 
 
 def _similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    lean_workers(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), "text")
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     fragments = max(4, -(-(held or 0) // FRAGMENT_BYTES))

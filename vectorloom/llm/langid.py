@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom.llm.bytehash import buffers, words
-from vectorloom.llm.common import chunks
+from vectorloom.llm.common import chunks, lean_workers
 
 #: Buckets that n-grams are hashed to; a model is languages x BUCKETS numbers.
 BUCKETS = 1 << 16
@@ -132,6 +132,9 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
     picked by a hash of their text.  Tasks count n-grams; what reaches the driver
     is languages x BUCKETS counts, however many documents there are.
     """
+
+    lean_workers(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         used: dict[str, dict[int, int]] = {}
@@ -235,6 +238,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     empty table gives an empty result.  ``carry`` names columns to put before the
     result instead of doc_id.
     """
+    lean_workers(docs.sparkSession)
     spark = docs.sparkSession
     carried = docs.select(*(carry or ["doc_id"]))
     carried_names = carried.columns

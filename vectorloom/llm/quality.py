@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.bytehash import Prefix, buffers, words
-from vectorloom.llm.common import chunks
+from vectorloom.llm.common import chunks, lean_workers
 
 FEATURES = 16
 #: The calibrated score at which training documents are told apart best.
@@ -196,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000) -> Model | Non
     larger.  The sample is picked by a hash of doc_id, and only line features of
     the sample reach the driver.  None if there is no labelled text.
     """
+    lean_workers(docs.sparkSession)
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = marks.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1 << 20, -(-fit_docs << 20) // max(total, 1))
@@ -244,5 +245,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 per_line = pa.ListArray.from_arrays(pa.array(lines.first, pa.int32()), pa.array(good.astype(np.float32), pa.float32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, pa.float64()), per_line], ["doc_id", "score", "line_good"])
 
+    lean_workers(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, line_good array<float>")

@@ -66,17 +66,15 @@ def op8_chat_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
     added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], given.schema)
-    done = chat.expand(given.unionByName(added)).select("conv_id", "examples", chat.parse(F.element_at("examples", -1)["text"]).alias("turns"))
-    trained = F.array_join(F.transform("examples", lambda e: chat.unescape(F.substring(e.text, e.loss_start.cast("int") + 1, (e.loss_end - e.loss_start).cast("int")))), "")
+    examples = chat.expand(given.unionByName(added))
+    turns = chat.parse(F.when(F.col("example") == F.col("of") - 1, F.col("text")))  # the last example holds every turn
+    trained = chat.unescape(F.substring("text", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    read = examples.select("conv_id", "example", turns.alias("turns"), trained.alias("trained"), F.length("text").cast("bigint").alias("chars"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    return done.select(
-        "conv_id",
-        F.size("turns").cast("bigint").alias("n_turns"),
-        F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(trained).cast("bigint").alias("loss_chars"),
-        F.sha2(trained, 256).alias("loss_sha256"),
-        F.aggregate("examples", F.lit(0).cast("bigint"), lambda a, e: a + F.length(e.text)).alias("formatted_chars"),
-    )
+    told = read.select("conv_id", "chars", F.struct("example", "trained").alias("loss"), F.when(F.col("turns").isNotNull(), F.struct(F.size("turns").cast("bigint").alias("n"), F.sha2(whole, 256).alias("sha256"))).alias("turns"))
+    met = told.groupBy("conv_id").agg(F.sum("chars").alias("formatted_chars"), F.sort_array(F.collect_list("loss")).alias("loss"), F.element_at(F.collect_list("turns"), 1).alias("turns"))
+    loss = F.array_join(F.col("loss.trained"), "")
+    return met.select("conv_id", F.col("turns.n").alias("n_turns"), F.col("turns.sha256").alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vectorloom.llm.common import lean_workers
+
 #: Kinds in the order in which spans at the same place are listed.
 KINDS = ("assign", "access", "hex", "crc62", "bech32", "base58")
 BASE_KINDS = KINDS[:3]
@@ -134,6 +136,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    lean_workers(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom.llm.bytehash import Prefix, buffers, mix
-from vectorloom.llm.common import chunks, materialise, semi
+from vectorloom.llm.common import chunks, lean_workers, materialise, semi
 
 #: Bytes of a gram of the first digit.
 GRAM = 64
@@ -200,6 +200,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     empty table gives an empty result.  Strings are compared by 64-bit hashes, and
     a row is known by the hash of its id and text.
     """
+    lean_workers(docs.sparkSession)
     if not GRAM <= width < GRAM + 250:
         raise ValueError(f"width must be from {GRAM} to {GRAM + 249}")
     body = F.coalesce(F.col("text"), F.lit(""))
