@@ -289,6 +289,10 @@ def test_shards_are_even_and_ordered(spark):
     order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.curve for r in order] == sorted(r.curve for r in got)
     assert sharding.shard_by_curve(rows.where("false"), [sharding.level(F.col("a"))], ["doc_id"], 24).count() == 0
+    clash = rows.selectExpr("*", "doc_id AS cells", "'x' AS curve", "1 AS shard", "2 AS _n", "a AS _part")
+    again = sharding.shard_by_curve(clash, [sharding.level(F.col("a")), sharding.label_cell(F.col("doc_id") % 3)], ["doc_id"], 24)
+    assert sorted(again.columns) == sorted([*rows.columns, "cells", "curve", "shard", "_n", "_part", "slot"])
+    assert Counter((r.doc_id, r.curve, r.shard) for r in again.collect()) == Counter((r.doc_id, r.curve, r.shard) for r in got)
     few = sharding.shard_by_curve(rows.limit(3), [sharding.level(F.col("a"))], ["doc_id"], 24).collect()
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
 
@@ -337,6 +341,16 @@ def test_shard_query(spark):
     assert all(r.size == len(docs[r.doc_id].text.encode()) + 8 and r.text_crc32 == zlib.crc32(docs[r.doc_id].text.encode()) for r in got)
 
 
+def test_shards_can_be_pruned(spark):
+    """Readers of one source skip most shards, which they could not if rows were dealt at random."""
+    got = q.op7_curve_shards(spark, DATA.replace("0.001", "0.1"))
+    docs = q.table(spark, DATA.replace("0.001", "0.1"), "documents").select("doc_id", "source", "lang")
+    per = got.join(docs, "doc_id").groupBy("source").agg(F.countDistinct("shard").alias("shards"), F.count("*").alias("n")).collect()
+    large = [r.shards for r in per if r.n >= 200]  # dealt at random, nearly all would stand in all 24
+    print("shards of each source", sorted(large))
+    assert large and np.mean(large) <= 15
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     start = {r.doc_id: r for r in docs.collect()}

@@ -189,6 +189,28 @@ def test_marginals_match_enumeration():
     assert np.allclose(good, want) and np.allclose(pairs, seen)
 
 
+def test_quality_slopes_match_a_numeric_gradient():
+    import itertools
+
+    draw = np.random.default_rng(7)
+    first = np.array([0, 1, 4, 6, 10])
+    x, y = draw.normal(size=(10, 3)), draw.integers(0, 2, 10).astype(float)
+    weight = np.repeat(draw.uniform(0.2, 2, 4), np.diff(first))
+
+    def loss(v):
+        w, trans = v[:3], v[3:].reshape(2, 2)
+        total = 0.0
+        for a, b in zip(first[:-1], first[1:]):
+            of = lambda p: sum(x[a + i] @ w * l for i, l in enumerate(p)) + sum(trans[int(q), int(r)] for q, r in zip(p, p[1:]))  # noqa: B023, E731
+            total -= weight[a] * (of(y[a:b]) - np.log(sum(np.exp(of(p)) for p in itertools.product((0, 1), repeat=b - a))))
+        return total / weight.sum() + quality.PENALTY / 2 * (v**2).sum()
+
+    v = draw.normal(size=7)
+    want = [(loss(v + h) - loss(v - h)) / 2e-5 for h in np.eye(7) * 1e-5]
+    got = quality.slopes(v[:3], v[3:].reshape(2, 2), x, first, y, weight)
+    assert np.allclose(np.concatenate([got[0], got[1].ravel()]), want, atol=1e-6)
+
+
 def test_quality_tells_junk_from_prose_and_scores_everything(spark):
     good = "The and of thing was with that.\nIt is on the other side of them, as before.\n"
     bad = "word### thing*** of$$$ the%%%\nbuy | now | here | more\n"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -9,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir.
-OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows of 8-byte ids up to which a set of them is broadcast; beyond, a shuffle join is used.
 BROADCAST_IDS = 500_000
 #: Bytes of text that a task turns into numpy arrays at a time.
@@ -21,9 +21,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a session of one machine uses a temporary folder; on a
+    cluster that is an error, since every machine would have its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else OWN_CHECKPOINT_DIR
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/vectorloom-{spark.sparkContext.applicationId}"
 
 
 def lean_workers(spark: SparkSession) -> None:
@@ -37,13 +45,34 @@ def lean_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment.setdefault(name, value)
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+_SCOPES: list[list[str]] = []  # tables to delete when a scope of scratch() ends
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what materialise() writes inside, unless it says to keep it.
+
+    A result that is returned must not read such tables.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage.
 
     Lost executors cost nothing that was written.  Several later uses read the
-    files instead of running the plan again.
+    files instead of running the plan again.  Inside scratch() the table goes when
+    the scope ends, unless it is to be kept.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

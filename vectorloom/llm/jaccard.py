@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectorloom.llm.bytehash import buffers, mix, shingles, words
-from vectorloom.llm.common import chunks, lean_workers, materialise, semi
+from vectorloom.llm.common import chunks, lean_workers, materialise, scratch, semi
 from vectorloom.llm.components import connect
 
 #: Bytes of text whose n-grams make up one fragment, and bytes of n-grams of one fragment of a comparison.
@@ -446,18 +446,19 @@ def _similar(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"), "text")
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     fragments = max(4, -(-(held or 0) // FRAGMENT_BYTES))
-    counted = materialise(_count(texts, fragments, size), "jaccard-counted")
-    info = counted.where("kind = 0").select("id", "node", "n")
-    suspects = materialise(_suspects(counted, fragments, similarity), "jaccard-suspects")
-    sets = materialise(_ordered(texts, suspects, size, similarity), "jaccard-sets")
-    classes = links(sets, similarity)
-    nodes = info.where("n > 0").groupBy("node").agg(F.min("id").alias("component"))
-    if classes is not None:
-        # written before they are joined, so that a class or a set of very many documents can be split
-        rooted = materialise(nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
-        least = materialise(rooted.groupBy("root").agg(F.min("component").alias("component")), "jaccard-classes")
-        nodes = rooted.select("node", "root").join(least, "root").select("node", "component")
-    nodes = materialise(nodes, "jaccard-nodes")
+    with scratch(docs.sparkSession):
+        counted = materialise(_count(texts, fragments, size), "jaccard-counted", keep=True)
+        info = counted.where("kind = 0").select("id", "node", "n")
+        suspects = materialise(_suspects(counted, fragments, similarity), "jaccard-suspects")
+        sets = materialise(_ordered(texts, suspects, size, similarity), "jaccard-sets")
+        classes = links(sets, similarity)
+        nodes = info.where("n > 0").groupBy("node").agg(F.min("id").alias("component"))
+        if classes is not None:
+            # written before they are joined, so that a class or a set of very many documents can be split
+            rooted = materialise(nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-rooted")
+            least = materialise(rooted.groupBy("root").agg(F.min("component").alias("component")), "jaccard-classes")
+            nodes = rooted.select("node", "root").join(least, "root").select("node", "component")
+        nodes = materialise(nodes, "jaccard-nodes", keep=True)
     named = info.where("n > 0").join(nodes, "node").select("id", "n", "component").unionByName(info.where("n = 0").select("id", "n", F.col("id").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return named.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))

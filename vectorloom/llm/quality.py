@@ -23,6 +23,8 @@ from vectorloom.llm.common import chunks, lean_workers
 FEATURES = 16
 #: The calibrated score at which training documents are told apart best.
 CUT = 0.3
+#: Weight of the squared penalty on weights and transitions.
+PENALTY = 1e-3
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 1 lower, 2 upper, 4 digit, 8 symbol, 16 sentence mark, 32 other punctuation
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 4
@@ -116,10 +118,11 @@ def _with_neighbours(lines: Lines) -> np.ndarray:
     return out
 
 
-def marginals(score: np.ndarray, transition: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(score: np.ndarray, transition: np.ndarray, first: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probability that each line is good, and the expected pairs of labels of neighbours.
 
-    ``score`` is the log odds of good per line.  Texts are swept side by side,
+    ``score`` is the log odds of good per line; ``weight``, if given, is that of
+    each line's text among the pairs.  Texts are swept side by side,
     line by line, longest first, in log space.
     """
     sizes = np.diff(first)
@@ -143,31 +146,41 @@ def marginals(score: np.ndarray, transition: np.ndarray, first: np.ndarray) -> t
     at = np.flatnonzero(later)
     pair = forward[at - 1][:, :, None] + transition + (unary[at] + backward[at])[:, None, :]
     pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True)) if len(at) else np.zeros((0, 2, 2))
-    return good, (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(at) else np.zeros((2, 2))
+    if not len(at):
+        return good, np.zeros((2, 2))
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return good, (pair if weight is None else pair * weight[at][:, None, None]).sum(axis=0)
 
 
 def _text_means(good: np.ndarray, lines: Lines) -> np.ndarray:
     return np.add.reduceat(good * lines.weight, lines.first[:-1]) / np.add.reduceat(lines.weight, lines.first[:-1])
 
 
+def slopes(w: np.ndarray, transition: np.ndarray, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the weighted mean negative log likelihood of labels y, with its penalties.
+
+    ``weight`` is that of each line's text; features and transitions weigh alike.
+    """
+    good, pairs = marginals(x @ w, transition, first, weight)
+    later = np.ones(len(y), dtype=bool)
+    later[first[:-1]] = False
+    at = np.flatnonzero(later)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), weight[at])
+    return x.T @ ((good - y) * weight) / weight.sum() + PENALTY * w, (pairs - seen) / weight.sum() + PENALTY * transition
+
+
 def train(lines: Lines, label: np.ndarray, steps: int = 150) -> Model:
     """Fits the field to labels of whole texts, which their lines inherit, by Adam."""
     x, rows = _with_neighbours(lines), np.diff(lines.first)
     y = np.repeat(label, rows).astype(np.float64)
     share = np.clip(label.mean(), 0.02, 0.98)
-    importance = np.repeat(np.where(label > 0, 0.5 / share, 0.5 / (1 - share)) / np.sqrt(rows), rows)
-    later = np.ones(len(y), dtype=bool)
-    later[lines.first[:-1]] = False
-    at = np.flatnonzero(later)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
+    weight = np.repeat(np.where(label > 0, 0.5 / share, 0.5 / (1 - share)) / np.sqrt(rows), rows)
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m = [np.zeros_like(w), np.zeros_like(trans)]
     v = [np.zeros_like(w), np.zeros_like(trans)]
     for step in range(1, steps + 1):
-        good, pairs = marginals(x @ w, trans, lines.first)
-        slopes = [x.T @ ((good - y) * importance) / importance.sum() + 1e-4 * w, (pairs - seen) / max(len(y), 1) + 1e-2 * trans]
-        for i, (part, slope) in enumerate(zip((w, trans), slopes, strict=True)):
+        for i, (part, slope) in enumerate(zip((w, trans), slopes(w, trans, x, lines.first, y, weight), strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * slope
             v[i] = 0.99 * v[i] + 0.01 * slope**2
             part -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)

@@ -2,7 +2,8 @@
 
 One pass of an Aho-Corasick automaton over each text finds where a keyword
 stands.  A pattern of that keyword's kind is then matched at that place only,
-never searched for.  Kinds whose tokens embed a checksum (CRC-32 in base 62,
+never searched for.  Long hexadecimal runs have no keyword: they alone are
+searched for, by one expression over the text.  Kinds whose tokens embed a checksum (CRC-32 in base 62,
 Bech32, Base58Check) are reported only if it holds.
 """
 

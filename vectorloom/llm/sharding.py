@@ -55,22 +55,23 @@ def shard_by_curve(rows: DataFrame, dims: list[Column], keys: list[str], shards:
     from a range partitioning whose bounds fall inside runs of equal keys too, so
     one crowded cell spreads over tasks; each partition counts its rows, and only
     the counts meet.  Rows equal in every key share a fate up to their order.
-    An empty table gives an empty result; nulls sort first.
+    An empty table gives an empty result; nulls sort first.  Columns of rows named
+    curve, shard or slot, or with two leading underscores, give way to the result's.
     """
     cells = F.array(*[c.cast("bigint") for c in dims])
-    curve = rows.select("*", cells.alias("cells")).withColumn("curve", hilbert_index(len(dims))).drop("cells")
+    curve = rows.withColumn("__cells", cells).withColumn("curve", hilbert_index(len(dims), cells="__cells")).drop("__cells")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", *keys]
     ranged = checkpoint(curve.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    placed = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(every).alias("_total"))
-    ranks = placed.join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_at"))  # one row per partition
-    low, extra = F.floor(F.col("_total") / shards), F.col("_total") % shards
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(every).alias("__total"))
+    ranks = placed.join(F.broadcast(starts), "__part").withColumn("__rank", F.col("__start") + F.col("__at"))  # one row per partition
+    low, extra = F.floor(F.col("__total") / shards), F.col("__total") % shards
     edge = extra * (low + 1)
-    shard = F.when(F.col("_rank") < edge, F.floor(F.col("_rank") / (low + 1))).otherwise(extra + F.floor((F.col("_rank") - edge) / F.greatest(low, F.lit(1))))
+    shard = F.when(F.col("__rank") < edge, F.floor(F.col("__rank") / (low + 1))).otherwise(extra + F.floor((F.col("__rank") - edge) / F.greatest(low, F.lit(1))))
     ranks = ranks.withColumn("shard", shard.cast("int"))
     first = F.col("shard") * low + F.least(F.col("shard"), extra)
-    return ranks.withColumn("slot", (F.col("_rank") - first).cast("bigint")).drop("_part", "_at", "_start", "_total", "_rank")
+    return ranks.withColumn("slot", (F.col("__rank") - first).cast("bigint")).drop("__part", "__at", "__start", "__total", "__rank")
