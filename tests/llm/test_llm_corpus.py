@@ -146,7 +146,11 @@ def brute_repeats(rows, width):
     return sorted(out)
 
 
-def test_repeats_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("many, spread", [(1 << 14, 16), (3, 2)])
+def test_repeats_match_brute_force(spark, monkeypatch, many, spread):
+    monkeypatch.setattr(substrings, "MANY", many)
+    monkeypatch.setattr(substrings, "SPREAD", spread)
+    monkeypatch.setattr(substrings, "RUN_BYTES", 5000)
     monkeypatch.setattr(substrings, "PIECE", 700)
     monkeypatch.setattr(substrings, "FRAGMENT_BYTES", 4000)
     draw = np.random.default_rng(3)
@@ -160,6 +164,32 @@ def test_repeats_match_brute_force(spark, monkeypatch):
     assert substrings.remove_repeats(df.where("false")).count() == 0
 
 
+def test_a_phrase_of_very_many_texts(spark, monkeypatch):
+    """A phrase under the width amid differing text: no group of one task holds more than its share."""
+    monkeypatch.setattr(substrings, "MANY", 40)
+    monkeypatch.setattr(substrings, "FRAGMENT_BYTES", 20_000)
+    draw = np.random.default_rng(9)
+    phrase = sentences(draw, 36)[:150]
+    rows = [(i, f"{sentences(draw, 40)} {phrase} {sentences(draw, 40)}") for i in range(250)] + [(900 + i, f"{sentences(draw, 40)} <<{phrase}{phrase[::-1]}>>") for i in range(2)]
+    long = [substrings.first_digits(np.frombuffer(t.encode(), np.uint8), i, 200) for i, t in rows]
+    sent, _ = substrings.combine(np.concatenate(long))
+    per = Counter(substrings.fragment_of(sent, 64).tolist())
+    assert max(per.values()) <= 4 * len(sent) / 64
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_repeats(rows, 200) and sum(r[2] > 0 for r in got) == 2
+
+
+def test_windows_are_compared_by_their_bytes():
+    draw = np.random.default_rng(12)
+    data = np.frombuffer(bytes(draw.integers(97, 99, 600, dtype=np.uint8)) + b"b" * 300, np.uint8)
+    for width in (9, 16, 64, 70):
+        place = np.arange(len(data) - width + 1)
+        group = draw.integers(0, 3, len(place))
+        seen = Counter((g, data[a : a + width].tobytes()) for g, a in zip(group.tolist(), place.tolist()))
+        want = [seen[g, data[a : a + width].tobytes()] > 1 for g, a in zip(group.tolist(), place.tolist())]
+        assert substrings.equal_windows(group, place, data, width).tolist() == want
+
+
 # --- benchmark leaks ---
 
 

@@ -2,17 +2,25 @@
 
 Suffixes are ordered only through ``width`` bytes, by most-significant-digit
 passes; suffixes that are equal through all of them start a repeated window.
+Every pass drops suffixes that are alone with their digit.
 
-First digit.  A window's first digit is its least hash of ``width - GRAM + 1``
-overlapping byte grams, at whatever place in the window it stands, so suffixes
-side by side share one and a digit is sent once for all of them.  A digit that
-occurs once ends the matter for its suffixes.
+First digit.  Of a window's ``width - GRAM + 1`` overlapping byte grams, the one of
+least hash, at whatever place in the window it stands, so suffixes side by side
+share one and a digit is sent once for all of them: a stretch.  Digits that a batch
+sees in many different stretches repeat for certain; their stretches are dealt by
+themselves, so no task gathers them.
 
 Second digit.  The whole stretch of text under all windows of that digit.  Equal
 stretches repeat as a whole, and one of them goes on for the others.  Stretches
 that are equal inside one batch are combined before anything is sent.
 
-Last digit.  Only where stretches differ, the windows themselves.
+Third digit.  Only where stretches differ: a stretch is cut into runs of RUN windows
+by their distance from the gram, and the bytes that all windows of such a run
+share are the digit.
+
+Last digits.  The windows' own bytes, eight at a time, from their first to their
+last.  Where very many runs share the third digit, what is left of a window beside
+it (RUN - 1 bytes) is one digit, counted by a grouped sum.
 """
 
 from __future__ import annotations
@@ -35,9 +43,19 @@ GRAM = 64
 FRAGMENT_BYTES = 12 << 20
 #: Places that a text may have before its digits are taken piece by piece.
 PIECE = 1 << 20
+#: Windows of one run of the third digit.
+RUN = 32
+#: Different stretches of a digit in one batch from which on they are dealt by themselves.
+SPREAD = 16
+#: Runs of a third digit up to which one task orders them.
+MANY = 1 << 14
+#: Bytes of runs that one task orders.
+RUN_BYTES = 8 << 20
 
 _PLACE_BITS = np.uint64(21)
-_FIRST = np.dtype([("digit", "<u8"), ("stretch", "<u8"), ("row", "<i8"), ("start", "<i4"), ("span", "u1"), ("back", "u1"), ("many", "u1")])
+_FIRST = np.dtype([("digit", "<u8"), ("stretch", "<u8"), ("row", "<i8"), ("start", "<i4"), ("span", "u1"), ("back", "u1"), ("many", "u1"), ("kind", "u1")])
+#: Kinds of first digits: stretches, stretches dealt by themselves, and the mark of their digit.
+_PLAIN, _ALONE, _MARK = range(3)
 _DONE = np.dtype([("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _STRETCH = np.dtype([("start", "<i4"), ("span", "u1"), ("back", "u1"), ("open", "u1")])
 _RUN = np.dtype([("start", "<i4"), ("end", "<i4")])
@@ -82,7 +100,8 @@ def combine(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Stretches that occur twice or more among the records repeat whatever others
     hold; one of them is sent, marked, for the others.  Their windows become runs
     of records _DONE, joined where they touch, so repetitive text stays small and
-    no digit of it crowds a fragment.
+    no digit of it crowds a fragment.  Digits with SPREAD stretches or more send a
+    mark to the digit's own fragment, where other batches' stretches meet it.
     """
     r = r[np.lexsort((r["start"], r["row"], r["stretch"], r["digit"]))]
     new = np.ones(len(r), dtype=bool)
@@ -91,7 +110,14 @@ def combine(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     many = np.repeat(size > 1, size) if len(r) else np.zeros(0, bool)
     send = r[new]
     send["many"] = many[new]
-    return send, _runs(r[many]["row"], r[many]["start"].astype(np.int64), r[many]["start"].astype(np.int64) + r[many]["span"])
+    fresh = np.ones(len(send), dtype=bool)
+    fresh[1:] = send["digit"][1:] != send["digit"][:-1]
+    crowd = np.bincount(np.cumsum(fresh) - 1, minlength=0)
+    alone = np.repeat(crowd >= SPREAD, crowd) if len(send) else np.zeros(0, bool)
+    send["kind"][alone] = _ALONE
+    marks = send[alone & fresh]
+    marks["kind"] = _MARK
+    return np.concatenate([send, marks]), _runs(r[many]["row"], r[many]["start"].astype(np.int64), r[many]["start"].astype(np.int64) + r[many]["span"])
 
 
 def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -108,15 +134,15 @@ def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def fragment_of(digit: np.ndarray, fragments: int) -> np.ndarray:
-    """Fragments of digits; they are least hashes, so they are mixed again to spread evenly."""
-    return (mix(digit) >> np.uint64(32)).astype(np.int64) * fragments >> 32
+def fragment_of(r: np.ndarray, fragments: int) -> np.ndarray:
+    """Fragments of records; digits are least hashes, so they are mixed again to spread evenly."""
+    return (mix(np.where(r["kind"] == _ALONE, r["digit"] ^ mix(r["stretch"]), r["digit"])) >> np.uint64(32)).astype(np.int64) * fragments >> 32
 
 
 def _fragments(records: np.ndarray, done: np.ndarray, fragments: int) -> pa.RecordBatch:
     """Cuts records by their first digit, one row per fragment; runs go by their text."""
     frags, kinds, data = [], [], []
-    for kind, part, frag in ((0, records, fragment_of(records["digit"], fragments)), (1, done, done["row"] % fragments)):
+    for kind, part, frag in ((0, records, fragment_of(records, fragments)), (1, done, done["row"] % fragments)):
         order = np.argsort(frag, kind="stable")
         part, frag = part[order], frag[order]
         cuts = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1, [len(frag)]]) if len(frag) else np.zeros(1, np.int64)
@@ -144,6 +170,12 @@ def _table(cells: list[tuple[int, bytes]], runs: list[tuple[int, bytes]]) -> pa.
     })
 
 
+def _more(row: np.ndarray, start: np.ndarray) -> pa.Table:
+    """Windows found to repeat, as cells of runs: row, more."""
+    pieces = _run_cells(_runs(row, start, start))
+    return pa.table({"row": pa.array([r for r, _ in pieces], pa.int64()), "more": pa.array([c for _, c in pieces], pa.binary())})
+
+
 def _run_cells(done: np.ndarray) -> list[tuple[int, bytes]]:
     runs = np.zeros(len(done), _RUN)
     runs["start"], runs["end"] = done["start"], done["end"]
@@ -151,7 +183,7 @@ def _run_cells(done: np.ndarray) -> list[tuple[int, bytes]]:
 
 
 def split_digits(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches whose first digit repeats, and which of them go on to the last digit.
+    """Stretches whose first digit repeats, and which of them go on to the third digit.
 
     Returns the kept records and for each 0 (the stretch repeats as a whole), 1 (it
     doesn't; its windows must be looked at) or 2 (it repeats, and stands for all
@@ -161,19 +193,74 @@ def split_digits(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(r), dtype=bool)
     new[1:] = r["digit"][1:] != r["digit"][:-1]
     group = np.cumsum(new) - 1
-    size = np.bincount(group, weights=1.0 + r["many"])
-    r, group = r[size[group] > 1], group[size[group] > 1]
+    crowded = np.zeros(int(group.max(initial=-1)) + 1, dtype=bool)  # has stretches in other fragments
+    crowded[group[r["kind"] != _PLAIN]] = True
+    real = r["kind"] != _MARK
+    size = np.bincount(group, weights=real * (1.0 + r["many"]))
+    kept = real & ((size > 1) | crowded)[group] if len(r) else real
+    r, group = r[kept], group[kept]
     fresh = np.ones(len(r), dtype=bool)
     fresh[1:] = (r["stretch"][1:] != r["stretch"][:-1]) | (group[1:] != group[:-1])
     kind = np.cumsum(fresh) - 1
     copies = np.bincount(kind, weights=1.0 + r["many"])[kind] if len(r) else np.zeros(0)
     lone = copies == 1
-    looked = np.zeros(int(group.max(initial=-1)) + 1, dtype=bool)
+    looked = crowded.copy()
     looked[group[lone]] = True
     state = np.where(lone, 1, np.where(fresh & looked[group], 2, 0)).astype(np.uint8) if len(r) else np.zeros(0, np.uint8)
     return r, state
 
 
+def cut_runs(data: np.ndarray, cells: np.ndarray, width: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """Runs of a text's stretches: third digit, first window, windows, distance of the first from the gram, state, bytes."""
+    whole = Prefix(data)
+    out = []
+    for start, span, back, state in zip(*(cells[c].astype(np.int64).tolist() for c in ("start", "span", "back", "open")), strict=True):
+        gram = start + back
+        far = back
+        while far >= back - span:
+            near = max(far // RUN * RUN, back - span)  # windows from far to near from the gram
+            first = gram - far // RUN * RUN  # every window of the run has the bytes from here on
+            digit = whole.slices(np.array([first]), np.array([first + width - RUN + 1])) ^ mix(np.array([far // RUN], np.uint64))
+            at, n = gram - far, far - near + 1
+            out.append((int(digit.view(np.int64)[0]), at, n, far, state, data[at : at + n - 1 + width].tobytes()))
+            far = near - 1
+    return out
+
+
+def equal_windows(group: np.ndarray, place: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of ``data`` are equal to another of their group, byte by byte.
+
+    Most-significant-digit passes over eight bytes each; windows alone with their
+    digits drop out.  Only groups in which a digit differs are sorted again.
+    """
+    eight = np.ndarray(max(0, len(data) - 7), dtype="<u8", buffer=data, strides=(1,))
+    live = np.argsort(group, kind="stable")
+    group = group[live]
+    for depth in [*range(0, width - 7, 8), width - 8]:
+        new = np.ones(len(live), dtype=bool)
+        new[1:] = group[1:] != group[:-1]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group, minlength=0)
+        keep = size[group] > 1 if len(live) else np.zeros(0, bool)
+        live, group = live[keep], group[keep]
+        if not len(live):
+            break
+        digit = eight[place[live] + depth]
+        differs = np.zeros(len(size), dtype=bool)
+        inside = group[1:] == group[:-1]
+        differs[group[1:][inside & (digit[1:] != digit[:-1])]] = True
+        at = np.flatnonzero(differs[group])
+        order = at[np.lexsort((digit[at], group[at]))]
+        live[at], digit[at] = live[order], digit[order]  # groups lie together, so they keep their places
+        group = np.cumsum(np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]))
+    new = np.ones(len(live), dtype=bool)
+    new[1:] = group[1:] != group[:-1]
+    size = np.bincount(np.cumsum(new) - 1, minlength=0)
+    out = np.zeros(len(place), dtype=bool)
+    out[live[np.repeat(size > 1, size)] if len(live) else live] = True
+    return out
+
+
 def cover(runs: np.ndarray, width: int) -> np.ndarray:
     """Maximal byte spans covered by windows that start in the runs (start, end inclusive)."""
     if not len(runs):
@@ -197,8 +284,9 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     A null or empty text has no bytes; texts under ``width`` bytes stay whole.
     Rows repeated in full repeat each other's strings, so they lose every byte if
     they are long enough.  A null doc_id stays null; other columns are ignored; an
-    empty table gives an empty result.  Strings are compared by 64-bit hashes, and
-    a row is known by the hash of its id and text.
+    empty table gives an empty result.  Whole stretches, and the digits before the
+    last ones, are compared by 64-bit hashes; windows by their bytes.  A row is
+    known by the hash of its id and text.
     """
     lean_workers(docs.sparkSession)
     if not GRAM <= width < GRAM + 250:
@@ -232,7 +320,7 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     cut = long.mapInArrow(digits, "frag int, kind int, data binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(split, "row bigint, cells binary, runs binary")
     stretches = materialise(cut.groupBy("row").agg(F.collect_list("cells").alias("cells"), F.collect_list("runs").alias("runs")), "repeats-stretches")
 
-    # the last digit: only texts with open stretches
+    # the third digit: only texts with open stretches
     def open_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, cells = [], []
@@ -245,52 +333,51 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     opened = materialise(stretches.select("row", "cells").mapInArrow(open_only, "row bigint, cells binary"), "repeats-open")
     within = semi(long, opened.select("row"), "row").dropDuplicates(["row"]).join(opened, "row")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thirds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text"):
                 data, at = buffers(part.column("text"))
-                out: dict[int, list[bytes]] = {}
+                out: list[tuple] = []
                 for r, cell, a, b in zip(part.column("row").to_pylist(), part.column("cells").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    c = np.frombuffer(cell, _STRETCH)
-                    whole = Prefix(data[a:b])
-                    n = c["span"].astype(np.int64) + 1
-                    lead = np.cumsum(n) - n
-                    start = np.repeat(c["start"].astype(np.int64) - lead, n) + np.arange(n.sum())
-                    h = whole.slices(start, start + width)
-                    gram = c["start"].astype(np.int64) + c["back"]
-                    frag = fragment_of(whole.slices(gram, gram + GRAM), fragments)
-                    head = np.zeros(len(c), _HEAD)
-                    head["row"], head["start"], head["n"], head["open"] = r, c["start"], n, c["open"]
-                    for i, (f, z, k) in enumerate(zip(frag.tolist(), lead.tolist(), n.tolist(), strict=True)):
-                        out.setdefault(f, []).append(head[i].tobytes() + h[z : z + k].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([b"".join(x) for x in out.values()], pa.binary())], ["frag", "data"])
+                    out += [(d, r, *rest) for d, *rest in cut_runs(data[a:b], np.frombuffer(cell, _STRETCH), width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], ["digit", "row", "start", "n", "far", "open", "text"])
+
+    runs = materialise(within.mapInArrow(thirds, "digit bigint, row bigint, start int, n int, far int, open int, text binary"), "repeats-runs")
+    crowds = materialise(runs.groupBy("digit").agg(F.count("*").alias("c")).where(F.col("c") > MANY).select("digit"), "repeats-crowds")
+    tasks = max(4, -(-(runs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RUN_BYTES))
 
     def settle(table: pa.Table) -> pa.Table:
-        heads, hashes = [], []
-        for cell in table.column("data").to_pylist():
-            at = 0
-            while at < len(cell):
-                head = np.frombuffer(cell, _HEAD, 1, at)[0]
-                at += _HEAD.itemsize
-                heads.append(head)
-                hashes.append(np.frombuffer(cell, np.uint64, int(head["n"]), at))
-                at += 8 * int(head["n"])
-        if not heads:
-            return pa.table({"row": pa.array([], pa.int64()), "more": pa.array([], pa.binary())})
-        head, h = np.array(heads, _HEAD), np.concatenate(hashes)
-        n = head["n"].astype(np.int64)
-        owner = np.repeat(np.arange(len(head)), n)
-        start = head["start"].astype(np.int64)[owner] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = np.zeros(len(h), dtype=bool)
-        same[order[1:]] |= s[1:] == s[:-1]
-        same[order[:-1]] |= s[1:] == s[:-1]
-        hit = np.flatnonzero(same & (head["open"] == 1)[owner])
-        pieces = _run_cells(_runs(head["row"][owner[hit]], start[hit], start[hit]))
-        return pa.table({"row": pa.array([r for r, _ in pieces], pa.int64()), "more": pa.array([c for _, c in pieces], pa.binary())})
-
-    last = within.mapInArrow(windows, "frag int, data binary").repartition(fragments, "frag").groupBy("frag").applyInArrow(settle, "row bigint, more binary")
+        table = table.combine_chunks()
+        digit, row, start, n, far, opened = (table.column(c).to_numpy() for c in ("digit", "row", "start", "n", "far", "open"))
+        _, which, size = np.unique(digit, return_inverse=True, return_counts=True)
+        kept = np.flatnonzero(size[which] > 1)
+        data, at = buffers(pa.concat_arrays([*table.column("text").chunks, pa.array([], pa.binary())]))
+        owner = np.repeat(kept, n[kept])
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n[kept]) - n[kept], n[kept])
+        same = equal_windows(which[owner] * 1024 + far[owner] - step, at[owner] + step, data, width)
+        hit = np.flatnonzero(same & (opened[owner] == 1))
+        return _more(row[owner[hit]], start[owner[hit]] + step[hit])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for digit, row, start, n, far, open_, text in zip(*(batch.column(c).to_pylist() for c in ("digit", "row", "start", "n", "far", "open", "text")), strict=True):
+                common = far % RUN  # bytes before those that the run shares
+                out += [(digit, far - k, text[k:common] + text[common + width - RUN + 1 : k + width], row, start + k, open_) for k in range(n)]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["digit", "far", "edge", "row", "start", "open"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _more(batch.column("row").to_numpy(), batch.column("start").to_numpy().astype(np.int64)).to_batches()[0] if batch.num_rows else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["row", "more"])
+
+    last = semi(runs, crowds, "digit", "left_anti").withColumn("frag", F.pmod(F.xxhash64("digit"), F.lit(tasks)).cast("int")).repartition(tasks, "frag").groupBy("frag").applyInArrow(settle, "row bigint, more binary")
+    if not crowds.isEmpty():
+        windows = materialise(semi(runs, crowds, "digit").mapInArrow(edges, "digit bigint, far int, edge binary, row bigint, start int, open int"), "repeats-windows")
+        key = ["digit", "far", "edge"]
+        often = materialise(windows.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1").select(*key), "repeats-often")
+        last = last.unionByName(windows.where("open = 1").join(often, key).select("row", "start").mapInArrow(pack, "row bigint, more binary"))
     later = last.groupBy("row").agg(F.collect_list("more").alias("more"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,5 +415,3 @@ def remove_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     )
     return done.unionByName(rest)
 
-
-_HEAD = np.dtype([("row", "<i8"), ("start", "<i4"), ("n", "<i2"), ("open", "u1")])
