@@ -68,11 +68,11 @@ def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
 
     Lost executors cost nothing that was written.  Several later uses read the
     files instead of running the plan again.  Inside scratch() the table goes when
-    the scope ends, unless it is to be kept.
+    the scope ends, or with the scope around that one if it is to be kept.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    for scope in _SCOPES[-2:-1] if keep else _SCOPES[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
