@@ -9,9 +9,9 @@ The global order of n-grams is cut into fragments, wherever n-grams are counted:
 2. Order.  Fragments of the whole order count the same among the suspects.  The
    order that filters pairs is by that number, rare n-grams first.
 3. Partners.  Similar sets share an n-gram of the rarest (1 - t) n + 1 of either.
-   In a few rounds every set is compared with one partner only, a centre of the
-   n-grams they share, and linked sets become one class.  This gathers large
-   groups of copies without looking at their pairs.
+   Every set is first compared with one partner only, the most central of those
+   with which it shares such n-grams, and linked sets become one class.  This
+   gathers large groups of copies without looking at their pairs.
 4. Pairs.  Then all pairs of sets of different classes that share rare n-grams
    are counted, and those that share enough for their sizes are compared.
 
@@ -39,7 +39,7 @@ FRAGMENT_BYTES, COMPARE_BYTES = 12 << 20, 8 << 20
 #: Fragments that the sets of a block are cut into at least, and pairs of a block that one task takes.
 FRAGMENTS, TASK_PAIRS = 4, 1 << 20
 #: Rounds in which every set meets one partner before all pairs are looked at.
-ROUNDS = 3
+ROUNDS = 1
 #: n-grams that a task collects before it sends them.
 HELD = 1 << 19
 #: Stands for a null doc_id, which counts as smaller than any other.
@@ -208,10 +208,11 @@ def _suspects(counted: DataFrame, fragments: int, similarity: float) -> DataFram
 
 
 def _ordered(texts: DataFrame, suspects: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Sets that may be similar to another, by all their n-grams: node, n, grams, prefix.
+    """Sets that may be similar to another, by all their n-grams: node, n, grams, prefix, central.
 
     ``grams`` has those that another suspect holds too, in the global order, and
     ``prefix`` is how many of them are among the set's first (1 - t) n + 1.
+    ``central`` is the mean number of suspects that hold an n-gram of the set.
     """
     weight = suspects.agg(F.sum("n")).first()[0] or 0
     fragments = max(4, -(-weight * 16 // FRAGMENT_BYTES))
@@ -252,22 +253,23 @@ def _ordered(texts: DataFrame, suspects: DataFrame, size: int, similarity: float
         prefix = np.maximum(0, n - need + 1 - (n - c))  # n-grams that no one shares come first
         gram = np.ascontiguousarray(r["gram"])
         cells = [gram[a : a + k].tobytes() for a, k in zip(start[keep].tolist(), c[keep].tolist(), strict=True)]
-        return pa.table({"node": pa.array(r["node"][start[keep]]), "n": pa.array(n[keep]), "grams": pa.array(cells, pa.binary()), "prefix": pa.array(prefix[keep])})
+        central = np.add.reduceat(r["df"].astype(np.float64), start) / n if len(start) else np.zeros(0)
+        return pa.table({"node": pa.array(r["node"][start[keep]]), "n": pa.array(n[keep]), "grams": pa.array(cells, pa.binary()), "prefix": pa.array(prefix[keep]), "central": pa.array(central[keep])})
 
     counted = found.mapInArrow(cut, _CELLS).repartition(fragments, "frag").groupBy("frag").applyInArrow(count, "part int, data binary")
-    return counted.repartition(fragments, "part").groupBy("part").applyInArrow(sift, "node bigint, n bigint, grams binary, prefix bigint")
+    return counted.repartition(fragments, "part").groupBy("part").applyInArrow(sift, "node bigint, n bigint, grams binary, prefix bigint, central double")
 
 
 def _filings(sets: DataFrame) -> DataFrame:
-    """One row for each n-gram of each prefix: gram, node, n."""
+    """One row for each n-gram of each prefix: gram, node, n, central."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column("prefix").to_numpy().astype(np.int64)
             cells = [np.frombuffer(c, np.int64, p) for c, p in zip(batch.column("grams").to_pylist(), k.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cells])), *(pa.array(np.repeat(batch.column(c).to_numpy(), k)) for c in ("node", "n"))], ["gram", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cells])), *(pa.array(np.repeat(batch.column(c).to_numpy(), k)) for c in ("node", "n", "central"))], ["gram", "node", "n", "central"])
 
-    return sets.mapInArrow(file, "gram bigint, node bigint, n bigint")
+    return sets.mapInArrow(file, "gram bigint, node bigint, n bigint, central double")
 
 
 def _near(a: Column, b: Column, similarity: float) -> Column:
@@ -355,8 +357,13 @@ def _open(filings: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 
 def _partners(filings: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """One pair per set: the centre of another class with which it shares most n-grams of the prefixes."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "class")
+    """One pair per set: the centre of another class with which it shares most n-grams of the prefixes.
+
+    The centre under an n-gram is its most central set, to which edited copies are
+    nearer than to each other; later turns draw among the most central ones.
+    """
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+    order = F.struct((-F.col("central") * (1 - 0.1 * turn * drawn)).alias("turn"), "node", "n", "class")
     centres = filings.groupBy("gram").agg(F.min(order).alias("centre"))
     met = filings.join(centres, "gram").where((F.col("class") != F.col("centre.class")) & _near(F.col("n"), F.col("centre.n"), similarity))
     shared = met.groupBy("node", F.col("centre.node").alias("b")).agg(F.count("*").alias("c"))
@@ -373,11 +380,11 @@ def enough(pairs: DataFrame, similarity: float) -> DataFrame:
     m, n = F.col("na"), F.col("nb")
     common = F.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
     spare = lambda k: F.lit(1) - F.ceil(similarity * k - 1e-9) + common  # noqa: E731  prefix size - (k - common)
-    return pairs.where(F.col("c") >= F.least(spare(m), spare(n))).select("a", "b")
+    return pairs.where(F.col("c") >= F.least(spare(m), spare(n)))
 
 
 def _pairs(filings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of sets of different classes that share enough n-grams of their prefixes: a, b.
+    """Pairs of sets of different classes that share enough n-grams of their prefixes: a, b, and their classes ca, cb.
 
     Under each n-gram, the sets of its largest class are not paired with each other.
     """
@@ -387,8 +394,17 @@ def _pairs(filings: DataFrame, similarity: float) -> DataFrame:
     met = few.join(full, "gram").where((F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("node"))) & _near(F.col("n"), F.col("nx"), similarity))
     low = F.col("x") < F.col("node")
     pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-    ordered = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), pick("nx", "n").alias("na"), pick("n", "nx").alias("nb"))
-    return enough(ordered.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")), similarity)
+    ordered = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), pick("nx", "n").alias("na"), pick("n", "nx").alias("nb"), pick("cx", "class").alias("ca"), pick("class", "cx").alias("cb"))
+    return enough(ordered.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("c")), similarity).select("a", "b", "ca", "cb")
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    """Pairs with the block that compares them: of their two classes, the one that has more pairs."""
+    both = pairs.select(F.col("ca").alias("class")).unionByName(pairs.select(F.col("cb").alias("class")))
+    many = both.groupBy("class").agg(F.count("*").alias("m"))
+    of = lambda c, m: many.select(F.col("class").alias(c), F.col("m").alias(m))
+    joined = pairs.join(of("ca", "ma"), "ca").join(of("cb", "mb"), "cb")
+    return joined.select("a", "b", F.greatest(F.struct(F.col("ma").alias("m"), F.col("ca").alias("block")), F.struct(F.col("mb").alias("m"), F.col("cb").alias("block"))).getField("block").alias("block"))
 
 
 def links(sets: DataFrame, similarity: float) -> DataFrame | None:
@@ -408,8 +424,7 @@ def links(sets: DataFrame, similarity: float) -> DataFrame | None:
     pairs = materialise(_pairs(open_, similarity), "jaccard-pairs")
     if pairs.isEmpty():
         return classes
-    blocks = connect(pairs).unionByName(pairs.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("block"))
-    placed = materialise(pairs.join(blocks.withColumnRenamed("node", "a"), "a"), "jaccard-placed")
+    placed = materialise(_placed(pairs), "jaccard-placed")
     last = compare(placed, sets, similarity)
     return connect(last if found is None else found.unionByName(last))
 
