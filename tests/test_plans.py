@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.operators import prototypes as pr
@@ -27,7 +28,9 @@ def test_three_methods_run_and_report(spark):
     for name, method in rounds.METHODS.items():
         run = method(samples, s)
         h = run.history.collect()
-        assert {r["round"] for r in h} == {1, 2} and all(0 <= r.value <= 1 for r in h), name
+        assert {r["round"] for r in h} == {1, 2} and all(0 <= r.value <= 1 for r in h if r.metric.endswith("accuracy")), name
+        assert {r.metric for r in h} >= {"payload_bytes", "macro_accuracy" if name in ("averaging", "feedback") else "fused_accuracy"}
+        assert {t[:2] for t in run.timings} == {(r, stage) for r in (1, 2) for stage in ("clients", "server")}
         assert run.snapshots[2].count() > 0
 
 
@@ -39,6 +42,23 @@ def test_bases_are_refreshed_and_centres_pull(spark):
     assert len(drift) == 1 and 0 <= drift[0] <= 90 and {r["round"] for r in h} == {1, 2}
 
 
+def test_plans_do_not_grow_with_the_rounds(spark):
+    samples, _ = workload(spark, 2)
+    size = lambda n: len(rounds.averaging(samples, rounds.Settings(rounds=n)).history._jdf.queryExecution().analyzed().toString())
+    assert abs(size(1) - size(3)) < 200
+    df = samples.select("sample", F.lit(0).alias("y"), F.col("h").alias("x"))
+    scans = lambda n: pr.kmeans(df, ["y"], "sample", 2, n)._jdf.queryExecution().analyzed().toString().count("Relation")
+    assert scans(1) == scans(4) == 1
+
+
+def test_unknown_choices_are_errors(spark):
+    samples, _ = workload(spark, 2)
+    with pytest.raises(ValueError):
+        rounds.bootstrap(samples, rounds.Settings(change_start="half"))
+    with pytest.raises(ValueError):
+        rounds.merge(samples, samples, rounds.Settings(server="half"))
+
+
 def test_bootstrap_rebuilds_memories_in_full_rank(spark):
     samples, _ = workload(spark, 2)
     noisy = samples.withColumn("h", F.transform("h", lambda v, i: v + F.sin(F.col("sample") * 3.0 + i + F.col("client")) / 5))

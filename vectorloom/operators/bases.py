@@ -107,6 +107,12 @@ def shared_basis(protos: DataFrame, common: int, extra: int, x: str = "w") -> tu
     return basis[:, :common], basis[:, common:], energy
 
 
+def explained(protos: DataFrame, basis: np.ndarray, x: str = "w") -> float:
+    """Share of the energy of all rows that a basis explains."""
+    cov = matrix(gram(protos, x))
+    return float(np.trace(basis.T @ cov @ basis) / max(np.trace(cov), EPS))
+
+
 def project(df: DataFrame, basis: np.ndarray, x: str, out: str) -> DataFrame:
     """Adds x times the basis."""
     from vectorloom.operators.encoders import multiply

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.functions.tables import settle
 from vectorloom.functions.vectors import axpy, cosine, norm, normalise, similarity, vector_mean, vector_sum
 
 
@@ -33,12 +34,13 @@ def _packed(protos: DataFrame, by: list[str], label: str) -> DataFrame:
 def predict(df: DataFrame, protos: DataFrame, by: list[str], x: str = "x", label: str = "y", metric: str = "cos", skip_zero: bool = True, digits: int = 9) -> DataFrame:
     """Adds pred, the class of the most similar prototype of the row's key, and its score.
 
-    Prototypes of a key (its classes, model-sized) become one array that joins the
-    rows once; scores are taken in place, so no row is copied per class.  The
+    Prototypes of a key (its classes) become one array that joins the rows once;
+    scores are taken in place, so no row is copied per class.  Prototypes of many
+    keys are not broadcast unless Spark finds their table small enough.  The
     smallest class wins a tie.  Zero prototypes never win if skip_zero is set.
     """
     packed = _packed(protos.where(norm("w") > 0) if skip_zero else protos, by, label)
-    joined = df.join(F.broadcast(packed), by) if by else df.crossJoin(F.broadcast(packed))
+    joined = df.join(packed, by) if by else df.crossJoin(F.broadcast(packed))  # without keys, one row
     scored = F.transform("_protos", lambda p: F.struct(F.round(similarity(x, p["w"], metric), digits).alias("s"), (-p["k"]).alias("k")))
     return joined.withColumn("_best", F.array_max(scored)).withColumns({"pred": -F.col("_best.k"), "score": F.col("_best.s")}).drop("_protos", "_best")
 
@@ -55,6 +57,17 @@ def push_pull(rows: DataFrame, keys: list[str], x: str = "x", label: str = "y")
     return vector_sum(moved, [*keys, label], "u")
 
 
+def push_pull_matmul(rows: DataFrame, keys: list[str], classes: int, x: str = "x", label: str = "y") -> DataFrame:
+    """push_pull as a product of one-hot differences and rows: keys, label, u for each of so many classes.
+
+    Each task multiplies its own rows; the shuffle carries classes x dimensions per
+    key and task.
+    """
+    signs = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (F.col(label) == k).cast("double") - (F.col("pred") == k).cast("double"))
+    wrong = rows.where(F.col("pred") != F.col(label)).select(*keys, x, F.posexplode(signs).alias(label, "_sign"))
+    return vector_sum(wrong.select(*keys, label, F.transform(x, lambda v: v * F.col("_sign")).alias("u")), [*keys, label], "u")
+
+
 def step(protos: DataFrame, updates: DataFrame, keys: list[str], rate: float) -> DataFrame:
     """Prototypes moved by rate times their update; those without one stay."""
     joined = protos.join(updates, keys, "left")
@@ -104,43 +117,55 @@ def gated_merge(local: Column | str, common: Column | str, rate: float, gate: Co
 
 
 def nearest(df: DataFrame, centres: DataFrame, by: list[str], x: str = "x") -> DataFrame:
-    """Adds centre, c and distance of the nearest centre of the row's key, the first on a tie."""
-    packed = centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("centre", "c"))).alias("_centres"))
-    away = lambda c: F.round(norm(F.zip_with(x, c["c"], lambda a, b: a - b)), 9)
-    best = F.array_min(F.transform("_centres", lambda c: F.struct(away(c).alias("distance"), c["centre"].alias("centre"), c["c"].alias("c"))))
-    return df.join(F.broadcast(packed), by).withColumn("_b", best).select(*df.columns, "_b.centre", "_b.c", "_b.distance")
+    """Adds near_centre, near_x and near_distance of the nearest centre of the row's key, the first on a tie."""
+    packed = centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("centre", F.col("c").alias("_x")))).alias("_centres"))
+    away = lambda c: F.round(norm(F.zip_with(x, c["_x"], lambda a, b: a - b)), 9)
+    best = F.array_min(F.transform("_centres", lambda c: F.struct(away(c).alias("distance"), c["centre"].alias("centre"), c["_x"].alias("x"))))
+    kept = [c for c in df.columns if c not in ("near_centre", "near_x", "near_distance")]
+    return df.select(*kept).join(packed, by).withColumn("_near", best).select(*kept, F.col("_near.centre").alias("near_centre"), F.col("_near.x").alias("near_x"), F.col("_near.distance").alias("near_distance"))
 
 
-def kmeans(df: DataFrame, by: list[str], order: str, k: int, rounds: int, x: str = "x") -> DataFrame:
+def kmeans(df: DataFrame, by: list[str], order: str, k: int, rounds: int, x: str = "x", least: float = 1e-6) -> DataFrame:
     """Lloyd's rounds from evenly spaced rows in order; an empty centre stays where it is.
 
-    Columns by, centre, c.  The state is k centres per key; rows never leave their
-    partition but for sums per centre and dimension.
+    Columns by, centre, c.  The state is k centres per key, written after each round;
+    rows never leave their partition but for sums per centre and dimension.  It ends
+    early when no centre moves by more than ``least`` in any dimension.  A key with
+    fewer rows than k has centres that coincide.
     """
     w = Window.partitionBy(*by)
     at = F.row_number().over(w.orderBy(order)) - 1
     spaced = df.withColumns({"_at": at, "_n": F.count("*").over(w)})
     picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(i.alias("centre"), F.floor(i * (F.col("_n") - 1) / max(k - 1, 1)).alias("at")))
     hits = spaced.select(*by, F.col(x).alias("c"), "_at", F.explode(picks).alias("p")).where("p.at = _at")
-    centres = hits.select(*by, F.col("p.centre").alias("centre"), "c")
+    centres = settle(hits.select(*by, F.col("p.centre").alias("centre"), "c"), "centres")
     for _ in range(rounds):
-        means = vector_mean(nearest(df, centres, by, x).select(*by, "centre", F.col(x).alias("m")), [*by, "centre"], "m")
-        centres = centres.join(means, [*by, "centre"], "left").select(*by, "centre", F.coalesce("m", "c").alias("c"))
-    return centres
+        means = vector_mean(nearest(df, centres, by, x).select(*by, F.col("near_centre").alias("centre"), F.col(x).alias("m")), [*by, "centre"], "m")
+        moved = centres.join(means, [*by, "centre"], "left").select(*by, "centre", F.coalesce("m", "c").alias("c"), F.array_max(F.zip_with("c", F.coalesce("m", "c"), lambda a, b: F.abs(a - b))).alias("_step"))
+        centres = settle(moved, "centres", replaces=centres)
+        if (centres.agg(F.max("_step")).first()[0] or 0.0) <= least:
+            break
+    return centres.drop("_step")
+
+
+def squared_error(df: DataFrame, centres: DataFrame, by: list[str], x: str = "x") -> DataFrame:
+    """Sum of squared distances of the rows to their nearest centres, per key: by, sse."""
+    return nearest(df, centres, by, x).groupBy(*by).agg(F.sum(F.pow("near_distance", 2)).alias("sse"))
 
 
 def pull(df: DataFrame, centres: DataFrame, by: list[str], beta: float, x: str = "x") -> DataFrame:
     """Moves vectors by beta towards the nearest centre of their key and keeps their norm."""
     near = nearest(df.withColumn("_unit", normalise(x, "clamp")), centres, by, "_unit")
-    moved = normalise(axpy(F.transform("_unit", lambda v: v * (1 - beta)), "c", F.lit(beta)), "clamp")
-    return near.withColumn(x, F.transform(F.zip_with(moved, F.array_repeat(norm(x), F.size(x)), lambda a, b: a * b), lambda v: v)).drop("_unit", "c", "distance")
+    moved = normalise(axpy(F.transform("_unit", lambda v: v * (1 - beta)), "near_x", F.lit(beta)), "clamp")
+    sized = F.zip_with(moved, F.array_repeat(norm(x), F.size(x)), lambda a, b: a * b)
+    return near.withColumn(x, sized).withColumnRenamed("near_centre", "centre").drop("_unit", "near_x", "near_distance")
 
 
 def alpha_grid(df: DataFrame, shared: DataFrame, personal: DataFrame, by: list[str], alphas: list[float], x: str = "x") -> DataFrame:
     """The mixing weight of two prototype sets that predicts best per key, the first on a tie."""
     both = shared.join(personal.withColumnRenamed("w", "p"), [*by, "y"])
     packed = both.groupBy(*by).agg(F.collect_list(F.struct(F.col("y").alias("k"), "w", "p")).alias("_ps"))
-    pairs = df.join(F.broadcast(packed), by).withColumn("_s", F.transform("_ps", lambda p: F.struct(p["k"].alias("k"), cosine(x, p["w"]).alias("a"), cosine(x, p["p"]).alias("b"))))
+    pairs = df.join(packed, by).withColumn("_s", F.transform("_ps", lambda p: F.struct(p["k"].alias("k"), cosine(x, p["w"]).alias("a"), cosine(x, p["p"]).alias("b"))))
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("alpha")) for i, a in enumerate(alphas)]))
     tried = pairs.select(*by, "y", "_s", grid.alias("g"))
     pred = -F.array_max(F.transform("_s", lambda s: F.struct(F.round(F.col("g.alpha") * s["a"] + (1 - F.col("g.alpha")) * s["b"], 9).alias("s"), (-s["k"]).alias("k"))))["k"]

@@ -1,18 +1,21 @@
-"""Local training of clients: what depends on the order of batches runs per client.
+"""Local training of clients: what depends on the order of batches is one pass over sorted rows.
 
-A client's samples and its state meet in one cogrouped call, the only place
-where rows of a client are held together.  Nothing caps them here: a call holds
-all rows of its client.
+A client's state comes first in its partition, then its samples in the order of
+the epochs.  A task holds the state of one client, sized by the model, and one
+Arrow batch of rows, however many rows the client has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import copy
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vectorloom.functions import rng
 
@@ -29,6 +32,8 @@ def safe_unit(m: np.ndarray) -> np.ndarray:
 
 
 def scores(x: np.ndarray, w: np.ndarray, metric: str) -> np.ndarray:
+    if metric not in ("dot", "cos"):
+        raise ValueError(f"unknown metric {metric!r}")
     raw = x @ w.T
     if metric == "cos":
         raw = raw / (np.maximum(np.linalg.norm(x, axis=1), EPS)[:, None] * np.maximum(np.linalg.norm(w, axis=1), EPS)[None, :])
@@ -44,88 +49,268 @@ def signed_updates(x: np.ndarray, y: np.ndarray, pred: np.ndarray, classes: int)
     return out
 
 
-def samplewise(w: np.ndarray, x: np.ndarray, y: np.ndarray, rate: float, metric: str = "cos", unit_rows: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Perceptron updates one row after the other: memory, its change, errors per class."""
-    w, errors, start = w.copy(), np.zeros(len(w), np.int64), w.copy()
-    for row, label in zip(safe_unit(x) if unit_rows else x, y, strict=True):
-        pred = int(scores(row[None], w, metric)[0].argmax())
-        if pred != label:
-            w[label] += rate * row
-            w[pred] -= rate * row
-            errors[label] += 1
-    return w, w - start, errors
-
-
-def averaging_epochs(w: np.ndarray, x: np.ndarray, y: np.ndarray, batches: list[np.ndarray], rate: float, metric: str = "cos", unit_rows: bool = False, renormalise: str = "end") -> np.ndarray:
-    """Stale batches on a model: rows renormalised at the end, or changed rows after each batch."""
-    w = w.copy()
-    for at in batches:
-        rows = safe_unit(x[at]) if unit_rows else x[at]
-        u = signed_updates(rows, y[at], scores(rows, w, metric).argmax(axis=1), len(w))
-        w += rate * u
-        if renormalise == "changed":
+class Learner:
+    """State of one client's classes.  ``fields`` are its arrays, ``inputs`` those of a sample.
+
+    take() sees rows of a batch, with predictions on the state as it stood when the
+    batch began; step() ends the batch and moves the state.
+    """
+
+    fields: tuple[str, ...]
+    inputs: tuple[str, ...]
+
+    def start(self, held: dict[str, np.ndarray]) -> None:
+        self.held = {k: v.copy() for k, v in held.items()}
+        self.classes = len(next(iter(held.values())))
+        self.errors = np.zeros(self.classes, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.moves: dict[str, np.ndarray] = {}
+        self.wrong = np.zeros(self.classes, np.int64)
+
+    def move(self, part: str, u: np.ndarray) -> None:
+        self.moves[part] = self.moves.get(part, 0) + u
+
+    def take(self, z: dict[str, np.ndarray], y: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def apply(self) -> None:
+        """Moves the state by what a batch with mistakes gathered."""
+        raise NotImplementedError
+
+    def step(self) -> None:
+        if self.wrong.any():
+            self.apply()
+            self.errors += self.wrong
+        self.clear()
+
+    def finish(self) -> dict[str, np.ndarray]:
+        return self.held
+
+
+@dataclass
+class Memory(Learner):
+    """Full memories w and their change delta.
+
+    ``renormalise``: rows of w after the last batch ("end"), after each batch with a
+    mistake ("batch"), only those that moved ("changed"), or never (None).  A
+    ``mask`` (0 or 1 per dimension) keeps updates, and the norm at the end, to its
+    dimensions; a ``basis`` (rank x dimensions) projects updates onto its rows.
+    """
+
+    rate: float
+    metric: str = "cos"
+    unit_rows: bool = False
+    renormalise: str | None = "end"
+    mask: np.ndarray | None = None
+    basis: np.ndarray | None = None
+    fields = ("w", "delta")
+    inputs = ("h",)
+
+    def start(self, held: dict[str, np.ndarray]) -> None:
+        check_update(held["w"].shape[1], self.mask, self.basis)
+        super().start(held)
+
+    def take(self, z: dict[str, np.ndarray], y: np.ndarray) -> None:
+        x = safe_unit(z["h"]) if self.unit_rows else z["h"]
+        pred = scores(x, self.held["w"], self.metric).argmax(axis=1)
+        self.wrong += np.bincount(y[pred != y], minlength=self.classes)
+        self.move("w", signed_updates(x, y, pred, self.classes))
+
+    def apply(self) -> None:
+        u = self.moves["w"]
+        u = u if self.mask is None else u * self.mask
+        u = self.rate * (u if self.basis is None else (u @ self.basis.T) @ self.basis)
+        w = self.held["w"] + u
+        self.held["delta"] = self.held["delta"] + u
+        if self.renormalise == "batch":
+            w = unit(w)
+        elif self.renormalise == "changed":
             moved = np.abs(u).sum(axis=1) > 0
             w[moved] = safe_unit(w[moved])
-    return unit(w) if renormalise == "end" else w
-
-
-def feedback_epochs(w: np.ndarray, delta: np.ndarray, x: np.ndarray, y: np.ndarray, batches: list[np.ndarray], rate: float, renormalise: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stale batches that move a memory and its change alike: memory, change, errors per class."""
-    w, delta, errors = w.copy(), delta.copy(), np.zeros(len(w), np.int64)
-    for at in batches:
-        pred = scores(x[at], w, "cos").argmax(axis=1)
-        wrong = pred != y[at]
-        if wrong.any():
-            u = rate * signed_updates(x[at], y[at], pred, len(w))
-            w, delta = w + u, delta + u
-            errors += np.bincount(y[at][wrong], minlength=len(w))
-            if renormalise:
-                w = unit(w)
-    return w, delta, errors
-
-
-def subspace_epochs(state: dict[str, np.ndarray], z: dict[str, np.ndarray], y: np.ndarray, batches: list[np.ndarray], rate: float, metric: str = "cos") -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Coefficient training of one client: common c, global g, delta d and personal p; and errors of a last pass."""
-    s = {k: v.copy() for k, v in state.items()}
-    classes = len(s["c"])
-    query = np.hstack([z["c"], z["g"], z["p"]])
-    memory = lambda: np.hstack([s["c"] + s["d"], s["g"], s["p"]])
-    for at in batches:
-        pred = scores(query[at], memory(), metric).argmax(axis=1)
-        for part, rows in (("c", "c"), ("g", "g"), ("d", "c"), ("p", "p")):
-            s[part] = s[part] + rate * signed_updates(z[rows][at], y[at], pred, classes)
-    pred = scores(query, memory(), metric).argmax(axis=1)
-    return s, np.bincount(y[pred != y], minlength=classes)
-
-
-def batch_order(seed: int, round_: int, epoch: int, sample: Column) -> Column:
-    """Order of the samples in an epoch, the same in every engine and run."""
-    return rng.digest(seed, F.lit(round_), F.lit(epoch), sample)
-
-
-def batches_of(n: int, size: int, epochs: int, seed: int) -> list[np.ndarray]:
-    """Shuffled batches of all epochs of a client; size 0 takes all rows at once."""
-    draw = np.random.default_rng(seed)
-    out = []
+        self.held["w"] = w
+
+    def finish(self) -> dict[str, np.ndarray]:
+        if self.renormalise == "end":
+            w = self.held["w"]
+            if self.mask is None:
+                self.held["w"] = unit(w)
+            else:
+                inside = np.asarray(self.mask) != 0
+                w[:, inside] = unit(w[:, inside])
+        return self.held
+
+
+@dataclass
+class Coefficients(Learner):
+    """Coefficients of common c, global g, a client's change d of c, and personal p.
+
+    c and g move by the shared rate, d and p by the personal one.
+    """
+
+    rate: float
+    personal_rate: float
+    metric: str = "dot"
+    fields = ("c", "g", "d", "p")
+    inputs = ("zc", "zg", "zp")
+
+    def take(self, z: dict[str, np.ndarray], y: np.ndarray) -> None:
+        s = self.held
+        pred = scores(np.hstack([z["zc"], z["zg"], z["zp"]]), np.hstack([s["c"] + s["d"], s["g"], s["p"]]), self.metric).argmax(axis=1)
+        self.wrong += np.bincount(y[pred != y], minlength=self.classes)
+        for part, rows in (("c", "zc"), ("g", "zg"), ("p", "zp")):
+            self.move(part, signed_updates(z[rows], y, pred, self.classes))
+
+    def apply(self) -> None:
+        for part, source, rate in (("c", "c", self.rate), ("g", "g", self.rate), ("d", "c", self.personal_rate), ("p", "p", self.personal_rate)):
+            self.held[part] = self.held[part] + rate * self.moves[source]
+
+
+@dataclass
+class Mixed(Learner):
+    """Row-normalised coordinates of a shared basis, s, and a personal one, p, mixed by alpha.
+
+    Samples and state are of unit rows; state rows are normalised again after each
+    batch with a mistake.  ``alpha`` is a column of the state, equal for all classes.
+    """
+
+    rate: float
+    personal_rate: float
+    fields = ("s", "p", "alpha")
+    inputs = ("zs", "zp")
+
+    def take(self, z: dict[str, np.ndarray], y: np.ndarray) -> None:
+        zs, zp, a = unit(z["zs"]), unit(z["zp"]), self.held["alpha"][0, 0]
+        pred = np.round(a * scores(zs, self.held["s"], "cos") + (1 - a) * scores(zp, self.held["p"], "cos"), 9).argmax(axis=1)
+        self.wrong += np.bincount(y[pred != y], minlength=self.classes)
+        self.move("s", signed_updates(zs, y, pred, self.classes))
+        self.move("p", signed_updates(zp, y, pred, self.classes))
+
+    def apply(self) -> None:
+        self.held["s"] = unit(self.held["s"] + self.rate * self.moves["s"])
+        self.held["p"] = unit(self.held["p"] + self.personal_rate * self.moves["p"])
+
+
+def check_update(dims: int, mask: np.ndarray | None, basis: np.ndarray | None) -> None:
+    """Raises if a mask or a basis of updates doesn't fit vectors of so many dimensions."""
+    if mask is not None and np.shape(mask) != (dims,):
+        raise ValueError(f"an update mask must have {dims} entries, not shape {np.shape(mask)}")
+    if basis is not None and (np.ndim(basis) != 2 or np.shape(basis)[1] != dims):
+        raise ValueError(f"an update basis must have rows of {dims} entries, not shape {np.shape(basis)}")
+
+
+def run_batches(learner: Learner, held: dict[str, np.ndarray], z: dict[str, np.ndarray], y: np.ndarray, size: int, epochs: int = 1) -> Learner:
+    """Trains on arrays that are in order already; size 0 takes all rows as one batch."""
+    one = copy.deepcopy(learner)
+    one.start(held)
     for _ in range(epochs):
-        order = draw.permutation(n) if size else np.arange(n)
-        out += [order[i : i + (size or n)] for i in range(0, n, size or max(n, 1))]
-    return out
-
-
-def seed_of(client: object, seed: int, round_: int) -> int:
-    """A seed for a client's round: its characters' codes, so that text ids work too."""
-    return seed + 1009 * sum(map(ord, str(client))) + 100_003 * round_
-
-
-def local(samples: DataFrame, state: DataFrame, client: str, train: Callable[[object, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Trains every client that has state: train(client, samples, state) -> new state."""
-
-    def run(key: tuple, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return train(key[0], rows, held) if len(rows) and len(held) else held
-
-    return samples.groupBy(client).cogroup(state.groupBy(client)).applyInPandas(run, schema)
-
-
-def stack(values: pd.Series) -> np.ndarray:
-    return np.stack(values.to_numpy()).astype(np.float64)
+        for a in range(0, len(y), size or max(len(y), 1)):
+            b = a + (size or len(y))
+            one.take({k: v[a:b] for k, v in z.items()}, y[a:b])
+            one.step()
+    return one
+
+
+def _wide(column: pa.Array, at: slice) -> np.ndarray:
+    part = column.slice(at.start, at.stop - at.start)
+    return part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+
+
+class _Client:
+    """A client whose rows are passing by."""
+
+    def __init__(self, name: object):
+        self.name = name
+        self.state: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
+        self.learner: Learner | None = None
+        self.epoch, self.filled = -1, 0
+
+    def labels(self) -> np.ndarray:
+        return np.concatenate([y for y, _ in self.state]) if self.state else np.zeros(0, np.int64)
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {k: np.concatenate([f[k] for _, f in self.state]) for k in self.state[0][1]}
+
+    def feed(self, learner: Learner, epoch: int, z: dict[str, np.ndarray], y: np.ndarray, size: int) -> None:
+        if not self.state:
+            return
+        labels = self.labels()
+        known = np.isin(y, labels)
+        y, z = np.searchsorted(labels, y[known]), {k: v[known] for k, v in z.items()}
+        if self.learner is None:
+            self.learner = copy.deepcopy(learner)
+            self.learner.start(self.arrays())
+        if epoch != self.epoch and self.filled:
+            self.learner.step()
+            self.filled = 0
+        self.epoch = epoch
+        at = 0
+        while at < len(y):
+            n = min(len(y) - at, size - self.filled) if size else len(y) - at
+            self.learner.take({k: v[at : at + n] for k, v in z.items()}, y[at : at + n])
+            self.filled, at = self.filled + n, at + n
+            if self.filled == size:
+                self.learner.step()
+                self.filled = 0
+
+    def result(self) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+        labels = self.labels()
+        if self.learner is None:  # no rows: the state stays
+            return labels, self.arrays(), np.zeros(len(labels), np.int64)
+        self.learner.step()
+        return labels, self.learner.finish(), self.learner.errors
+
+
+def local(samples: DataFrame, state: DataFrame, client: str, learner: Learner, batch: int = 0, epochs: int = 1, seed: int = 0, round_: int = 0) -> DataFrame:
+    """Trains every client that has state: client, y, the learner's fields, errors.
+
+    samples: client, sample, y and the learner's inputs; state: client, y and its
+    fields, arrays of doubles.  An epoch takes a client's samples by the digest of
+    seed, round, epoch and sample, in batches of so many rows (0: all of them).
+    Samples of classes or clients without state are passed over, and a client
+    without samples keeps its state.  errors counts the mistakes per class.
+    Rows of one client are taken one after the other, which is what the method is.
+    """
+    fields, inputs = learner.fields, learner.inputs
+    array = "array<double>"
+    of = lambda df, cols: [F.col(c).cast(array).alias(c) for c in cols] if df is not None else []
+    none = lambda cols: [F.lit(None).cast(array).alias(c) for c in cols]
+    head = state.select(client, F.lit(0).alias("kind"), F.lit(0).alias("epoch"), F.lit("").alias("turn"), F.lit(0).cast("bigint").alias("sample"), F.col("y").cast("bigint").alias("y"), *of(state, fields), *none(inputs))
+    each = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    turn = rng.digest(seed, F.lit(round_), F.col("epoch"), F.col("sample"))
+    rows = each.select(client, F.lit(1).alias("kind"), "epoch", turn.alias("turn"), F.col("sample").cast("bigint").alias("sample"), F.col("y").cast("bigint").alias("y"), *none(fields), *of(each, inputs))
+    order = [F.col(client), F.col("kind"), F.col("epoch"), F.when(F.col("kind") == 0, F.col("y")), F.col("turn"), F.col("sample")]
+    sorted_ = head.unionByName(rows).repartition(client).sortWithinPartitions(*order)
+    kind = state.schema[client].dataType.simpleString()
+    label = state.schema["y"].dataType.simpleString()
+    named = to_arrow_type(state.schema[client].dataType)
+
+    def emit(done: _Client) -> pa.RecordBatch:
+        labels, arrays, errors = done.result()
+        return pa.RecordBatch.from_arrays([pa.array([done.name] * len(labels), named), pa.array(labels, pa.int64()), *(pa.array(list(arrays[f]), pa.list_(pa.float64())) for f in fields), pa.array(errors, pa.int64())], [client, "y", *fields, "errors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Client | None = None
+        for part in batches:
+            names = part.column(client).to_pylist()
+            kinds, epochs_ = part.column("kind").to_numpy(), part.column("epoch").to_numpy()
+            y = part.column("y").to_numpy()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or kinds[i] != kinds[i - 1] or epochs_[i] != epochs_[i - 1]), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if now is None or now.name != names[a]:
+                    if now is not None and now.state:
+                        yield emit(now)
+                    now = _Client(names[a])
+                at = slice(a, b)
+                if kinds[a] == 0:
+                    now.state.append((y[at], {f: _wide(part.column(f), at) for f in fields}))
+                else:
+                    now.feed(learner, int(epochs_[a]), {c: _wide(part.column(c), at) for c in inputs}, y[at], batch)
+        if now is not None and now.state:
+            yield emit(now)
+
+    out = sorted_.mapInArrow(run, f"{client} {kind}, y bigint, {', '.join(f'{f} {array}' for f in fields)}, errors bigint")
+    return out.withColumn("y", F.col("y").cast(label))

@@ -1,29 +1,28 @@
-"""Federated rounds over a table of samples: three methods, one loop.
+"""Federated rounds over a table of samples: the methods and their loop.
 
-Every round is a few Spark jobs: clients train side by side in cogrouped calls,
-the server's means are grouped sums, and the new state is written before the
-next round reads it, so no plan grows with the rounds.
+Every round is a few Spark jobs: clients train side by side, the server's means
+are grouped sums, and the new state and the round's metrics are written before the
+next round reads them, so no plan grows with the rounds.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.functions.vectors import add, normalise
+from vectorloom.functions.tables import Log, settle
+from vectorloom.functions.vectors import add, norm, normalise
 from vectorloom.operators import bases, encoders
 from vectorloom.operators import prototypes as pr
 from vectorloom.operators import training as tr
 from vectorloom.operators.checks import due
 from vectorloom.operators.prep import participants
-from vectorloom.plans.storage import settle
-
-DOUBLES = "array<double>"
-
 
 @dataclass
 class Settings:
@@ -33,6 +32,7 @@ class Settings:
     epochs: int = 1
     batch: int = 32
     rate: float = 0.035
+    personal_rate: float | None = None  # of a client's own coefficients; the shared rate if none is given
     participation: float = 1.0
     seed: int = 42
     common_rank: int = 24
@@ -41,6 +41,10 @@ class Settings:
     alpha: float = 1.0
     gate: tuple[float, float] = (0.1, 0.9)
     metric: str = "cos"
+    coefficient_metric: str = "dot"  # of coefficients in orthonormal bases, where it equals that of whole memories
+    change_start: str = "zero"  # or "difference": a client's own common coefficients less the consensus
+    server: str = "gated"  # how a client takes the server's means: gated, gated_unit (rows renormalised) or replace
+    alphas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)
     refresh_every: int = 0
     centre_every: int = 0
     centres: int = 2
@@ -50,23 +54,39 @@ class Settings:
 
 @dataclass
 class Run:
-    """History (round, metric, value), final state, and states of asked rounds."""
+    """History (round, metric, value), final state, states of asked rounds, and seconds of each stage."""
 
     history: DataFrame
     state: DataFrame
     snapshots: dict[int, DataFrame] = field(default_factory=dict)
+    timings: list[tuple[int, str, float]] = field(default_factory=list)
+
+
+class _Book:
+    """What a run writes down: metrics of a round as soon as they are known, and stage times."""
+
+    def __init__(self, samples: DataFrame, what: str):
+        self.log = Log(samples.sparkSession, f"{what}-history", "round int, metric string, value double")
+        self.timings: list[tuple[int, str, float]] = []
 
+    def add(self, df: DataFrame, round_: int, **values: str | Column) -> None:
+        cells = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), (F.col(v) if isinstance(v, str) else v).cast("double").alias("value")) for k, v in values.items()]))
+        self.log.add(df.select(F.lit(round_).cast("int").alias("round"), cells.alias("m")).select("round", "m.metric", "m.value"))
 
-def _history(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    @contextmanager
+    def timed(self, round_: int, stage: str) -> Iterator[None]:
+        began = time.perf_counter()
+        yield
+        self.timings.append((round_, stage, time.perf_counter() - began))
 
+    def uploads(self, local: DataFrame, round_: int, *parts: str) -> None:
+        """What the clients of a round send: bytes per client, and the mean norm of each part's rows."""
+        size = sum((F.size(p) for p in parts), F.lit(0)) * 8
+        per = local.groupBy("client").agg(F.sum(size).alias("bytes"), *[F.avg(norm(p)).alias(f"_{p}") for p in parts])
+        self.add(per.agg(F.avg("bytes").alias("bytes"), *[F.avg(f"_{p}").alias(f"_{p}") for p in parts]), round_, payload_bytes="bytes", **{f"upload_norm_{p}": f"_{p}" for p in parts})
 
-def _metric(df: DataFrame, round_: int, **values: str) -> DataFrame:
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(v).cast("double").alias("value")) for k, v in values.items()]))
-    return df.select(F.lit(round_).alias("round"), cells.alias("m")).select("round", "m.metric", "m.value")
+    def run(self, state: DataFrame, snapshots: dict[int, DataFrame]) -> Run:
+        return Run(self.log.table(), state, snapshots, self.timings)
 
 
 def _chosen(samples: DataFrame, s: Settings) -> DataFrame:
@@ -76,38 +96,31 @@ def _chosen(samples: DataFrame, s: Settings) -> DataFrame:
 def averaging(samples: DataFrame, s: Settings) -> Run:
     """Rounds of model averaging.  samples: client, sample, split, y, h."""
     train, test = samples.where("split = 'train'"), samples.where("split = 'test'")
-    chosen = _chosen(samples, s)
+    chosen, book = _chosen(samples, s), _Book(samples, "averaging")
     memories = settle(pr.class_sums(train, ["client", "y"], "h", "plus"), "averaging-init")
     first = memories.agg(F.min("client").alias("client"))
     model = settle(memories.join(F.broadcast(first), "client").select("y", "w"), "averaging-model")  # one row
-    parts, snapshots = [], {}
+    snapshots = {}
     for r in range(1, s.rounds + 1):
         now = chosen.where(F.col("round") == r).select("client")
-        state = now.crossJoin(F.broadcast(model))  # the model goes to every client that takes part
-
-        def step(client: object, rows: pd.DataFrame, held: pd.DataFrame, r: int = r) -> pd.DataFrame:
-            held, rows = held.sort_values("y"), rows.sort_values("sample")
-            labels = held["y"].to_numpy()
-            y = np.searchsorted(labels, rows["y"].to_numpy())
-            known = np.isin(rows["y"].to_numpy(), labels)
-            x = tr.stack(rows["h"])[known]
-            w = tr.averaging_epochs(tr.stack(held["w"]), x, y[known], tr.batches_of(len(x), s.batch, s.epochs, tr.seed_of(client, s.seed, r)), s.rate, s.metric)
-            return pd.DataFrame({"client": client, "y": labels, "w": list(w)})
-
-        local = settle(tr.local(train.join(now, "client", "left_semi"), state, "client", step, f"client {samples.schema['client'].dataType.simpleString()}, y int, w {DOUBLES}"), "averaging-local")
-        model = settle(pr.memory_sum(local), "averaging-model")
-        seen = pr.predict(test, model, [], "h", metric=s.metric)
-        parts.append(_metric(pr.micro_accuracy(seen), r, micro_accuracy="accuracy"))
-        parts.append(_metric(pr.macro_accuracy(seen), r, macro_accuracy="accuracy"))
+        with book.timed(r, "clients"):
+            state = now.crossJoin(F.broadcast(model)).withColumn("delta", F.transform("w", lambda v: v * 0.0))  # the model goes to every client that takes part
+            local = settle(tr.local(train.join(now, "client", "left_semi"), state, "client", tr.Memory(s.rate, s.metric), s.batch, s.epochs, s.seed, r), "averaging-local")
+        with book.timed(r, "server"):
+            model = settle(pr.memory_sum(local), "averaging-model", replaces=None if r - 1 in snapshots else model)
+        seen = settle(pr.predict(test, model, [], "h", metric=s.metric).select("client", "y", "pred"), "averaging-seen")
+        book.add(pr.micro_accuracy(seen), r, micro_accuracy="accuracy")
+        book.add(pr.macro_accuracy(seen), r, macro_accuracy="accuracy")
+        book.uploads(local, r, "w")
         if r in s.snapshot_rounds:
             snapshots[r] = model
-    return Run(settle(_history(parts), "averaging-history"), model, snapshots)
+    return book.run(model, snapshots)
 
 
 def feedback(samples: DataFrame, s: Settings) -> Run:
     """Rounds of shared changes.  samples: client, sample, split, y, h."""
     train, test = samples.where("split = 'train'"), samples.where("split = 'test'")
-    chosen = _chosen(samples, s)
+    chosen, book = _chosen(samples, s), _Book(samples, "feedback")
     counts = train.groupBy("client", "y").agg(F.count("*").alias("n"))
     start = pr.memory_sum(pr.class_sums(train, ["client", "y"], "h", "plus"))
     clients = samples.select("client").distinct()
@@ -115,31 +128,25 @@ def feedback(samples: DataFrame, s: Settings) -> Run:
     state = clients.crossJoin(F.broadcast(start)).join(counts, ["client", "y"], "left")  # the bootstrap gives all clients one memory
     state = settle(state.select("client", "y", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "w", F.lit(0).cast("bigint").alias("errors")), "feedback-state")
     change = settle(start.select("y", zero.alias("delta")), "feedback-change")
-    parts, snapshots = [], {}
-    schema = f"client {samples.schema['client'].dataType.simpleString()}, y int, n bigint, w {DOUBLES}, errors bigint, delta {DOUBLES}"
+    snapshots = {}
     for r in range(1, s.rounds + 1):
         now = chosen.where(F.col("round") == r).select("client")
-        weight = F.col("errors") / F.greatest("n", F.lit(1)) * s.rate
-        absorbed = state.join(now, "client", "left_semi").join(F.broadcast(change), "y")  # one row per class
-        moved = F.zip_with("w", "delta", lambda a, b: a + weight * b)
-        zeroed = F.aggregate("delta", F.lit(0.0), lambda a, v: a + F.abs(v)) == 0
-        ready = absorbed.withColumn("w", F.when(zeroed, F.col("w")).otherwise(normalise(moved, "plus"))).withColumn("delta", F.transform("delta", lambda v: v * 0.0))
-
-        def step(client: object, rows: pd.DataFrame, held: pd.DataFrame, r: int = r) -> pd.DataFrame:
-            held, rows = held.sort_values("y").reset_index(drop=True), rows.sort_values("sample")
-            labels = held["y"].to_numpy()
-            known = np.isin(rows["y"].to_numpy(), labels)
-            y, x = np.searchsorted(labels, rows["y"].to_numpy())[known], tr.stack(rows["h"])[known]
-            w, delta, errors = tr.feedback_epochs(tr.stack(held["w"]), tr.stack(held["delta"]), x, y, tr.batches_of(len(x), s.batch, s.epochs, tr.seed_of(client, s.seed, r)), s.rate)
-            return held.assign(w=list(w), delta=list(delta), errors=errors)[["client", "y", "n", "w", "errors", "delta"]]
-
-        local = settle(tr.local(train.join(now, "client", "left_semi"), ready.select("client", "y", "n", "w", "errors", "delta"), "client", step, schema), "feedback-local")
-        change = settle(pr.memory_sum(local, value="delta", mode=None), "feedback-change")
-        state = settle(state.join(now, "client", "left_anti").unionByName(local.drop("delta")), "feedback-state")
-        parts.append(_metric(pr.macro_accuracy(pr.predict(test, state.select("client", "y", "w"), ["client"], "h")), r, macro_accuracy="accuracy"))
+        with book.timed(r, "clients"):
+            weight = F.col("errors") / F.greatest("n", F.lit(1)) * s.rate
+            absorbed = state.join(now, "client", "left_semi").join(F.broadcast(change), "y")  # one row per class
+            moved = F.zip_with("w", "delta", lambda a, b: a + weight * b)
+            zeroed = F.aggregate("delta", F.lit(0.0), lambda a, v: a + F.abs(v)) == 0
+            ready = absorbed.withColumn("w", F.when(zeroed, F.col("w")).otherwise(normalise(moved, "plus"))).withColumn("delta", F.transform("delta", lambda v: v * 0.0))
+            trained = tr.local(train.join(now, "client", "left_semi"), ready, "client", tr.Memory(s.rate, "cos", renormalise="batch"), s.batch, s.epochs, s.seed, r)
+            local = settle(trained.join(state.select("client", "y", "n"), ["client", "y"]).select("client", "y", "n", "w", "errors", "delta"), "feedback-local")
+        with book.timed(r, "server"):
+            change = settle(pr.memory_sum(local, value="delta", mode=None), "feedback-change", replaces=change)
+            state = settle(state.join(now, "client", "left_anti").unionByName(local.drop("delta")), "feedback-state", replaces=None if r - 1 in snapshots else state)
+        book.add(pr.macro_accuracy(pr.predict(test, state.select("client", "y", "w"), ["client"], "h")), r, macro_accuracy="accuracy")
+        book.uploads(local, r, "delta")
         if r in s.snapshot_rounds:
             snapshots[r] = state
-    return Run(settle(_history(parts), "feedback-history"), state, snapshots)
+    return book.run(state, snapshots)
 
 
 @dataclass
@@ -154,29 +161,69 @@ class Bootstrap:
     energy: float
 
 
-def bootstrap(samples: DataFrame, s: Settings, memory: DataFrame | None = None) -> Bootstrap:
-    """Bases from all clients' class means, and every client's coefficients in them."""
+def _packed(personal: DataFrame) -> DataFrame:
+    """Personal bases, one array of rows per client: client, basis."""
+    return personal.groupBy("client").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("basis"))
+
+
+def _along(x: str, basis: str = "basis") -> Column:
+    """Coordinates of x along the rows of a basis."""
+    return F.transform(basis, lambda b: F.aggregate(F.zip_with(x, b, lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v))
+
+
+def bootstrap(samples: DataFrame, s: Settings, memory: DataFrame | None = None, given: tuple[np.ndarray, np.ndarray, DataFrame] | None = None) -> Bootstrap:
+    """Bases from all clients' class means, and every client's coefficients in them.
+
+    ``given`` are a common, a global and personal bases to be used instead of fitted
+    ones.  The change d starts at zero, or with ``change_start="difference"`` at what
+    a client's own common coefficients differ from the consensus; the residual for
+    the personal basis is then what neither explains.
+    """
+    if s.change_start not in ("zero", "difference"):
+        raise ValueError(f"unknown start of the change {s.change_start!r}")
     train = samples.where("split = 'train'")
     memory = settle(pr.class_means(train, ["client", "y"], "h", "clamp") if memory is None else memory, "subspace-memory")
     counts = train.groupBy("client", "y").agg(F.count("*").alias("n"))
-    common, extra, energy = bases.shared_basis(memory, s.common_rank, s.global_rank)
+    common, extra, energy = bases.shared_basis(memory, s.common_rank, s.global_rank) if given is None else (given[0], given[1], bases.explained(memory, np.hstack(given[:2])))
     both = np.hstack([common, extra])
     m = bases.project(bases.project(memory, common, "w", "mc"), extra, "w", "mg").join(counts, ["client", "y"])
     c = pr.consensus(m, "y", "mc").withColumnRenamed("mc", "c")
     g = pr.consensus(m, "y", "mg").withColumnRenamed("mg", "g")
     held = m.join(F.broadcast(c), "y").join(F.broadcast(g), "y")  # one row per class
+    start = F.transform("c", lambda v: v * 0.0) if s.change_start == "zero" else F.zip_with("mc", "c", lambda a, b: a - b)
     lifted = encoders.multiply(encoders.multiply(held, common.T, "mc", "_a"), extra.T, "g", "_b")
-    residual = settle(lifted.withColumn("res", F.zip_with("w", add("_a", "_b"), lambda x, y: x - y)).select("client", "y", "n", "c", "g", "res"), "subspace-residual")
-    personal = settle(bases.per_client(residual, "client", "res", s.personal_rank, both), "subspace-personal")
-    packed = personal.groupBy("client").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("basis"))
-    along = lambda x: F.transform("basis", lambda b: F.aggregate(F.zip_with(x, b, lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v))
-    state = residual.join(packed, "client").select("client", "y", "n", "c", "g", F.transform("c", lambda v: v * 0.0).alias("d"), along("res").alias("p"), F.lit(0).cast("bigint").alias("wrong"))
-    seen = bases.project(bases.project(samples, common, "h", "zc"), extra, "h", "zg").join(packed, "client")
-    cache = seen.select("client", "sample", "split", "y", "zc", "zg", along("h").alias("zp"))
-    return Bootstrap(common, extra, personal, settle(state, "subspace-state"), settle(cache, "subspace-cache"), energy)
+    residual = settle(lifted.withColumn("res", F.zip_with("w", add("_a", "_b"), lambda x, y: x - y)).select("client", "y", "n", "c", "g", start.alias("d"), "res"), "subspace-residual")
+    personal = settle(bases.per_client(residual, "client", "res", s.personal_rank, both), "subspace-personal") if given is None else given[2]
+    packed = _packed(personal)
+    state = residual.join(packed, "client").select("client", "y", "n", "c", "g", "d", _along("res").alias("p"), F.lit(0).cast("bigint").alias("wrong"))
+    return Bootstrap(common, extra, personal, settle(state, "subspace-state"), settle(query_cache(samples, common, extra, personal), "subspace-cache"), energy)
+
+
+def query_cache(samples: DataFrame, common: np.ndarray, extra: np.ndarray, personal: DataFrame) -> DataFrame:
+    """Samples projected once for all rounds: client, sample, split, y, zc, zg, zp."""
+    seen = bases.project(bases.project(samples, common, "h", "zc"), extra, "h", "zg").join(_packed(personal), "client")
+    return seen.select("client", "sample", "split", "y", "zc", "zg", _along("h").alias("zp"))
+
+
+def late_join(boot: Bootstrap, state: DataFrame, samples: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """State and projected samples of clients that come later, in the bases that there are.
 
+    They take the classes' current consensus of c and g, weighted by counts; only
+    their personal bases are fitted, to their own residuals.
+    """
+    train = samples.where("split = 'train'")
+    memory = pr.class_means(train, ["client", "y"], "h", "clamp").join(train.groupBy("client", "y").agg(F.count("*").alias("n")), ["client", "y"])
+    m = bases.project(memory, boot.common, "w", "mc")
+    c, g = (pr.consensus(state, "y", k) for k in "cg")
+    held = m.join(F.broadcast(c), "y").join(F.broadcast(g), "y")  # one row per class
+    lifted = encoders.multiply(encoders.multiply(held, boot.common.T, "mc", "_a"), boot.extra.T, "g", "_b")
+    residual = settle(lifted.withColumn("res", F.zip_with("w", add("_a", "_b"), lambda x, y: x - y)).select("client", "y", "n", "c", "g", "res"), "late-residual")
+    personal = settle(bases.per_client(residual, "client", "res", s.personal_rank, np.hstack([boot.common, boot.extra])), "late-personal")
+    new = residual.join(_packed(personal), "client").select("client", "y", "n", "c", "g", F.transform("c", lambda v: v * 0.0).alias("d"), _along("res").alias("p"), F.lit(0).cast("bigint").alias("wrong"))
+    return settle(new, "late-state"), settle(query_cache(samples, boot.common, boot.extra, personal), "late-cache")
 
-def branch_predictions(cache: DataFrame, state: DataFrame, metric: str = "cos") -> dict[str, DataFrame]:
+
+def branch_predictions(cache: DataFrame, state: DataFrame, metric: str = "dot") -> dict[str, DataFrame]:
     """Predictions of the fused, shared and personal branches on projected samples."""
     rows = cache.select("client", "sample", "y", F.concat("zc", "zg", "zp").alias("zf"), F.concat("zc", "zg").alias("zs"), F.concat("zc", "zp").alias("zl"))
     fused = state.select("client", "y", F.concat(add("c", "d"), F.col("g"), F.col("p")).alias("w"))
@@ -186,20 +233,24 @@ def branch_predictions(cache: DataFrame, state: DataFrame, metric: str = "cos")
 
 
 def merge(state: DataFrame, common: DataFrame, s: Settings) -> DataFrame:
-    """Gated move of every client's c and g towards the broadcast ones: columns y, cc, gg."""
+    """Every client's c and g after the broadcast ones (columns y, cc, gg): moved by the gate, or replaced."""
+    if s.server not in ("gated", "gated_unit", "replace"):
+        raise ValueError(f"unknown server step {s.server!r}")
     gate = pr.follow_ratio(F.col("n"), F.col("wrong"), s.alpha, *s.gate)
     joined = state.join(F.broadcast(common), "y", "left")  # one row per class
-    move = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(pr.gated_merge(a, b, s.rate, gate))
+    taken = lambda a, b: F.col(b) if s.server == "replace" else pr.gated_merge(a, b, s.rate, gate)
+    moved = lambda a, b: normalise(taken(a, b), "plus") if s.server == "gated_unit" else taken(a, b)
+    move = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(moved(a, b))
     return joined.select("client", "y", "n", move("c", "cc").alias("c"), move("g", "gg").alias("g"), "d", "p", "wrong")
 
 
-def rebuild(boot: Bootstrap, state: DataFrame) -> DataFrame:
-    """Full memories (client, y, w) of a coefficient state, rows of unit norm."""
-    packed = boot.personal.groupBy("client").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "b"))), lambda x: x["b"]).alias("basis"))
-    shared = encoders.multiply(encoders.multiply(state.withColumn("cd", add("c", "d")), boot.common.T, "cd", "_a"), boot.extra.T, "g", "_b").join(packed, "client")
+def rebuild(boot: Bootstrap, state: DataFrame, unit: bool = True) -> DataFrame:
+    """Full memories (client, y, w) of a coefficient state, rows of unit norm unless not wanted."""
+    shared = encoders.multiply(encoders.multiply(state.withColumn("cd", add("c", "d")), boot.common.T, "cd", "_a"), boot.extra.T, "g", "_b").join(_packed(boot.personal), "client")
     parts = F.zip_with("p", "basis", lambda a, b: F.transform(b, lambda x: a * x))
     own = F.aggregate(parts, F.transform("_a", lambda x: x * 0.0), lambda total, part: F.zip_with(total, part, lambda x, y: x + y))
-    return shared.select("client", "y", normalise(add(add("_a", "_b"), own), "clamp").alias("w"))
+    whole = add(add("_a", "_b"), own)
+    return shared.select("client", "y", (normalise(whole, "clamp") if unit else whole).alias("w"))
 
 
 def pull_to_centres(state: DataFrame, uploads: DataFrame, s: Settings) -> DataFrame:
@@ -211,10 +262,10 @@ def pull_to_centres(state: DataFrame, uploads: DataFrame, s: Settings) -> DataFr
     centres = settle(pr.kmeans(uploads.select("client", "y", normalise(x, "clamp").alias("x")), ["y"], "client", s.centres, 10), "subspace-centres")
     moved = pr.pull(state.withColumn("x", x), centres, ["y"], s.beta)
     nc = F.size("c")
-    return moved.withColumns({"c": F.slice("x", F.lit(1), nc), "g": F.slice("x", nc + 1, F.size("g"))}).select(*state.columns)
+    return moved.drop("centre").withColumns({"c": F.slice("x", F.lit(1), nc), "g": F.slice("x", nc + 1, F.size("g"))}).select(*state.columns)
 
 
-def subspace(samples: DataFrame, s: Settings) -> Run:
+def subspace(samples: DataFrame, s: Settings, boot: Bootstrap | None = None) -> Run:
     """Rounds of coefficient training in shared and personal bases.
 
     The server's means are merged by a client when it next takes part, if it took
@@ -223,53 +274,141 @@ def subspace(samples: DataFrame, s: Settings) -> Run:
     ``refresh_every`` rounds bases are fitted anew to the clients' memories, and
     the mean angle between old and new shared bases is reported.
     """
-    boot = bootstrap(samples, s)
-    chosen = _chosen(samples, s)
-    state, cache = boot.state, boot.cache
-    train, test = cache.where("split = 'train'"), cache.where("split = 'test'")
-    schema = f"client {samples.schema['client'].dataType.simpleString()}, y int, n bigint, c {DOUBLES}, g {DOUBLES}, d {DOUBLES}, p {DOUBLES}, wrong bigint"
-    parts, snapshots = [], {}
+    boot = bootstrap(samples, s) if boot is None else boot
+    chosen, book = _chosen(samples, s), _Book(samples, "subspace")
+    state, cache, snapshots = boot.state, boot.cache, {}
+    learner = tr.Coefficients(s.rate, s.rate if s.personal_rate is None else s.personal_rate, s.coefficient_metric)
     pending: DataFrame | None = None
     for r in range(1, s.rounds + 1):
+        train, test = cache.where("split = 'train'"), cache.where("split = 'test'")
         now = chosen.where(F.col("round") == r).select("client")
         last = chosen.where(F.col("round") == r - 1).select("client")
-        ready = state.join(now, "client", "left_semi")
-        if pending is not None:
-            ready = merge(ready.join(last, "client", "left_semi"), pending, s).unionByName(ready.join(last, "client", "left_anti"))
-
-        def step(client: object, rows: pd.DataFrame, held: pd.DataFrame, r: int = r) -> pd.DataFrame:
-            held, rows = held.sort_values("y").reset_index(drop=True), rows.sort_values("sample")
-            labels = held["y"].to_numpy()
-            known = np.isin(rows["y"].to_numpy(), labels)
-            y = np.searchsorted(labels, rows["y"].to_numpy())[known]
-            z = {k: tr.stack(rows[f"z{k}"])[known] for k in "cgp"}
-            new, wrong = tr.subspace_epochs({k: tr.stack(held[k]) for k in "cgdp"}, z, y, tr.batches_of(len(y), s.batch, s.epochs, tr.seed_of(client, s.seed, r)), s.rate, s.metric)
-            return held.assign(**{k: list(v) for k, v in new.items()}, wrong=wrong)[["client", "y", "n", "c", "g", "d", "p", "wrong"]]
-
-        local = settle(tr.local(train.join(now, "client", "left_semi"), ready.select("client", "y", "n", "c", "g", "d", "p", "wrong"), "client", step, schema), "subspace-local")
-        means = pr.consensus(local, "y", "c").withColumnRenamed("c", "cc").join(pr.consensus(local, "y", "g").withColumnRenamed("g", "gg"), "y")
-        pending = settle(means, "subspace-pending")
+        with book.timed(r, "clients"):
+            ready = state.join(now, "client", "left_semi")
+            if pending is not None:
+                ready = merge(ready.join(last, "client", "left_semi"), pending, s).unionByName(ready.join(last, "client", "left_anti"))
+            own = train.join(now, "client", "left_semi")
+            trained = settle(tr.local(own, ready, "client", learner, s.batch, s.epochs, s.seed, r).drop("errors"), "subspace-trained")
+            local = settle(_counted(trained, own, state, s), "subspace-local")
+        with book.timed(r, "server"):
+            means = pr.consensus(local, "y", "c").withColumnRenamed("c", "cc").join(pr.consensus(local, "y", "g").withColumnRenamed("g", "gg"), "y")
+            pending = settle(means, "subspace-pending", replaces=pending)
         state = settle(state.join(now, "client", "left_anti").unionByName(local), "subspace-state")
         if due(r, s.centre_every, s.beta):
-            state = settle(pull_to_centres(state, local, s), "subspace-state")
+            state = settle(pull_to_centres(state, local, s), "subspace-state", replaces=state)
         if due(r, s.refresh_every):
             old, boot = np.hstack([boot.common, boot.extra]), bootstrap(samples, s, settle(rebuild(boot, state), "subspace-memory"))
             state, cache, pending = boot.state, boot.cache, None
-            train, test = cache.where("split = 'train'"), cache.where("split = 'test'")
+            test = cache.where("split = 'test'")
             drift = bases.principal_angle(old, np.hstack([boot.common, boot.extra]))
-            parts.append(samples.sparkSession.createDataFrame([(r, "basis_drift_degrees", drift)], "round int, metric string, value double"))
+            book.add(samples.sparkSession.range(1), r, basis_drift_degrees=F.lit(drift))
         current = state if pending is None else merge(state.join(now, "client", "left_semi"), pending, s).unionByName(state.join(now, "client", "left_anti"))
-        for name, seen in branch_predictions(test, current, s.metric).items():
-            parts.append(_metric(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"}))
+        current = settle(current, "subspace-current")
+        for name, seen in branch_predictions(test, current, s.coefficient_metric).items():
+            book.add(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"})
+        book.uploads(local, r, "c", "g")
+        sync = local.select("client", "y", "c", "n", "wrong").join(current.select("client", "y", F.col("c").alias("after")), ["client", "y"])
+        moved = norm(F.zip_with("c", "after", lambda a, b: a - b))
+        book.add(sync.agg(F.avg(pr.follow_ratio(F.col("n"), F.col("wrong"), s.alpha, *s.gate)).alias("gate"), F.avg(moved).alias("moved")), r, mean_gate="gate", mean_sync_move="moved")
         if r in s.snapshot_rounds:
             snapshots[r] = current
-    return Run(settle(_history(parts), "subspace-history"), state, snapshots)
+    return book.run(state, snapshots)
+
+
+def _counted(trained: DataFrame, train: DataFrame, state: DataFrame, s: Settings) -> DataFrame:
+    """Trained coefficients with the counts of their classes and the mistakes that are left."""
+    seen = branch_predictions(train, trained, s.coefficient_metric)["fused"]
+    wrong = seen.where("pred != y").groupBy("client", "y").agg(F.count("*").alias("wrong"))
+    full = trained.join(state.select("client", "y", "n"), ["client", "y"]).join(wrong, ["client", "y"], "left")
+    return full.select("client", "y", "n", "c", "g", "d", "p", F.coalesce("wrong", F.lit(0)).cast("bigint").alias("wrong"))
+
+
+def mixed(samples: DataFrame, s: Settings) -> Run:
+    """Rounds with unit coordinates of one shared basis and a personal one, mixed by a learned alpha.
+
+    samples: client, sample, split (train, test, and val, or val is train), y, h.
+    A client learns its shared and personal rows, then the alpha of the grid that
+    predicts its validation rows best; the server's weighted mean of the shared
+    rows, renormalised, replaces every participant's (``server="replace"``) or moves it.
+    """
+    train, test = samples.where("split = 'train'"), samples.where("split = 'test'")
+    val = samples.where("split = 'val'")
+    chosen, book = _chosen(samples, s), _Book(samples, "mixed")
+    rank = s.common_rank + s.global_rank
+    memory = settle(pr.class_means(train, ["client", "y"], "h", "clamp"), "mixed-memory")
+    basis, _, _ = bases.shared_basis(memory, rank, 0)
+    counts = train.groupBy("client", "y").agg(F.count("*").alias("n"))
+    shared = bases.project(memory, basis, "w", "s")
+    residual = settle(encoders.multiply(shared, basis.T, "s", "_a").withColumn("res", F.zip_with("w", "_a", lambda a, b: a - b)).drop("_a"), "mixed-residual")
+    personal = settle(bases.per_client(residual, "client", "res", s.personal_rank, basis), "mixed-personal")
+    state = residual.join(_packed(personal), "client").join(counts, ["client", "y"])
+    state = settle(state.select("client", "y", "n", normalise("s", "plus").alias("s"), normalise(_along("res"), "plus").alias("p"), F.array(F.lit(0.5)).alias("alpha"), F.lit(0).cast("bigint").alias("wrong")), "mixed-state")
+    cache = settle(bases.project(samples, basis, "h", "zs").join(_packed(personal), "client").select("client", "sample", "split", "y", "zs", _along("h").alias("zp")), "mixed-cache")
+    own_rate = s.rate if s.personal_rate is None else s.personal_rate
+    held_out = "val" if not val.isEmpty() else "train"
+    snapshots = {}
+    for r in range(1, s.rounds + 1):
+        now = chosen.where(F.col("round") == r).select("client")
+        with book.timed(r, "clients"):
+            rows = cache.where("split = 'train'").join(now, "client", "left_semi")
+            trained = settle(tr.local(rows, state.join(now, "client", "left_semi"), "client", tr.Mixed(s.rate, own_rate), s.batch, s.epochs, s.seed, r).drop("errors"), "mixed-trained")
+            checked = cache.where(F.col("split") == held_out).join(now, "client", "left_semi")
+            best = mixing_weights(checked, trained, list(s.alphas))
+            mixed_ = trained.drop("alpha").join(best.select("client", F.array("alpha").alias("alpha")), "client")
+            wrong = mixed_predictions(rows, mixed_)["fused"].where("pred != y").groupBy("client", "y").agg(F.count("*").alias("wrong"))
+            local = settle(mixed_.join(state.select("client", "y", "n"), ["client", "y"]).join(wrong, ["client", "y"], "left").select("client", "y", "n", "s", "p", "alpha", F.coalesce("wrong", F.lit(0)).cast("bigint").alias("wrong")), "mixed-local")
+        with book.timed(r, "server"):
+            mean = F.broadcast(pr.consensus(local, "y", "s", mode="plus").withColumnRenamed("s", "ss"))  # one row per class
+            gate = pr.follow_ratio(F.col("n"), F.col("wrong"), s.alpha, *s.gate)
+            taken = F.col("ss") if s.server == "replace" else normalise(pr.gated_merge("s", "ss", s.rate, gate), "plus")
+            synced = local.join(mean, "y").select("client", "y", "n", taken.alias("s"), "p", "alpha", "wrong")
+            state = settle(state.join(now, "client", "left_anti").unionByName(synced), "mixed-state", replaces=None if r - 1 in snapshots else state)
+        for name, seen in mixed_predictions(cache.where("split = 'test'"), state).items():
+            book.add(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"})
+        book.add(local.groupBy("client").agg(F.first(F.get("alpha", F.lit(0))).alias("a")).agg(F.avg("a").alias("a")), r, mean_alpha="a")
+        book.uploads(local, r, "s")
+        if r in s.snapshot_rounds:
+            snapshots[r] = state
+    return book.run(state, snapshots)
+
+
+def mixing_weights(cache: DataFrame, state: DataFrame, alphas: list[float]) -> DataFrame:
+    """The alpha of each client that predicts these rows best, the first of the grid on a tie: client, alpha, accuracy."""
+    rows = mixed_scores(cache, state).withColumn("_a", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("alpha")) for i, a in enumerate(alphas)])))
+    fused = F.transform("_s", lambda s: F.struct(F.round(F.col("_a.alpha") * s["s"] + (1 - F.col("_a.alpha")) * s["p"], 9).alias("s"), (-s["k"]).alias("k")))
+    hit = (-F.array_max(fused)["k"] == F.col("y")).cast("double")
+    acc = rows.groupBy("client", F.col("_a.i").alias("i"), F.col("_a.alpha").alias("alpha")).agg(F.avg(hit).alias("accuracy"))
+    return acc.groupBy("client").agg(F.max_by("alpha", F.struct(F.round("accuracy", 9), -F.col("i"))).alias("alpha"), F.max("accuracy").alias("accuracy"))
+
+
+def mixed_scores(cache: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with _s, the cosines of every class in both bases, and their client's _alpha."""
+    packed = state.groupBy("client").agg(F.array_sort(F.collect_list(F.struct(F.col("y").alias("k"), "s", "p"))).alias("_rows"), F.first(F.get("alpha", F.lit(0))).alias("_alpha"))
+    joined = cache.join(packed, "client")
+    return joined.withColumn("_s", F.transform("_rows", lambda c: F.struct(c["k"].alias("k"), F.round(pr.cosine("zs", c["s"]), 9).alias("s"), F.round(pr.cosine("zp", c["p"]), 9).alias("p")))).drop("_rows")
+
+
+def mixed_predictions(cache: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
+    """Predictions of the fused, shared and personal branches."""
+    rows = mixed_scores(cache, state)
+    best = lambda f: -F.array_max(F.transform("_s", lambda s: F.struct(F.round(f(s), 9).alias("s"), (-s["k"]).alias("k"))))["k"]
+    forms = {"fused": lambda s: F.col("_alpha") * s["s"] + (1 - F.col("_alpha")) * s["p"], "shared": lambda s: s["s"], "personal": lambda s: s["p"]}
+    return {name: rows.select("client", "sample", "y", best(f).alias("pred")) for name, f in forms.items()}
+
+
+def whole_predictions(samples: DataFrame, boot: Bootstrap, state: DataFrame, metric: str = "dot") -> DataFrame:
+    """Predictions on whole memories rebuilt from coefficients; with orthonormal bases they agree with the fused branch."""
+    return pr.predict(samples, rebuild(boot, state, unit=False), ["client"], "h", metric=metric, skip_zero=False)
 
 
-def replay(snapshots: dict[int, DataFrame], cache: DataFrame, metric: str = "cos") -> DataFrame:
+def replay(snapshots: dict[int, DataFrame], cache: DataFrame, metric: str = "dot") -> DataFrame:
     """Macro accuracy of every branch on stored states, without training: round, metric, value."""
-    test = cache.where("split = 'test'")
-    return _history([_metric(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"}) for r, state in snapshots.items() for name, seen in branch_predictions(test, state, metric).items()])
+    test, book = cache.where("split = 'test'"), _Book(cache, "replay")
+    for r, state in snapshots.items():
+        for name, seen in branch_predictions(test, state, metric).items():
+            book.add(pr.macro_accuracy(seen), r, **{f"{name}_accuracy": "accuracy"})
+    return book.log.table()
 
 
-METHODS = {"averaging": averaging, "feedback": feedback, "subspace": subspace}
+#: Every method takes (samples, settings) and returns a Run.
+METHODS = {"averaging": averaging, "feedback": feedback, "subspace": subspace, "mixed": mixed}

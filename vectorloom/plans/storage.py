@@ -3,26 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OWN_CHECKPOINT_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else OWN_CHECKPOINT_DIR
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from vectorloom.functions.tables import settle, shared_dir
 
+__all__ = ["compatible", "load_snapshot", "remaining", "save_snapshot", "settle", "shared_dir", "signature", "signature_of", "upsert"]
 
 def save_snapshot(state: DataFrame, base: str, dataset: str, method: str, seed: int, signature: str) -> None:
     """Appends the state of rounds, one folder per dataset, method, seed, signature and round."""
