@@ -12,8 +12,8 @@ The global order of n-grams is cut into fragments, wherever n-grams are counted:
    Every set is first compared with one partner only, the most central of those
    with which it shares such n-grams, and linked sets become one class.  This
    gathers large groups of copies without looking at their pairs.
-4. Pairs.  Then all pairs of sets of different classes that share rare n-grams
-   are counted, and those that share enough for their sizes are compared.
+4. Pairs.  Then all pairs of sets of different classes that share an n-gram early
+   enough in the order for their sizes are compared.
 
 To compare pairs, their sets are cut into fragments of the order too.  Each set is
 sent to the fragments of its block once; a fragment counts the partial overlaps of
@@ -261,15 +261,18 @@ def _ordered(texts: DataFrame, suspects: DataFrame, size: int, similarity: float
 
 
 def _filings(sets: DataFrame) -> DataFrame:
-    """One row for each n-gram of each prefix: gram, node, n, central."""
+    """One row for each n-gram of each prefix: gram, node, n, central, and its place in the set's order from 0."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.column("prefix").to_numpy().astype(np.int64)
             cells = [np.frombuffer(c, np.int64, p) for c, p in zip(batch.column("grams").to_pylist(), k.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cells])), *(pa.array(np.repeat(batch.column(c).to_numpy(), k)) for c in ("node", "n", "central"))], ["gram", "node", "n", "central"])
+            whole = np.array([len(c) // 8 for c in batch.column("grams").to_pylist()], dtype=np.int64)
+            lead = batch.column("n").to_numpy() - whole  # n-grams of its own come first
+            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lead, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cells])), *(pa.array(np.repeat(batch.column(c).to_numpy(), k)) for c in ("node", "n", "central")), pa.array(at)], ["gram", "node", "n", "central", "place"])
 
-    return sets.mapInArrow(file, "gram bigint, node bigint, n bigint, central double")
+    return sets.mapInArrow(file, "gram bigint, node bigint, n bigint, central double, place bigint")
 
 
 def _near(a: Column, b: Column, similarity: float) -> Column:
@@ -371,31 +374,33 @@ def _partners(filings: DataFrame, turn: int, similarity: float) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("best.b").alias("b"), F.col("best.b").alias("block"))
 
 
-def enough(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose overlap in the prefixes may belong to similar sets.
+def early(place: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether an n-gram at this place of a set of n may be the first of those shared with a similar set of m.
 
-    Two similar sets share ``common`` n-grams or more; all but size - common of a
-    prefix are among them, and the first of these stand in both prefixes.
+    Two similar sets share ``common`` n-grams or more.  All but size - common of a
+    prefix are among them, and those of the prefix that ends first stand in both,
+    so one of the sets has at least the smaller number of them from the first on.
     """
-    m, n = F.col("na"), F.col("nb")
     common = F.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)
-    spare = lambda k: F.lit(1) - F.ceil(similarity * k - 1e-9) + common  # noqa: E731  prefix size - (k - common)
-    return pairs.where(F.col("c") >= F.least(spare(m), spare(n)))
+    prefix = lambda k: k - F.ceil(similarity * k - 1e-9) + 1
+    shared = F.least(*[prefix(k) - (k - common) for k in (n, m)])
+    return place <= prefix(n) - shared
 
 
 def _pairs(filings: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of sets of different classes that share enough n-grams of their prefixes: a, b, and their classes ca, cb.
+    """Pairs of sets of different classes that share an early n-gram: a, b, and their classes ca, cb.
 
     Under each n-gram, the sets of its largest class are not paired with each other.
     """
     main = filings.groupBy("gram", "class").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "class")).getField("class").alias("main"))
-    full = filings.join(main, "gram")
-    few = full.where(F.col("class") != F.col("main")).select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("class").alias("cx"))
-    met = few.join(full, "gram").where((F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("node"))) & _near(F.col("n"), F.col("nx"), similarity))
+    full = filings.join(main, "gram").select("gram", "main", "node", "n", "class", "place")
+    few = full.where(F.col("class") != F.col("main")).select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("class").alias("cx"), F.col("place").alias("px"))
+    apart = (F.col("class") != F.col("cx")) & ((F.col("class") == F.col("main")) | (F.col("x") < F.col("node")))
+    n, nx = F.col("n"), F.col("nx")
+    met = few.join(full, "gram").where(apart & _near(n, nx, similarity) & early(F.col("place"), n, nx, similarity) & early(F.col("px"), nx, n, similarity))
     low = F.col("x") < F.col("node")
     pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-    ordered = met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), pick("nx", "n").alias("na"), pick("n", "nx").alias("nb"), pick("cx", "class").alias("ca"), pick("class", "cx").alias("cb"))
-    return enough(ordered.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.count("*").alias("c")), similarity).select("a", "b", "ca", "cb")
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), pick("cx", "class").alias("ca"), pick("class", "cx").alias("cb")).distinct()
 
 
 def _placed(pairs: DataFrame) -> DataFrame:
