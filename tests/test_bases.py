@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.operators import bases
+from vectorloom.operators import bases, encoders
 
 
 def samples(spark, n=40, d=6, clients=2):
@@ -61,3 +62,35 @@ def test_projection(spark):
     got = bases.project(df, b, "w", "z").select("w", "z").collect()
     assert np.allclose([np.linalg.norm(r.w) for r in got], [np.linalg.norm(r.z) for r in got])
     assert df.select(F.size("w")).first()[0] == 6
+
+
+def test_policies_and_random_completion(spark):
+    draw = np.random.default_rng(4)
+    m = draw.normal(size=(3, 6))
+    rows = spark.createDataFrame([(1, y, r.tolist()) for y, r in enumerate(m)], "client int, y int, w array<double>")
+    for policy in ("gram", "reduced_svd", "full_svd"):
+        b = np.array([r.b for r in bases.per_client(rows, "client", "w", 5, policy=policy).orderBy("r").collect()]).T
+        assert np.allclose(b.T @ b, np.eye(5), atol=1e-8)
+        assert np.allclose(np.abs(np.linalg.svd(m)[2][:3] @ b[:, :3]), np.eye(3), atol=1e-6)
+    with pytest.raises(ValueError):
+        bases.per_client(rows, "client", "w", 5, policy="half")
+    one = bases.orthonormal(draw.normal(size=(6, 2)))
+    full = bases.complete(one, 5, seed=3)
+    assert np.allclose(full.T @ full, np.eye(5)) and np.array_equal(full, bases.complete(one, 5, seed=3)) and not np.allclose(full, bases.complete(one, 5))
+
+
+def test_groups_and_fitted_encoders(spark):
+    for mode in ("contiguous_partition", "random_partition"):
+        assert sorted(np.concatenate(encoders.group_masks(mode, 11, 3)).tolist()) == list(range(11))
+    assert [len(g) for g in encoders.group_masks("random_topk", 11, 3, topk=4)] == [4, 4, 4]
+    with pytest.raises(ValueError):
+        encoders.group_masks("none", 3, 1)
+    draw = np.random.default_rng(1)
+    w = draw.normal(size=(6, 12))
+    rows = spark.createDataFrame([(i, int(i % 2), (draw.normal(size=6) + i % 2).tolist()) for i in range(40)], "sample int, y int, x array<double>")
+    plain = encoders.PackedEncoder(w, "random_partition", 3, seed=2).encode(rows)
+    assert all(np.isclose(np.linalg.norm(r.h), 1, atol=1e-6) for r in plain.collect())
+    learned = encoders.PackedEncoder(w, "mlp", 2, topk=3)
+    with pytest.raises(RuntimeError):
+        learned.encode(rows)
+    assert learned.fit(rows, 2).encode(rows).count() == 40

@@ -4,6 +4,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vectorloom import sinks
@@ -103,8 +104,45 @@ def test_running_means_over_a_stream(spark, tmp_path):
     assert got == {0: (2, [2.0, 3.0]), 1: (1, [5.0, 6.0])}
 
 
+def test_a_half_written_cache_is_made_anew(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "c"))
+    (tmp_path / "c" / "_SUCCESS").unlink()
+    assert cached(spark, str(tmp_path / "c"), lambda: spark.range(3)).count() == 3
+
+
 def test_cached_tables_are_made_once(spark, tmp_path):
     made = []
     for _ in range(2):
         assert cached(spark, str(tmp_path / "c"), lambda: made.append(1) or spark.range(3)).count() == 3
     assert made == [1]
+
+
+def test_phone_windows_join_both_series(spark, tmp_path):
+    from vectorloom.sources.registry import Spec, load
+
+    def series(name, k, shift):
+        lines = ["Arrival_Time,x,y,z,User,Device,gt"]
+        for user in "ab":
+            lines += [f"{1000 + 50 * i + shift},{i * k},{i},0,{user},d,{'sit' if i < 60 else 'walk'}" for i in range(140)]
+        (tmp_path / name).write_text("\n".join(lines))
+        return str(tmp_path / name)
+
+    spec = Spec("phones", "phone_events", series("acc.csv", 1, 0), options={"gyroscope": series("gyro.csv", 2, 25), "width": 10, "stride": 10}, least=1)
+    rows = load(spark, spec).collect()
+    assert {r.client for r in rows} == {"a", "b"} and all(len(r.x) == 60 for r in rows) and {r.y for r in rows} == {0, 1}
+    first = min((r for r in rows if r.client == "a"), key=lambda r: r.x[1])
+    assert np.isclose(first.x[6 * 3 + 3], 2 * (first.x[6 * 3 + 1] - 0.5))  # the gyroscope half a step earlier
+
+
+def test_fixture_manifest_and_console_table(spark, tmp_path):
+    from vectorloom import sinks
+
+    df = spark.createDataFrame([(1, "a", 0.5), (20, None, 1.25)], "k int, name string, v double")
+    sinks.write_fixture(df, str(tmp_path / "f"), seed=3)
+    assert sorted(sinks.read_fixture(spark, str(tmp_path / "f")).collect()) == sorted(df.collect())
+    df.limit(1).write.mode("overwrite").parquet(str(tmp_path / "f" / "data"))
+    with pytest.raises(ValueError):
+        sinks.read_fixture(spark, str(tmp_path / "f"))
+    assert sinks.aligned(df.orderBy("k")).splitlines() == [" k  name       v", " 1  a     0.5000", "20        1.2500"]
+    with pytest.raises(ValueError):
+        sinks.aligned(df, most=1)

@@ -66,14 +66,18 @@ def orthogonal_to(x: np.ndarray, reference: np.ndarray | None) -> np.ndarray:
     return orthonormal(x)
 
 
-def complete(basis: np.ndarray, rank: int, reference: np.ndarray | None = None) -> np.ndarray:
-    """Adds unit vectors, made orthogonal to what there is, until the rank is reached."""
+def complete(basis: np.ndarray, rank: int, reference: np.ndarray | None = None, seed: int | None = None) -> np.ndarray:
+    """Adds vectors, made orthogonal to what there is, until the rank is reached.
+
+    They are unit vectors, or random ones first if a seed is given.
+    """
     d = basis.shape[0]
-    for i in range(d):
+    random = [] if seed is None else list(np.random.default_rng(seed).normal(size=(max(rank - basis.shape[1], 0), d)))
+    for v in [*random, *np.eye(d)]:
         if basis.shape[1] >= rank:
             break
         held = basis if reference is None else np.hstack([reference, basis])
-        new = orthogonal_to(np.eye(d)[:, [i]], held)
+        new = orthogonal_to(v[:, None], held)
         basis = np.hstack([basis, new])
     return basis[:, :rank]
 
@@ -107,6 +111,12 @@ def shared_basis(protos: DataFrame, common: int, extra: int, x: str = "w") -> tu
     return basis[:, :common], basis[:, common:], energy
 
 
+def singular_basis(m: np.ndarray, rank: int, full: bool) -> np.ndarray:
+    """Right singular vectors as columns with canonical signs, completed by unit vectors up to the rank."""
+    _, _, vt = np.linalg.svd(m, full_matrices=full)
+    return canonical_signs(complete(vt.T[:, :rank], rank))
+
+
 def explained(protos: DataFrame, basis: np.ndarray, x: str = "w") -> float:
     """Share of the energy of all rows that a basis explains."""
     cov = matrix(gram(protos, x))
@@ -120,15 +130,20 @@ def project(df: DataFrame, basis: np.ndarray, x: str, out: str) -> DataFrame:
     return multiply(df, basis, x, out)
 
 
-def per_client(df: DataFrame, client: str, x: str, rank: int, reference: np.ndarray | None = None, label: str = "y") -> DataFrame:
+def per_client(df: DataFrame, client: str, x: str, rank: int, reference: np.ndarray | None = None, label: str = "y", policy: str = "gram") -> DataFrame:
     """Personal basis of each client from its own rows: client, r, b, and its effective rank.
 
+    ``policy``: eigenvectors of the rows' Gram matrix made orthogonal to the
+    reference ("gram"), or right singular vectors of the rows, as many as they have
+    ("reduced_svd") or all, so that those of no energy fill the rank ("full_svd").
     A client's rows are its classes, so a group is model-sized.
     """
+    if policy not in ("gram", "reduced_svd", "full_svd"):
+        raise ValueError(f"unknown policy {policy!r}")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(rows.sort_values(label)[x].to_numpy()).astype(np.float64)
-        basis = top_basis(m.T @ m, rank, reference, oversample=2, fill=True)
+        basis = top_basis(m.T @ m, rank, reference, oversample=2, fill=True) if policy == "gram" else singular_basis(m, rank, policy == "full_svd")
         top = np.linalg.norm(m, 2) ** 2 if m.size else 0.0
         return pd.DataFrame({client: rows[client].iloc[0], "r": range(rank), "b": list(basis.T), "effective_rank": float((m**2).sum() / top) if top > 0 else 0.0})
 

@@ -8,6 +8,7 @@ not by the data, so it is sent to every task; rows are encoded where they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -175,3 +176,41 @@ def learn_groups(df: DataFrame, classes: int, groups: int, topk: int, hidden: in
             p[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     strength = np.abs(p[0]) * np.abs(p[2]).sum(axis=1)[None, :]
     return [np.sort(np.argsort(-strength[:, units].sum(axis=1), kind="stable")[:topk]) for units in np.array_split(np.arange(hidden), groups)]
+
+
+def group_masks(mode: str, features: int, groups: int, seed: int = 0, topk: int | None = None) -> list[np.ndarray]:
+    """Features of each group without labels: contiguous or random parts of all, or random choices of ``topk`` each."""
+    draw = np.random.default_rng(seed)
+    if mode == "contiguous_partition":
+        return np.array_split(np.arange(features), groups)
+    if mode == "random_partition":
+        return [np.sort(part) for part in np.array_split(draw.permutation(features), groups)]
+    if mode == "random_topk":
+        return [np.sort(draw.choice(features, min(topk or features // groups, features), replace=False)) for _ in range(groups)]
+    raise ValueError(f"unknown group mode {mode!r}")
+
+
+@dataclass
+class PackedEncoder:
+    """Block packing with groups by any mode; the ``mlp`` mode learns its groups from labelled samples first."""
+
+    weights: np.ndarray
+    mode: str = "contiguous_partition"
+    groups: int = 4
+    topk: int | None = None
+    seed: int = 0
+    masks: list[np.ndarray] | None = None
+
+    def __post_init__(self) -> None:
+        if self.mode != "mlp" and self.masks is None:
+            self.masks = group_masks(self.mode, len(self.weights), self.groups, self.seed, self.topk)
+
+    def fit(self, samples: DataFrame, classes: int) -> PackedEncoder:
+        if self.mode == "mlp":
+            self.masks = learn_groups(samples, classes, self.groups, self.topk or max(1, len(self.weights) // self.groups), seed=self.seed)
+        return self
+
+    def encode(self, samples: DataFrame, x: str = "x", out: str = "h") -> DataFrame:
+        if self.masks is None:
+            raise RuntimeError("an encoder with learned groups must be fitted before it encodes")
+        return encode_block(samples, self.weights, self.masks, x, out)

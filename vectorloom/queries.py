@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -877,9 +878,17 @@ def personal_basis(spark, sf):
 
 @query(f"WITH {M} SELECT client, y, CASE WHEN v < 0 THEN -1 ELSE 1 END AS turn, d AS at FROM m QUALIFY row_number() OVER (PARTITION BY client, y ORDER BY round(abs(v), 9) DESC, d) = 1")
 def sign_canonical(spark, sf):
-    m = v.long_form(pr.class_means(vectors(spark, sf), ["client", "y"]), ["client", "y"], "w")
-    top = m.groupBy("client", "y").agg(F.max_by(F.struct("v", "d"), F.struct(F.round(F.abs("v"), 9), -F.col("d"))).alias("t"))
-    return top.select("client", "y", F.when(F.col("t.v") < 0, -1).otherwise(1).alias("turn"), F.col("t.d").alias("at"))
+    means = pr.class_means(vectors(spark, sf), ["client", "y"])
+
+    def turn(batches):
+        for batch in batches:
+            m = np.array(batch.column("w").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1).T
+            signs = bases.canonical_signs(m)
+            at = np.abs(np.round(m, 9)).argmax(axis=0)
+            own = np.arange(m.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column("client"), batch.column("y"), pa.array(np.where(signs[at, own] == m[at, own], 1, -1), pa.int32()), pa.array(at, pa.int32())], ["client", "y", "turn", "at"])
+
+    return means.mapInArrow(turn, "client int, y int, turn int, at int")
 
 
 @query()
