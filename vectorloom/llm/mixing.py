@@ -47,6 +47,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
     Takes the budget's share of every length first, then long lengths while much
     is left, and solves the rest exactly by bounded-knapsack dynamic programming.
+    The program spans four times the longest length, at most DP_MOST words, which
+    bounds its memory: with documents of over DP_MOST / 4 words the sum is still at
+    most the budget and comes near it, but need not be the nearest there is.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
