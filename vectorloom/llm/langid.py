@@ -25,6 +25,8 @@ from vectorloom.llm.common import chunks, lean_workers
 BUCKETS = 1 << 16
 #: A word's score in a language is never below this log posterior.
 FLOOR = -9.0
+#: Bytes of text whose n-grams a task holds at a time; a task takes about 100 bytes for each.
+CHUNK_BYTES = 1 << 19
 #: Log score that a change of language costs.
 PENALTY = 8.0
 UNDETERMINED = "und"
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
         held: dict[str, np.ndarray] = {}
         used: dict[str, dict[int, int]] = {}
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK_BYTES):
                 for lang in pc.unique(part.column("lang")).to_pylist():
                     lex = lexicon(part.filter(pc.equal(part.column("lang"), lang)).column("text"))
                     times = np.bincount(lex.which, minlength=len(lex.gram_first)).astype(np.float64)
@@ -246,7 +248,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK_BYTES):
                 yield label(part)
 
     def label(part: pa.RecordBatch) -> pa.RecordBatch:
