@@ -7,16 +7,17 @@ not by the data, so it is sent to every task; rows are encoded where they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom.functions import rng
-from vectorloom.functions.vectors import normalise
+from vectorloom.functions.vectors import EPS, normalise
 
 TWO_PI = 6.283185307179586
 
@@ -40,19 +41,43 @@ def phases(dims: int, seed: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: TWO_PI * rng.uniform(seed, F.lit("phase"), d))
 
 
+def rowwise(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], x: str, out: str) -> DataFrame:
+    """Adds out, the rows of f(matrix of x), one call per Arrow batch; a null x gives null.
+
+    It is an operator of its own in the plan, so that nothing of it can be inlined
+    into an expression that Python can't run in.
+    """
+    kept = [c for c in df.columns if c != out]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.DoubleType(), True), True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(x)
+            real = column.drop_null()
+            flat = real.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = f(flat.reshape(len(real), -1)) if len(real) else np.zeros((0, 0))
+            sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), rows.shape[1], 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            result = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel()), mask=column.is_null() if column.null_count else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), result], [*kept, out])
+
+    return df.select(*kept, *([x] if x not in kept else [])).mapInArrow(run, schema)
+
+
 def multiply(df: DataFrame, w: np.ndarray, x: str = "x", out: str = "z") -> DataFrame:
     """Adds x times w: one matrix product per Arrow batch."""
+    return rowwise(df, lambda rows: rows @ w, x, out)
 
-    @F.pandas_udf("array<double>")
-    def times(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(list(np.stack(batch.to_numpy()).astype(np.float64) @ w) if len(batch) else [])
 
-    return df.withColumn(out, times(x))
+def unit_cosines(z: np.ndarray) -> np.ndarray:
+    c = np.cos(z)
+    return c / (np.linalg.norm(c, axis=1, keepdims=True) + EPS)
 
 
 def encode_cosine(df: DataFrame, w: np.ndarray, x: str = "x", out: str = "h", phase: Column | None = None, mode: str = "plus") -> DataFrame:
     """Adds rownorm(cos(x w + phase))."""
+    if phase is None and mode == "plus":
+        return rowwise(df, lambda rows: unit_cosines(rows @ w), x, out)
     z = multiply(df, w, x, "_z")
     turned = F.transform("_z", F.cos) if phase is None else F.transform(F.zip_with("_z", phase, lambda a, b: a + b), F.cos)
     return z.withColumn(out, normalise(turned, mode)).drop("_z")
@@ -98,15 +123,15 @@ def block_weights(w: np.ndarray, groups: list[np.ndarray], shares: list[float] |
     return out, factor
 
 
-def _array(values: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def encode_block(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], x: str = "x", out: str = "h", shares: list[float] | None = None) -> DataFrame:
+    """Block packing: each group fills its own output dimensions, scaled by the root of its share (equal shares if none are given)."""
+    blocks, factor = block_weights(w, groups, shares)
 
+    def pack(rows: np.ndarray) -> np.ndarray:
+        h = np.cos(rows @ blocks) * factor
+        return h / (np.linalg.norm(h, axis=1, keepdims=True) + EPS)
 
-def encode_block(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], x: str = "x", out: str = "h") -> DataFrame:
-    """Block packing: each group fills its own output dimensions."""
-    blocks, factor = block_weights(w, groups)
-    z = multiply(df, blocks, x, "_z")
-    return z.withColumn(out, normalise(F.zip_with("_z", _array(factor), lambda v, f: F.cos(v) * f), "plus")).drop("_z")
+    return rowwise(df, pack, x, out)
 
 
 def encode_groups(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], x: str = "x") -> DataFrame:
@@ -120,12 +145,13 @@ def encode_groups(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], x: str
 
 def encode_superposition(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], keys: np.ndarray, x: str = "x", out: str = "h") -> DataFrame:
     """Superposition packing: group features, bound to the groups' sign keys, add up."""
-    done = encode_groups(df, w, groups, x)
-    total = None
-    for g in range(len(groups)):
-        part = F.zip_with(f"h{g}", _array(keys[g] * np.sqrt(1 / len(groups))), lambda v, k: v * k)
-        total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
-    return done.withColumn(out, normalise(total, "plus")).drop(*[f"h{g}" for g in range(len(groups))])
+    bound = keys * np.sqrt(1 / len(groups))
+
+    def pack(rows: np.ndarray) -> np.ndarray:
+        total = sum(unit_cosines(rows[:, features] @ w[features]) * bound[g] for g, features in enumerate(groups))
+        return total / (np.linalg.norm(total, axis=1, keepdims=True) + EPS)
+
+    return rowwise(df, pack, x, out)
 
 
 def encode_hashed(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], slots: np.ndarray, signs: np.ndarray, dims: int, x: str = "x", out: str = "h") -> DataFrame:
@@ -133,14 +159,11 @@ def encode_hashed(df: DataFrame, w: np.ndarray, groups: list[np.ndarray], slots:
     spread = np.zeros((len(slots), dims))
     spread[np.arange(len(slots)), slots] = signs * np.sqrt(1 / len(groups))
 
-    @F.pandas_udf("array<double>")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            rows = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, len(w)))
-            parts = [np.cos(rows[:, g] @ w[g]) for g in groups]
-            yield pd.Series(list(np.hstack([p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-8) for p in parts]) @ spread))
+    def pack(rows: np.ndarray) -> np.ndarray:
+        packed = np.hstack([unit_cosines(rows[:, g] @ w[g]) for g in groups]) @ spread
+        return packed / (np.linalg.norm(packed, axis=1, keepdims=True) + EPS)
 
-    return df.withColumn("_z", pack(x)).withColumn(out, normalise("_z", "plus")).drop("_z")
+    return rowwise(df, pack, x, out)
 
 
 def encode_residual(df: DataFrame, full: np.ndarray, packed: np.ndarray, groups: list[np.ndarray], eta: float, x: str = "x", out: str = "h") -> DataFrame:

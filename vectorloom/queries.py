@@ -557,7 +557,7 @@ def first_diff(spark, sf):
 
 @query(f"WITH {S} SELECT sample, CAST((row_number() OVER (PARTITION BY client ORDER BY {rng.sql_digest(SEED, '3', '0', 'sample')}, sample) - 1) // 16 AS BIGINT) AS batch FROM s")
 def minibatch(spark, sf):
-    return prep.minibatches(vectors(spark, sf), "client", [training.batch_order(SEED, 3, 0, F.col("sample")), F.col("sample")], 16).select("sample", "batch")
+    return prep.minibatches(vectors(spark, sf), "client", [rng.digest(SEED, F.lit(3), F.lit(0), F.col("sample")), F.col("sample")], 16).select("sample", "batch")
 
 
 @query(f"WITH {S}, c AS (SELECT client, count(*) AS n FROM s GROUP BY 1) SELECT client, CAST(floor(round(sum(n) OVER (ORDER BY client) / (SELECT sum(n) FROM c)::DOUBLE, 9) * (SELECT count(*) FROM documents)) AS BIGINT) AS cut FROM c")
