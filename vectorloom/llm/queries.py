@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import chat, decontaminate, jaccard, langid, lines, mixing, quality, secrets, sharding, substrings
+from vectorloom.llm import align, chat, decontaminate, jaccard, langid, lines, mixing, quality, secrets, sharding, substrings
 from vectorloom.llm.common import bucket_of
 from vectorloom.llm.oracles import ORACLES
 
@@ -86,6 +86,13 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), index)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/tokenizers") -> DataFrame:
+    left, right = align.read_file(f"{tokenizers}/byte_bpe_50k.json"), align.read_file(f"{tokenizers}/piece_bpe_32k.model")
+    aligned = align.align(table(spark, sf_dir, "documents"), ("byte_level", left), ("pieces", right))
+    written = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", written.alias("groups_sha256"), "n_overlaps")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks]
+    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks, op11_cross_tokenizer_alignment]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
