@@ -1,15 +1,20 @@
 """Alignment of tokenizers, the hidden Markov language model and hard negatives, against brute force."""
 
 import hashlib
+import itertools
 import json
+import math
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.llm import align
+from vectorloom.llm import align, markov
 from vectorloom.llm import queries as q
+from vectorloom.llm.common import bucket_of
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string"
@@ -58,10 +63,9 @@ def files():
 
 
 @pytest.mark.parametrize("most", [align.BROADCAST_PAIRS, 0])
-def test_alignment_agrees_with_brute_force(spark, monkeypatch, most):
+def test_alignment_agrees_with_brute_force(spark, most):
     rows = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()] + ODD
     docs = spark.createDataFrame(list(enumerate(rows)), SCHEMA).repartition(3).withColumn("_row", F.lit("clash")).withColumn("pair", F.lit(1))
-    monkeypatch.setattr(align, "CHUNK_BYTES", 20_000)
     got = {r.doc_id: r for r in align.align(docs, *files(), broadcast_pairs=most).collect()}
     for i, want in enumerate(brute_alignment(rows)):
         r = got[i]
@@ -106,3 +110,84 @@ def test_tokenizer_that_is_not_plain_runs_whole_texts(spark):
     docs = spark.createDataFrame([(1, "one two  three\n four"), (2, None)], SCHEMA)
     same = [[tuple(r) for r in align.align(docs, ("byte_level", f), files()[1]).orderBy("doc_id").collect()] for f in (json.dumps(raw).encode(), files()[0][1])]
     assert same[0] == same[1]
+
+
+# --- hidden Markov language model ---
+
+
+def small_model(states=3, symbols=5, seed=0):
+    draw = np.random.default_rng(seed)
+    moves, emits = draw.random((states, states)) + 0.1, draw.random((states, symbols)) + 0.1
+    emits[:, 0] = 0
+    emits[0] = np.eye(1, symbols)[0]
+    return moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=1, keepdims=True)
+
+
+def paths(sequence, moves, emits):
+    """Every path of states with its probability, from state 0."""
+    for path in itertools.product(range(len(moves)), repeat=len(sequence)):
+        p, now = 1.0, 0
+        for s, x in zip(path, sequence, strict=True):
+            p, now = p * moves[now, s] * emits[s, x], s
+        yield path, p
+
+
+@pytest.mark.parametrize("long", [2, 3, 100])
+def test_forward_sums_over_all_paths(long):
+    moves, emits = small_model()
+    sequences = [[1, 2, 0], [0], [4, 4, 4, 1, 2, 3, 0], [3, 0], [1, 1, 2, 2, 3, 0]]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])
+    got = markov.forward(np.concatenate(sequences), first, moves, emits.T.copy(), long)
+    assert np.allclose(got, [np.log(sum(p for _, p in paths(s, moves, emits))) for s in sequences])
+
+
+def test_expected_counts_are_those_of_all_paths():
+    moves, emits = small_model()
+    texts = [[1, 2, 0], [0], [4, 1, 2, 0], [3, 3, 0]]
+    want_moves, want_seen = np.zeros((3, 3)), np.zeros((5, 3))
+    for text in texts:
+        whole = sum(p for _, p in paths(text, moves, emits))
+        for path, p in paths(text, moves, emits):
+            for a, b, x in zip((0, *path), path, text, strict=False):
+                want_moves[a, b] += p / whole
+                want_seen[x, b] += p / whole
+    moved, seen, likelihood = markov.expected_counts(np.concatenate(texts), moves, emits.T.copy(), np.ones(3) / 3)
+    assert np.allclose(moved, want_moves) and np.allclose(seen, want_seen)
+    assert np.isclose(likelihood, sum(np.log(sum(p for _, p in paths(t, moves, emits))) for t in texts))
+
+
+def test_language_model_on_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.lit("x").alias("_row"), F.lit("x").alias("word"))
+    extra = [(i, t, "x", "x") for i, t in ((-1, None), (-2, ""), (-3, "ABC " + "z" * 3000), (-4, "abc " + "Z" * 3000), (-5, "never-seen\x0bWORD"), (None, "the the"))]
+    rows = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(3)
+    learn = rows.where(bucket_of(F.col("doc_id"), 5) != 1)
+    model = markov.fit(learn, frequent=300, own=200)
+    got = {(r.doc_id): r for r in markov.score(rows, model).collect()}
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+    counts = Counter(w for r in learn.collect() for w in words(r.text))
+    n, v = sum(counts.values()), len(counts)
+    better = 0.0
+    for r in rows.collect():
+        own, g = words(r.text), got[r.doc_id]
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
+        assert g.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel=1e-9)
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == 1:
+            better += g.score - g.base_score
+    assert better > 0 and model.likelihoods == sorted(model.likelihoods)
+    held = Counter()  # words of each shared symbol have probabilities that add up to 1 with that of a new word
+    by = model.vocabulary
+    for w, c in counts.items():
+        key = w if w is None or len(w.encode()) <= markov.LONGEST else " " + hashlib.sha256(w.encode()).hexdigest()
+        if key is not None and key not in by.words[:200].to_pylist():
+            b = zlib.crc32(key.encode()[-3:]) % markov.SHARED
+            held[b] += (c + 0.5) / (by.shared_total[b] + 0.5 * (by.shared_distinct[b] + 1))
+    assert all(p + 0.5 / (by.shared_total[b] + 0.5 * (by.shared_distinct[b] + 1)) == pytest.approx(1) for b, p in held.items())
+    assert np.allclose(model.symbols.sum(axis=1), 1) and np.allclose(model.moves.sum(axis=1), 1)
+
+
+def test_language_model_of_nothing(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    model = markov.fit(empty)
+    assert markov.score(empty, model).count() == 0
+    r = markov.score(spark.createDataFrame([(1, "a b")], SCHEMA), model).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)

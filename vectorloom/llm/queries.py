@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import align, chat, decontaminate, jaccard, langid, lines, mixing, quality, secrets, sharding, substrings
+from vectorloom.llm import align, chat, decontaminate, jaccard, langid, lines, markov, mixing, quality, secrets, sharding, substrings
 from vectorloom.llm.common import bucket_of
 from vectorloom.llm.oracles import ORACLES
 
@@ -93,6 +93,13 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, tokenizers:
     return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", written.alias("groups_sha256"), "n_overlaps")
 
 
+def op12_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = markov.fit(docs.where(bucket_of(F.col("doc_id"), 5) != 1))
+    scored = markov.score(docs, model)
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks, op11_cross_tokenizer_alignment]
+    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks, op11_cross_tokenizer_alignment, op12_hidden_markov_scores]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
