@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.llm import align, markov
+from vectorloom.llm import align, markov, negatives
 from vectorloom.llm import queries as q
 from vectorloom.llm.common import bucket_of
 
@@ -191,3 +191,71 @@ def test_language_model_of_nothing(spark):
     assert markov.score(empty, model).count() == 0
     r = markov.score(spark.createDataFrame([(1, "a b")], SCHEMA), model).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+# --- hard negatives ---
+
+
+def brute_negatives(rows, anchors, positives=5, negatives=10):
+    """rows: (vec_id, label, whole numbers)."""
+    rows = [r for r in rows if r[1] is not None and r[2] is not None and None not in r[2]]
+    width = max((len(r[2]) for r in rows), default=0)
+    x = np.array([list(r[2]) + [0] * (width - len(r[2])) for r in rows], np.int64).reshape(len(rows), width)
+    late = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    out = Counter()
+    for a in [i for i, r in enumerate(rows) if anchors(r[0])]:
+        s = (x @ x[a]).tolist()
+        ranked = sorted(range(len(rows)), key=lambda i: (-s[i], *late(i)))
+        for p in [i for i in ranked if i != a and rows[i][1] == rows[a][1]][:positives]:
+            fits = [i for i in ranked if rows[i][1] != rows[a][1] and 30 * s[p] <= 100 * s[i] <= 90 * s[p]][:negatives]
+            out.update((rows[a][0], rows[p][0], k + 1, rows[i][0], s[p], s[i]) for k, i in enumerate(fits))
+    return out
+
+
+FIELDS = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+VECTORS = "vec_id bigint, label int, v array<bigint>"
+
+
+@pytest.mark.parametrize("ways,leaf", [(3, 4), (16, 256)])
+def test_hard_negatives_agree_with_brute_force(spark, ways, leaf):
+    draw = np.random.default_rng(8)
+    centres = draw.normal(0, 30, (6, 5))
+    rows = [(i, int(draw.integers(0, 3)), (centres[draw.integers(0, 6)] + draw.normal(0, 8, 5)).astype(int).tolist()) for i in range(240)]
+    rows += [(1000 + i, i % 2, rows[0][2]) for i in range(60)] + [(2000 + i, 1, [0] * 5) for i in range(4)]
+    rows += [(3000, None, [1] * 5), (3010, 1, None), (3020, 1, [1, None, 1, 1, 1]), (3030, 1, [4, -2]), (3040, 2, []), (None, 1, rows[3][2]), (None, 0, rows[4][2]), rows[10], rows[20]]
+    got = negatives.mine(spark.createDataFrame(rows, VECTORS).repartition(4).withColumn("key", F.lit("clash")), F.col("vec_id") % 10 == 0, ways=ways, leaf=leaf)
+    assert Counter(tuple(r[f] for f in FIELDS) for r in got.collect()) == brute_negatives(rows, lambda i: i is not None and i % 10 == 0)
+
+
+def test_hard_negatives_on_whole_table(spark):
+    rows = []
+    for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect():
+        v = None if r.embedding is None or any(x is None or not math.isfinite(x) for x in r.embedding) else [math.floor(256 * x) for x in r.embedding]
+        rows.append((r.vec_id, r.label if r.label is None or r.vec_id % 7 else (r.label + 1) % 10, v))
+    got = Counter(tuple(r[f] for f in FIELDS) for r in q.op13_hard_negatives(spark, DATA).collect())
+    assert got == brute_negatives(rows, lambda i: i % 100 == 0) and got
+
+
+def test_hard_negatives_of_nothing(spark):
+    assert negatives.mine(spark.createDataFrame([], VECTORS), F.lit(True)).count() == 0
+    assert negatives.mine(spark.createDataFrame([(1, 1, [3])], VECTORS), F.lit(True)).count() == 0
+    with pytest.raises(ValueError):
+        negatives.mine(spark.createDataFrame([(1, 1, [1 << 40])], VECTORS), F.lit(True))
+
+
+def test_ranges_eliminate_but_lose_nothing():
+    draw = np.random.default_rng(2)
+    x = np.concatenate([draw.normal(c, 4, (150, 4)) for c in ([0, 0, 0, 0], [90, 0, 0, 0], [0, 90, 0, 0], [0, 0, 90, 0])]).round()
+    tree = negatives.build(x[::3], 2, 4)
+    leaf, away = negatives.place(tree, x)
+    away = np.hstack([away, np.linalg.norm(x, axis=1, keepdims=True)])
+    kinds = np.unique(leaf)
+    held = negatives.ranges(tree, kinds, np.stack([away[leaf == n].min(axis=0) for n in kinds]), np.stack([away[leaf == n].max(axis=0) for n in kinds]))
+    visited = 0
+    for a in range(0, len(x), 10):
+        scores = x @ x[a]
+        for low, high in ((np.quantile(scores, 0.98), np.inf), (scores[a] * 0.3, scores[a] * 0.9), (-np.inf, np.inf)):
+            _, got = negatives.survivors(tree, held, x[a : a + 1], np.array([low]), np.array([high]))
+            assert set(leaf[(scores >= low) & (scores <= high)]) <= set(got.tolist())
+            visited += len(got) if np.isfinite(low) and high == np.inf else 0
+    assert visited < 0.6 * len(kinds) * len(range(0, len(x), 10))

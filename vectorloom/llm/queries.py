@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import align, chat, decontaminate, jaccard, langid, lines, markov, mixing, quality, secrets, sharding, substrings
+from vectorloom.llm import align, chat, decontaminate, jaccard, langid, lines, markov, mixing, negatives, quality, secrets, sharding, substrings
 from vectorloom.llm.common import bucket_of
 from vectorloom.llm.oracles import ORACLES
 
@@ -100,6 +100,14 @@ def op12_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    noised = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = given.select("vec_id", noised.alias("label"), F.when(finite, negatives.levels("x")).alias("v"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks, op11_cross_tokenizer_alignment, op12_hidden_markov_scores]
+    own = [op1_language_id, op2_secret_scan, op3_repeated_substrings, op4_line_cleaning, op5_line_quality, op6_source_mix, op7_curve_shards, op8_chat_expansion, op9_ngram_jaccard, op10_benchmark_leaks, op11_cross_tokenizer_alignment, op12_hidden_markov_scores, op13_hard_negatives]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
