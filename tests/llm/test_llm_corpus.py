@@ -213,7 +213,7 @@ def test_every_passage_above_the_threshold_is_found(spark, monkeypatch, items, w
     monkeypatch.setattr(decontaminate, "HELD", held)
     draw = np.random.default_rng(5)
     items = [f"{sentences(draw, int(n), words_)}. {sentences(draw, 8, words_)}." for n in draw.integers(6, 25, items)]
-    (index,) = decontaminate.build(spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id bigint, text string"))
+    index = decontaminate.build(spark.createDataFrame([*enumerate(items), (90, None), (91, "")], "item_id bigint, text string")).part(0)
     import pyarrow as pa
 
     texts = [sentences(draw, 150, words_) for _ in range(20)] + [f"{sentences(draw, 70)} {items[k]} {sentences(draw, 50)}" for k in range(10)] + [None, ""]
@@ -241,7 +241,7 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert got == {(i, i) for i in range(12)}
     assert decontaminate.find_leaks(df, decontaminate.build(bench.where("false"))).count() == 0
     parts = decontaminate.build(bench, part_bytes=400)
-    assert len(parts) > 2 and {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, parts).collect()} == got
+    assert parts.parts > 2 and {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, parts).collect()} == got
     named = bench.select(F.when(F.col("item_id") > 0, F.concat(F.lit("i"), "item_id")).alias("item_id"), "text")  # text ids, one of them null
     found = decontaminate.find_leaks(df.withColumn("doc_id", F.col("doc_id").cast("string")), decontaminate.build(named)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(str(i), f"i{i}" if i else None) for i in range(12)}

@@ -22,13 +22,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vectorloom.llm.bytehash import LOWER, Prefix, Words, buffers, mix, words
-from vectorloom.llm.common import chunks, lean_workers
+from vectorloom.llm.common import chunks, lean_workers, materialise
 
 #: Items of a block of a posting list.
 BLOCK = 4
@@ -87,12 +88,36 @@ def _grams(w: Words, a: int, b: int, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def build(benchmark: DataFrame, part_bytes: int = PART_BYTES, k1: float = 1.2, b: float = 0.75) -> list[Index]:
-    """Indexes the benchmark (item_id, text) in parts; none if it has no text with a word.
+class Benchmark(NamedTuple):
+    """Items with their terms, term frequencies over all of them, and in how many parts they are indexed."""
 
-    Frequencies of terms and the mean length are counted over all items by Spark.
-    The driver and every task hold one part at a time, about ``part_bytes`` of
-    items; a larger benchmark has more parts, each searched in full.
+    items: DataFrame  # item_id, text, n, terms, part
+    frequency: DataFrame  # term, df
+    kind: T.DataType  # of item_id
+    count: int
+    mean: float
+    longest: int
+    parts: int
+    k1: float
+    b: float
+
+    def part(self, number: int) -> Index | None:
+        """The index of one part; None if no item fell into it."""
+        own = self.items.where(F.col("part") == number)
+        rows = own.select("item_id", "text").collect()
+        if not rows:
+            return None
+        df = own.select(F.explode("terms").alias("term")).distinct().join(self.frequency, "term").toPandas()
+        at = np.argsort(df["term"].to_numpy(np.int64).view(np.uint64))
+        return _part([r.item_id for r in rows], [r.text for r in rows], self.kind, df["df"].to_numpy(np.int64)[at], self.count, self.mean, int(max(32, self.longest)), self.k1, self.b)
+
+
+def build(benchmark: DataFrame, part_bytes: int = PART_BYTES, k1: float = 1.2, b: float = 0.75) -> Benchmark | None:
+    """Prepares the index of the benchmark (item_id, text); None if it has no text with a word.
+
+    Items are cut into words once and written; frequencies of terms and the mean
+    length are counted over all items by Spark.  Parts of about ``part_bytes`` of
+    items are indexed when they are searched, each in full.
 
     item_id may be of any type and null; items repeated in full are one, and texts
     that share an id are items of their own.
@@ -102,25 +127,21 @@ def build(benchmark: DataFrame, part_bytes: int = PART_BYTES, k1: float = 1.2, b
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = tokens(batch.column("text"))
-            sets = [np.unique(w.hash[a:z]).view(np.int64) for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("text"), pa.array(np.diff(w.first), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema.names)
-
-    whole = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().mapInArrow(split, schema).where("n > 0")
-    count, mean, longest, held = whole.agg(F.count("*"), F.avg("n"), F.max("n"), F.sum(F.octet_length("text"))).first()
+            for some in chunks(batch, "text"):
+                w = tokens(some.column("text"))
+                sets = [np.unique(w.hash[a:z]).view(np.int64) for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("item_id"), some.column("text"), pa.array(np.diff(w.first), pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+
+    given = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    held = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-held // part_bytes))
+    cut = given.distinct().mapInArrow(split, schema).where("n > 0")
+    items = materialise(cut.withColumn("part", F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(parts))), "benchmark-items")
+    count, mean, longest = items.agg(F.count("*"), F.avg("n"), F.max("n")).first()
     if not count:
-        return []
-    parts = -(-held // part_bytes)
-    frequency = whole.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    out = []
-    for part in range(parts):
-        own = whole.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(parts)) == part)
-        df = own.select(F.explode("terms").alias("term")).distinct().join(frequency, "term").toPandas()
-        rows = own.select("item_id", "text").collect()
-        if rows:
-            at = np.argsort(df["term"].to_numpy(np.int64).view(np.uint64))
-            out.append(_part([r.item_id for r in rows], [r.text for r in rows], kind, df["df"].to_numpy(np.int64)[at], count, mean, int(max(32, longest)), k1, b))
-    return out
+        return None
+    frequency = materialise(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "benchmark-terms")
+    return Benchmark(items, frequency, kind, count, mean, longest, parts, k1, b)
 
 
 def _part(ids: list, texts: list[str], kind: T.DataType, df: np.ndarray, count: int, mean: float, span: int, k1: float, b: float) -> Index:
@@ -259,7 +280,7 @@ def candidates(index: Index, w: Words, threshold: float) -> tuple[np.ndarray, np
     return np.array(rows, np.int64), np.array(items, np.int64), np.array(scores, np.float64)
 
 
-def find_leaks(docs: DataFrame, index: list[Index], threshold: float = 0.5, overlap: float = 0.75) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: Benchmark | None, threshold: float = 0.5, overlap: float = 0.75) -> DataFrame:
     """Benchmark items that stand in documents: doc_id, item_id, score, question_overlap, answer_overlap.
 
     One row per document and item whose best passage has ``threshold`` or more of
@@ -271,21 +292,34 @@ def find_leaks(docs: DataFrame, index: list[Index], threshold: float = 0.5, over
     Null and empty texts match nothing; neither do items without a word.  Repeated
     rows give repeated results, a null doc_id or item_id stays null, both keep
     their types, other columns are ignored, and an empty table or benchmark gives
-    an empty result.  Whole texts are queried, passage by passage; documents are
-    read once for every part of the index.
+    an empty result.  Whole texts are queried, passage by passage.
+
+    A benchmark of several parts is searched part by part: one is indexed, sent to
+    the tasks, searched, its finds written, and released before the next, so driver
+    and tasks hold one part at a time; documents are read once for every part.
     """
-    kind = index[0].kind if index else T.LongType()
+    kind = benchmark.kind if benchmark else T.LongType()
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", kind), *T.StructType.fromDDL("score double, question_overlap double, answer_overlap double").fields])
-    if not index:
+    if benchmark is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, [_search(docs, part, schema, threshold, overlap) for part in index])
+    found = []
+    for number in range(benchmark.parts):
+        index = benchmark.part(number)
+        if index is None:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # of a part, whose size build() bounds
+        leaks = _search(docs, shared, index.kind, schema, threshold, overlap)
+        if benchmark.parts == 1:
+            return leaks
+        found.append(materialise(leaks, "benchmark-leaks"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
-def _search(docs: DataFrame, index: Index, schema: T.StructType, threshold: float, overlap: float) -> DataFrame:
+def _search(docs: DataFrame, shared: Broadcast[Index], kind: T.DataType, schema: T.StructType, threshold: float, overlap: float) -> DataFrame:
     """find_leaks for one part of the index."""
     lean_workers(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # of a part, whose size build() bounds
-    kind = to_arrow_type(index.kind)
+    kind = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value

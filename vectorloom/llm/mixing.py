@@ -11,8 +11,8 @@ from vectorloom.llm.common import WORD, materialise
 
 #: Documents of one source and length above which the choice among them is salted.
 SALT_ROWS = 1000
-#: Budget left to the dynamic program: so many times the longest length, within bounds.
-DP_SPAN, DP_LEAST, DP_MOST = 4, 1 << 14, 1 << 22
+#: Budget left to the dynamic program: so many times the longest length, and a least number of words.
+DP_SPAN, DP_LEAST = 4, 1 << 14
 
 
 def count_words(text: Column) -> Column:
@@ -42,19 +42,56 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return levels.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_water"), F.col("_cap"))).alias("target"))
 
 
+def _pieces(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(length's place, documents, words): counts in binary pieces, whose choices make up every number of documents."""
+    out = []
+    for i in np.argsort(lengths, kind="stable").tolist():
+        length, part = int(lengths[i]), 1
+        n = min(int(counts[i]), most // length) if length else 0
+        while n > 0:
+            take = min(part, n)
+            n, part = n - take, part * 2
+            if take * length <= most:
+                out.append((i, take, take * length))
+    return out
+
+
+def _sums(pieces: list[tuple[int, int, int]], most: int) -> int:
+    """Bits of all sums up to ``most`` that choices among the pieces make."""
+    reach, mask = 1, (1 << most + 1) - 1
+    for _, _, words in pieces:
+        reach |= reach << words & mask
+    return reach
+
+
+def _choice(pieces: list[tuple[int, int, int]], total: int) -> list[tuple[int, int, int]]:
+    """Pieces that sum to ``total``, which some do: halves of the pieces meet at a sum that both sides reach."""
+    while total and len(pieces) > 1:
+        half = len(pieces) // 2
+        left, right = pieces[:half], pieces[half:]
+        down = 1 << total  # bits of what the right half can leave
+        for _, _, words in right:
+            down |= down >> words
+        meet = (_sums(left, total) & down).bit_length() - 1
+        if 0 < meet < total:
+            return _choice(left, meet) + _choice(right, total - meet)
+        pieces = left if meet else right
+    return pieces if total else []
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their sum comes nearest below budget.
 
     Takes the budget's share of every length first, then long lengths while much
-    is left, and solves the rest exactly by bounded-knapsack dynamic programming.
-    The program spans four times the longest length, at most DP_MOST words, which
-    bounds its memory: with documents of over DP_MOST / 4 words the sum is still at
-    most the budget and comes near it, but need not be the nearest there is.
+    is left, and solves the rest exactly by bounded-knapsack dynamic programming: up
+    to DP_SPAN times the longest length is left to it, whatever that length is.  The
+    program holds one bit for every sum, so a text of a million words takes half a
+    megabyte; choices are found again by halving the lengths, not by a table.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    span = int(min(max(DP_SPAN * lengths.max(initial=1), DP_LEAST), DP_MOST))
+    span = max(DP_SPAN * int(lengths.max(initial=1)), DP_LEAST)
     free = max(0, budget - span // 2)
     taken = (counts * (free / max(total, 1))).astype(np.int64)
     left = budget - int((taken * lengths).sum())
@@ -64,33 +101,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[i] - taken[i]), max(0, (left - span // 2) // max(int(lengths[i]), 1)))
         taken[i] += more
         left -= more * int(lengths[i])
-    size = min(left, span)
-    reach = np.zeros(size + 1, dtype=bool)
-    reach[0] = True
-    via = np.full(size + 1, -1, dtype=np.int32)
-    pieces: list[tuple[int, int]] = []
-    for i in np.argsort(lengths, kind="stable"):
-        length, n, part = int(lengths[i]), 0, 1
-        if length == 0 or length > size:
-            continue
-        n = min(int(counts[i] - taken[i]), size // length)
-        while n > 0:  # binary pieces of the count
-            part_now = min(part, n)
-            n, part, step = n - part_now, part * 2, part_now * length
-            if step <= size:
-                new = np.zeros_like(reach)
-                new[step:] = reach[:-step]
-                new &= ~reach
-                via[new] = len(pieces)
-                pieces.append((int(i), part_now))
-                reach |= new
-        if reach[size]:
+    pieces, reach, used = _pieces(lengths, counts - taken, left), 1, 0
+    mask = (1 << left + 1) - 1
+    for used, (_, _, words) in enumerate(pieces, 1):
+        reach |= reach << words & mask
+        if reach.bit_length() == left + 1:
             break
-    at = int(np.flatnonzero(reach)[-1])
-    while at:
-        i, n = pieces[via[at]]
+    for i, n, _ in _choice(pieces[:used], reach.bit_length() - 1):
         taken[i] += n
-        at -= n * int(lengths[i])
     return taken
 
 
