@@ -30,6 +30,8 @@ BROADCAST_PAIRS = 2_000_000
 CHUNK_BYTES = 1 << 21
 #: Products are taken in blocks of rows that expand to so many entries.
 BLOCK = 1 << 22
+#: Words whose tokens a Python worker remembers, none longer than so many bytes.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 64
 #: Pattern that a byte-level tokenizer splits text by before it merges (a fixed value of its files).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARK = "▁"
@@ -129,6 +131,16 @@ class Cut(NamedTuple):
     sizes: np.ndarray
 
 
+def picked(cut: Cut, at: np.ndarray) -> Cut:
+    """The texts at these places, in this order."""
+    first = np.cumsum(cut.sizes) - cut.sizes
+    return Cut(cut.ids[ragged(first[at], cut.sizes[at])], cut.sizes[at])
+
+
+def joined(x: Cut, y: Cut) -> Cut:
+    return Cut(np.concatenate([x.ids, y.ids]), np.concatenate([x.sizes, y.sizes]))
+
+
 class Tokenizer(NamedTuple):
     """encode(texts) cuts texts that begin with a space; ``bytes_`` of id i are ``data[at[i]:at[i + 1]]``.
 
@@ -181,7 +193,27 @@ def byte_level(raw: bytes) -> Tokenizer:
         import tiktoken
 
         ranks = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=plain, special_tokens={})
-        return Tokenizer(lambda texts: _flat([ranks.encode_ordinary(t) for t in texts]), *_table(tokens), True)
+        data, at = _table(tokens)
+
+        def encode(texts: list[str]) -> Cut:
+            """Texts that end before white space can be cut in one go; the space of the next begins a token."""
+            alone = np.fromiter((t[-1:].isspace() or not t for t in texts), bool, len(texts))
+            together = [t for t, x in zip(texts, alone.tolist(), strict=True) if not x]
+            ids = np.array(ranks.encode_ordinary("".join(together)), np.int64)
+            ends, wanted = np.cumsum(at[ids + 1] - at[ids]), np.cumsum([len(t.encode()) for t in together])
+            upto = np.searchsorted(ends, wanted, side="right")
+            if len(together) and not np.array_equal(np.concatenate([[0], ends])[upto], wanted):
+                return _flat([ranks.encode_ordinary(t) for t in texts])
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[~alone] = np.diff(upto, prepend=0)
+            rest = _flat([ranks.encode_ordinary(t) for t, x in zip(texts, alone.tolist(), strict=True) if x])
+            sizes[alone] = rest.sizes
+            all_ids = np.empty(int(sizes.sum()), np.int64)
+            of = np.repeat(alone, sizes)
+            all_ids[~of], all_ids[of] = ids, rest.ids
+            return Cut(all_ids, sizes)
+
+        return Tokenizer(encode, data, at, True)
     import tokenizers
 
     whole = tokenizers.Tokenizer.from_str(raw.decode())
@@ -264,15 +296,42 @@ def _bytes_agree(cut: Cut, t: Tokenizer, data: np.ndarray, length: np.ndarray) -
     return good
 
 
-def align_batch(texts: pa.Array, left: Tokenizer, right: Tokenizer) -> Aligned:
+class Memory:
+    """Tokens of words that came more than once, for later batches of the same Python worker; a bounded number of them."""
+
+    def __init__(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.words, self.a, self.b = pa.array([], pa.large_string()), Cut(none, none), Cut(none, none)
+
+    def encode(self, words: pa.Array, often: np.ndarray, left: Tokenizer, right: Tokenizer) -> tuple[Cut, Cut]:
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.words) + np.arange(len(new))
+        fresh = words.take(pa.array(new))
+        strings = fresh.to_pylist()
+        a, b = left.encode(strings), right.encode(strings)
+        out = picked(joined(self.a, a), at), picked(joined(self.b, b), at)
+        short = pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= KNOWN_BYTES
+        keep = np.flatnonzero((often[new] > 1) & short)[: KNOWN_WORDS - len(self.words)]
+        if len(keep):
+            self.words = pa.concat_arrays([self.words, fresh.take(pa.array(keep))])
+            self.a, self.b = joined(self.a, picked(a, keep)), joined(self.b, picked(b, keep))
+        return out
+
+
+@lru_cache(maxsize=2)
+def memory(left: bytes, right: bytes) -> Memory:
+    return Memory()
+
+
+def align_batch(texts: pa.Array, left: Tokenizer, right: Tokenizer, known: Memory) -> Aligned:
     """Aligns the distinct words of a batch of texts: overlap product, then groups."""
     words, row = _segments(texts, left.by_word and right.by_word)
     coded = words.dictionary_encode()
     distinct, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    strings = distinct.to_pylist()
     data, at = buffers(distinct)
     length = np.diff(at)
-    a, b = left.encode(strings), right.encode(strings)
+    a, b = known.encode(distinct, np.bincount(word, minlength=len(distinct)), left, right)
     good = _bytes_agree(a, left, data, length) & _bytes_agree(b, right, data, length)
     bad = np.ones(len(texts), bool)
     bad[row] = False
@@ -281,9 +340,9 @@ def align_batch(texts: pa.Array, left: Tokenizer, right: Tokenizer) -> Aligned:
     a, b = keep(a), keep(b)
     x, y, _ = overlaps(left.at[a.ids + 1] - left.at[a.ids], right.at[b.ids + 1] - right.at[b.ids])
     group_a, group_b = groups_of(x, y, len(a.ids), len(b.ids))
-    owner = np.repeat(np.arange(len(strings)), a.sizes)
-    n_groups = np.bincount(owner[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(strings)) if len(group_a) else np.zeros(len(strings), np.int64)
-    return Aligned(row, word, bad, a, b, group_a, group_b, n_groups, np.bincount(owner[x], minlength=len(strings)))
+    owner = np.repeat(np.arange(len(distinct)), a.sizes)
+    n_groups = np.bincount(owner[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(distinct)) if len(group_a) else np.zeros(len(distinct), np.int64)
+    return Aligned(row, word, bad, a, b, group_a, group_b, n_groups, np.bincount(owner[x], minlength=len(distinct)))
 
 
 def word_pairs(w: Aligned, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -381,8 +440,9 @@ def align(docs: DataFrame, left: tuple[str, bytes], right: tuple[str, bytes], br
     files = spark.sparkContext.broadcast((left, right))  # two vocabulary files
     width = READERS[right[0]](right[1]).at.size - 1
 
-    def load() -> tuple[Tokenizer, Tokenizer]:
-        return tuple(READERS[kind](raw) for kind, raw in files.value)
+    def load() -> tuple[Tokenizer, Tokenizer, Memory]:
+        (first, a), (second, b) = files.value
+        return READERS[first](a), READERS[second](b), memory(a, b)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -424,7 +484,7 @@ def align(docs: DataFrame, left: tuple[str, bytes], right: tuple[str, bytes], br
     return joined.select("doc_id", *COUNTS, "groups", F.coalesce("_best", F.lit(0)).cast("bigint").alias("n_best"), F.coalesce("_sum", F.lit(0)).cast("bigint").alias("count_sum"))
 
 
-def _scored(docs: DataFrame, load: Callable[[], tuple[Tokenizer, Tokenizer]], width: int, known) -> DataFrame:
+def _scored(docs: DataFrame, load: Callable[[], tuple[Tokenizer, Tokenizer, Memory]], width: int, known) -> DataFrame:
     """Rows with their counts and groups; sums over pair counts if they are known, else the rows' pairs."""
     keyed = docs if "_row" in docs.columns and known is None else docs.withColumn("_row", F.lit(None).cast("bigint"))
     fields = T.StructType.fromDDL("_row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_overlaps bigint, groups string, n_best bigint, count_sum bigint, _pairs array<struct<pair: bigint, times: bigint>>")
