@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.functions import rng
-from vectorloom.functions.vectors import assemble, normalise
+from vectorloom.functions.tables import settle
+from vectorloom.functions.vectors import normalise
+from vectorloom.operators import slices
 
 
 def drop_null_class(df: DataFrame, label: str = "y", offset: int = 0) -> DataFrame:
@@ -36,20 +38,35 @@ def l2_normalise(df: DataFrame, x: str = "x", mode: str = "unit") -> DataFrame:
     return df.withColumn(x, normalise(x, mode))
 
 
+def _with_moments(df: DataFrame, stats: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """Rows with the moments of their key in one column of its own name; null without any."""
+    (held,) = slices._fresh(df, "moments")
+    names = [f"{held}_{i}" for i in range(len(keys))]
+    packed = stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.arrays_zip("n", "mean", "variance").alias(held))
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(packed, same, "left").drop(*names), held
+
+
 def standardise(df: DataFrame, keys: list[str], is_train: Column, x: str = "x", floor: float = 0.3) -> DataFrame:
-    """Centres and scales by the train rows of each key, with a floor under the deviation."""
-    cells = df.select(*keys, is_train.alias("_t"), F.posexplode(x).alias("d", "v")).where("_t")
-    stats = cells.groupBy(*keys, "d").agg(F.avg("v").alias("m"), F.greatest(F.stddev_pop("v"), F.lit(floor)).alias("s"))
-    packed = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("d", "m", "s"))).alias("_stats"))
-    return df.join(packed, keys).withColumn(x, F.zip_with(x, "_stats", lambda v, t: (v - t["m"]) / t["s"])).drop("_stats")
+    """Centres and scales by the train rows of each key, with a floor under the deviation.
+
+    Tasks add up moments, so one row per key and task is shuffled for them.  Rows of
+    a key without train rows stay as they are; a null x stays null.
+    """
+    stats = slices.moments(df.where(is_train), keys, x)
+    joined, held = _with_moments(df, stats, keys)
+    scaled = F.zip_with(x, held, lambda v, t: (v - t["mean"]) / F.greatest(F.sqrt(t["variance"]), F.lit(floor)))
+    return joined.withColumn(x, F.when(F.col(held).isNull(), F.col(x).cast("array<double>")).otherwise(scaled)).select(*df.columns)
 
 
 def impute_mean(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
-    """NaN and null cells become the mean of their column in the key, or 0 if it has none."""
+    """NaN and null cells become the mean of their column in the key, or 0 if it has none; a null x stays null."""
     real = lambda v: F.when(~F.isnan(v), v)
-    cells = df.select(*keys, F.posexplode(x).alias("d", "v"))
-    means = cells.groupBy(*keys, "d").agg(F.coalesce(F.avg(real(F.col("v"))), F.lit(0.0)).alias("v"))
-    return df.join(assemble(means, keys, "_means"), keys).withColumn(x, F.zip_with(x, "_means", lambda v, m: F.coalesce(real(v), m))).drop("_means")
+    joined, held = _with_moments(df, slices.moments(df, keys, x, skip_nan=True), keys)
+    filled = F.zip_with(x, F.slice(held, 1, F.greatest(F.size(x), F.lit(0))), lambda v, t: F.coalesce(real(v), t["mean"], F.lit(0.0)))
+    return joined.withColumn(x, filled).select(*df.columns)
 
 
 def split_train_test(df: DataFrame, groups: list[str], key: str, share: float, seed: int) -> DataFrame:
@@ -153,29 +170,36 @@ def dirichlet_clients(df: DataFrame, key: str, label: str, clients: int, halves:
 
 
 def windows(df: DataFrame, key: str, order: list[str], width: int, stride: int, x: str, label: str, strict: bool = False) -> DataFrame:
-    """Runs of ``width`` rows every ``stride`` rows of each key: key, start, x (flattened), label.
+    """Runs of ``width`` rows every ``stride`` rows of each key: key, start, x (flattened), label, labels.
 
     The tail that fills no window goes.  The label is the most frequent one, the
-    smallest on a tie; with ``strict`` windows of several labels go.
+    smallest on a tie; with ``strict`` windows of several labels go.  A key's rows are
+    cut into blocks, each with the rows that its last windows need of the next.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    ahead = w.rowsBetween(0, width - 1)
-    rows = df.withColumns({"_at": F.row_number().over(w) - 1, "_x": F.collect_list(x).over(ahead), "_y": F.collect_list(label).over(ahead)})
-    full = rows.where((F.col("_at") % stride == 0) & (F.size("_x") == width))
-    kinds = F.array_distinct("_y")
-    votes = F.transform(kinds, lambda k: F.struct(F.size(F.filter("_y", lambda y: y == k)).alias("n"), (-k).alias("k")))
-    flat = F.flatten("_x") if dict(df.dtypes)[x].startswith("array") else F.col("_x")
-    out = full.select(key, F.col("_at").alias("start"), flat.alias("x"), (-F.array_max(votes)["k"]).alias("label"), F.size(kinds).alias("labels"))
+    given = df.select(key, F.struct(x, label).alias("row"), *[F.col(c).alias(f"order{i}") for i, c in enumerate(order)])
+    placed = slices.ordinals(given, [key], [f"order{i}" for i in range(len(order))], "start")
+    cut = slices.blocks(placed, "start", max(slices.BLOCK, width), ahead=width - 1)
+    ahead = Window.partitionBy(key, "block").orderBy("start").rowsBetween(0, width - 1)
+    full = cut.withColumn("run", F.collect_list("row").over(ahead)).where(F.col("own") & (F.col("start") % stride == 0) & (F.size("run") == width))
+    labels = F.transform("run", lambda r: r[label])
+    kinds = F.array_distinct(labels)
+    votes = F.transform(kinds, lambda k: F.struct(F.size(F.filter(labels, lambda y: y == k)).alias("n"), (-k).alias("k")))
+    values = F.transform("run", lambda r: r[x])
+    flat = F.flatten(values) if dict(df.dtypes)[x].startswith("array") else values
+    out = full.select(key, F.col("start").cast("int").alias("start"), flat.alias("x"), (-F.array_max(votes)["k"]).alias("label"), F.size(kinds).alias("labels"))
     return out.where("labels = 1") if strict else out
 
 
 def downsample(df: DataFrame, key: str, order: list[str], seconds: Column, target: float) -> DataFrame:
-    """Every k-th row of a key, k being the target step over the median positive step."""
-    w = Window.partitionBy(key).orderBy(*order)
-    steps = df.withColumn("_dt", seconds - F.lag(seconds).over(w)).withColumn("_at", F.row_number().over(w) - 1)
-    typical = steps.where("_dt > 0").groupBy(key).agg(F.percentile("_dt", 0.5).alias("_m"))
-    k = F.greatest(F.coalesce(F.bround(target / F.col("_m")), F.lit(1.0)), F.lit(1.0)).cast("bigint")
-    return steps.join(typical, key, "left").withColumn("step", k).where(F.col("_at") % F.col("step") == 0).drop("_dt", "_m")
+    """Every k-th row of a key, k being the target step over the median positive step: the rows and their step.
+
+    Steps are taken inside blocks of rows, medians by the rank of the steps.
+    """
+    dt, place, half, named = slices._fresh(df, "dt", "place", "half", "named")
+    steps = settle(slices.lagged(df, [key], order, seconds, dt, place).withColumn(dt, seconds - F.col(dt)), "steps")
+    typical = slices.quantiles(steps.where(F.col(dt) > 0), [key], dt, [0.5]).select(F.col(key).alias(named), F.col("q")[0].alias(half))
+    k = F.greatest(F.coalesce(F.bround(target / F.col(half)), F.lit(1.0)), F.lit(1.0)).cast("bigint")
+    return steps.join(typical, F.col(key).eqNullSafe(F.col(named)), "left").withColumn("step", k).where(F.col(place) % F.col("step") == 0).drop(dt, half, named, place)
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -191,18 +215,17 @@ def minibatches(df: DataFrame, key: str, order: list[Column], size: int) -> Data
 def interpolate(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Adds to left rows the right value interpolated at their time, held flat beyond the ends.
 
-    Both sides are merged by time in one shuffle; the nearest right rows before and
-    after a left row come from windows.  Right rows of equal time count once, the
-    first by value.
+    Both sides are merged by time; the nearest right rows before and after a left
+    row come from windows over blocks of the merged rows and, beyond a block, from
+    the blocks' own ends.  Right rows of equal time count once, the first by value.
     """
-    r = right.groupBy(key, at).agg(F.min(value).alias("_v")).withColumn("_left", F.lit(False))
-    both = left.withColumn("_left", F.lit(True)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "_left")
-    point = F.when(~F.col("_left"), F.struct(F.col(at).alias("t"), F.col("_v").alias("v")))
-    before = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumns({"_b": before, "_a": after}).where("_left")
-    share = (F.col(at) - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))
-    lerp = F.col("_b.v") + share * (F.col("_a.v") - F.col("_b.v"))
-    out = F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull() | (F.col("_a.t") == F.col("_b.t")), F.col("_b.v")).otherwise(lerp)
-    return near.withColumn("interpolated", out).drop("_left", "_v", "_b", "_a")
+    r = right.groupBy(F.col(key).alias("key"), F.col(at).alias("at")).agg(F.min(value).alias("v")).where(F.col("v").isNotNull())
+    points = r.select("key", "at", F.lit(0).alias("side"), F.struct(F.col("at").alias("t"), "v").alias("point"))
+    rows = left.select(F.col(key).alias("key"), F.col(at).alias("at"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row"))
+    both = points.unionByName(rows, allowMissingColumns=True)
+    near = slices.carried(both, ["key"], ["at", "side"], "point", "before", "after").where("side = 1")
+    t = F.col("at")
+    share = (t - F.col("before.t")) / (F.col("after.t") - F.col("before.t"))
+    lerp = F.col("before.v") + share * (F.col("after.v") - F.col("before.v"))
+    out = F.when(F.col("before").isNull(), F.col("after.v")).when(F.col("after").isNull() | (F.col("after.t") == F.col("before.t")), F.col("before.v")).otherwise(lerp)
+    return near.select(*[F.col(f"row.{c}").alias(c) for c in left.columns], out.alias("interpolated"))

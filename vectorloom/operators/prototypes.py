@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectorloom.functions.tables import settle
-from vectorloom.functions.vectors import axpy, cosine, norm, normalise, similarity, vector_mean, vector_sum
+from vectorloom.functions.vectors import axpy, cosine, norm, normalise, vector_mean, vector_sum
+from vectorloom.operators import slices, streams
+from vectorloom.operators.training import scores
 
 
 def class_means(df: DataFrame, keys: list[str], x: str = "x", mode: str | None = None) -> DataFrame:
@@ -27,22 +35,64 @@ def class_counts(df: DataFrame, clients: DataFrame, classes: DataFrame, client:
     return grid.join(df.groupBy(client, label).agg(F.count("*").alias("n")), [client, label], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 
-def _packed(protos: DataFrame, by: list[str], label: str) -> DataFrame:
-    return protos.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), "w"))).alias("_protos")) if by else protos.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), "w"))).alias("_protos"))
+class Prototypes:
+    """Class vectors of one key: labels in order, one row each."""
+
+    def __init__(self, held: pa.RecordBatch, label: str, skip_zero: bool):
+        rows = streams.wide(held.column("w"))
+        k = held.column(label).to_numpy()
+        keep = np.flatnonzero(np.linalg.norm(rows, axis=1) > 0) if skip_zero else np.arange(len(k))
+        order = keep[np.argsort(k[keep], kind="stable")]
+        self.k, self.w = k[order], rows[order]
+
+    def judge(self, x: pa.Array, metric: str) -> tuple[pa.Array, pa.Array]:
+        """Class and score of every vector, the smallest class on a tie; null for a null vector or without prototypes."""
+        real = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) if len(self.k) else np.zeros(0, np.int64)
+        at = np.full(len(x), -1, np.int64)
+        top = np.zeros(len(x))
+        if len(real):
+            s = scores(streams.wide(x.drop_null()), self.w, metric)
+            at[real], top[real] = s.argmax(axis=1), s.max(axis=1)
+        none = pa.array(at < 0)
+        return pa.array(self.k).take(pa.array(at, mask=at < 0)), pc.if_else(none, pa.scalar(None, pa.float64()), pa.array(top))
 
 
-def predict(df: DataFrame, protos: DataFrame, by: list[str], x: str = "x", label: str = "y", metric: str = "cos", skip_zero: bool = True, digits: int = 9) -> DataFrame:
-    """Adds pred, the class of the most similar prototype of the row's key, and its score.
+def predict(df: DataFrame, protos: DataFrame, by: list[str], x: str = "x", label: str = "y", metric: str = "cos", skip_zero: bool = True, buckets: int | None = None) -> DataFrame:
+    """Adds pred, the class of the most similar prototype of the row's key, and its score, in place of columns of those names.
 
-    Prototypes of a key (its classes) become one array that joins the rows once;
-    scores are taken in place, so no row is copied per class.  Prototypes of many
-    keys are not broadcast unless Spark finds their table small enough.  The
+    A key's prototypes come first in its group and its rows stream past them, so no
+    row carries them; rows of keys without prototypes go.  ``buckets``: rows are
+    stored in so many buckets of the key and stay where they are.  Without keys all
+    rows have the same prototypes, model-sized, which travel with the job.  The
     smallest class wins a tie.  Zero prototypes never win if skip_zero is set.
     """
-    packed = _packed(protos.where(norm("w") > 0) if skip_zero else protos, by, label)
-    joined = df.join(packed, by) if by else df.crossJoin(F.broadcast(packed))  # without keys, one row
-    scored = F.transform("_protos", lambda p: F.struct(F.round(similarity(x, p["w"], metric), digits).alias("s"), (-p["k"]).alias("k")))
-    return joined.withColumn("_best", F.array_max(scored)).withColumns({"pred": -F.col("_best.k"), "score": F.col("_best.s")}).drop("_protos", "_best")
+    if metric not in ("dot", "cos"):
+        raise ValueError(f"unknown metric {metric!r}")
+    kept = [c for c in df.columns if c not in ("pred", "score")]
+    kind = protos.schema[label].dataType
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("pred", kind), T.StructField("score", T.DoubleType())])
+    rows, state = df.select(*kept), protos.select(*by, label, F.col("w").cast("array<double>").alias("w"))
+    if not by:
+        whole = state.toArrow().combine_chunks().to_batches()
+        if not whole:
+            return rows.where(F.lit(False)).select(*kept, F.lit(None).cast(kind).alias("pred"), F.lit(None).cast("double").alias("score"))
+        given = Prototypes(whole[0], label, skip_zero)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                yield pa.RecordBatch.from_arrays([*part.columns, *given.judge(part.column(x), metric)], [*kept, "pred", "score"])
+
+        return rows.mapInArrow(run, schema)
+
+    def work(key: tuple, held: pa.RecordBatch | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held is None:
+            return
+        own = Prototypes(held, label, skip_zero)
+        for part in batches:
+            cells = dict(zip(by, streams.repeated(key, part.num_rows), strict=True)) | {c: part.column(c) for c in kept if c not in by}
+            yield pa.RecordBatch.from_arrays([*(cells[c] for c in kept), *own.judge(part.column(x), metric)], [*kept, "pred", "score"])
+
+    return streams.beside(rows, state, by, work, schema, buckets=buckets)
 
 
 def push_pull(rows: DataFrame, keys: list[str], x: str = "x", label: str = "y") -> DataFrame:
@@ -133,12 +183,12 @@ def kmeans(df: DataFrame, by: list[str], order: str, k: int, rounds: int, x: str
     early when no centre moves by more than ``least`` in any dimension.  A key with
     fewer rows than k has centres that coincide.
     """
-    w = Window.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    spaced = df.withColumns({"_at": at, "_n": F.count("*").over(w)})
-    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(i.alias("centre"), F.floor(i * (F.col("_n") - 1) / max(k - 1, 1)).alias("at")))
-    hits = spaced.select(*by, F.col(x).alias("c"), "_at", F.explode(picks).alias("p")).where("p.at = _at")
-    centres = settle(hits.select(*by, F.col("p.centre").alias("centre"), "c"), "centres")
+    placed = settle(slices.ordinals(df.select(*by, order, F.col(x).alias("c")), by, [order], "at"), "ordered")
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("n"))
+    picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(i.alias("centre"), F.floor(i * (F.col("n") - 1) / max(k - 1, 1)).alias("at")))
+    wanted = sizes.select(*by, F.explode(picks).alias("p")).select(*by, "p.centre", "p.at")  # k rows per key
+    hits = placed.join(F.broadcast(wanted) if not by else wanted, [*by, "at"])
+    centres = settle(hits.select(*by, "centre", "c"), "centres")
     for _ in range(rounds):
         means = vector_mean(nearest(df, centres, by, x).select(*by, F.col("near_centre").alias("centre"), F.col(x).alias("m")), [*by, "centre"], "m")
         moved = centres.join(means, [*by, "centre"], "left").select(*by, "centre", F.coalesce("m", "c").alias("c"), F.array_max(F.zip_with("c", F.coalesce("m", "c"), lambda a, b: F.abs(a - b))).alias("_step"))

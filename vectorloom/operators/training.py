@@ -1,8 +1,8 @@
 """Local training of clients: what depends on the order of batches is one pass over sorted rows.
 
-A client's state comes first in its partition, then its samples in the order of
-the epochs.  A task holds the state of one client, sized by the model, and one
-Arrow batch of rows, however many rows the client has.
+A client's state comes first in its group, then its samples in the order of the
+epoch.  A task holds the state of one client, sized by the model, and one Arrow
+batch of rows, however many rows the client has.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql import types as T
 
 from vectorloom.functions import rng
+from vectorloom.functions.vectors import EPS
+from vectorloom.operators import streams
 
-EPS = 1e-8
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -59,8 +60,10 @@ class Learner:
     fields: tuple[str, ...]
     inputs: tuple[str, ...]
 
-    def start(self, held: dict[str, np.ndarray]) -> None:
+    def start(self, held: dict[str, np.ndarray], own: np.ndarray | None = None) -> None:
+        """``own`` are vectors of the client that training doesn't change, if it has any."""
         self.held = {k: v.copy() for k, v in held.items()}
+        self.own = own
         self.classes = len(next(iter(held.values())))
         self.errors = np.zeros(self.classes, np.int64)
         self.clear()
@@ -108,9 +111,9 @@ class Memory(Learner):
     fields = ("w", "delta")
     inputs = ("h",)
 
-    def start(self, held: dict[str, np.ndarray]) -> None:
+    def start(self, held: dict[str, np.ndarray], own: np.ndarray | None = None) -> None:
         check_update(held["w"].shape[1], self.mask, self.basis)
-        super().start(held)
+        super().start(held, own)
 
     def take(self, z: dict[str, np.ndarray], y: np.ndarray) -> None:
         x = safe_unit(z["h"]) if self.unit_rows else z["h"]
@@ -167,6 +170,44 @@ class Coefficients(Learner):
             self.held[part] = self.held[part] + rate * self.moves[source]
 
 
+@dataclass
+class FullSpace(Learner):
+    """Coefficients c, g, d, p that predict by whole memories: rows are compared with all of their dimensions.
+
+    ``common`` and ``extra`` are bases of all clients (dimensions x rank); a client's
+    own one comes with its state, a vector per row.  Mistakes are summed in full
+    vectors and move the coefficients by their coordinates.
+    """
+
+    rate: float
+    personal_rate: float
+    common: np.ndarray
+    extra: np.ndarray
+    metric: str = "cos"
+    fields = ("c", "g", "d", "p")
+    inputs = ("h",)
+
+    def memory(self) -> np.ndarray:
+        s = self.held
+        w = (s["c"] + s["d"]) @ self.common.T + s["g"] @ self.extra.T + s["p"] @ self.own
+        return w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), EPS)
+
+    def clear(self) -> None:
+        super().clear()
+        self.whole = self.memory()  # as it stands when a batch begins
+
+    def take(self, z: dict[str, np.ndarray], y: np.ndarray) -> None:
+        pred = scores(z["h"], self.whole, self.metric).argmax(axis=1)
+        self.wrong += np.bincount(y[pred != y], minlength=self.classes)
+        self.move("u", signed_updates(z["h"], y, pred, self.classes))
+
+    def apply(self) -> None:
+        u = self.moves["u"]
+        common = u @ self.common
+        for part, move, rate in (("c", common, self.rate), ("g", u @ self.extra, self.rate), ("d", common, self.personal_rate), ("p", u @ self.own.T, self.personal_rate)):
+            self.held[part] = self.held[part] + rate * move
+
+
 @dataclass
 class Mixed(Learner):
     """Row-normalised coordinates of a shared basis, s, and a personal one, p, mixed by alpha.
@@ -212,57 +253,7 @@ def run_batches(learner: Learner, held: dict[str, np.ndarray], z: dict[str, np.n
     return one
 
 
-def _wide(column: pa.Array, at: slice) -> np.ndarray:
-    part = column.slice(at.start, at.stop - at.start)
-    return part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
-
-
-class _Client:
-    """A client whose rows are passing by."""
-
-    def __init__(self, name: object):
-        self.name = name
-        self.state: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
-        self.learner: Learner | None = None
-        self.epoch, self.filled = -1, 0
-
-    def labels(self) -> np.ndarray:
-        return np.concatenate([y for y, _ in self.state]) if self.state else np.zeros(0, np.int64)
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {k: np.concatenate([f[k] for _, f in self.state]) for k in self.state[0][1]}
-
-    def feed(self, learner: Learner, epoch: int, z: dict[str, np.ndarray], y: np.ndarray, size: int) -> None:
-        if not self.state:
-            return
-        labels = self.labels()
-        known = np.isin(y, labels)
-        y, z = np.searchsorted(labels, y[known]), {k: v[known] for k, v in z.items()}
-        if self.learner is None:
-            self.learner = copy.deepcopy(learner)
-            self.learner.start(self.arrays())
-        if epoch != self.epoch and self.filled:
-            self.learner.step()
-            self.filled = 0
-        self.epoch = epoch
-        at = 0
-        while at < len(y):
-            n = min(len(y) - at, size - self.filled) if size else len(y) - at
-            self.learner.take({k: v[at : at + n] for k, v in z.items()}, y[at : at + n])
-            self.filled, at = self.filled + n, at + n
-            if self.filled == size:
-                self.learner.step()
-                self.filled = 0
-
-    def result(self) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
-        labels = self.labels()
-        if self.learner is None:  # no rows: the state stays
-            return labels, self.arrays(), np.zeros(len(labels), np.int64)
-        self.learner.step()
-        return labels, self.learner.finish(), self.learner.errors
-
-
-def local(samples: DataFrame, state: DataFrame, client: str, learner: Learner, batch: int = 0, epochs: int = 1, seed: int = 0, round_: int = 0) -> DataFrame:
+def local(samples: DataFrame, state: DataFrame, client: str, learner: Learner, batch: int = 0, epochs: int = 1, seed: int = 0, round_: int = 0, buckets: int | None = None, fixed: DataFrame | None = None) -> DataFrame:
     """Trains every client that has state: client, y, the learner's fields, errors.
 
     samples: client, sample, y and the learner's inputs; state: client, y and its
@@ -271,46 +262,58 @@ def local(samples: DataFrame, state: DataFrame, client: str, learner: Learner, b
     Samples of classes or clients without state are passed over, and a client
     without samples keeps its state.  errors counts the mistakes per class.
     Rows of one client are taken one after the other, which is what the method is.
+
+    An epoch is one pass of the samples beside the state that the epoch before
+    left.  ``buckets``: samples are stored in so many buckets of their client, so
+    only the state moves.  ``fixed`` (client, r, b) are vectors of a client that its
+    learner needs and doesn't change.
     """
     fields, inputs = learner.fields, learner.inputs
-    array = "array<double>"
-    of = lambda df, cols: [F.col(c).cast(array).alias(c) for c in cols] if df is not None else []
-    none = lambda cols: [F.lit(None).cast(array).alias(c) for c in cols]
-    head = state.select(client, F.lit(0).alias("kind"), F.lit(0).alias("epoch"), F.lit("").alias("turn"), F.lit(0).cast("bigint").alias("sample"), F.col("y").cast("bigint").alias("y"), *of(state, fields), *none(inputs))
-    each = samples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    turn = rng.digest(seed, F.lit(round_), F.col("epoch"), F.col("sample"))
-    rows = each.select(client, F.lit(1).alias("kind"), "epoch", turn.alias("turn"), F.col("sample").cast("bigint").alias("sample"), F.col("y").cast("bigint").alias("y"), *none(fields), *of(each, inputs))
-    order = [F.col(client), F.col("kind"), F.col("epoch"), F.when(F.col("kind") == 0, F.col("y")), F.col("turn"), F.col("sample")]
-    sorted_ = head.unionByName(rows).repartition(client).sortWithinPartitions(*order)
-    kind = state.schema[client].dataType.simpleString()
-    label = state.schema["y"].dataType.simpleString()
-    named = to_arrow_type(state.schema[client].dataType)
-
-    def emit(done: _Client) -> pa.RecordBatch:
-        labels, arrays, errors = done.result()
-        return pa.RecordBatch.from_arrays([pa.array([done.name] * len(labels), named), pa.array(labels, pa.int64()), *(pa.array(list(arrays[f]), pa.list_(pa.float64())) for f in fields), pa.array(errors, pa.int64())], [client, "y", *fields, "errors"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: _Client | None = None
-        for part in batches:
-            names = part.column(client).to_pylist()
-            kinds, epochs_ = part.column("kind").to_numpy(), part.column("epoch").to_numpy()
-            y = part.column("y").to_numpy()
-            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or kinds[i] != kinds[i - 1] or epochs_[i] != epochs_[i - 1]), len(names)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if now is None or now.name != names[a]:
-                    if now is not None and now.state:
-                        yield emit(now)
-                    now = _Client(names[a])
-                at = slice(a, b)
-                if kinds[a] == 0:
-                    now.state.append((y[at], {f: _wide(part.column(f), at) for f in fields}))
-                else:
-                    now.feed(learner, int(epochs_[a]), {c: _wide(part.column(c), at) for c in inputs}, y[at], batch)
-        if now is not None and now.state:
-            yield emit(now)
-
-    out = sorted_.mapInArrow(run, f"{client} {kind}, y bigint, {', '.join(f'{f} {array}' for f in fields)}, errors bigint")
-    return out.withColumn("y", F.col("y").cast(label))
+    array = T.ArrayType(T.DoubleType())
+    label = state.schema["y"].dataType
+    now = state.select(client, F.col("y").cast("bigint").alias("y"), *[F.col(c).cast(array).alias(c) for c in fields], F.lit(0).cast("bigint").alias("errors"))
+    rows = samples.select(client, F.col("sample").cast("bigint").alias("sample"), F.col("y").cast("bigint").alias("y"), *[F.col(c).cast(array).alias(c) for c in inputs])
+
+    def epoch(last: bool) -> streams.Work:
+        def work(key: tuple, held: pa.RecordBatch | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if held is None:
+                return
+            own = None
+            if fixed is not None:
+                basis = held.filter(held.column("r").is_valid())
+                held = held.filter(held.column("r").is_null())
+                if not (held.num_rows and basis.num_rows):
+                    return
+                own = streams.wide(basis.column("b"))[np.argsort(basis.column("r").to_numpy(), kind="stable")]
+            labels = held.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(labels, kind="stable")
+            labels, errors = labels[order], held.column("errors").to_numpy(zero_copy_only=False).astype(np.int64)[order]
+            arrays = {f: streams.wide(held.column(f))[order] for f in fields}
+            one, filled, seen = copy.deepcopy(learner), 0, False
+            one.start(arrays, own)
+            for part in batches:
+                seen = seen or part.num_rows > 0
+                y = part.column("y").to_numpy()
+                known = np.isin(y, labels)
+                z, y = {c: streams.wide(part.column(c))[known] for c in inputs}, np.searchsorted(labels, y[known])
+                at = 0
+                while at < len(y):
+                    n = min(len(y) - at, batch - filled) if batch else len(y) - at
+                    one.take({k: v[at : at + n] for k, v in z.items()}, y[at : at + n])
+                    filled, at = filled + n, at + n
+                    if filled == batch:
+                        one.step()
+                        filled = 0
+            one.step()
+            arrays = (one.finish() if last else one.held) if seen else arrays
+            yield pa.RecordBatch.from_arrays([*streams.repeated(key, len(labels)), pa.array(labels), *(streams.lists(arrays[f]) for f in fields), pa.array(errors + one.errors)], [client, "y", *fields, "errors"])
+
+        return work
+
+    schema = T.StructType([state.schema[client], T.StructField("y", T.LongType()), *(T.StructField(f, array) for f in fields), T.StructField("errors", T.LongType())])
+    for e in range(epochs):
+        turn = rng.digest(seed, F.lit(round_), F.lit(e), F.col("sample"))
+        if fixed is not None:
+            now = now.unionByName(fixed.select(client, "r", F.col("b").cast(array).alias("b")), allowMissingColumns=True)
+        now = streams.beside(rows, now, [client], epoch(e == epochs - 1), schema, [turn, F.col("sample")], buckets)
+    return now.withColumn("y", F.col("y").cast(label))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectorloom.operators import slices
+
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """q1, median, q3 by linear interpolation, and their range."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """q1, median, q3 by linear interpolation, and their range; picked by rank, so a group may be of any size."""
+    q = slices.quantiles(df, keys, value, [0.25, 0.5, 0.75])
     return q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 

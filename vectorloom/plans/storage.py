@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.functions.tables import settle, shared_dir
 
-__all__ = ["compatible", "load_snapshot", "remaining", "save_snapshot", "settle", "shared_dir", "signature", "signature_of", "upsert"]
+__all__ = ["Journal", "compatible", "load_snapshot", "remaining", "save_snapshot", "settle", "shared_dir", "signature", "signature_of", "upsert"]
 
 def save_snapshot(state: DataFrame, base: str, dataset: str, method: str, seed: int, signature: str) -> None:
     """Appends the state of rounds, one folder per dataset, method, seed, signature and round."""
@@ -37,6 +38,36 @@ def signature_of(json_text: Column) -> Column:
     return F.substring(F.sha1(json_text), 1, 10)
 
 
+class Journal:
+    """Whole rounds in a folder: a round's tables are written aside and appear by one rename."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def publish(self, round_: int, tables: dict[str, DataFrame]) -> None:
+        """Publishes a round; one that is there already stays."""
+        aside = f"{self.folder}/.writing-{uuid.uuid4().hex}"
+        for name, table in tables.items():
+            table.write.parquet(f"{aside}/{name}")
+        if self.has(round_) or not self._files.rename(self._at(aside), self._at(f"{self.folder}/round={round_}")):
+            self._files.delete(self._at(aside), True)
+
+    def has(self, round_: int, name: str = "") -> bool:
+        return self._files.exists(self._at(f"{self.folder}/round={round_}/{name}".rstrip("/")))
+
+    def last(self) -> int:
+        """The last published round, 0 if none is; what was being written counts nothing."""
+        if not self._files.exists(self._at(self.folder)):
+            return 0
+        names = [str(f.getPath().getName()) for f in self._files.listStatus(self._at(self.folder))]
+        return max((int(n.removeprefix("round=")) for n in names if n.startswith("round=")), default=0)
+
+    def read(self, round_: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/round={round_}/{name}")
+
+
 def remaining(expected: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:
     """Work that is expected and not yet done."""
     return expected.join(completed.select(*keys).distinct(), keys, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import rng
 from vectorloom.functions import vectors as v
-from vectorloom.operators import bases, encoders, prep
+from vectorloom.operators import bases, encoders, prep, slices
 from vectorloom.operators import prototypes as pr
 from vectorloom.plans import reports, storage
 
@@ -414,8 +414,8 @@ def gram_matrix(spark, sf):
 
 @query(f"WITH {E}, d AS (SELECT \"user\", sec - lag(sec) OVER (PARTITION BY \"user\" ORDER BY sec, event) AS dt FROM e) SELECT \"user\", round(quantile_cont(dt, 0.5), 3) + 0.0 AS median FROM d WHERE dt > 0 GROUP BY 1")
 def median_dt(spark, sf):
-    w = Window.partitionBy("user").orderBy("sec", "event")
-    return events(spark, sf).withColumn("dt", F.col("sec") - F.lag("sec").over(w)).where("dt > 0").groupBy("user").agg((F.round(F.percentile("dt", 0.5), 3) + 0.0).alias("median"))
+    steps = slices.lagged(events(spark, sf).select("user", "event", "sec"), ["user"], ["sec", "event"], F.col("sec"), "before", "place").withColumn("dt", F.col("sec") - F.col("before"))
+    return slices.quantiles(steps.where("dt > 0"), ["user"], "dt", [0.5]).select("user", (F.round(F.col("q")[0], 3) + 0.0).alias("median"))
 
 
 @query(f"WITH {L} SELECT d, {R.format('avg(v)')} AS mean, {R.format('stddev_pop(v)')} AS std, {R.format('avg(v) FILTER (WHERE v > 0)')} AS up FROM l GROUP BY 1")

@@ -282,6 +282,47 @@ def late_clients(spark, sf):
     return cells(state.select("client", "y", F.concat("c", "g").alias("w")), ["client", "y"], "w")
 
 
+def _memory(name: str, state: str, value: str) -> str:
+    """Whole memories of unit rows from coefficients ``value`` by Walsh row r."""
+    return f"{name} AS (SELECT client, y, d, w / greatest(sqrt(sum(w * w) OVER (PARTITION BY client, y)), 1e-8) AS w FROM (SELECT s.client, s.y, wb.d, sum(({value}) * wb.b) AS w FROM {state} s JOIN wb USING (r) GROUP BY 1, 2, 3))"
+
+
+@query(_with(*_bootstrap_steps("difference"), _memory("m1", "s0", "s.v * CASE WHEN s.r <= 6 AND s.client % 2 = 0 THEN 0.5::DOUBLE ELSE 1 END + s.dv"), _memory("m2", "s0", "s.v + s.dv")) + f" SELECT a.client, a.y, CAST(a.d AS INT) AS d, {R.format('a.w')} AS first, {R.format('b.w')} AS second FROM m1 a JOIN m2 b USING (client, y, d)")
+def materialise_pending(spark, sf):
+    _, _, boot = fixed_bootstrap(spark, sf, change_start="difference")
+    half = lambda c: F.transform(c, lambda v: v * 0.5).alias(c)
+    held = rounds.Clients(boot.state, boot.state.where("client % 2 = 0").select("client", "y", half("c"), half("g")))
+    out = None
+    for name in ("first", "second"):
+        read, held = rounds.materialise(held, boot, consume=True)
+        part = read.select("client", "y", F.posexplode("w").alias("d", name)).select("client", "y", "d", r6(name).alias(name))
+        out = part if out is None else out.join(part, ["client", "y", "d"])
+    return out
+
+
+_FULL = [*_bootstrap_steps("difference"), _memory("m0", "s0", "s.v + s.dv"), *_predicted("p1", "tr", "m0", "m.client = x.client"), _moves("u1", "p1"),
+    "q1 AS (SELECT client, y, r, sum(u * b) AS q FROM u1 JOIN wb USING (d) GROUP BY 1, 2, 3)",
+    f"t1 AS (SELECT s.client, s.y, s.r, s.v + CASE WHEN s.r <= 6 THEN {RATE}::DOUBLE ELSE {OWN_RATE}::DOUBLE END * coalesce(q.q, 0) AS v, s.dv + CASE WHEN s.r <= 4 THEN {OWN_RATE}::DOUBLE * coalesce(q.q, 0) ELSE 0 END AS dv FROM s0 s LEFT JOIN q1 q ON q.client = s.client AND q.y = s.y AND q.r = s.r)",
+    _memory("n1", "t1", "s.v + s.dv"), *_predicted("e1", "tr", "n1", "m.client = x.client"), "w1 AS (SELECT client, y, count(*) AS wrong FROM e1 WHERE pred <> y GROUP BY 1, 2)"]
+
+
+@query(_with(*_FULL) + f" SELECT t.client, t.y, CAST(t.r - 1 AS INT) AS d, {R.format('t.v')} AS v, {R.format('t.dv')} AS change, coalesce(w.wrong, 0) AS wrong FROM t1 t LEFT JOIN w1 w USING (client, y)")
+def full_space_step(spark, sf):
+    samples, s, boot = fixed_bootstrap(spark, sf, change_start="difference")
+    upload, state = rounds.full_space_step(samples.where("split = 'train'"), boot.state, boot, s)
+    both = upload.join(state.select("client", "y", "d", "p"), ["client", "y"])
+    change = F.concat("d", F.array_repeat(F.lit(0.0), len(EXTRA) + len(OWN)))
+    each = both.select("client", "y", "wrong", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(7)).alias("d"), F.concat("c", "g", "p").alias("v"), change.alias("change"))).alias("x"))
+    return each.select("client", "y", F.col("x.d").alias("d"), r6("x.v").alias("v"), r6("x.change").alias("change"), "wrong")
+
+
+@query(_with(*_ONCE) + " SELECT f.sample, CAST(f.pred AS INT) AS fused, CAST(s.pred AS INT) AS shared, CAST(p.pred AS INT) AS personal FROM bf f JOIN bs s USING (sample) JOIN bp p USING (sample)")
+def raw_vector_branches(spark, sf):
+    samples, _, boot = fixed_bootstrap(spark, sf, change_start="difference")
+    seen = rounds.raw_branches(samples.where("split = 'test'"), boot.state, boot)
+    return seen.select("sample", *[F.col(b).cast("int").alias(b) for b in rounds.BRANCHES])
+
+
 @query()
 def subspace_rounds(spark, sf):
     return rounds.subspace(round_samples(spark, sf), rounds.Settings(**{**_SETTINGS.__dict__, "batch": 16})).history
