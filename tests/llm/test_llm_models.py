@@ -178,7 +178,7 @@ def test_language_model_on_whole_table(spark):
     by = model.vocabulary
     for w, c in counts.items():
         key = w if w is None or len(w.encode()) <= markov.LONGEST else " " + hashlib.sha256(w.encode()).hexdigest()
-        if key is not None and key not in by.words[:200].to_pylist():
+        if key is not None and key not in by.words.words[:200].to_pylist():
             b = zlib.crc32(key.encode()[-3:]) % markov.SHARED
             held[b] += (c + 0.5) / (by.shared_total[b] + 0.5 * (by.shared_distinct[b] + 1))
     assert all(p + 0.5 / (by.shared_total[b] + 0.5 * (by.shared_distinct[b] + 1)) == pytest.approx(1) for b, p in held.items())
