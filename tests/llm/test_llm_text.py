@@ -221,6 +221,9 @@ def test_quality_tells_junk_from_prose_and_scores_everything(spark):
     assert all((got[i].score >= quality.CUT) == bool(i % 2) for i in range(60))
     assert all(0 <= got[i].score <= 1 and len(got[i].line_good) == 1 for i in (60, 61))
     assert quality.fit(docs, labels.where("false")) is None
+    text = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality.fit(text(docs), text(labels)) is not None  # ids of any type
+    assert quality.fit(docs, labels, fit_lines=1) is None or quality.fit(docs, labels, fit_lines=40) is not None
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
 
 

@@ -202,30 +202,40 @@ def _calibrate(mean: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return slope, float(np.log(CUT / (1 - CUT)) - slope * cut)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000) -> Model | None:
-    """Learns from the texts of labelled documents, about ``fit_docs`` of them at most.
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 6000, fit_lines: int = 1_000_000) -> Model | None:
+    """Learns from the texts of labelled documents, about ``fit_docs`` of them and ``fit_lines`` lines at most.
 
     labels has doc_id and quality; a document with several labels takes the
-    larger.  The sample is picked by a hash of doc_id, and only line features of
-    the sample reach the driver.  None if there is no labelled text.
+    larger.  doc_id may be of any type.  The sample is picked by a hash of doc_id,
+    documents of the smallest hashes first while their lines fit, and only line
+    features of the sample reach the driver.  None if there is no labelled text.
     """
     lean_workers(docs.sparkSession)
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = marks.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1 << 20, -(-fit_docs << 20) // max(total, 1))
-    picked = docs.select("doc_id", "text").join(F.broadcast(marks.where(share)), "doc_id")  # about fit_docs rows
+    pick = F.xxhash64("doc_id")
+    share = F.pmod(pick, F.lit(1 << 20)) < min(1 << 20, -(-fit_docs << 20) // max(total, 1))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(marks.where(share)), "doc_id")  # about fit_docs rows
+    sampled = drawn.select(pick.alias("pick"), "quality", "text", (F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1).alias("lines"))
+    sizes = sampled.select("pick", "lines").toPandas().sort_values("pick")
+    fits = sizes[sizes["lines"] <= fit_lines]
+    fits = fits[fits["lines"].cumsum() <= fit_lines]
+    if fits.empty:
+        return None
+    picked = sampled.where((F.col("lines") <= fit_lines) & (F.col("pick") <= int(fits["pick"].iloc[-1])))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = line_features(batch.column("text"))
-            cells = [lines.features[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
-            sizes = [lines.weight[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(cells, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "f", "w"])
+            for part in chunks(batch, "text"):
+                lines = line_features(part.column("text"))
+                cells = [lines.features[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
+                sizes = [lines.weight[a:b].tobytes() for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("pick"), part.column("quality").cast(pa.int32()), pa.array(cells, pa.binary()), pa.array(sizes, pa.binary())], ["pick", "quality", "f", "w"])
 
-    rows: pd.DataFrame = picked.mapInArrow(features, "doc_id bigint, quality int, f binary, w binary").toPandas()
+    rows: pd.DataFrame = picked.select("pick", "quality", "text").mapInArrow(features, "pick bigint, quality int, f binary, w binary").toPandas()
     if rows.empty:
         return None
-    rows = rows.sort_values(["doc_id", "f"], kind="stable")
+    rows = rows.sort_values(["pick", "f", "w"], kind="stable")
     f = np.frombuffer(b"".join(rows["f"]), np.float32).reshape(-1, FEATURES)
     w = np.frombuffer(b"".join(rows["w"]), np.float64)
     first = np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows["w"]])])
