@@ -94,3 +94,24 @@ def test_groups_and_fitted_encoders(spark):
     with pytest.raises(RuntimeError):
         learned.encode(rows)
     assert learned.fit(rows, 2).encode(rows).count() == 40
+
+
+def test_right_vectors_span_the_leading_directions(spark):
+    draw = np.random.default_rng(4)
+    left, _ = np.linalg.qr(draw.normal(size=(300, 40)))
+    right, _ = np.linalg.qr(draw.normal(size=(40, 40)))
+    m = left @ np.diag([50.0, 40, 30, 20, 10, *(1e-3 * 0.9 ** np.arange(35))]) @ right.T
+    df = spark.createDataFrame([(row.tolist(),) for row in m] + [(None,)], "w array<double>").repartition(40)  # a tree of two levels
+    values, basis = bases.right_vectors(df, 5)
+    _, exact, vt = np.linalg.svd(m, full_matrices=False)
+    assert np.allclose(values, exact[:5], rtol=1e-9)
+    assert np.degrees(np.linalg.norm(basis - vt[:5].T @ (vt[:5] @ basis), 2)) < 1e-6  # sine of the largest angle
+    assert np.allclose(basis, bases.canonical_signs(vt[:5].T), atol=1e-6)
+    assert bases.right_vectors(df.where("false"), 5)[1].shape == (0, 0)
+    assert np.allclose(bases.covariance(df), m.T @ m)
+
+
+def test_group_relevance():
+    first, second = np.array([[1.0, 0, 2, 0], [0, 3, 0, 0], [1, 0, 0, -4]]), np.array([[1.0, -1], [2, 0], [0, 0], [1, 1]])
+    masks, shares = encoders.group_relevance(first, second, 2, 1)  # units 0 and 2, 1 and 3
+    assert [m.tolist() for m in masks] == [[0], [2]] and np.allclose(shares, [2 / 9, 7 / 9])

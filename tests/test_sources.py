@@ -2,6 +2,7 @@ import gzip
 import json
 import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -146,3 +147,37 @@ def test_fixture_manifest_and_console_table(spark, tmp_path):
     assert sinks.aligned(df.orderBy("k")).splitlines() == [" k  name       v", " 1  a     0.5000", "20        1.2500"]
     with pytest.raises(ValueError):
         sinks.aligned(df, most=1)
+
+
+def mat_file(path, order="<", packed=False, **arrays):
+    """A MATLAB 5 file, written by hand."""
+    pad = lambda b: b + b"\0" * (-len(b) % 8)
+    element = lambda kind, b: struct.pack(f"{order}II", kind, len(b)) + pad(b)
+    kinds = {"f8": (9, 6), "u1": (2, 9), "i2": (3, 10)}
+    out = b"MATLAB 5.0".ljust(124) + struct.pack(f"{order}H", 0x0100) + (b"IM" if order == "<" else b"MI")
+    for name, a in arrays.items():
+        number, cls = kinds[a.dtype.str[1:]]
+        raw = a.astype(a.dtype.newbyteorder(order)).tobytes(order="F")
+        small = struct.pack(f"{order}I", len(name) << 16 | 1) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode())
+        body = element(6, struct.pack(f"{order}II", cls, 0)) + element(5, struct.pack(f"{order}2i", *a.shape)) + small + element(number, raw)
+        whole = element(14, body)
+        out += struct.pack(f"{order}II", 15, len(zlib.compress(whole))) + zlib.compress(whole) if packed else whole
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(out)
+
+
+@pytest.mark.parametrize("order,packed", [("<", False), ("<", True), (">", True)])
+def test_matlab_files(spark, tmp_path, order, packed):
+    draw = np.random.default_rng(0)
+    emg, glove = draw.normal(size=(30, 3)), draw.normal(size=(30, 2))
+    move = (np.arange(30)[:, None] % 4).astype("u1")
+    for subject, exercise in ((1, 1), (1, 2), (2, 3)):
+        mat_file(tmp_path / "db" / f"S{subject}_A1_E{exercise}.mat", order, packed, emg=emg, glove=glove, restimulus=move, odd=np.array([[1, 2]], "i2"))
+    got = binary.hand_movements(spark, str(tmp_path / "db"), "both").collect()
+    assert len(got) == 3 * 22 and {r.client for r in got} == {"subject_1", "subject_2"}
+    assert {r.y for r in got if r.client == "subject_2"} == {29, 30, 31} and {r.y for r in got if r.client == "subject_1"} == {0, 1, 2, 12, 13, 14}
+    want = {tuple(np.round([*e, *g], 9)) for e, g, m in zip(emg, glove, move[:, 0]) if m}
+    assert {tuple(np.round(r.x, 9)) for r in got} == want
+    mat_file(tmp_path / "usc" / "Subject3" / "a5t2.mat", order, packed, sensor_readings=emg)
+    rows = binary.daily_activities(spark, str(tmp_path / "usc")).collect()
+    assert len(rows) == 30 and {(r.client, r.trial, r.y) for r in rows} == {("Subject3", 2, 4)} and np.allclose([r.x for r in sorted(rows, key=lambda r: r.sample)], emg)

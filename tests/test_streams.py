@@ -151,6 +151,8 @@ def test_a_stopped_run_goes_on_after_its_last_whole_round(spark, samples, tmp_pa
     monkeypatch.setattr(rounds._Book, "uploads", plain)
     run = rounds.METHODS[method](samples, s)
     assert told(run) == whole and {t[0] for t in run.timings} == {2}
+    times = {r.stage: r for r in rounds.timing_report(spark, run, 3).collect()}
+    assert times.keys() == {"clients", "server"} and all(t.rounds == 1 and t.median > 0 and np.isclose(t.ms_per_client, t.median * 1000 / 3) for t in times.values())
     assert told(rounds.METHODS[method](samples, s)) == whole  # nothing is left to do
 
 

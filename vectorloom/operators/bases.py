@@ -2,36 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-8
 
 
-def gram(df: DataFrame, x: str = "w") -> DataFrame:
-    """Sum of the outer products of all rows, as rows (i, g).
+#: Matrices that one task merges.
+FAN = 16
+
+
+def merged(df: DataFrame, x: str, partial: Callable[[np.ndarray], np.ndarray], combine: Callable[[np.ndarray, np.ndarray], np.ndarray], fan: int = FAN) -> np.ndarray | None:
+    """One matrix of all rows: ``partial`` of an Arrow batch's rows, combined in tasks and then in a tree of ``fan`` at a time.
 
-    Each task adds up its own rows, so the shuffle carries one matrix per task and
-    not one product per row.
+    What is shuffled and what reaches the driver is one matrix per task or node, of
+    the model's size and not of the data's.  None without rows; null rows count nothing.
     """
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(part: int, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["part", "width", "m"])
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if batch.num_rows:
-                m = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
-                total = m.T @ m if total is None else total + m.T @ m
+            rows = batch.column(0).drop_null()
+            if len(rows):
+                now = partial(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1))
+                total = now if total is None else combine(total, now)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "g"])
+            yield packed(TaskContext.get().partitionId(), total)
+
+    def node(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((p, w, m) for batch in batches for p, w, m in zip(*(batch.column(c).to_pylist() for c in ("part", "width", "m")), strict=True))
+        total = None
+        for _, width, m in held:
+            now = np.frombuffer(m, np.float64).reshape(-1, width)
+            total = now if total is None else combine(total, now)
+        yield packed(key[0].as_py(), total)
+
+    node.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    schema = "part int, width int, m binary"
+    level = df.select(x).mapInArrow(leaf, schema)
+    tasks = df.rdd.getNumPartitions()
+    while tasks > fan:
+        level = level.withColumn("to", F.floor(F.col("part") / fan).cast("int")).groupBy("to").applyInArrow(node, schema)
+        tasks = -(-tasks // fan)
+    out = None
+    for r in level.orderBy("part").collect():  # ``fan`` matrices at most
+        now = np.frombuffer(bytes(r.m), np.float64).reshape(-1, r.width)
+        out = now if out is None else combine(out, now)
+    return out
+
+
+def covariance(df: DataFrame, x: str = "w") -> np.ndarray:
+    """Sum of the outer products of all rows; dimensions x dimensions."""
+    total = merged(df, x, lambda m: m.T @ m, np.add)
+    return np.zeros((0, 0)) if total is None else total
 
-    cells = df.select(x).mapInArrow(partial, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "v"))
-    sums = cells.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return sums.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("g"))
+
+def gram(df: DataFrame, x: str = "w") -> DataFrame:
+    """Sum of the outer products of all rows, as rows (i, g)."""
+    total = covariance(df, x)
+    rows = [(i, row.tolist()) for i, row in enumerate(total)]
+    return df.sparkSession.createDataFrame(rows, "i int, g array<double>")
 
 
 def matrix(table: DataFrame) -> np.ndarray:
@@ -40,6 +79,28 @@ def matrix(table: DataFrame) -> np.ndarray:
     return np.array(rows["g"].tolist(), dtype=np.float64)
 
 
+def right_vectors(df: DataFrame, rank: int, x: str = "w", oversample: int = 8, power: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Largest singular values of the matrix of all rows, and their right vectors as columns with canonical signs.
+
+    A randomised range finder: rows meet a seeded sketch of rank + oversample
+    directions, ``power`` more passes turn it to the leading ones, and a tall-skinny
+    QR of the rows in the found range (its R factors merged in a tree) gives values
+    and vectors.  Passes shuffle dimensions x sketch numbers a task, never
+    dimensions squared.
+    """
+    first = df.select(F.size(x).alias("d")).where("d >= 0").first()
+    if first is None or rank <= 0:
+        return np.zeros(0), np.zeros((first.d if first else 0, 0))
+    d = first.d
+    q = np.random.default_rng(seed).normal(size=(d, min(d, rank + oversample)))
+    for _ in range(power + 1):
+        # rows times the sketch and back: the sum over tasks of their own products
+        q, _r = np.linalg.qr(merged(df, x, lambda m, q=q: m.T @ (m @ q), np.add))
+    r = merged(df, x, lambda m: np.linalg.qr(m @ q, mode="r"), lambda a, b: np.linalg.qr(np.vstack([a, b]), mode="r"))
+    _, values, turn = np.linalg.svd(r)
+    return values[:rank], canonical_signs((q @ turn.T)[:, :rank])
+
+
 def canonical_signs(basis: np.ndarray) -> np.ndarray:
     """Columns turned so that the entry of largest size is positive, the first on a tie."""
     if basis.size == 0:
@@ -105,7 +166,7 @@ def top_basis(cov: np.ndarray, rank: int, reference: np.ndarray | None = None, o
 
 def shared_basis(protos: DataFrame, common: int, extra: int, x: str = "w") -> tuple[np.ndarray, np.ndarray, float]:
     """Basis of all clients' prototypes, split in two, and the energy that it explains."""
-    cov = matrix(gram(protos, x))
+    cov = covariance(protos, x)
     basis = top_basis(cov, common + extra)
     energy = float(np.trace(basis.T @ cov @ basis) / max(np.trace(cov), EPS))
     return basis[:, :common], basis[:, common:], energy
@@ -119,7 +180,7 @@ def singular_basis(m: np.ndarray, rank: int, full: bool) -> np.ndarray:
 
 def explained(protos: DataFrame, basis: np.ndarray, x: str = "w") -> float:
     """Share of the energy of all rows that a basis explains."""
-    cov = matrix(gram(protos, x))
+    cov = covariance(protos, x)
     return float(np.trace(basis.T @ cov @ basis) / max(np.trace(cov), EPS))
 
 

@@ -173,12 +173,11 @@ def encode_residual(df: DataFrame, full: np.ndarray, packed: np.ndarray, groups:
     return two.withColumn(out, normalise(joined, "plus")).drop("_full", "_packed")
 
 
-def learn_groups(df: DataFrame, classes: int, groups: int, topk: int, hidden: int = 16, epochs: int = 60, rate: float = 0.01, seed: int = 0, rows: int = 20_000) -> list[np.ndarray]:
-    """Features per group as a small network finds them relevant.
+def learn_groups(df: DataFrame, classes: int, groups: int, topk: int, hidden: int = 16, epochs: int = 60, rate: float = 0.01, seed: int = 0, rows: int = 20_000) -> tuple[list[np.ndarray], list[float]]:
+    """Features per group, and the groups' shares, as a small network finds them relevant.
 
     A bounded sample of ``rows`` rows (by hash of x) trains one hidden layer by Adam;
-    hidden units are dealt to groups, and a group takes the ``topk`` features that
-    its units weigh most.
+    group_relevance() reads its weights.
     """
     total = df.count()
     part = df.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < int(min(1.0, rows / max(total, 1)) * (1 << 20)) + 1).select("x", "y").toPandas()
@@ -197,8 +196,21 @@ def learn_groups(df: DataFrame, classes: int, groups: int, topk: int, hidden: in
         for i, g in enumerate((x.T @ back, back.sum(axis=0), act.T @ slope, slope.sum(axis=0))):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             p[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    strength = np.abs(p[0]) * np.abs(p[2]).sum(axis=1)[None, :]
-    return [np.sort(np.argsort(-strength[:, units].sum(axis=1), kind="stable")[:topk]) for units in np.array_split(np.arange(hidden), groups)]
+    return group_relevance(p[0], p[2], groups, topk)
+
+
+def group_relevance(first: np.ndarray, second: np.ndarray, groups: int, topk: int) -> tuple[list[np.ndarray], list[float]]:
+    """Features of each group and the groups' shares, from the weights of a network with one hidden layer.
+
+    Hidden units are dealt to groups in turn.  A unit passes its mean absolute
+    weight over the classes on to the features, by its absolute weights from them; a
+    group takes the ``topk`` features of most relevance, the first on a tie, and
+    weighs its share of all relevance.  first is features x hidden, second hidden x classes.
+    """
+    unit = np.abs(second).mean(axis=1)
+    relevance = np.stack([np.abs(first[:, g::groups]) @ unit[g::groups] for g in range(groups)])
+    total = np.maximum(relevance.sum(axis=1), 1e-8)
+    return [np.sort(np.argsort(-r, kind="stable")[:topk]) for r in np.round(relevance, 12)], (total / total.sum()).tolist()
 
 
 def group_masks(mode: str, features: int, groups: int, seed: int = 0, topk: int | None = None) -> list[np.ndarray]:
@@ -223,6 +235,7 @@ class PackedEncoder:
     topk: int | None = None
     seed: int = 0
     masks: list[np.ndarray] | None = None
+    shares: list[float] | None = None
 
     def __post_init__(self) -> None:
         if self.mode != "mlp" and self.masks is None:
@@ -230,10 +243,10 @@ class PackedEncoder:
 
     def fit(self, samples: DataFrame, classes: int) -> PackedEncoder:
         if self.mode == "mlp":
-            self.masks = learn_groups(samples, classes, self.groups, self.topk or max(1, len(self.weights) // self.groups), seed=self.seed)
+            self.masks, self.shares = learn_groups(samples, classes, self.groups, self.topk or max(1, len(self.weights) // self.groups), seed=self.seed)
         return self
 
     def encode(self, samples: DataFrame, x: str = "x", out: str = "h") -> DataFrame:
         if self.masks is None:
             raise RuntimeError("an encoder with learned groups must be fitted before it encodes")
-        return encode_block(samples, self.weights, self.masks, x, out)
+        return encode_block(samples, self.weights, self.masks, x, out, self.shares)

@@ -270,7 +270,7 @@ def local(samples: DataFrame, state: DataFrame, client: str, learner: Learner, b
     """
     fields, inputs = learner.fields, learner.inputs
     array = T.ArrayType(T.DoubleType())
-    label = state.schema["y"].dataType
+    label, with_own = state.schema["y"].dataType, fixed is not None
     now = state.select(client, F.col("y").cast("bigint").alias("y"), *[F.col(c).cast(array).alias(c) for c in fields], F.lit(0).cast("bigint").alias("errors"))
     rows = samples.select(client, F.col("sample").cast("bigint").alias("sample"), F.col("y").cast("bigint").alias("y"), *[F.col(c).cast(array).alias(c) for c in inputs])
 
@@ -279,7 +279,7 @@ def local(samples: DataFrame, state: DataFrame, client: str, learner: Learner, b
             if held is None:
                 return
             own = None
-            if fixed is not None:
+            if with_own:
                 basis = held.filter(held.column("r").is_valid())
                 held = held.filter(held.column("r").is_null())
                 if not (held.num_rows and basis.num_rows):

@@ -25,6 +25,7 @@ from vectorloom.operators import prototypes as pr
 from vectorloom.operators import training as tr
 from vectorloom.operators.checks import due
 from vectorloom.operators.prep import participants
+from vectorloom.plans import reports
 from vectorloom.plans.storage import Journal, signature
 
 @dataclass
@@ -587,6 +588,14 @@ def replay(snapshots: dict[int, DataFrame], cache: DataFrame, metric: str = "dot
     return book.log.table()
 
 
+def timing_report(spark: SparkSession, run: Run, clients: int) -> DataFrame:
+    """Seconds of a run's stages over its rounds: stage, rounds, q1, median, q3, iqr, ms_per_client (of the median, shared by the clients)."""
+    rows = spark.createDataFrame([(r, stage, t) for r, stage, t in run.timings], "round int, stage string, seconds double")
+    counts = rows.groupBy("stage").agg(F.count("*").alias("rounds"))
+    table = counts.join(reports.quartiles(rows, ["stage"], "seconds"), "stage")
+    return table.withColumn("ms_per_client", F.col("median") * 1000 / max(clients, 1))
+
+
 #: Every method takes (samples, settings) and returns a Run.
 METHODS = {"averaging": averaging, "feedback": feedback, "subspace": subspace, "mixed": mixed}
 

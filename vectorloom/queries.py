@@ -780,8 +780,25 @@ def encode_residual(spark, sf):
 @query()
 def encode_mlp_groups(spark, sf):
     s = vectors(spark, sf)
-    groups = encoders.learn_groups(s.select("x", "y"), 10, 4, 16)
-    return cells(encoders.encode_block(s, weights(spark), groups), ["sample"], "h")
+    groups, shares = encoders.learn_groups(s.select("x", "y"), 10, 4, 16)
+    return cells(encoders.encode_block(s, weights(spark), groups, shares=shares), ["sample"], "h")
+
+
+#: Weights of a network in closed form: 64 features, 8 hidden units in 4 groups, 10 classes.
+_NET = (
+    "n1 AS (SELECT CAST(f.range AS INT) AS f, CAST(h.range AS INT) AS h, sin(f.range * 1.7 + h.range * 2.3) * (1 + h.range / 8.0::DOUBLE) AS w FROM range(64) f, range(8) h),"
+    " n2 AS (SELECT CAST(h.range AS INT) AS h, avg(abs(cos(h.range * 0.9 + c.range * 1.3))) AS u FROM range(8) h, range(10) c GROUP BY 1),"
+    " rv AS (SELECT h % 4 AS g, f, round(sum(abs(w) * u), 12) AS r FROM n1 JOIN n2 USING (h) GROUP BY 1, 2),"
+    " gm AS (SELECT g, f FROM rv QUALIFY row_number() OVER (PARTITION BY g ORDER BY r DESC, f) <= 16),"
+    " gs AS (SELECT g, sum(r) / (SELECT sum(r) FROM rv) AS share FROM rv GROUP BY 1)"
+)
+
+
+@query(f"{_Z}, {_NET}, z AS (SELECT sample, p.d, cos(sum(v * w)) * sqrt(any_value(gs.share)) AS c FROM l JOIN p ON l.d = p.f JOIN gm ON gm.f = p.f AND gm.g = p.d // 8 JOIN gs ON gs.g = gm.g GROUP BY sample, p.d) {_ENC} (SELECT sample, d, c / (sqrt(sum(c * c) OVER (PARTITION BY sample)) + 1e-8) AS v FROM z)")
+def encode_learned_groups(spark, sf):
+    f, h, c = np.arange(64)[:, None], np.arange(8)[None, :], np.arange(10)[None, :]
+    groups, shares = encoders.group_relevance(np.sin(f * 1.7 + h * 2.3) * (1 + h / 8), np.cos(h.T * 0.9 + c * 1.3), 4, 16)
+    return cells(encoders.encode_block(vectors(spark, sf), weights(spark), groups, shares=shares), ["sample"], "h")
 
 
 # --- similarity and one-step learning ---
@@ -891,6 +908,15 @@ def sign_canonical(spark, sf):
     return means.mapInArrow(turn, "client int, y int, turn int, at int")
 
 
+@query(f"WITH {L}, c AS (SELECT d, v, sample FROM l WHERE d < 3), g AS (SELECT sum(x.v * x.v) FILTER (WHERE x.d = 0) AS a, sum(x.v * x.v) FILTER (WHERE x.d = 1) AS b FROM c x), o AS (SELECT sum(x.v * y.v) AS o FROM c x JOIN c y USING (sample) WHERE x.d = 0 AND y.d = 1), e AS (SELECT (a + b) / 2 AS m, sqrt(((a - b) / 2) ** 2 + o ** 2) AS r FROM g, o) SELECT 0 AS r, round(sqrt(m + r), 6) + 0.0 AS value FROM e UNION ALL SELECT 1, round(sqrt(greatest(m - r, 0)), 6) + 0.0 FROM e")
+def low_rank_vectors(spark, sf):
+    plane = vectors(spark, sf).select(F.slice("x", 1, 2).alias("w"))  # two dimensions, whose singular values have a closed form
+    values, basis = bases.right_vectors(plane, 2)
+    if np.abs(basis.T @ basis - np.eye(2)).max() > 1e-9:
+        raise ValueError("right vectors must be orthonormal")
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(values)], "r int, value double")
+
+
 @query()
 def effective_rank(spark, sf):
     own = bases.per_client(pr.class_means(vectors(spark, sf), ["client", "y"]), "client", "w", 2)

@@ -167,7 +167,7 @@ def _branch(name: str, rows: str, state: str, branch: str) -> list[str]:
     ]
 
 
-def _subspace_steps(n: int, start: str) -> tuple[list[str], list[str], list[str]]:
+def _subspace_steps(n: int, start: str, server: str = "gated") -> tuple[list[str], list[str], list[str]]:
     steps, out, accuracies = _bootstrap_steps(start), [], []
     for r in range(1, n + 1):
         was = f"s{r - 1}"
@@ -180,8 +180,10 @@ def _subspace_steps(n: int, start: str) -> tuple[list[str], list[str], list[str]
         steps += [
             f"x{r} AS (SELECT cn.client, cn.y, cn.n, coalesce(w.wrong, 0) AS wrong, 1 - greatest(least(1 - coalesce(w.wrong, 0) / greatest(cn.n, 1)::DOUBLE, 0.9::DOUBLE), 0.1::DOUBLE) AS gate FROM cn LEFT JOIN (SELECT client, y, count(*) AS wrong FROM q{r} WHERE pred <> y GROUP BY 1, 2) w USING (client, y))",
             f"c{r} AS (SELECT y, r, sum(n * v) / sum(n) AS cc FROM t{r} JOIN cn USING (client, y) WHERE r <= 6 GROUP BY 1, 2)",
-            f"s{r} AS (SELECT t.client, t.y, t.r, CASE WHEN t.r <= 6 THEN t.v + {RATE}::DOUBLE * x.gate * (c.cc - t.v) ELSE t.v END AS v, t.dv FROM t{r} t JOIN x{r} x ON x.client = t.client AND x.y = t.y LEFT JOIN c{r} c ON c.y = t.y AND c.r = t.r)",
+            f"{'o' if server == 'gated_unit' else 's'}{r} AS (SELECT t.client, t.y, t.r, CASE WHEN t.r <= 6 THEN {'c.cc' if server == 'replace' else f't.v + {RATE}::DOUBLE * x.gate * (c.cc - t.v)'} ELSE t.v END AS v, t.dv FROM t{r} t JOIN x{r} x ON x.client = t.client AND x.y = t.y LEFT JOIN c{r} c ON c.y = t.y AND c.r = t.r)",
         ]
+        if server == "gated_unit":
+            steps += [f"s{r} AS (SELECT client, y, r, CASE WHEN r <= 6 THEN {_unit('v', f'client, y, {_PART}')} ELSE v END AS v, dv FROM o{r})"]
         for b in ("fused", "shared", "personal"):
             steps += _branch(f"e{r}{b}", "zte", f"s{r}", b)
             accuracies.append(_macro(r, f"{b}_accuracy", f"e{r}{b}"))
@@ -195,8 +197,10 @@ def _subspace_steps(n: int, start: str) -> tuple[list[str], list[str], list[str]
     return steps, out, accuracies
 
 
-def _subspace_sql(n: int, start: str, only_last: bool = False) -> str:
-    steps, out, accuracies = _subspace_steps(n, start)
+def _subspace_sql(n: int, start: str, only_last: bool = False, server: str = "gated") -> str:
+    steps, out, accuracies = _subspace_steps(n, start, server)
+    if server != "gated":
+        return _with(*steps) + _report(accuracies)
     return _with(*steps) + (_report(accuracies[-3:]) if only_last else _report(accuracies + out))
 
 
@@ -222,6 +226,21 @@ def subspace_rounds_difference(spark, sf):
     return told(rounds.subspace(samples, s, boot).history)
 
 
+def _accuracies(spark, sf, **settings) -> DataFrame:
+    samples, s, boot = fixed_bootstrap(spark, sf, **settings)
+    return told(rounds.subspace(samples, s, boot).history.where("metric LIKE '%accuracy'"))
+
+
+@query(_subspace_sql(2, "difference", server="replace"))
+def subspace_rounds_replace(spark, sf):
+    return _accuracies(spark, sf, change_start="difference", server="replace")
+
+
+@query(_subspace_sql(2, "difference", server="gated_unit"))
+def subspace_rounds_unit(spark, sf):
+    return _accuracies(spark, sf, change_start="difference", server="gated_unit")
+
+
 @query(_subspace_sql(2, "zero", only_last=True))
 def replay_snapshots(spark, sf):
     samples, s, boot = fixed_bootstrap(spark, sf)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gzip
-import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,17 +44,52 @@ def images(spark: SparkSession, pictures: str, labels: str) -> DataFrame:
     return x.select("row", "x").join(y.select("row", F.col("x")[0].cast("int").alias("y")), "row").select(F.col("row").alias("sample"), "y", "x")
 
 
+# Fixed values of MATLAB 5 files: number types of data elements, and the elements that hold others.
+_MAT = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+_MATRIX, _COMPRESSED = 14, 15
+#: Classes of arrays of numbers; others (text, cells, structures, sparse ones) are passed over.
+_NUMBERS = range(6, 16)
+
+
+def _elements(raw: bytes, order: str) -> Iterator[tuple[int, bytes]]:
+    """Data elements one after the other: type and content.  Small ones carry up to four bytes in their tag."""
+    at = 0
+    while at + 8 <= len(raw):
+        kind, size = struct.unpack_from(f"{order}II", raw, at)
+        if kind >> 16:
+            yield kind & 0xFFFF, raw[at + 4 : at + 4 + (kind >> 16)]
+            at += 8
+        else:
+            yield kind, raw[at + 8 : at + 8 + size]
+            at += 8 + size + (-size % 8 if kind != _COMPRESSED else 0)
+
+
+def decode_mat(content: bytes) -> dict[str, np.ndarray]:
+    """The arrays of real numbers in a MATLAB 5 file by name; parts may be compressed."""
+    order = "<" if content[126:128] == b"IM" else ">"
+    out = {}
+    for kind, data in _elements(content[128:], order):
+        for inner, body in _elements(zlib.decompress(data), order) if kind == _COMPRESSED else [(kind, data)]:
+            parts = list(_elements(body, order)) if inner == _MATRIX else []
+            if len(parts) < 4 or parts[0][1][0 if order == "<" else 3] not in _NUMBERS:
+                continue
+            shape = np.frombuffer(parts[1][1], f"{order}i4")
+            values = np.frombuffer(parts[3][1], order + _MAT[parts[3][0]])
+            out[parts[2][1].decode()] = values.reshape(tuple(shape), order="F")
+    return out
+
+
 def mat_rows(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """Rows of the named matrices of MATLAB files side by side: file, row, x.  Needs scipy on the executors."""
+    """Rows of the named matrices of MATLAB files side by side: file, row, x."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from scipy.io import loadmat
-
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                held = loadmat(io.BytesIO(content))
-                flat = np.hstack([np.asarray(held[f], np.float64).reshape(len(held[f]), -1) for f in fields])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(flat), pa.string()), pa.array(range(len(flat)), pa.int64()), pa.array(list(flat), pa.list_(pa.float64()))], ["file", "row", "x"])
+                held = decode_mat(content)
+                flat = np.hstack([held[f].astype(np.float64).reshape(len(held[f]), -1) for f in fields])
+                for low in range(0, len(flat), 4096):
+                    part = flat[low : low + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(range(low, low + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], ["file", "row", "x"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "file string, row bigint, x array<double>")
 
