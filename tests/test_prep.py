@@ -110,3 +110,10 @@ def test_cap_total_shares_the_budget(spark):
     assert prep.cap_total(df, "client", "y", "sample", 75, 30, 1).count() == 75
     cut = {r.client: r["count"] for r in prep.cap_total(df, "client", "y", "sample", 74, 30, 1).groupBy("client").count().collect()}
     assert cut == {0: 20, 1: 8, 2: 2}
+
+
+def test_caps_take_any_column_names(spark):
+    df = spark.createDataFrame([("a", i % 2, i, "mine", 7) for i in range(20)], "client string, y int, id int, quota string, place int").withColumn("_rank", F.lit("r"))
+    got = prep.stratified_cap(df, "client", "y", "id", 6, 1)
+    assert got.columns == df.columns or sorted(got.columns) == sorted(df.columns)
+    assert got.count() == 6 and {(r.quota, r.place, r._rank) for r in got.collect()} == {("mine", 7, "r")}

@@ -40,7 +40,7 @@ def l2_normalise(df: DataFrame, x: str = "x", mode: str = "unit") -> DataFrame:
 
 def _with_moments(df: DataFrame, stats: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
     """Rows with the moments of their key in one column of its own name; null without any."""
-    (held,) = slices._fresh(df, "moments")
+    (held,) = slices.fresh(df, "moments")
     names = [f"{held}_{i}" for i in range(len(keys))]
     packed = stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.arrays_zip("n", "mean", "variance").alias(held))
     same = F.lit(True)
@@ -99,19 +99,21 @@ def stratified_cap(df: DataFrame, client: str, label: str, key: str, most: int |
     turns follow from ranks of the (class, step) pairs, one row per unit to move,
     so no loop runs on the driver.
     """
-    counts = df.groupBy(client, label).agg(F.count("*").alias("n"), (F.max(most) if isinstance(most, str) else F.lit(most)).alias("most"))
-    most = F.col("most")
-    w = Window.partitionBy(client)
-    quota = counts.withColumn("total", F.sum("n").over(w)).withColumn("q", F.when(F.col("total") <= most, F.col("n")).otherwise(F.least(F.greatest(F.floor(F.col("n") * most / F.col("total")), F.lit(1)), F.col("n"))))
-    gap = quota.withColumn("gap", F.least(most, F.col("total")) - F.sum("q").over(w))
+    limit = (F.max(most) if isinstance(most, str) else F.lit(most)).alias("most")
+    counts = df.groupBy(F.col(client).alias("client"), F.col(label).alias("label")).agg(F.count("*").alias("n"), limit)
+    most_ = F.col("most")
+    w = Window.partitionBy("client")
+    quota = counts.withColumn("total", F.sum("n").over(w)).withColumn("q", F.when(F.col("total") <= most_, F.col("n")).otherwise(F.least(F.greatest(F.floor(F.col("n") * most_ / F.col("total")), F.lit(1)), F.col("n"))))
+    gap = quota.withColumn("gap", F.least(most_, F.col("total")) - F.sum("q").over(w))
     units = F.when(F.col("gap") < 0, F.col("q")).when(F.col("gap") > 0, F.col("n") - F.col("q")).otherwise(0)
     steps = gap.withColumn("u", F.explode(F.sequence(F.lit(0), F.greatest(F.least(units, F.abs("gap")), F.lit(0)))))
     level = F.when(F.col("gap") < 0, F.col("q") - F.col("u") + 1).otherwise(F.col("n") - F.col("q") - F.col("u") + 1)
-    turn = F.row_number().over(w.orderBy(F.desc(F.when(F.col("u") > 0, level).otherwise(-1)), label))
-    moved = steps.withColumn("turn", turn).groupBy(client, label, "q", "gap").agg(F.count_if((F.col("u") > 0) & (F.col("turn") <= F.abs("gap"))).alias("m"))
-    final = moved.select(client, label, (F.col("q") + F.signum("gap") * F.col("m")).alias("quota"))
+    turn = F.row_number().over(w.orderBy(F.desc(F.when(F.col("u") > 0, level).otherwise(-1)), "label"))
+    moved = steps.withColumn("turn", turn).groupBy("client", "label", "q", "gap").agg(F.count_if((F.col("u") > 0) & (F.col("turn") <= F.abs("gap"))).alias("m"))
+    place, allowed = fresh_ = slices.fresh(df, "place", "allowed")
+    final = moved.select(F.col("client").alias(client), F.col("label").alias(label), (F.col("q") + F.signum("gap") * F.col("m")).alias(allowed))
     rank = F.row_number().over(Window.partitionBy(client, label).orderBy(rng.digest(seed, F.col(key)), key))
-    return df.withColumn("_rank", rank).join(final, [client, label]).where("_rank <= quota").drop("_rank", "quota")
+    return df.withColumn(place, rank).join(final, [client, label]).where(F.col(place) <= F.col(allowed)).drop(*fresh_)
 
 
 def allocate_budget(sizes: DataFrame, size: str, budget: int, key: str) -> DataFrame:
@@ -195,7 +197,7 @@ def downsample(df: DataFrame, key: str, order: list[str], seconds: Column, targe
 
     Steps are taken inside blocks of rows, medians by the rank of the steps.
     """
-    dt, place, half, named = slices._fresh(df, "dt", "place", "half", "named")
+    dt, place, half, named = slices.fresh(df, "dt", "place", "half", "named")
     steps = settle(slices.lagged(df, [key], order, seconds, dt, place).withColumn(dt, seconds - F.col(dt)), "steps")
     typical = slices.quantiles(steps.where(F.col(dt) > 0), [key], dt, [0.5]).select(F.col(key).alias(named), F.col("q")[0].alias(half))
     k = F.greatest(F.coalesce(F.bround(target / F.col(half)), F.lit(1.0)), F.lit(1.0)).cast("bigint")

@@ -28,7 +28,7 @@ def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "place"
     The rows are written once in ranges of key and order, which fixes the slices.
     Nulls come first.  The result has one row per row of df.
     """
-    slice_, number, count, before = _fresh(df, "slice", "number", "count", "before")
+    slice_, number, count, before = fresh(df, "slice", "number", "count", "before")
     dealt = settle(df.repartitionByRange(*key, *order).withColumn(slice_, F.spark_partition_id()), "slices")
     counts = dealt.groupBy(*key, slice_).agg(F.count("*").alias(count))
     earlier = Window.partitionBy(*key).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice of a key
@@ -55,7 +55,7 @@ def blocks(placed: DataFrame, place: str, size: int, ahead: int = 0, behind: int
         homes.append(F.when((inner < ahead) & (at > 0), F.struct((at - 1).alias("b"), F.lit(False).alias("o"))))
     if behind:
         homes.append(F.when(inner >= size - behind, F.struct((at + 1).alias("b"), F.lit(False).alias("o"))))
-    (home,) = _fresh(placed, "home")
+    (home,) = fresh(placed, "home")
     each = placed.withColumn(home, F.explode(F.array_compact(F.array(*homes))))
     return each.select(*placed.columns, F.col(f"{home}.b").alias(out), F.col(f"{home}.o").alias(own))
 
@@ -66,7 +66,7 @@ def carried(df: DataFrame, key: list[str], order: list[str], value: str, last: s
     Inside a block both come from windows; what lies beyond comes from the blocks'
     own first and last values, one row per block.
     """
-    place, block, own, low, high = _fresh(df, "place", "block", "own", "low", "high")
+    place, block, own, low, high = fresh(df, "place", "block", "own", "low", "high")
     rows = settle(blocks(ordinals(df, key, order, place), place, size, out=block, own=own).drop(own), "blocks")
     inside = Window.partitionBy(*key, block).orderBy(place)
     ends = rows.groupBy(*key, block).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(place))).alias(high), F.min_by(value, F.when(F.col(value).isNotNull(), F.col(place))).alias(low))
@@ -93,7 +93,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -
     Null and NaN values are passed over; a key without a value has no row.  No
     group's values meet in one task.
     """
-    place, count, low = _fresh(df.select(*keys, value), "place", "count", "low")
+    place, count, low = fresh(df.select(*keys, value), "place", "count", "low")
     real = df.select(*keys, F.col(value).cast("double").alias(low)).where(F.col(low).isNotNull() & ~F.isnan(low))
     placed = ordinals(real, keys, [low], place)
     sizes = settle(placed.groupBy(*keys).agg(F.count("*").alias(count)), "sizes") if keys else placed.agg(F.count("*").alias(count)).where(F.col(count) > 0)
@@ -171,7 +171,7 @@ def moments(df: DataFrame, keys: list[str], x: str, skip_nan: bool = False) -> D
     return parts.groupBy(*keys).applyInArrow(merge, schema)
 
 
-def _fresh(df: DataFrame, *names: str) -> list[str]:
+def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, whatever their case."""
     taken = {c.lower() for c in df.columns}
     out = []
@@ -223,7 +223,7 @@ def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
 
 def lagged(df: DataFrame, key: list[str], order: list[str], value: Column, out: str, place: str, size: int = BLOCK) -> DataFrame:
     """Adds each row's place and the value of the row before it of its key, null for the first."""
-    at, block, own = _fresh(df, "at", "block", "own")
+    at, block, own = fresh(df, "at", "block", "own")
     cut = blocks(ordinals(df, key, order, at), at, size, behind=1, out=block, own=own)
     before = F.lag(value).over(Window.partitionBy(*key, block).orderBy(at))
     return cut.withColumn(out, before).where(own).select(*df.columns, F.col(at).alias(place), out)

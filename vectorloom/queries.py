@@ -917,6 +917,40 @@ def low_rank_vectors(spark, sf):
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(values)], "r int, value double")
 
 
+def _plane(spark: SparkSession, sf: str) -> DataFrame:
+    """Class means of clients in the first two dimensions, where eigenvectors have a closed form."""
+    return pr.class_means(vectors(spark, sf), ["client", "y"]).withColumn("w", F.slice("w", 1, 2))
+
+
+def _plane_sql(keys: str) -> str:
+    """Direction, largest eigenvalue and trace of the means in the plane, per key; the larger entry of the direction is positive."""
+    return (
+        f"WITH {M}, xy AS (SELECT client, y, max(v) FILTER (WHERE d = 0) AS x0, max(v) FILTER (WHERE d = 1) AS x1 FROM m GROUP BY 1, 2),"
+        f" g AS (SELECT {keys} AS key, sum(x0 * x0) AS a, sum(x1 * x1) AS b, sum(x0 * x1) AS o FROM xy GROUP BY 1),"
+        " e AS (SELECT key, 0.5 * atan2(2 * o, a - b) AS t, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + o ** 2) AS top, a + b AS total FROM g),"
+        " k AS (SELECT *, CASE WHEN CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN cos(t) ELSE sin(t) END < 0 THEN -1 ELSE 1 END AS turn FROM e)"
+    )
+
+
+@query(_plane_sql("0") + " SELECT client, y, round(turn * (x0 * cos(t) + x1 * sin(t)), 6) + 0.0 AS z, round(top / total, 6) + 0.0 AS energy FROM xy, k")
+def plane_shared_basis(spark, sf):
+    protos = _plane(spark, sf)
+    common, _, energy = bases.shared_basis(protos, 1, 0)
+    return bases.project(protos, common, "w", "z").select("client", "y", r6(F.col("z")[0]).alias("z"), F.lit(round(energy, 6) + 0.0).alias("energy"))
+
+
+@query(_plane_sql("client") + " SELECT key AS client, round(total / top, 6) + 0.0 AS effective_rank, round(turn * cos(t), 6) + 0.0 AS b0, round(turn * sin(t), 6) + 0.0 AS b1 FROM k")
+def plane_personal_basis(spark, sf):
+    own = bases.per_client(_plane(spark, sf), "client", "w", 1)
+    return own.select("client", r6("effective_rank").alias("effective_rank"), r6(F.col("b")[0]).alias("b0"), r6(F.col("b")[1]).alias("b1"))
+
+
+@query(_plane_sql("client") + " SELECT i.key AS i, j.key AS j, round(degrees(acos(least(abs(cos(i.t - j.t)), 1))), 4) + 0.0 AS degrees FROM k i JOIN k j ON i.key < j.key")
+def plane_angles(spark, sf):
+    own = bases.per_client(_plane(spark, sf), "client", "w", 1)
+    return bases.client_angles(own).select("i", "j", (F.round("degrees", 4) + 0.0).alias("degrees"))
+
+
 @query()
 def effective_rank(spark, sf):
     own = bases.per_client(pr.class_means(vectors(spark, sf), ["client", "y"]), "client", "w", 2)
