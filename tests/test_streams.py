@@ -35,6 +35,17 @@ def test_stored_samples_are_not_shuffled_again(spark, samples):
     assert "explode" not in text
     cells = lambda df: sorted((r.client, r.y, r.errors, *np.round(r.w, 9)) for r in df.collect())
     assert cells(stored) == cells(tr.local(train, state, "client", learner, 8, 2, 3))
+    some = held.rows.join(train.select("client").distinct().where("client < 2"), "client", "left_semi")
+    text = plan(tr.local(some, state, "client", learner, 8, buckets=held.buckets))
+    assert text.count("Bucketed: true") == 1 and not re.search(r"Exchange[^\n]*\n[^\n]*(Project|FileScan)[^\n]*\bh#\d+[^\n]*Bucketed", text)
+    assert len(re.findall(r"Exchange hashpartitioning\(client#\d+, \d+\), REPARTITION_BY_NUM", text)) == 1
+    wide_keys = tr.local(held.rows, state.withColumn("client", F.col("client").cast("bigint")), "client", learner, 8, 2, 3, buckets=held.buckets)
+    assert plan(wide_keys).count("Exchange") == 2  # keys of another type are turned, the rows stay
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    try:
+        assert cells(tr.local(held.rows, state, "client", learner, 8, 2, 3, buckets=held.buckets)) == cells(stored)
+    finally:
+        spark.conf.unset("spark.sql.unionOutputPartitioning")
     seen = pr.predict(held.rows, state, ["client"], "h", buckets=held.buckets)
     assert plan(seen).count("Exchange") == 1 and not re.search(r"Join", plan(seen))
     got, want = (sorted((r.client, r.sample, r.pred) for r in d.collect()) for d in (seen, pr.predict(train, state, ["client"], "h")))

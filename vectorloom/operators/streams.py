@@ -58,9 +58,11 @@ def beside(rows: DataFrame, state: DataFrame, by: list[str], work: Work, schema:
     stored in so many buckets of ``by``: then the state is dealt to them and the
     rows stay; otherwise both are shuffled by key once.  Keys without rows still run.
     """
+    if buckets and rows.sparkSession.conf.get("spark.sql.unionOutputPartitioning", "true") != "true":
+        buckets = None  # a union would not keep the buckets
     own = lambda df: [c for c in df.columns if c not in by]
     turns = [(c, f"_o{i}") for i, c in enumerate(order or [])]
-    head = state.select(*by, F.lit(0).alias("_kind"), F.struct(*own(state)).alias("_state"))
+    head = state.select(*[F.col(k).cast(rows.schema[k].dataType).alias(k) for k in by], F.lit(0).alias("_kind"), F.struct(*own(state)).alias("_state"))
     body = rows.select(*by, F.lit(1).alias("_kind"), F.struct(*own(rows)).alias("_row"), *[c.alias(n) for c, n in turns])
     head = head.repartition(buckets, *by) if buckets else head
     both = head.unionByName(body, allowMissingColumns=True)

@@ -479,24 +479,25 @@ def _counted(trained: DataFrame, train: DataFrame, state: DataFrame, s: Settings
     return full.select("client", "y", "n", "c", "g", "d", "p", F.coalesce("wrong", F.lit(0)).cast("bigint").alias("wrong"))
 
 
-def mixed(samples: DataFrame, s: Settings) -> Run:
+def mixed(samples: DataFrame, s: Settings, given: tuple[np.ndarray, DataFrame] | None = None) -> Run:
     """Rounds with unit coordinates of one shared basis and a personal one, mixed by a learned alpha.
 
     samples: client, sample, split (train, test, and val, or val is train), y, h.
     A client learns its shared and personal rows, then the alpha of the grid that
     predicts its validation rows best; the server's weighted mean of the shared
     rows, renormalised, replaces every participant's (``server="replace"``) or moves it.
+    ``given`` are a shared basis and personal ones to be used instead of fitted ones.
     """
     train, test = samples.where("split = 'train'"), samples.where("split = 'test'")
     val = samples.where("split = 'val'")
     chosen, book = _chosen(samples, s), _Book(samples, "mixed", s)
     rank = s.common_rank + s.global_rank
     memory = settle(pr.class_means(train, ["client", "y"], "h", "clamp"), "mixed-memory")
-    basis, _, _ = bases.shared_basis(memory, rank, 0)
+    basis = bases.shared_basis(memory, rank, 0)[0] if given is None else given[0]
     counts = train.groupBy("client", "y").agg(F.count("*").alias("n"))
     shared = bases.project(memory, basis, "w", "s")
     residual = settle(encoders.multiply(shared, basis.T, "s", "_a").withColumn("res", F.zip_with("w", "_a", lambda a, b: a - b)).drop("_a"), "mixed-residual")
-    personal = settle(bases.per_client(residual, "client", "res", s.personal_rank, basis), "mixed-personal")
+    personal = settle(bases.per_client(residual, "client", "res", s.personal_rank, basis), "mixed-personal") if given is None else given[1]
     state = residual.join(_packed(personal), "client").join(counts, ["client", "y"])
     state = settle(state.select("client", "y", "n", normalise("s", "plus").alias("s"), normalise(_along("res"), "plus").alias("p"), F.array(F.lit(0.5)).alias("alpha"), F.lit(0).cast("bigint").alias("wrong")), "mixed-state")
     zero = np.zeros((len(basis), 0))

@@ -347,6 +347,52 @@ def subspace_rounds(spark, sf):
     return rounds.subspace(round_samples(spark, sf), rounds.Settings(**{**_SETTINGS.__dict__, "batch": 16})).history
 
 
+def _mixed_scores(name: str, rows: str, state: str) -> str:
+    """Cosines of every sample and class of its client in both bases: s and p."""
+    cos = "round(sum(x.v * m.v) FILTER (WHERE {0}) / (greatest(sqrt(sum(x.v * x.v) FILTER (WHERE {0})), 1e-8) * greatest(sqrt(sum(m.v * m.v) FILTER (WHERE {0})), 1e-8)), 9)"
+    return f"{name} AS (SELECT x.client, x.sample, x.y, m.y AS k, {cos.format('m.r <= 6')} AS s, {cos.format('m.r > 6')} AS p FROM {rows} x JOIN {state} m ON m.client = x.client AND m.r = x.d GROUP BY 1, 2, 3, 4)"
+
+
+def _best(name: str, scores: str, value: str, alphas: str = "") -> str:
+    return f"{name} AS (SELECT x.client, x.sample, x.y, x.k AS pred FROM {scores} x {alphas} QUALIFY row_number() OVER (PARTITION BY x.sample ORDER BY round({value}, 9) DESC, x.k) = 1)"
+
+
+def _mixed_sql(n: int) -> str:
+    """Rounds with unit coordinates in Walsh bases and a mixing weight per client, the server's means replacing."""
+    part = "r <= 6"
+    steps = [
+        *_bootstrap_steps("zero"),
+        f"a0 AS (SELECT client, y, r, {_unit('t', f'client, y, {part}')} AS v FROM (SELECT client, y, r, sum(w * b) AS t FROM me JOIN wb USING (d) GROUP BY 1, 2, 3))",
+        "al0 AS (SELECT DISTINCT client, 0.5::DOUBLE AS a FROM tr)",
+        f"zu AS (SELECT client, sample, y, d, {_unit('v', 'sample, d <= 6')} AS v FROM ztr)",
+    ]
+    out = []
+    for i in range(1, n + 1):
+        fused = lambda al: ("a.a * x.s + (1 - a.a) * x.p", f"JOIN {al} a USING (client)")
+        steps += [
+            _mixed_scores(f"c{i}", "zu", f"a{i - 1}"), _best(f"p{i}", f"c{i}", *fused(f"al{i - 1}")), _moves(f"u{i}", f"p{i}", "zu"),
+            f"w{i} AS (SELECT a.client, a.y, a.r, a.v AS old, a.v + CASE WHEN a.r <= 6 THEN {RATE}::DOUBLE ELSE {OWN_RATE}::DOUBLE END * coalesce(u.u, 0) AS v, a.client IN (SELECT client FROM p{i} WHERE pred <> y) AS erred FROM a{i - 1} a LEFT JOIN u{i} u ON u.client = a.client AND u.y = a.y AND u.d = a.r)",
+            f"t{i} AS (SELECT client, y, r, CASE WHEN erred THEN {_unit('v', f'client, y, {part}')} ELSE old END AS v FROM w{i})",
+            _mixed_scores(f"g{i}", "ztr", f"t{i}"),
+            f"h{i} AS (SELECT x.client, x.y, x.k, b.i, b.a FROM g{i} x CROSS JOIN (SELECT range AS i, range * 0.25::DOUBLE AS a FROM range(5)) b QUALIFY row_number() OVER (PARTITION BY x.sample, b.i ORDER BY round(b.a * x.s + (1 - b.a) * x.p, 9) DESC, x.k) = 1)",
+            f"al{i} AS (SELECT client, a FROM (SELECT client, i, a, avg(CASE WHEN k = y THEN 1.0::DOUBLE ELSE 0 END) AS acc FROM h{i} GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY client ORDER BY round(acc, 9) DESC, i) = 1)",
+            f"m{i} AS (SELECT y, r, {_unit('c', 'y')} AS v FROM (SELECT y, r, sum(n * v) / sum(n) AS c FROM t{i} JOIN cn USING (client, y) WHERE r <= 6 GROUP BY 1, 2))",
+            f"a{i} AS (SELECT t.client, t.y, t.r, CASE WHEN t.r <= 6 THEN m.v ELSE t.v END AS v FROM t{i} t LEFT JOIN m{i} m USING (y, r))",
+            _mixed_scores(f"e{i}", "zte", f"a{i}"), _best(f"ef{i}", f"e{i}", *fused(f"al{i}")), _best(f"es{i}", f"e{i}", "x.s"), _best(f"ep{i}", f"e{i}", "x.p"),
+        ]
+        out += [_macro(i, f"{b}_accuracy", f"e{b[0]}{i}") for b in ("fused", "shared", "personal")] + [f"SELECT {i}, 'mean_alpha', avg(a) FROM al{i}"]
+    return _with(*steps) + _report(out)
+
+
+@query(_mixed_sql(2))
+def mixed_rounds_fixed(spark, sf):
+    samples = round_samples(spark, sf)
+    common, extra, personal = fixed_bases(spark, samples)
+    s = rounds.Settings(**{**_SETTINGS.__dict__, "server": "replace"})
+    history = rounds.mixed(samples, s, (np.hstack([common, extra]), personal)).history
+    return told(history.where("metric LIKE '%accuracy' OR metric = 'mean_alpha'"))
+
+
 @query()
 def mixed_rounds(spark, sf):
     return rounds.mixed(round_samples(spark, sf), rounds.Settings(**{**_SETTINGS.__dict__, "batch": 16, "server": "replace"})).history
