@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom import sinks
-from vectorloom.sources import Spec, binary, cached, load, load_specs, nested, text
+from vectorloom.sources import Spec, archive, binary, cached, load, load_specs, nested, text
 from vectorloom.streaming import running_means
 
 
@@ -49,6 +49,25 @@ def test_watch_series_in_an_archive(spark, tmp_path):
     assert [(r.client, r.y, list(r.x)) for r in rows] == [("user_1", 0, [0.1, 0.2, 0.3]), ("user_1", 1, [1.0, 2.0, 3.0])]
 
 
+def test_archive_members_are_read_in_ranges(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    texts = {f"raw/m{i}.txt": ["é" * int(n) + str(k) for k, n in enumerate(draw.integers(0, 40, 200))] for i in range(2)}
+    for kind, name in ((zipfile.ZIP_DEFLATED, "a.zip"), (zipfile.ZIP_STORED, "b.zip")):
+        with zipfile.ZipFile(tmp_path / name, "w", kind) as z:
+            for member, lines_ in texts.items():
+                z.writestr(member, "\r\n".join(lines_) if name == "b.zip" else "\n".join(lines_) + "\n")
+            z.writestr("raw/other.csv", "no")
+            z.writestr("raw/m9.txt", "")
+    want = sorted((m, i, v) for m, own in texts.items() for i, v in enumerate(own))
+    for size in (37, 1000, 1 << 20):
+        for where in ("a.zip", "b.zip"):
+            got = archive.archive_lines(spark, str(tmp_path / where), "raw/m", size)
+            assert sorted((r.member, r.line, r.value) for r in got.collect()) == want
+    whole = archive.archive_lines(spark, str(tmp_path / "a.zip"))
+    assert whole.rdd.getNumPartitions() == 2  # one per member
+    assert archive.archive_lines(spark, str(tmp_path / "*.zip")).count() == 2 * len(want) == archive.archive_lines(spark, str(tmp_path)).count()
+
+
 def test_phone_events_drop_rows_without_class(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Index,Arrival_Time,x,y,z,User,Device,gt\n0,1000,1,2,3,a,d,walk\n1,2000,1,2,3,a,d,null\n2,,1,2,3,a,d,sit\n")
     assert [(r.user, r.sec, r.gt) for r in text.phone_events(spark, str(tmp_path / "p.csv")).collect()] == [("a", 1.0, "walk")]

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.operators import prep
 from vectorloom.operators.relational import ordinals
+from vectorloom.sources.archive import archive_lines
 
 
 def _numbers(parts: Column) -> Column:
@@ -76,37 +72,10 @@ def phone_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("User").alias("user"), F.col("Device").alias("device"), (F.col("Arrival_Time").cast("double") / 1000).alias("sec"), F.array(*[F.col(c).cast("double") for c in "xyz"]).alias("x"), "gt")
 
 
-def zipped_lines(spark: SparkSession, path: str, member: str = "") -> DataFrame:
-    """Lines of the text members of ZIP archives: archive, member, line, value; one archive per task at a time."""
-
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for inner in sorted(archive.namelist()):
-                        if inner.endswith(".txt") and member in inner:
-                            with archive.open(inner) as f:
-                                held: list[str] = []
-                                start = 0
-                                for line in io.TextIOWrapper(f, "utf-8", "replace"):
-                                    held.append(line.rstrip("\n"))
-                                    if len(held) == 50_000:
-                                        yield _lines(name, inner, start, held)
-                                        start, held = start + len(held), []
-                                yield _lines(name, inner, start, held)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unzip, "archive string, member string, line bigint, value string")
-
-
-def _lines(archive: str, member: str, start: int, held: list[str]) -> pa.RecordBatch:
-    n = len(held)
-    return pa.RecordBatch.from_arrays([pa.array([archive] * n, pa.string()), pa.array([member] * n, pa.string()), pa.array(range(start, start + n), pa.int64()), pa.array(held, pa.string())], ["archive", "member", "line", "value"])
-
-
 def watch_series(spark: SparkSession, path: str, modality: str = "phone/accel") -> DataFrame:
     """Lines ``id,label,time,x,y,z;`` in an archive; broken lines go, labels count by first sight."""
     p = F.split(F.rtrim(F.rtrim("value"), F.lit(";")), ",")
-    rows = zipped_lines(spark, path, modality).select("member", "line", p.alias("p")).where(F.size("p") >= 6)
+    rows = archive_lines(spark, path, modality).select("member", "line", p.alias("p")).where(F.size("p") >= 6)
     typed = rows.select(F.concat(F.lit("user_"), F.btrim(F.col("p")[0])).alias("client"), F.struct("member", "line").alias("order"), F.btrim(F.col("p")[1]).alias("label"), F.col("p")[2].try_cast("bigint").alias("time"), _numbers(F.slice("p", 4, 3)).alias("x"))
     good = typed.where(~F.exists("x", lambda a: a.isNull()))
     return prep.first_seen_labels(good, "order", "label", "y").select("client", F.xxhash64("order").alias("sample"), "time", "y", "x")
