@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectorloom.llm.bytehash import buffers
+from vectorloom.llm.bytehash import Prefix, buffers
 from vectorloom.llm.common import chunks, lean_workers, materialise
 
 #: Distinct id pairs up to which their counts are broadcast (16 bytes each); beyond, links join them by a shuffle.
@@ -30,8 +30,8 @@ BROADCAST_PAIRS = 2_000_000
 CHUNK_BYTES = 1 << 21
 #: Products are taken in blocks of rows that expand to so many entries.
 BLOCK = 1 << 22
-#: Words whose tokens a Python worker remembers, none longer than so many bytes.
-KNOWN_WORDS, KNOWN_BYTES = 1 << 17, 64
+#: Words, and bytes of words, beyond which a Python worker forgets those it has aligned.
+KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 1 << 25
 #: Pattern that a byte-level tokenizer splits text by before it merges (a fixed value of its files).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARK = "▁"
@@ -102,8 +102,8 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def groups_of(row: np.ndarray, col: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
     """Group of every token of a and of b: tokens that overlap links join are in one group."""
-    first = np.searchsorted(row, np.arange(n_a))
-    last = np.searchsorted(row, np.arange(n_a), side="right") - 1
+    first = np.flatnonzero(np.diff(row, prepend=-1))  # every token has a byte, so every row has a link
+    last = np.append(first[1:], len(row)) - 1
     new = np.ones(n_a, bool)
     new[1:] = col[first[1:]] != col[last[:-1]]  # both cuts end here
     a = np.cumsum(new) - 1
@@ -131,16 +131,6 @@ class Cut(NamedTuple):
     sizes: np.ndarray
 
 
-def picked(cut: Cut, at: np.ndarray) -> Cut:
-    """The texts at these places, in this order."""
-    first = np.cumsum(cut.sizes) - cut.sizes
-    return Cut(cut.ids[ragged(first[at], cut.sizes[at])], cut.sizes[at])
-
-
-def joined(x: Cut, y: Cut) -> Cut:
-    return Cut(np.concatenate([x.ids, y.ids]), np.concatenate([x.sizes, y.sizes]))
-
-
 class Tokenizer(NamedTuple):
     """encode(texts) cuts texts that begin with a space; ``bytes_`` of id i are ``data[at[i]:at[i + 1]]``.
 
@@ -196,11 +186,19 @@ def byte_level(raw: bytes) -> Tokenizer:
         data, at = _table(tokens)
 
         def encode(texts: list[str]) -> Cut:
-            """Texts that end before white space can be cut in one go; the space of the next begins a token."""
-            alone = np.fromiter((t[-1:].isspace() or not t for t in texts), bool, len(texts))
-            together = [t for t, x in zip(texts, alone.tolist(), strict=True) if not x]
+            """Texts that end in a letter or mark can be cut in one go; the space of the next begins a token."""
+            raw = pa.array(texts, pa.large_string())
+            letters, begin = buffers(raw)
+            last = letters[np.maximum(begin[1:] - 1, 0)] if len(letters) else np.zeros(len(texts), np.uint8)
+            alone = (last <= 0x20) | (begin[1:] == begin[:-1])
+            for i in np.flatnonzero(last >= 0x80).tolist():
+                alone[i] = texts[i][-1].isspace()
+            if alone.any():
+                together = [t for t, x in zip(texts, alone.tolist(), strict=True) if not x]
+            else:
+                together = texts
             ids = np.array(ranks.encode_ordinary("".join(together)), np.int64)
-            ends, wanted = np.cumsum(at[ids + 1] - at[ids]), np.cumsum([len(t.encode()) for t in together])
+            ends, wanted = np.cumsum(at[ids + 1] - at[ids]), np.cumsum(np.diff(begin)[~alone])
             upto = np.searchsorted(ends, wanted, side="right")
             if len(together) and not np.array_equal(np.concatenate([[0], ends])[upto], wanted):
                 return _flat([ranks.encode_ordinary(t) for t in texts])
@@ -242,18 +240,35 @@ READERS = {"byte_level": byte_level, "pieces": pieces}
 # --- words of a batch ---
 
 
+class Lexicon(NamedTuple):
+    """Distinct words with their alignment."""
+
+    words: pa.Array
+    good: np.ndarray  # joined tokens of both sides are the word's bytes; else all counts are 0
+    counts: np.ndarray  # words x (tokens of a, tokens of b, groups, overlap links)
+    first: np.ndarray  # first linked id pair of each word, and the total
+    pair: np.ndarray
+    times: np.ndarray  # how often the word links the pair
+    groups: pa.Array  # ids of a, a bar, ids of b, with semicolons between groups
+
+    def take(self, at: np.ndarray) -> Lexicon:
+        size = self.first[at + 1] - self.first[at]
+        pairs, where = ragged(self.first[at], size), pa.array(at)
+        return Lexicon(self.words.take(where), self.good[at], self.counts[at], np.concatenate([[0], np.cumsum(size)]), self.pair[pairs], self.times[pairs], self.groups.take(where))
+
+    def plus(self, other: Lexicon) -> Lexicon:
+        join = lambda x, y: pa.concat_arrays([x, y])
+        both = [np.concatenate([x, y]) for x, y in ((self.good, other.good), (self.counts, other.counts), (self.first[:-1], other.first + self.first[-1]), (self.pair, other.pair), (self.times, other.times))]
+        return Lexicon(join(self.words, other.words), *both, join(self.groups, other.groups))
+
+
 class Aligned(NamedTuple):
-    """Distinct words of a batch with their alignment, and the rows that hold them."""
+    """A batch of texts as words of a lexicon."""
 
     row: np.ndarray  # of every word in the batch, ascending
-    word: np.ndarray  # which distinct word it is
+    word: np.ndarray  # its place in the lexicon
     bad: np.ndarray  # per row: joined tokens differ from the text, or there is none
-    a: Cut
-    b: Cut
-    group_a: np.ndarray  # groups are numbered through all distinct words
-    group_b: np.ndarray
-    n_groups: np.ndarray  # per distinct word
-    n_overlaps: np.ndarray
+    lexicon: Lexicon
 
 
 def _segments(texts: pa.Array, split: bool) -> tuple[pa.Array, np.ndarray]:
@@ -296,102 +311,129 @@ def _bytes_agree(cut: Cut, t: Tokenizer, data: np.ndarray, length: np.ndarray) -
     return good
 
 
+def align_words(words: pa.Array, left: Tokenizer, right: Tokenizer, written: bool = True) -> Lexicon:
+    """Aligns distinct words: overlap product, groups from it, then the products of the groups; groups as text if wanted."""
+    strings = words.to_pylist()
+    data, at = buffers(words)
+    length = np.diff(at)
+    a, b = left.encode(strings), right.encode(strings)
+    good = _bytes_agree(a, left, data, length) & _bytes_agree(b, right, data, length)
+    keep = lambda c: Cut(c.ids[np.repeat(good, c.sizes)], np.where(good, c.sizes, 0))
+    a, b = keep(a), keep(b)
+    x, y, _ = overlaps(left.at[a.ids + 1] - left.at[a.ids], right.at[b.ids + 1] - right.at[b.ids])
+    group_a, group_b = groups_of(x, y, len(a.ids), len(b.ids))
+    n, owner = len(strings), np.repeat(np.arange(len(strings)), a.sizes)
+    new = np.flatnonzero(np.diff(group_a, prepend=-1))
+    counts = np.stack([a.sizes, b.sizes, np.bincount(owner[new], minlength=n), np.bincount(owner[x], minlength=n)], axis=1)
+    return Lexicon(words, good, counts, *word_pairs(a, b, group_a, group_b, right.at.size - 1), written_groups(a, b, group_a, group_b) if written else pa.nulls(n, pa.large_string()))
+
+
 class Memory:
-    """Tokens of words that came more than once, for later batches of the same Python worker; a bounded number of them."""
+    """The words that a Python worker has aligned, for its later batches; a bounded number of them.
 
-    def __init__(self) -> None:
-        none = np.zeros(0, np.int64)
-        self.words, self.a, self.b = pa.array([], pa.large_string()), Cut(none, none), Cut(none, none)
+    Words are found by a hash, in order, and then compared.
+    """
 
-    def encode(self, words: pa.Array, often: np.ndarray, left: Tokenizer, right: Tokenizer) -> tuple[Cut, Cut]:
-        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def __init__(self, written: bool = True) -> None:
+        none = np.zeros(0, np.int64)
+        self.written = written
+        self.known = Lexicon(pa.array([], pa.large_string()), np.zeros(0, bool), np.zeros((0, 4), np.int64), np.zeros(1, np.int64), none, none, pa.array([], pa.large_string()))
+        self.hashes, self.places = np.zeros(0, np.uint64), none
+
+    def align(self, words: pa.Array, left: Tokenizer, right: Tokenizer) -> Lexicon:
+        """The words' alignment in their order; only new ones are aligned."""
+        data, begin = buffers(words)
+        h, n = Prefix(data).slices(begin[:-1], begin[1:]), len(self.known.words)
+        at = np.full(len(words), -1, np.int64)
+        if n:
+            near = self.places[np.minimum(np.searchsorted(self.hashes, h), n - 1)]
+            at = np.where(pc.equal(words, self.known.words.take(pa.array(near))).to_numpy(zero_copy_only=False), near, -1)
         new = np.flatnonzero(at < 0)
-        at[new] = len(self.words) + np.arange(len(new))
-        fresh = words.take(pa.array(new))
-        strings = fresh.to_pylist()
-        a, b = left.encode(strings), right.encode(strings)
-        out = picked(joined(self.a, a), at), picked(joined(self.b, b), at)
-        short = pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= KNOWN_BYTES
-        keep = np.flatnonzero((often[new] > 1) & short)[: KNOWN_WORDS - len(self.words)]
-        if len(keep):
-            self.words = pa.concat_arrays([self.words, fresh.take(pa.array(keep))])
-            self.a, self.b = joined(self.a, picked(a, keep)), joined(self.b, picked(b, keep))
-        return out
+        at[new] = n + np.arange(len(new))
+        self.known = self.known.plus(align_words(words.take(pa.array(new)), left, right, self.written))
+        own = self.known.take(at)
+        if len(self.known.words) > KNOWN_WORDS or self.known.words.nbytes > KNOWN_BYTES:
+            self.known, self.places = own, np.argsort(h, kind="stable")  # words of the last batch come soonest again
+            self.hashes = h[self.places]
+        else:
+            order = np.argsort(h[new], kind="stable")
+            slot = np.searchsorted(self.hashes, h[new][order])
+            self.hashes, self.places = np.insert(self.hashes, slot, h[new][order]), np.insert(self.places, slot, at[new][order])
+        return own
 
 
-@lru_cache(maxsize=2)
-def memory(left: bytes, right: bytes) -> Memory:
-    return Memory()
+@lru_cache(maxsize=1)
+def memory(left: bytes, right: bytes, written: bool) -> Memory:
+    return Memory(written)
 
 
 def align_batch(texts: pa.Array, left: Tokenizer, right: Tokenizer, known: Memory) -> Aligned:
-    """Aligns the distinct words of a batch of texts: overlap product, then groups."""
+    """A batch of texts as words, aligned."""
     words, row = _segments(texts, left.by_word and right.by_word)
     coded = words.dictionary_encode()
-    distinct, word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    data, at = buffers(distinct)
-    length = np.diff(at)
-    a, b = known.encode(distinct, np.bincount(word, minlength=len(distinct)), left, right)
-    good = _bytes_agree(a, left, data, length) & _bytes_agree(b, right, data, length)
+    word = coded.indices.to_numpy().astype(np.int64)
+    held = known.align(coded.dictionary, left, right)
     bad = np.ones(len(texts), bool)
     bad[row] = False
-    bad[row[~good[word]]] = True
-    keep = lambda c: Cut(c.ids[np.repeat(good, c.sizes)], np.where(good, c.sizes, 0))
-    a, b = keep(a), keep(b)
-    x, y, _ = overlaps(left.at[a.ids + 1] - left.at[a.ids], right.at[b.ids + 1] - right.at[b.ids])
-    group_a, group_b = groups_of(x, y, len(a.ids), len(b.ids))
-    owner = np.repeat(np.arange(len(distinct)), a.sizes)
-    n_groups = np.bincount(owner[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=len(distinct)) if len(group_a) else np.zeros(len(distinct), np.int64)
-    return Aligned(row, word, bad, a, b, group_a, group_b, n_groups, np.bincount(owner[x], minlength=len(distinct)))
-
-
-def word_pairs(w: Aligned, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked id pairs of every distinct word: (first pair of each word, pair, how often)."""
-    owner = np.repeat(np.arange(len(w.a.sizes)), w.a.sizes)
-    held: tuple[np.ndarray, ...] | None = None
-    for x, y in group_links(w.group_a, w.group_b):
-        word, pair = owner[x], w.a.ids[x] * width + w.b.ids[y]
-        order = np.lexsort((pair, word))
-        word, pair = word[order], pair[order]
-        times = np.ones(len(word), np.int64)
-        if held is not None:
-            word, pair, times = (np.concatenate(z) for z in zip(held, (word, pair, times), strict=True))
-            order = np.lexsort((pair, word))
-            word, pair, times = word[order], pair[order], times[order]
-        new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])]))
-        held = word[new], pair[new], np.add.reduceat(times, new)
-    if held is None:
-        held = (np.zeros(0, np.int64),) * 3
-    return np.searchsorted(held[0], np.arange(len(w.a.sizes) + 1)), held[1], held[2]
-
-
-def row_pairs(w: Aligned, first: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked id pairs of every row that has tokens: (row, pair, how often), each once."""
-    use = ~w.bad[w.row]
-    n = len(w.a.sizes)
+    bad[row[~held.good[word]]] = True
+    return Aligned(row, word, bad, held)
+
+
+def word_pairs(a: Cut, b: Cut, group_a: np.ndarray, group_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked id pairs of every word: (first pair of each word, pair, how often)."""
+    owner, kinds = np.repeat(np.arange(len(a.sizes)), a.sizes), int(a.ids.max(initial=0) + 1) * width
+    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for x, y in group_links(group_a, group_b):
+        new, often = np.unique(owner[x] * kinds + a.ids[x] * width + b.ids[y], return_counts=True)
+        if len(keys):
+            new, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            often = np.bincount(back, weights=np.concatenate([times, often])).astype(np.int64)
+        keys, times = new, often
+    return np.searchsorted(keys, np.arange(len(a.sizes) + 1) * kinds), keys % max(kinds, 1), times
+
+
+def row_words(w: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of every row that has tokens: (row, word, how often)."""
+    use, n = ~w.bad[w.row], max(len(w.lexicon.good), 1)
     seen, often = np.unique(w.row[use] * n + w.word[use], return_counts=True)
-    word = seen % max(n, 1)
-    size = first[word + 1] - first[word]
-    at = ragged(first[word], size)
-    kinds, code = np.unique(pair, return_inverse=True)
-    key = np.repeat(seen // max(n, 1), size) * max(len(kinds), 1) + code[at]
-    kept, back = np.unique(key, return_inverse=True)
-    total = np.bincount(back, weights=times[at] * np.repeat(often, size), minlength=len(kept)).astype(np.int64)
-    return kept // max(len(kinds), 1), kinds[kept % max(len(kinds), 1)], total
-
-
-def written_groups(w: Aligned) -> pa.Array:
-    """Every distinct word's groups as text: ids of a, a bar, ids of b, with semicolons between groups."""
-    n_a, n_b = len(w.a.ids), len(w.b.ids)
-    place = np.concatenate([np.arange(n_a) + np.searchsorted(w.group_b, w.group_a), np.arange(n_b) + np.searchsorted(w.group_a, w.group_b, side="right")])
+    return seen // n, seen % n, often
+
+
+def row_pairs(w: Aligned, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked id pairs of every row that has tokens: (row, pair, how often), each once; pairs are below ``kinds``."""
+    row, word, often = row_words(w)
+    size = w.lexicon.first[word + 1] - w.lexicon.first[word]
+    at = ragged(w.lexicon.first[word], size)
+    kept, back = np.unique(np.repeat(row, size) * kinds + w.lexicon.pair[at], return_inverse=True)
+    total = np.bincount(back, weights=w.lexicon.times[at] * np.repeat(often, size), minlength=len(kept)).astype(np.int64)
+    return kept // kinds, kept % kinds, total
+
+
+def pair_counts(w: Aligned, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows every id pair is linked: (pair, rows)."""
+    row, word, _ = row_words(w)
+    size = w.lexicon.first[word + 1] - w.lexicon.first[word]
+    cells = np.repeat(row, size) * kinds + w.lexicon.pair[ragged(w.lexicon.first[word], size)]
+    cells.sort()
+    return np.unique(cells[np.flatnonzero(np.diff(cells, prepend=-1))] % kinds, return_counts=True)
+
+
+def written_groups(a: Cut, b: Cut, group_a: np.ndarray, group_b: np.ndarray) -> pa.Array:
+    """Every word's groups as text: ids of a, a bar, ids of b, with semicolons between groups."""
+    n_a, n_b = len(a.ids), len(b.ids)
+    groups = int(group_a[-1]) + 1 if n_a else 0
+    upto_a, upto_b = np.cumsum(np.bincount(group_a, minlength=groups)), np.bincount(group_b, minlength=groups)
+    place = np.concatenate([np.arange(n_a) + (np.cumsum(upto_b) - upto_b)[group_a], np.arange(n_b) + upto_a[group_b]])
     ids = np.empty(n_a + n_b, np.int64)
-    ids[place] = np.concatenate([w.a.ids, w.b.ids])
-    group, side = np.empty_like(ids), np.empty_like(ids)
-    group[place], side[place] = np.concatenate([w.group_a, w.group_b]), np.repeat([0, 1], [n_a, n_b])
+    ids[place] = np.concatenate([a.ids, b.ids])
+    side = np.empty_like(ids)
+    side[place] = np.repeat([0, 1], [n_a, n_b])
     after = np.full(len(ids), ord(","), np.uint8)
     after[:-1][side[1:] > side[:-1]] = ord("|")
     after[:-1][side[1:] < side[:-1]] = ord(";")
-    digits = np.searchsorted(10 ** np.arange(1, 12), ids, side="right") + 1
+    digits = np.ones(len(ids), np.int64)
+    for power in range(1, len(str(int(ids.max(initial=0))))):
+        digits += ids >= 10**power
     end = np.cumsum(digits + 1)
     text = np.empty(end[-1] if len(end) else 0, np.uint8)
     text[end - 1] = after
@@ -400,13 +442,13 @@ def written_groups(w: Aligned) -> pa.Array:
         has = digits > k
         text[end[has] - 2 - k] = left[has] % 10 + ord("0")
         left //= 10
-    first = np.concatenate([[0], np.cumsum(w.a.sizes + w.b.sizes)])
+    first = np.concatenate([[0], np.cumsum(a.sizes + b.sizes)])
     offsets = np.concatenate([[0], end])[first]
     last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
     keep = np.ones(len(text), bool)
     keep[last] = False  # no mark after a word's last token
     shift = np.concatenate([[0], np.cumsum(~keep)])
-    return pa.LargeStringArray.from_buffers(len(w.a.sizes), pa.py_buffer(offsets - shift[offsets]), pa.py_buffer(text[keep]))
+    return pa.LargeStringArray.from_buffers(len(a.sizes), pa.py_buffer(offsets - shift[offsets]), pa.py_buffer(text[keep]))
 
 
 # --- documents ---
@@ -439,10 +481,11 @@ def align(docs: DataFrame, left: tuple[str, bytes], right: tuple[str, bytes], br
     lean_workers(spark)
     files = spark.sparkContext.broadcast((left, right))  # two vocabulary files
     width = READERS[right[0]](right[1]).at.size - 1
+    kinds = (READERS[left[0]](left[1]).at.size - 1) * width
 
-    def load() -> tuple[Tokenizer, Tokenizer, Memory]:
+    def load(written: bool) -> tuple[Tokenizer, Tokenizer, Memory]:
         (first, a), (second, b) = files.value
-        return READERS[first](a), READERS[second](b), memory(a, b)
+        return READERS[first](a), READERS[second](b), memory(a, b, written)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -454,11 +497,9 @@ def align(docs: DataFrame, left: tuple[str, bytes], right: tuple[str, bytes], br
 
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
-                w = align_batch(part.column("text"), *load())
-                _, pair, _ = row_pairs(w, *word_pairs(w, width))
-                kinds, n = np.unique(pair, return_counts=True)
-                held.append((kinds, n))
-                size += len(kinds)
+                w = align_batch(part.column("text"), *load(False))
+                held.append(pair_counts(w, kinds))
+                size += len(held[-1][0])
                 if size > BLOCK:
                     held = [added()]
                     size = len(held[0][0])
@@ -474,8 +515,8 @@ def align(docs: DataFrame, left: tuple[str, bytes], right: tuple[str, bytes], br
     if pairs.count() <= broadcast_pairs:
         table = pairs.toPandas().sort_values("pair")
         known = spark.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["n"].to_numpy(np.int64)))  # at most broadcast_pairs rows
-        return _scored(docs, load, width, known).drop("_row", "_pairs")
-    rows = materialise(_scored(docs.withColumn("_row", F.monotonically_increasing_id()), load, width, None), "align-rows")
+        return _scored(docs, load, width, kinds, known).drop("_row", "_pairs")
+    rows = materialise(_scored(docs.withColumn("_row", F.monotonically_increasing_id()), load, width, kinds, None), "align-rows")
     best = pairs.withColumn("a", F.floor(F.col("pair") / width)).groupBy("a").agg(F.max("n").alias("top"))  # one row per id of the left vocabulary
     links = rows.select("_row", F.explode("_pairs").alias("p")).select("_row", "p.pair", "p.times").join(pairs, "pair")
     marked = links.join(F.broadcast(best), F.floor(F.col("pair") / width) == F.col("a"))
@@ -484,7 +525,7 @@ def align(docs: DataFrame, left: tuple[str, bytes], right: tuple[str, bytes], br
     return joined.select("doc_id", *COUNTS, "groups", F.coalesce("_best", F.lit(0)).cast("bigint").alias("n_best"), F.coalesce("_sum", F.lit(0)).cast("bigint").alias("count_sum"))
 
 
-def _scored(docs: DataFrame, load: Callable[[], tuple[Tokenizer, Tokenizer, Memory]], width: int, known) -> DataFrame:
+def _scored(docs: DataFrame, load: Callable[[bool], tuple[Tokenizer, Tokenizer, Memory]], width: int, kinds: int, known) -> DataFrame:
     """Rows with their counts and groups; sums over pair counts if they are known, else the rows' pairs."""
     keyed = docs if "_row" in docs.columns and known is None else docs.withColumn("_row", F.lit(None).cast("bigint"))
     fields = T.StructType.fromDDL("_row bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_overlaps bigint, groups string, n_best bigint, count_sum bigint, _pairs array<struct<pair: bigint, times: bigint>>")
@@ -503,22 +544,22 @@ def _scored(docs: DataFrame, load: Callable[[], tuple[Tokenizer, Tokenizer, Memo
             np.maximum.at(best, pairs // width, n)
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
-                w = align_batch(part.column("text"), *load())
-                first, pair, times = word_pairs(w, width)
-                owner = np.repeat(np.arange(len(w.a.sizes)), np.diff(first))
-                add = lambda x, owner=owner, w=w: np.bincount(owner, weights=x, minlength=len(w.a.sizes)).astype(np.int64)
-                cells = [sums(w, x) for x in (w.a.sizes, w.b.sizes, w.n_groups, add(times), w.n_overlaps)]
-                texts = written_groups(w).take(pa.array(w.word[~w.bad[w.row]]))
+                w = align_batch(part.column("text"), *load(True))
+                x = w.lexicon
+                owner = np.repeat(np.arange(len(x.good)), np.diff(x.first))
+                add = lambda v, owner=owner, x=x: np.bincount(owner, weights=v, minlength=len(x.good)).astype(np.int64)
+                cells = [sums(w, v) for v in (*x.counts.T[:3], add(x.times), x.counts[:, 3])]
+                texts = x.groups.take(pa.array(w.word[~w.bad[w.row]]))
                 lists = pa.LargeListArray.from_arrays(pa.array(np.searchsorted(w.row[~w.bad[w.row]], np.arange(len(w.bad) + 1))), texts)
                 groups = pc.binary_join(lists, pa.scalar(";", pa.large_string())).cast(pa.string())
                 if best is not None:
-                    each = n[np.searchsorted(pairs, pair)]
-                    scores = [sums(w, add(times * (each == best[pair // width]))), sums(w, add(times * each))]
+                    each = n[np.searchsorted(pairs, x.pair)]
+                    scores = [sums(w, add(x.times * (each == best[x.pair // width]))), sums(w, add(x.times * each))]
                     held = pa.nulls(len(w.bad), _PAIRS)
                 else:
                     scores = [pa.nulls(len(w.bad), pa.int64())] * 2
-                    row, kinds, often = row_pairs(w, first, pair, times)
-                    held = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(w.bad) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(kinds), pa.array(often)], ["pair", "times"]))
+                    row, pair, often = row_pairs(w, kinds)
+                    held = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(w.bad) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(pair), pa.array(often)], ["pair", "times"]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_row"), *cells, groups, *scores, held], ["doc_id", *fields.names])
 
     return keyed.select("doc_id", "_row", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *fields.fields]))
