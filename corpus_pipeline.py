@@ -32,12 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and texts in no language that was learned.
 
     The posterior compares learned languages only, so the text's likelihood must
-    also come near that of held-out documents of the language.
+    also come near that of held-out documents of the language.  Every document is
+    labelled once; those held out give the bounds, and all are then held against them.
     """
     held_out = bucket_of(F.col("doc_id"), 3) == 1
     model = langid.fit(docs.where(~held_out))
-    least = langid.least_likelihoods(docs.where(held_out), model).select(F.col("lang").alias("lang_pred"), "least")
-    named = langid.identify(docs.select(*COLUMNS), model, carry=COLUMNS).join(F.broadcast(least), "lang_pred", "left")  # one row per language
+    judged = [*COLUMNS, "lang_pred", "score", "likelihood"]
+    named = materialise(langid.identify(docs.select(*COLUMNS), model, carry=COLUMNS).select(*judged), "pipeline-named")
+    least = langid.least_likelihoods(named.where(held_out)).select(F.col("lang").alias("lang_pred"), "least")
+    named = named.join(F.broadcast(least), "lang_pred", "left")  # one row per language
     likely = F.coalesce(F.col("likelihood") >= F.col("least"), F.lit(True))
     return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE) & likely).select(*COLUMNS)
 

@@ -449,3 +449,23 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(added), DATA).select("doc_id").collect()}
     assert not {i for i in left if i < 0}
     assert len(left) >= 0.97 * docs.where(F.col("text").rlike("[A-Za-z]")).count()
+
+
+def test_language_model_and_bounds_take_every_text(spark):
+    from vectorloom.llm import langid
+
+    texts = [f"word{i} ähnlich {i * i}" for i in range(5000)] + ["слово слово"] * 400
+    langs = ["en" if i % 5 else "de" for i in range(5400)]
+    rows = spark.createDataFrame([*zip(texts, langs, strict=True), (None, "en"), ("left out", None)], "text string, lang string").repartition(3)
+    model = langid.fit(rows)
+    assert model.languages == ["de", "en"]
+    for i, lang in enumerate(model.languages):
+        lex = langid.lexicon(langid.pa.array([t for t, x in zip(texts, langs, strict=True) if x == lang]))
+        times = np.repeat(np.bincount(lex.which), np.diff(np.append(lex.gram_first, len(lex.grams))))
+        counts = np.bincount(lex.grams, weights=times, minlength=langid.BUCKETS) + 0.05
+        assert np.allclose(model.scores[i], np.log(counts / counts.sum()), atol=1e-5)
+        assert model.scripts[i] == np.bitwise_or.reduce(lex.scripts)
+    likely = np.random.default_rng(4).normal(-9, 1, 9000)
+    named = spark.createDataFrame([("en", "en", float(x)) for x in likely] + [("en", "de", -1.0), ("de", "de", None), (None, "de", -2.0)], "lang string, lang_pred string, likelihood double")
+    (bound,) = langid.least_likelihoods(named).collect()
+    assert bound.lang == "en" and np.isclose(bound.least, likely.mean() - langid.DEVIATIONS * likely.std())

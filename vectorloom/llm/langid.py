@@ -105,34 +105,24 @@ def lexicon(texts: pa.Array) -> Lexicon:
         scripts = np.bitwise_or.reduceat(np.where(edge, 0, script[source]), off[:-1])
     padded = np.concatenate([b, np.zeros(3, np.uint32)])
     h = padded[: len(b)] * np.uint32(0x9E3779B1)
-    parts, owners = [], []
+    many = 3 * size - 6  # n-grams of each distinct word
+    gram_first = np.cumsum(many) - many
+    grams = np.empty(int(many.sum()), dtype=np.int64)
+    room = size[owner] - inner
+    place = gram_first[owner] + inner
     for n in (2, 3, 4):
         h = (h ^ (padded[n - 1 : n - 1 + len(b)] + np.uint32(n))) * np.uint32(0x85EBCA6B)
-        fits = inner + n <= size[owner]
-        parts.append((h[fits] ^ h[fits] >> np.uint32(15)) >> np.uint32(16))
-        owners.append(owner[fits])
-    grams, owners = np.concatenate(parts).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    grams = grams[order]
-    gram_first = np.searchsorted(owners[order], np.arange(len(pick)))
+        fits = room >= n
+        grams[place[fits]] = (h[fits] ^ h[fits] >> np.uint32(15)) >> np.uint32(16)
+        place += size[owner] - (n - 1)
     return Lexicon(w.row, w.first, which, count[w.end] - count[w.start], scripts, grams, gram_first, count[at[1:]] - count[at[:-1]])
 
 
-def _sampled(docs: DataFrame, docs_per_language: int) -> DataFrame:
-    """lang and text of about so many labelled documents of each language, picked by a hash of the text."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = labelled.join(F.broadcast(sizes), "lang")  # one row per language
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.ceil(F.lit(float(docs_per_language << 20)) / F.col("n"))
-    return picked.where(share).select("lang", "text")
-
+def fit(docs: DataFrame) -> Model:
+    """Learns a model from text and non-null lang of ``docs``, of every row that has both.
 
-def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
-    """Learns a model from text and non-null lang of ``docs``.
-
-    It learns from about ``docs_per_language`` documents of each language at most,
-    picked by a hash of their text.  Tasks count n-grams; what reaches the driver
-    is languages x BUCKETS counts, however many documents there are.
+    Tasks count n-grams; what reaches the driver is languages x BUCKETS counts,
+    however many documents there are.
     """
 
     lean_workers(docs.sparkSession)
@@ -142,14 +132,21 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
         used: dict[str, dict[int, int]] = {}
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
-                for lang in pc.unique(part.column("lang")).to_pylist():
-                    lex = lexicon(part.filter(pc.equal(part.column("lang"), lang)).column("text"))
-                    times = np.bincount(lex.which, minlength=len(lex.gram_first)).astype(np.float64)
-                    per = np.repeat(times, np.diff(np.append(lex.gram_first, len(lex.grams))))
-                    held[lang] = held.get(lang, 0) + np.bincount(lex.grams, weights=per, minlength=BUCKETS)
+                lex = lexicon(part.column("text"))
+                coded = part.column("lang").dictionary_encode()
+                distinct = len(lex.gram_first)
+                key, times = np.unique(coded.indices.to_numpy()[lex.row].astype(np.int64) * distinct + lex.which, return_counts=True)
+                many = np.diff(np.append(lex.gram_first, len(lex.grams)))
+                cuts = np.searchsorted(key, np.arange(len(coded.dictionary) + 1) * distinct)
+                for i, lang in enumerate(coded.dictionary.to_pylist()):
+                    word, n = key[cuts[i] : cuts[i + 1]] - i * distinct, times[cuts[i] : cuts[i + 1]]
+                    size = many[word]
+                    entry = np.arange(size.sum()) + np.repeat(lex.gram_first[word] - (np.cumsum(size) - size), size)
+                    held[lang] = held.get(lang, 0) + np.bincount(lex.grams[entry], weights=np.repeat(n, size), minlength=BUCKETS)
                     tally = used.setdefault(lang, {})
-                    for bits, n in zip(*np.unique(lex.scripts[lex.which], return_counts=True), strict=True):
-                        tally[int(bits)] = tally.get(int(bits), 0) + int(n)
+                    kinds, which = np.unique(lex.scripts[word], return_inverse=True)
+                    for bits, k in zip(kinds.tolist(), np.bincount(which, weights=n, minlength=len(kinds)).tolist(), strict=True):
+                        tally[bits] = tally.get(bits, 0) + int(k)
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             names = [lang] * (len(at) + len(used[lang]))
@@ -157,7 +154,8 @@ def fit(docs: DataFrame, docs_per_language: int = 4000) -> Model:
             keys = np.concatenate([at, -1 - np.array(scripts, dtype=np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.int64()), pa.array(np.concatenate([counts[at], [used[lang][s] for s in scripts]]), pa.float64())], ["lang", "key", "n"])
 
-    rows = _sampled(docs, docs_per_language).mapInArrow(count, "lang string, key bigint, n double").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = labelled.mapInArrow(count, "lang string, key bigint, n double").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.full((len(languages), BUCKETS), 0.05)
     scripts = np.zeros(len(languages), dtype=np.int64)
@@ -282,16 +280,16 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
-def least_likelihoods(docs: DataFrame, model: Model, docs_per_language: int = 4000) -> DataFrame:
+def least_likelihoods(named: DataFrame) -> DataFrame:
     """Likelihood that texts of a language have at least: lang, least.
 
-    ``docs`` are labelled documents that the model has not seen.  About
-    ``docs_per_language`` of each are read; a language of which none is named
-    rightly has no row.
+    ``named`` are documents that the model has not seen, as ``identify`` labels
+    them, beside their true ``lang``; all that are named rightly count.  A language
+    of which none is has no row.
     """
-    named = identify(_sampled(docs, docs_per_language), model, carry=["lang"]).where((F.col("lang") == F.col("lang_pred")) & F.col("likelihood").isNotNull())
+    right = named.where((F.col("lang") == F.col("lang_pred")) & F.col("likelihood").isNotNull())
     spread = F.greatest(F.stddev_pop("likelihood"), F.lit(LEAST_SPREAD))
-    return named.groupBy("lang").agg((F.avg("likelihood") - DEVIATIONS * spread).alias("least"))
+    return right.groupBy("lang").agg((F.avg("likelihood") - DEVIATIONS * spread).alias("least"))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
