@@ -185,6 +185,25 @@ def test_language_model_on_whole_table(spark):
     assert np.allclose(model.symbols.sum(axis=1), 1) and np.allclose(model.moves.sum(axis=1), 1)
 
 
+def test_every_text_trains_the_states(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120).repartition(3)
+    taken, once = [], markov._round
+
+    def counted(*args):
+        moved, seen, likelihood = once(*args)
+        taken.append(seen.sum())
+        return moved, seen, likelihood
+
+    monkeypatch.setattr(markov, "_round", counted)
+    monkeypatch.setattr(markov, "WARM_WORDS", 50)
+    model = markov.fit(docs, frequent=300, own=200)
+    total = model.vocabulary.total
+    first, last = taken[: markov.WARM_ROUNDS], taken[markov.WARM_ROUNDS :]
+    assert markov.slices_of(total) == len(set(first)) == markov.WARM_ROUNDS  # a slice a round, none twice
+    assert sum(first) == pytest.approx(total, rel=1e-3) and last == pytest.approx([total] * markov.ROUNDS, rel=1e-3)
+    assert [markov.slices_of(n) for n in (0, 99, 100, 299, 300, 10_000)] == [1, 1, 2, 4, 6, 12]
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = markov.fit(empty)
