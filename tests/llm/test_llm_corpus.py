@@ -469,3 +469,19 @@ def test_language_model_and_bounds_take_every_text(spark):
     named = spark.createDataFrame([("en", "en", float(x)) for x in likely] + [("en", "de", -1.0), ("de", "de", None), (None, "de", -2.0)], "lang string, lang_pred string, likelihood double")
     (bound,) = langid.least_likelihoods(named).collect()
     assert bound.lang == "en" and np.isclose(bound.least, likely.mean() - langid.DEVIATIONS * likely.std())
+
+
+def test_similar_texts_need_one_python_worker_a_task(spark, monkeypatch):
+    chained, write = [], jaccard.materialise
+
+    def held(df, what, **more):
+        inside = 0
+        for node in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+            inside = 0 if "Exchange" in node else inside + ("InArrow" in node)
+            if inside > 1:
+                chained.append(what)
+        return write(df, what, **more)
+
+    monkeypatch.setattr(jaccard, "materialise", held)
+    jaccard.similar(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    assert not chained

@@ -36,6 +36,8 @@ BLOCK = 4
 SHINGLE = 5
 #: Bytes of benchmark text in one part of the index; every part is sent to all tasks.
 PART_BYTES = 4 << 20
+#: Bytes of text whose words and passages a task holds at a time.
+CHUNK_BYTES = 1 << 19
 #: Block maxima that are added up at a time.
 HELD = 1 << 20
 _TABLE_BITS = 18
@@ -324,7 +326,7 @@ def _search(docs: DataFrame, shared: Broadcast[Index], kind: T.DataType, schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK_BYTES):
                 w = tokens(part.column("text"))
                 best: dict[tuple[int, int], float] = {}
                 for r, i, s in zip(*(x.tolist() for x in candidates(ix, w, threshold)), strict=True):

@@ -225,6 +225,7 @@ def _ordered(texts: DataFrame, suspects: DataFrame, size: int, similarity: float
                 yield pa.RecordBatch.from_arrays([pa.array(node_of(value, first)), pa.array(cells, pa.binary())], ["node", "grams"])
 
     found = semi(semi(texts, suspects.select("id").distinct(), "id").mapInArrow(sets, "node bigint, grams binary"), suspects.select("node"), "node")
+    found = materialise(found, "jaccard-found")  # else one task has two Python workers, and every core keeps two from then on
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
