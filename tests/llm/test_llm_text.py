@@ -134,6 +134,63 @@ def test_viterbi_is_the_best_path():
             assert np.isclose(got, best_path(s, penalty))
 
 
+def worth(s, path, penalty):
+    return s[np.arange(len(path)), path].sum() - penalty * (path[1:] != path[:-1]).sum()
+
+
+def plain_best(s, penalty):
+    score = s[0]
+    for row in s[1:]:
+        score = np.maximum(score, score.max() - penalty) + row
+    return score.max()
+
+
+def test_viterbi_walks_word_by_word_only_where_another_label_may_win():
+    walked = []
+
+    class Counted(np.ndarray):
+        def tolist(self):
+            walked.append(len(self))
+            return super().tolist()
+
+    draw = np.random.default_rng(6)
+    s = draw.normal(size=(20000, 4)) / 2 + [-9, 0, -9, -9]
+    s[9000:9010] += [0, -9, 9, 0]
+    p = langid.viterbi(s.view(Counted), 8.0)
+    assert np.flatnonzero(p != 1).tolist() == list(range(9000, 9010)) and set(p[9000:9010].tolist()) == {2}
+    assert 10 <= sum(walked) <= 100
+    for _ in range(500):  # labels in runs, at the ends of a text too, and close calls
+        n, k = draw.integers(1, 80), draw.integers(1, 6)
+        label = np.repeat(draw.integers(0, k, size=n), draw.integers(1, 8, size=n))[:n]
+        s = draw.normal(size=(n, k)) * draw.choice([0.3, 1, 3]) + draw.choice([1, 9]) * (np.arange(k) == label[:, None])
+        for penalty in (1.0, 8.0):
+            assert np.isclose(worth(s, langid.viterbi(s, penalty), penalty), plain_best(s, penalty))
+
+
+def test_words_have_the_ngrams_of_their_bytes():
+    def plain(word):
+        data, out, keep = b" " + word.encode() + b" ", [], 0xFFFFFFFF
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                h = data[i] * 0x9E3779B1 & keep
+                for m in range(2, n + 1):
+                    h = (h ^ data[i + m - 1] + m) * 0x85EBCA6B & keep
+                out.append((h ^ h >> 15) >> 16)
+        return out
+
+    texts = ["Ab ab  слово\nx", None, "", " \t", "x", "ähnlich", "1 中b"]
+    lex = langid.lexicon(pa.array(texts))
+    cuts = np.append(lex.gram_first, len(lex.grams))
+    given = [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())]
+    assert len(lex.which) == len(given)
+    for word, i in zip(given, lex.which.tolist(), strict=True):
+        assert lex.grams[cuts[i] : cuts[i + 1]].tolist() == plain(word)
+        bit = lambda name: int(langid._BITS[[n for _, n in langid.SCRIPTS].index(name)])
+        assert lex.scripts[i] == {"слово": bit("Cyrillic"), "1": 0, "中b": bit("Han") | bit("Latin")}.get(word, bit("Latin"))
+    for none in ([], [None], [" "]):
+        assert len(langid.lexicon(pa.array(none, pa.string())).grams) == 0
+
+
 def plain_metrics(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

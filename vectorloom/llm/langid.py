@@ -95,27 +95,30 @@ def lexicon(texts: pa.Array) -> Lexicon:
     start, end = w.start[pick], w.end[pick]
     size = end - start + 2  # a space on either side
     off = np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(len(pick)), size)
-    inner = np.arange(off[-1]) - off[owner]
-    source = np.clip(start[owner] + inner - 1, 0, max(0, len(data) - 1))
-    edge = (inner == 0) | (inner == size[owner] - 1)
-    b = np.where(edge, 32, data[source] if len(data) else 0).astype(np.uint32)
-    scripts = np.zeros(len(pick), dtype=np.int64)
-    if len(pick):
-        scripts = np.bitwise_or.reduceat(np.where(edge, 0, script[source]), off[:-1])
-    padded = np.concatenate([b, np.zeros(3, np.uint32)])
-    h = padded[: len(b)] * np.uint32(0x9E3779B1)
     many = 3 * size - 6  # n-grams of each distinct word
     gram_first = np.cumsum(many) - many
+    kind = np.int32 if many.sum() < 1 << 31 else np.int64
+    each = lambda of: np.repeat(of.astype(kind), size)
+    at_byte = np.arange(off[-1], dtype=kind)
+    source = at_byte + each(start - off[:-1] - 1)
+    b, bits = np.zeros(len(at_byte) + 3, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+    if len(pick):
+        b[:-3] = data.take(source, mode="clip")
+        bits = script.take(source, mode="clip")
+        for edge in (off[:-1], off[1:] - 1):
+            b[edge], bits[edge] = 32, 0
+        bits = np.bitwise_or.reduceat(bits, off[:-1])
+    h = b[:-3] * np.uint32(0x9E3779B1)
     grams = np.empty(int(many.sum()), dtype=np.int64)
-    room = size[owner] - inner
-    place = gram_first[owner] + inner
+    room = each(off[1:]) - at_byte
+    place = at_byte + each(gram_first - off[:-1])
+    step = each(size)
     for n in (2, 3, 4):
-        h = (h ^ (padded[n - 1 : n - 1 + len(b)] + np.uint32(n))) * np.uint32(0x85EBCA6B)
-        fits = room >= n
-        grams[place[fits]] = (h[fits] ^ h[fits] >> np.uint32(15)) >> np.uint32(16)
-        place += size[owner] - (n - 1)
-    return Lexicon(w.row, w.first, which, count[w.end] - count[w.start], scripts, grams, gram_first, count[at[1:]] - count[at[:-1]])
+        h = (h ^ (b[n - 1 : n - 1 + len(h)] + np.uint32(n))) * np.uint32(0x85EBCA6B)
+        fits = np.flatnonzero(room >= n)
+        grams[place[fits]] = (h ^ h >> np.uint32(15))[fits] >> np.uint32(16)
+        place += step - (n - 1)
+    return Lexicon(w.row, w.first, which, count[w.end] - count[w.start], bits, grams, gram_first, count[at[1:]] - count[at[:-1]])
 
 
 def fit(docs: DataFrame) -> Model:
@@ -194,33 +197,47 @@ def word_scores(model: Model, lex: Lexicon) -> tuple[np.ndarray, np.ndarray, np.
 def viterbi(s: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Best label of each word given scores words x labels and a cost per change.
 
-    Staying with the best single label is optimal if no other label gains more
-    than half the penalty over it in any run of words (a path of k runs in other
-    labels pays for k - 1 changes at least), which prefix sums show; only else is
-    the path traced word by word.
+    ``best`` is the best single label, ``ahead`` a bound on how far any other label
+    leads it when a word is reached.  Below minus the penalty every label comes from
+    ``best`` there, so a best path passes it.  Between two such words the path leaves
+    ``best`` only if another label gains more than two penalties over it, at the ends
+    of the text one; only stretches where it may are traced word by word.
     """
     n, k = s.shape
-    sums = s.sum(axis=0, dtype=np.float64)
-    best = int(sums.argmax())
-    gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
-    floor = np.minimum(np.minimum.accumulate(gain, axis=0), 0.0)
-    lowest = np.vstack([np.zeros((1, k)), floor[:-1]])
-    if (gain - lowest).max(initial=0.0) <= penalty / 2:
-        return np.full(n, best, dtype=np.int64)
+    best = int(s.sum(axis=0, dtype=np.float64).argmax())
+    path = np.full(n, best, dtype=np.int64)
+    if n == 0 or k == 1:
+        return path
+    ahead = np.cumsum(np.delete(s, best, axis=1).max(axis=1) - s[:, best], dtype=np.float64)
+    ahead[1:] -= np.minimum(np.minimum.accumulate(ahead)[:-1] + penalty, 0.0)
+    open_ = ahead > penalty
+    open_[-1] |= ahead[-1] >= 0
+    if open_.any():
+        certain = np.flatnonzero(ahead < -penalty)
+        for i in np.unique(np.searchsorted(certain, np.flatnonzero(open_))).tolist():
+            a, b = certain[i - 1] if i else 0, certain[i] + 1 if i < len(certain) else n
+            path[a:b] = trace(s[a:b], penalty, best if i else None, best if i < len(certain) else None)
+    return path
+
+
+def trace(s: np.ndarray, penalty: float, first: int | None = None, last: int | None = None) -> list[int]:
+    """Best label of each word, word by word; the first and the last word's may be given."""
     rows = s.tolist()
     score, came = rows[0], []
+    if first is not None:
+        score = [0.0 if j == first else -np.inf for j in range(len(score))]
     for row in rows[1:]:
         top = max(score)
         at = score.index(top)
         top -= penalty
         came.append([at if top > x else j for j, x in enumerate(score)])
         score = [(top if top > x else x) + y for x, y in zip(score, row, strict=True)]
-    label = score.index(max(score))
+    label = score.index(max(score)) if last is None else last
     path = [label]
     for back in reversed(came):
         label = back[label]
         path.append(label)
-    return np.array(path[::-1], dtype=np.int64)
+    return path[::-1]
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
