@@ -6,7 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vectorloom.operators import prep
+from vectorloom.functions.vectors import long_form
+from vectorloom.operators import prep, slices
 from vectorloom.operators.checks import check_settings, due, shared_rank
 from vectorloom.operators.relational import zip_rows
 
@@ -117,3 +118,27 @@ def test_caps_take_any_column_names(spark):
     got = prep.stratified_cap(df, "client", "y", "id", 6, 1)
     assert got.columns == df.columns or sorted(got.columns) == sorted(df.columns)
     assert got.count() == 6 and {(r.quota, r.place, r._rank) for r in got.collect()} == {("mine", 7, "r")}
+
+
+def test_imputing_runs_in_spark_and_takes_any_width(spark, monkeypatch):
+    nan = float("nan")
+    wide = [[float(i * j) if (i + j) % 3 else nan for j in range(20)] for i in range(6)]
+    rows = [(i % 2, i, x) for i, x in enumerate(wide)] + [(0, 6, [nan]), (1, 7, []), (2, 8, []), (3, 9, None), (None, 10, [nan, 2.0]), (None, 11, [4.0])]
+    df = spark.createDataFrame(rows, "client int, sample int, x array<double>")
+    cells = {c: [[v for x in (r[2] for r in rows if r[0] == c and r[2]) for v in x[j : j + 1] if v == v] for j in range(20)] for c in (0, 1, 2, 3, None)}
+    want = {s: None if x is None else [v if v == v else np.mean(cells[c][j]) if cells[c][j] else 0.0 for j, v in enumerate(x)] for c, s, x in rows}
+    for narrow, sent in ((16, 1 << 21), (32, 1 << 21), (32, 0)):
+        monkeypatch.setattr(slices, "NARROW", narrow)
+        monkeypatch.setattr(prep, "SENT", sent)
+        done = prep.impute_mean(df, ["client"])
+        got = {r.sample: r.x for r in done.collect()}
+        assert got.keys() == want.keys() and all((got[s] is None) == (x is None) and (x is None or np.allclose(got[s], x)) for s, x in want.items())
+        text = done._jdf.queryExecution().executedPlan().toString()
+        assert ("ShuffledHashJoin" if not sent else "BroadcastHashJoin") in text and "SortMergeJoin" not in text
+        one = {r.client: (r.n, r.mean, r.variance) for r in slices.moments(df, ["client"], "x", skip_nan=True).collect()}
+        assert one[2] == ([], [], []) and 3 not in one and one[None] == ([1, 1], [4.0, 2.0], [0.0, 0.0])
+        assert one[0][0] == [len(v) for v in cells[0]] and np.allclose(one[0][2], [np.var(v) for v in cells[0]])
+    whole = slices.moments(df, ["client"], "x", skip_nan=True)._jdf.queryExecution().toString()
+    assert "Arrow" not in whole and "Python" not in whole  # one key after the other in Python took hours on many clients
+    text = long_form(prep.impute_mean(df, ["client"]), ["sample"], "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("zip_with") == 1  # a generator's own filter computed it three times

@@ -80,8 +80,8 @@ def similarity(a: Col, b: Col, metric: str) -> Column:
 
 
 def long_form(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """One row per dimension: keys, d, v."""
-    return df.select(*keys, F.posexplode(x).alias("d", "v"))
+    """One row per dimension: keys, d, v.  The outer generator adds no filter that would compute x anew."""
+    return df.select(*keys, F.posexplode_outer(x).alias("d", "v")).where(F.col("d").isNotNull())
 
 
 def assemble(df: DataFrame, keys: list[str], name: str = "x") -> DataFrame:

@@ -10,6 +10,9 @@ from vectorloom.functions.tables import settle
 from vectorloom.functions.vectors import normalise
 from vectorloom.operators import slices
 
+#: Cells of moments that go to every task.
+SENT = 1 << 21
+
 
 def drop_null_class(df: DataFrame, label: str = "y", offset: int = 0) -> DataFrame:
     """Rows of class 0 go; the others move down by one, then up by ``offset``."""
@@ -39,24 +42,30 @@ def l2_normalise(df: DataFrame, x: str = "x", mode: str = "unit") -> DataFrame:
 
 
 def _with_moments(df: DataFrame, stats: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
-    """Rows with the moments of their key in one column of its own name; null without any."""
+    """Rows with the moments of their key, an array of structs, in one column of its own name; null without any.
+
+    The moments are written once.  SENT cells or fewer go to every task; more are
+    joined by shuffle, without sorting the rows.
+    """
     (held,) = slices.fresh(df, "moments")
     names = [f"{held}_{i}" for i in range(len(keys))]
-    packed = stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.arrays_zip("n", "mean", "variance").alias(held))
+    packed = settle(stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.arrays_zip(*stats.columns[len(keys) :]).alias(held)), "moments")
     same = F.lit(True)
     for k, n in zip(keys, names, strict=True):
         same = same & F.col(k).eqNullSafe(F.col(n))
-    return df.join(packed, same, "left").drop(*names), held
+    cells = packed.agg(F.sum(F.size(held) + F.lit(1))).first()[0] or 0
+    return df.join(F.broadcast(packed) if cells <= SENT else packed.hint("shuffle_hash"), same, "left").drop(*names), held
 
 
 def standardise(df: DataFrame, keys: list[str], is_train: Column, x: str = "x", floor: float = 0.3) -> DataFrame:
     """Centres and scales by the train rows of each key, with a floor under the deviation.
 
-    Tasks add up moments, so one row per key and task is shuffled for them.  Rows of
-    a key without train rows stay as they are; a null x stays null.
+    Tasks add up moments, so one row per key and task is shuffled for them (per
+    dimension too where they are many).  Rows of a key without train rows stay as they
+    are; a null x stays null.
     """
     stats = slices.moments(df.where(is_train), keys, x)
-    joined, held = _with_moments(df, stats, keys)
+    joined, held = _with_moments(df, stats.select(*keys, "mean", "variance"), keys)
     scaled = F.zip_with(x, held, lambda v, t: (v - t["mean"]) / F.greatest(F.sqrt(t["variance"]), F.lit(floor)))
     return joined.withColumn(x, F.when(F.col(held).isNull(), F.col(x).cast("array<double>")).otherwise(scaled)).select(*df.columns)
 
@@ -64,7 +73,7 @@ def standardise(df: DataFrame, keys: list[str], is_train: Column, x: str = "x",
 def impute_mean(df: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """NaN and null cells become the mean of their column in the key, or 0 if it has none; a null x stays null."""
     real = lambda v: F.when(~F.isnan(v), v)
-    joined, held = _with_moments(df, slices.moments(df, keys, x, skip_nan=True), keys)
+    joined, held = _with_moments(df, slices.moments(df, keys, x, skip_nan=True).select(*keys, "mean"), keys)
     filled = F.zip_with(x, F.slice(held, 1, F.greatest(F.size(x), F.lit(0))), lambda v, t: F.coalesce(real(v), t["mean"], F.lit(0.0)))
     return joined.withColumn(x, filled).select(*df.columns)
 

@@ -8,18 +8,17 @@ block by a scan of one row per block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vectorloom.functions.tables import settle
 
 #: Places of a block, at least.
 BLOCK = 8192
+#: Dimensions whose moments are columns of one row.
+NARROW = 16
 
 
 def ordinals(df: DataFrame, key: list[str], order: list[str], out: str = "place") -> DataFrame:
@@ -116,59 +115,34 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -
 def moments(df: DataFrame, keys: list[str], x: str, skip_nan: bool = False) -> DataFrame:
     """Count, mean and population variance of every dimension: keys, n, mean, variance (arrays).
 
-    Tasks add up their own rows, so the shuffle has one row per key and task, and a
-    key's rows are merged by counts, means and squares about the mean.  Null cells
-    count nothing; so do NaN cells if ``skip_nan``.  Rows may differ in length.  A
-    dimension without a cell has mean and variance null.
+    Tasks add up their own rows.  Up to NARROW dimensions the shuffle has one row per key
+    and task; more are taken in long form, with one row per key, dimension and task.
+    Null cells count nothing; so do NaN cells if ``skip_nan``.  Rows may differ in
+    length; how long the longest is takes a pass of its own.  A dimension without a cell
+    has mean and variance null.
     """
-    array, whole = T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType())
-    fields = [T.StructField("n", whole), T.StructField("mean", array), T.StructField("variance", array)]
-    keyed = [df.schema[k] for k in keys]
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[np.ndarray]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            values, real, size = _padded(batch.column(x), skip_nan)
-            code, first = _codes([batch.column(k) for k in keys], batch.num_rows)
-            order = np.argsort(code, kind="stable")
-            cuts = np.searchsorted(code[order], np.arange(len(first) + 1))
-            for u, at in enumerate(first):
-                own = order[cuts[u] : cuts[u + 1]]
-                key = tuple(batch.column(k)[int(at)].as_py() for k in keys)
-                width = int(size[own].max())
-                now = _summary(values[own, :width], real[own, :width])
-                held[key] = _merged(held[key], now) if key in held else now
-            if sum(len(h[0]) for h in held.values()) > 1 << 20:  # many keys: the shuffle merges them
-                yield written(held)
-                held = {}
-        if held:
-            yield written(held)
-
-    def written(held: dict[tuple, list[np.ndarray]]) -> pa.RecordBatch:
-        columns = list(zip(*held, strict=True)) if keys else []
-        cells = [pa.array([h[i] for h in held.values()], pa.list_(pa.int64() if i == 0 else pa.float64())) for i in range(3)]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)), *cells], [*keys, "n", "mean", "variance"])
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for n, mean, square in zip(*(batch.column(c).to_pylist() for c in ("n", "mean", "variance")), strict=True):
-                now = [np.array(n, np.int64), np.array(mean, np.float64), np.array(square, np.float64)]
-                total = now if total is None else _merged(total, now)
-        n, mean, square = total
-        none = n == 0
-        cells = [pa.array([n], pa.list_(pa.int64())), *(pa.array([[None if gone else v for v, gone in zip(c.tolist(), none.tolist(), strict=True)]], pa.list_(pa.float64())) for c in (mean, square / np.maximum(n, 1)))]
-        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], kind) for k, kind in zip(key, kinds, strict=True)), *cells], [*keys, "n", "mean", "variance"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kinds = [to_arrow_type(f.dataType) for f in keyed]
-    merge.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    schema = T.StructType([*keyed, *fields])
-    parts = df.select(*keys, F.col(x).cast(array).alias(x)).where(F.col(x).isNotNull()).mapInArrow(partial, schema)
-    return parts.groupBy(*keys).applyInArrow(merge, schema)
+    vector, size = fresh(df.select(*keys), "vector", "size")
+    rows = df.select(*keys, F.col(x).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    width = rows.agg(F.max(F.size(vector))).first()[0] or 0
+    real = lambda v: F.when(~F.isnan(v), v) if skip_nan else v
+    measures = {"n": F.count, "mean": F.avg, "variance": F.var_pop}
+    if width > NARROW:
+        return _long_moments(rows, keys, vector, real, measures)
+    each = rows.select(*keys, F.size(vector).alias(size), *[real(F.get(vector, F.lit(i))).alias(f"{vector}_{i}") for i in range(width)])
+    sums = each.groupBy(*keys).agg(F.max(size).alias(size), *[f(f"{vector}_{i}").alias(f"{vector}_{m}_{i}") for m, f in measures.items() for i in range(width)])
+    none = {m: F.array().cast("array<bigint>" if m == "n" else "array<double>") for m in measures}
+    arrays = {m: F.slice(F.array(*[F.col(f"{vector}_{m}_{i}") for i in range(width)]), F.lit(1), F.col(size)) if width else none[m] for m in measures}
+    return sums.select(*keys, *[a.alias(m) for m, a in arrays.items()])
+
+
+def _long_moments(rows: DataFrame, keys: list[str], vector: str, real: Callable[[Column], Column], measures: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    at, cell, cells = fresh(rows, "at", "cell", "cells")
+    # an empty row gives one place that is null
+    long = rows.select(*keys, F.posexplode_outer(vector).alias(at, cell)).withColumn(cell, real(F.col(cell)))
+    per = long.groupBy(*keys, at).agg(*[f(F.col(cell)).alias(m) for m, f in measures.items()])
+    held = F.array_sort(F.collect_list(F.when(F.col(at).isNotNull(), F.struct(at, *measures))))
+    packed = per.groupBy(*keys).agg(held.alias(cells))
+    return packed.select(*keys, *[F.col(f"{cells}.{m}").alias(m) for m in measures])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -183,44 +157,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _padded(column: pa.Array, skip_nan: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays as a matrix as wide as the longest, which cells count, and the lengths."""
-    flat = column.flatten()
-    size = np.diff(column.offsets.to_numpy())
-    values, real = np.zeros((len(column), int(size.max(initial=0)))), np.zeros((len(column), int(size.max(initial=0))), bool)
-    row = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    cells = flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    good = flat.is_valid().to_numpy(zero_copy_only=False)
-    good = good & ~np.isnan(cells) if skip_nan else good
-    values[row, at], real[row, at] = np.where(good, cells, 0.0), good
-    return values, real, size
-
-
-def _codes(columns: list[pa.Array], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A number for every distinct key of a batch, and the first row of each."""
-    code = np.zeros(n, np.int64)
-    for c in columns:
-        own = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        _, code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)
-    _, first, code = np.unique(code, return_index=True, return_inverse=True)
-    return code, first
-
-
-def _summary(values: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
-    n = real.sum(axis=0)
-    mean = values.sum(axis=0) / np.maximum(n, 1)
-    return [n, mean, (np.where(real, values - mean, 0.0) ** 2).sum(axis=0)]
-
-
-def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
-    width = max(len(a[0]), len(b[0]))
-    (na, ma, qa), (nb, mb, qb) = ([np.pad(x, (0, width - len(x))) for x in s] for s in (a, b))
-    n = na + nb
-    share = nb / np.maximum(n, 1)
-    return [n, ma + (mb - ma) * share, qa + qb + (mb - ma) ** 2 * na * share]
-
-
 def lagged(df: DataFrame, key: list[str], order: list[str], value: Column, out: str, place: str, size: int = BLOCK) -> DataFrame:
     """Adds each row's place and the value of the row before it of its key, null for the first."""
     at, block, own = fresh(df, "at", "block", "own")

@@ -165,7 +165,7 @@ def standardize_floor(spark, sf):
 
 @query(f"WITH {IL}, m AS (SELECT client, sample, d, CASE WHEN (sample + d) % 5 = 0 THEN NULL ELSE v END AS v FROM il), a AS (SELECT client, d, coalesce(avg(v), 0) AS m FROM m GROUP BY 1, 2) SELECT sample, d, round(coalesce(v, a.m), 5) + 0.0 AS v FROM m JOIN a USING (client, d)")
 def nan_impute(spark, sf):
-    holes = items(spark, sf).withColumn("x", F.transform("x", lambda a, i: F.when((F.col("sample") + i) % 5 == 0, F.lit(float("nan"))).otherwise(a)))
+    holes = items(spark, sf).withColumn("x", F.array(*[F.when((F.col("sample") + i) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("x")[i]) for i in range(4)]))
     return v.long_form(prep.impute_mean(holes, ["client"]), ["sample"], "x").select("sample", "d", (F.round("v", 5) + 0.0).alias("v"))
 
 
