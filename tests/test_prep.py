@@ -142,3 +142,20 @@ def test_imputing_runs_in_spark_and_takes_any_width(spark, monkeypatch):
     assert "Arrow" not in whole and "Python" not in whole  # one key after the other in Python took hours on many clients
     text = long_form(prep.impute_mean(df, ["client"]), ["sample"], "x")._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("zip_with") == 1  # a generator's own filter computed it three times
+
+
+def test_standardising_takes_any_width_and_a_divisor_per_key(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = [(i % 3, i, i % 4 > 0 and i % 3 < 2, (1e6 + draw.normal(size=20) * np.arange(20) / 10).tolist()) for i in range(60)] + [(0, 60, True, [2.0]), (1, 61, True, []), (1, 62, False, None), (7, 63, True, [])]
+    df = spark.createDataFrame(rows, "client int, sample int, train boolean, x array<double>")
+    train = {c: [[x[j] for k, _, t, x in rows if k == c and t and x and len(x) > j] for j in range(20)] for c in (0, 1)}
+    want = {s: x if x is None or c not in train else [(v - np.mean(train[c][j])) / max(np.std(train[c][j]), 0.3) for j, v in enumerate(x)] for c, s, _, x in rows if s < 60}
+    for narrow, sent in ((16, 1 << 21), (32, 1 << 21), (32, 0)):
+        monkeypatch.setattr(slices, "NARROW", narrow)
+        monkeypatch.setattr(prep, "SENT", sent)
+        done = prep.standardise(df, ["client"], F.col("train"))
+        got = {r.sample: r.x for r in done.collect()}
+        assert len(got) == len(rows) and all(np.allclose(got[s], x, atol=1e-6) for s, x in want.items())
+        assert got[62] is None and got[63] == []
+    text = done._jdf.queryExecution().toString()
+    assert "Arrow" not in text and "SQRT" not in text.upper()  # roots are taken once a key, not once a row

@@ -65,8 +65,9 @@ def standardise(df: DataFrame, keys: list[str], is_train: Column, x: str = "x",
     are; a null x stays null.
     """
     stats = slices.moments(df.where(is_train), keys, x)
-    joined, held = _with_moments(df, stats.select(*keys, "mean", "variance"), keys)
-    scaled = F.zip_with(x, held, lambda v, t: (v - t["mean"]) / F.greatest(F.sqrt(t["variance"]), F.lit(floor)))
+    divisor = F.transform("variance", lambda s: F.greatest(F.sqrt(s), F.lit(floor)))
+    joined, held = _with_moments(df, stats.select(*keys, "mean", divisor.alias("divisor")), keys)
+    scaled = F.zip_with(x, held, lambda v, t: (v - t["mean"]) / t["divisor"])
     return joined.withColumn(x, F.when(F.col(held).isNull(), F.col(x).cast("array<double>")).otherwise(scaled)).select(*df.columns)
 
 
