@@ -204,6 +204,23 @@ def test_every_text_trains_the_states(spark, monkeypatch):
     assert [markov.slices_of(n) for n in (0, 99, 100, 299, 300, 10_000)] == [1, 1, 2, 4, 6, 12]
 
 
+def test_every_round_takes_every_text(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in draw.integers(0, 300, 2_400_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[a : a + 2000])) for i, a in enumerate(range(0, len(words), 2000))], SCHEMA).repartition(4)
+    taken, once = [], markov._round
+
+    def counted(*args):
+        moved, seen, likelihood = once(*args)
+        taken.append(seen.sum())
+        return moved, seen, likelihood
+
+    monkeypatch.setattr(markov, "_round", counted)
+    model = markov.fit(docs, frequent=300, own=200)  # more than two million words; no round may leave some out
+    assert model.vocabulary.total == 2_401_200
+    assert taken == pytest.approx([2_401_200] * (markov.WARM_ROUNDS + markov.ROUNDS), rel=1e-3)
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = markov.fit(empty)
